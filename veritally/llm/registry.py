@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from .language import op5_language
+from .minhash import op1_minhash
 from .packing import op4_packing
 from .toxicity import op3_toxicity
 
-QUERIES = (op3_toxicity, op4_packing, op5_language)
+QUERIES = (op1_minhash, op3_toxicity, op4_packing, op5_language)
 ORACLE_SQL: dict[str, str] = {}
 
 
