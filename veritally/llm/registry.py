@@ -6,8 +6,9 @@ from .language import op5_language
 from .minhash import op1_minhash
 from .packing import op4_packing
 from .toxicity import op3_toxicity
+from .vectors import op8_embeddings
 
-QUERIES = (op1_minhash, op3_toxicity, op4_packing, op5_language)
+QUERIES = (op1_minhash, op3_toxicity, op4_packing, op5_language, op8_embeddings)
 ORACLE_SQL: dict[str, str] = {}
 
 
