@@ -5,10 +5,11 @@ from __future__ import annotations
 from .language import op5_language
 from .minhash import op1_minhash
 from .packing import op4_packing
+from .substrings import op7_substring
 from .toxicity import op3_toxicity
 from .vectors import op8_embeddings
 
-QUERIES = (op1_minhash, op3_toxicity, op4_packing, op5_language, op8_embeddings)
+QUERIES = (op1_minhash, op3_toxicity, op4_packing, op5_language, op7_substring, op8_embeddings)
 ORACLE_SQL: dict[str, str] = {}
 
 
