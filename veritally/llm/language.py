@@ -147,6 +147,7 @@ def identify(documents: DataFrame, model: Hierarchy) -> DataFrame:
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        K.lean()
         m = shared.value
         names = np.array([*m.langs, "und"], object)
         for b in batches:

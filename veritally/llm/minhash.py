@@ -130,6 +130,7 @@ def sign(documents: DataFrame, size: int = SHINGLE, count: int = BANDS, rows: in
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        K.lean()
         for b in batches:
             for i, j in K.slices(b["text"], 2 << 20):
                 h, text, times = sets(*shingles(b["text"].slice(i, j - i), size))

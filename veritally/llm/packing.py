@@ -21,6 +21,7 @@ from __future__ import annotations
 import json
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 from itertools import chain
 
 import numpy as np
@@ -44,14 +45,19 @@ class Encoder:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+        self.path = path
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         self.added = [x["content"] for x in spec.get("added_tokens", ())]
         self.fast = self._ranked(spec)
 
+    @cached_property
+    def tokenizer(self):
+        """Loaded only when a text needs it: two tokenizers in every Python worker would double their memory."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def _ranked(self, spec: dict):
         import tiktoken
 
@@ -96,6 +102,7 @@ def tokenise(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, end
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        K.lean()
         own = encoder(tokenizer)
         for b in batches:
             for i, j in K.slices(b["text"], 4 << 20):

@@ -41,6 +41,7 @@ def census(documents: DataFrame, size: int) -> np.ndarray:
     """Suffixes by prefix length and class: len(PREFIXES) x CLASSES numbers, the only ones that the driver gets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        K.lean()
         n = np.zeros((len(PREFIXES), CLASSES), np.int64)
         for b in batches:
             for i, j in K.slices(b["text"]):
@@ -136,6 +137,7 @@ def leaves(documents: DataFrame, size: int, group_of: np.ndarray, count: int) ->
         return _table(rows + [_row(count + k % 4096, 1, k, p, d) for k, p, d in _split(part[order], path[order], doc[order])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        K.lean()
         found, held = [], 0
         for b in batches:
             ids, parts = b["id"].to_numpy(), b["part"].to_numpy()
@@ -237,6 +239,7 @@ def remove_repeats(documents: DataFrame, size: int = SIZE, group: int = GROUP) -
     base = documents.select(F.col("doc_id").cast("long").alias("id"), "text")
 
     def parted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        K.lean()
         for b in batches:
             part = part_of(b["id"].fill_null(0).to_numpy(zero_copy_only=False), parts).astype(np.int32)
             yield pa.RecordBatch.from_arrays([b["id"], pa.array(part), b["text"]], ["id", "part", "text"])

@@ -117,6 +117,7 @@ def score(documents: DataFrame, model: NoisyOr, threshold: float = 0.3) -> DataF
     shared = documents.sparkSession.sparkContext.broadcast((model.weight.astype(np.float32), model.bias, model.empty))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        K.lean()
         m = NoisyOr(*shared.value)
         for b in batches:
             out = [m.score(b["text"].slice(i, j - i)) for i, j in K.slices(b["text"])]
@@ -132,6 +133,7 @@ def locate(documents: DataFrame, model: NoisyOr, least: float = 0.3) -> DataFram
     schema = "doc_id long, sentence int, start long, end long, text string, score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        K.lean()
         m = NoisyOr(*shared.value)
         for b in batches:
             for i, j in K.slices(b["text"]):

@@ -97,6 +97,7 @@ def hashed(vectors: DataFrame) -> DataFrame:
     """id, own keys of every usable vector; vectors of different lengths never share a bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        K.lean()
         for b in batches:
             for i in range(0, b.num_rows, 2000):
                 part = b.slice(i, 2000)
