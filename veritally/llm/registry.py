@@ -6,11 +6,12 @@ from .language import op5_language
 from .lines import OP9_SQL, op9_lines
 from .minhash import op1_minhash
 from .packing import op4_packing
+from .pii import op2_pii
 from .substrings import op7_substring
 from .toxicity import op3_toxicity
 from .vectors import op8_embeddings
 
-QUERIES = (op1_minhash, op3_toxicity, op4_packing, op5_language, op7_substring, op8_embeddings, op9_lines)
+QUERIES = (op1_minhash, op2_pii, op3_toxicity, op4_packing, op5_language, op7_substring, op8_embeddings, op9_lines)
 ORACLE_SQL: dict[str, str] = {"op9_lines": OP9_SQL}
 
 
