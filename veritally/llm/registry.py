@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .contamination import op10_decontamination
+from .ctw import op6_lm
 from .language import op5_language
 from .lines import OP9_SQL, op9_lines
 from .minhash import op1_minhash
@@ -12,7 +13,7 @@ from .substrings import op7_substring
 from .toxicity import op3_toxicity
 from .vectors import op8_embeddings
 
-QUERIES = (op1_minhash, op2_pii, op3_toxicity, op4_packing, op5_language, op7_substring, op8_embeddings, op9_lines, op10_decontamination)
+QUERIES = (op1_minhash, op2_pii, op3_toxicity, op4_packing, op5_language, op6_lm, op7_substring, op8_embeddings, op9_lines, op10_decontamination)
 ORACLE_SQL: dict[str, str] = {"op9_lines": OP9_SQL}
 
 
