@@ -13,7 +13,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 3 << 20
+SLICE_BYTES = 1 << 20
 _MULT = 0x9E3779B97F4A7C15
 _MULT2 = 0xC2B2AE3D27D4EB4F
 _M64 = (1 << 64) - 1
@@ -194,3 +194,15 @@ def rows(column: pa.Array, dtype) -> tuple[np.ndarray, np.ndarray]:
     data, offsets = text_bytes(column)
     size = np.dtype(dtype).itemsize
     return np.frombuffer(np.ascontiguousarray(data).tobytes(), dtype), np.diff(offsets) // size
+
+
+def spark_hash(x: np.ndarray, seed: int = 42) -> np.ndarray:
+    """What xxhash64 of a long column gives in Spark: XXH64 of eight bytes (public algorithm)."""
+    p1, p2, p3, p4, p5 = (np.uint64(v) for v in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turn = lambda v, r: v << np.uint64(r) | v >> np.uint64(64 - r)
+    with np.errstate(over="ignore"):
+        h = np.uint64(seed) + p5 + np.uint64(8) ^ turn(x.astype(np.int64).view(np.uint64) * p2, 31) * p1
+        h = turn(h, 27) * p1 + p4
+        h = (h ^ h >> np.uint64(33)) * p2
+        h = (h ^ h >> np.uint64(29)) * p3
+        return (h ^ h >> np.uint64(32)).view(np.int64)

@@ -19,15 +19,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from . import kernels as K
 from .common import read
 
 SIZE = 13
 #: Words of the prefixes tried, classes of prefixes of each length, suffixes aimed at in a group.
-PREFIXES, CLASSES, GROUP = (1, 2, 4), 4096, 2_000_000
-CHUNK_BYTES = 12 << 20
+PREFIXES, CLASSES, GROUP = (1, 2, 4), 4096, 800_000
+CHUNK_BYTES = 6 << 20
 _TOP = np.uint64(8)
 
 
@@ -97,11 +97,20 @@ def _row(to: int, kind: int, part: int, path: np.ndarray, doc: np.ndarray) -> tu
     table, number = np.unique(doc, return_inverse=True)
     wide = int(np.diff(path, prepend=np.uint64(0)).max()).bit_length() if len(path) else 0
     own = number.astype("<u2" if len(table) <= 1 << 16 else "<u4")
-    return to, kind, part, len(path), _planes(path, max(1, -(-wide // 8))), table.astype("<i8").tobytes(), own.view(np.uint8).reshape(-1, own.itemsize).T.tobytes() if len(own) else b""
+    return to, kind, part, len(path), _planes(path, max(1, -(-wide // 8))), _ids(table), own.view(np.uint8).reshape(-1, own.itemsize).T.tobytes() if len(own) else b""
+
+
+def _ids(table: np.ndarray) -> bytes:
+    """Sorted ids: the first, then differences in planes."""
+    d = (table - table[0]).astype(np.uint64) if len(table) else np.zeros(0, np.uint64)
+    wide = int(np.diff(d, prepend=np.uint64(0)).max()).bit_length() if len(d) else 0
+    return len(table).to_bytes(4, "little") + table[:1].astype("<i8").tobytes() + _planes(d, max(1, -(-wide // 8)))
 
 
 def _leaves(row: dict) -> tuple[np.ndarray, np.ndarray]:
-    n, table = row["n"], np.frombuffer(row["docs"], "<i8")
+    n, raw = row["n"], row["docs"]
+    count = int.from_bytes(raw[:4], "little")
+    table = np.frombuffer(raw[4:12], "<i8")[0] + _unplanes(raw[12:], count).astype(np.int64) if count else np.zeros(0, np.int64)
     size = len(row["own"]) // n if n else 2
     own = np.ascontiguousarray(np.frombuffer(row["own"], np.uint8).reshape(size, n).T).view(f"<u{size}").ravel() if n else np.zeros(0, int)
     return _unplanes(row["paths"], n), table[own]
@@ -150,7 +159,7 @@ def leaves(documents: DataFrame, size: int, group_of: np.ndarray, count: int) ->
                         todo = np.flatnonzero(to < 0)
                         if len(todo):
                             to[todo] = shared.value[k][prefix_classes(w, at[todo], length) if k < len(PREFIXES) else (path[todo] >> np.uint64(52)).astype(np.int64)]
-                    found.append((path >> _TOP, ids[i + text], parts[i + text], to))
+                    found.append((path >> _TOP, ids[i + text], parts[i + text], to.astype(np.int32)))
                     held += len(w.buf)
                 if held >= CHUNK_BYTES:
                     yield chunk(found)
@@ -166,10 +175,10 @@ def subtree(t: pa.Table, parts: int) -> pa.Table:
     kinds = t["kind"].to_numpy()
     if kinds.any():
         return t.select(["part", "n", "paths", "docs", "own"])
-    each = [_leaves(r) for r in t.to_pylist()]
-    path, doc = (np.concatenate(c) for c in zip(*each))
+    path, doc = (np.concatenate(c) for c in zip(*(_leaves(r) for batch in t.to_batches() for r in batch.to_pylist())))
     order = np.lexsort((doc, path))
     path, doc = path[order], doc[order]
+    del order
     same = np.zeros(len(path), bool)
     same[1:] = path[1:] == path[:-1]
     again = same & (doc != doc[np.maximum.accumulate(np.where(same, 0, np.arange(len(path))))])
@@ -180,7 +189,12 @@ def subtree(t: pa.Table, parts: int) -> pa.Table:
 
 
 def part_of(doc: np.ndarray, parts: int) -> np.ndarray:
-    return (K.mix(doc.astype(np.int64).view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+    """As part_column has it."""
+    return K.spark_hash(doc) % parts
+
+
+def part_column(parts: int) -> Column:
+    return F.pmod(F.xxhash64(F.coalesce("id", F.lit(0).cast("long"))), F.lit(parts)).cast("int").alias("part")
 
 
 OUT = "doc_id long, n_words long, n_removed long, text string, spans array<struct<first:int,end:int>>"
@@ -238,13 +252,7 @@ def remove_repeats(documents: DataFrame, size: int = SIZE, group: int = GROUP) -
     parts = documents.count() // 1000 + 1
     base = documents.select(F.col("doc_id").cast("long").alias("id"), "text")
 
-    def parted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        K.lean()
-        for b in batches:
-            part = part_of(b["id"].fill_null(0).to_numpy(zero_copy_only=False), parts).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b["id"], pa.array(part), b["text"]], ["id", "part", "text"])
-
-    docs = base.mapInArrow(parted, "id long, part int, text string")
+    docs = base.select("id", part_column(parts), "text")
     group_of, count = groups(census(base, size), group)
     found = leaves(docs, size, group_of, count).groupBy("to").applyInArrow(lambda t: subtree(t, parts), "part int, n int, paths binary, docs binary, own binary")
     return docs.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(lambda a, b: _cut(a, b, size), OUT)
