@@ -127,6 +127,21 @@ def score(documents: DataFrame, model: NoisyOr, threshold: float = 0.3) -> DataF
     return kept.mapInArrow(run, "doc_id long, held_out boolean, score double").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
+def clean(documents: DataFrame, model: NoisyOr, threshold: float = 0.3) -> DataFrame:
+    """The rows of documents (all columns) whose score is below the threshold, without a shuffle."""
+    shared = documents.sparkSession.sparkContext.broadcast((model.weight.astype(np.float32), model.bias, model.empty))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        K.lean()
+        m = NoisyOr(*shared.value)
+        for b in batches:
+            for i, j in K.slices(b["text"]):
+                part = b.slice(i, j - i)
+                yield part.filter(pa.array(m.score(part["text"]) < threshold))
+
+    return documents.mapInArrow(run, documents.schema)
+
+
 def locate(documents: DataFrame, model: NoisyOr, least: float = 0.3) -> DataFrame:
     """doc_id, sentence (number), start, end (bytes in UTF-8), text, score of each sentence with p_s >= least."""
     shared = documents.sparkSession.sparkContext.broadcast((model.weight.astype(np.float32), model.bias, model.empty))
