@@ -21,9 +21,14 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
-def stored(df: DataFrame, name: str = "step") -> DataFrame:
-    """Writes df as Parquet in the shared folder and returns the written table: its lineage ends there."""
+def stored(df: DataFrame, name: str = "step", small: bool = False) -> DataFrame:
+    """Writes df as Parquet in the shared folder and returns the written table: its lineage ends there.
+
+    small: a table of ids or links, for which four files a core are enough however many partitions there are.
+    """
     spark = df.sparkSession
+    if small:
+        df = df.coalesce(4 * spark.sparkContext.defaultParallelism)
     path = f"{shared_dir(spark)}/veritally/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -27,12 +27,12 @@ def components(edges: DataFrame) -> DataFrame:
 
     edges: columns a, b (long); loops, nulls and repeated edges do no harm.
     """
-    e = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct(), "edges")
+    e = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct(), "edges", small=True)
     mark = None
     while True:
         got = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(got) == mark or not got[0]:
             return e.select(F.col("a").alias("id"), F.col("b").alias("root"))
         mark, last = tuple(got), e
-        e = stored(_small(_large(e).where("a > b")).where("a > b").distinct(), "edges")
+        e = stored(_small(_large(e).where("a > b")).where("a > b").distinct(), "edges", small=True)
         dropped(last)

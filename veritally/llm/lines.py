@@ -46,16 +46,16 @@ def _repeated(named: DataFrame) -> DataFrame:
 
 
 def repeated_runs(sequences: DataFrame) -> DataFrame:
-    """pos, length of a run of 1, 2, 4, ... lines that also begins at an earlier position, for each such run."""
+    """pos, length (and chars of the first line) of the longest run of 1, 2, 4, ... lines that also begins at an earlier position."""
     lines = sequences.select("doc", F.posexplode("lines").alias("line", "s")).where("s.id IS NOT NULL")
     named = lines.select((F.shiftleft(F.col("doc"), _LINE) + F.col("line")).alias("pos"), F.col("s.id").alias("name"), F.col("s.chars").alias("chars"))
-    level, found, size = stored(_repeated(named), "runs"), [], 1
+    level, found, size = stored(_repeated(named), "runs", small=True), [], 1
     while True:
         found.append(level.where("first < pos").select("pos", F.lit(size).alias("length"), "chars"))
         here = Window.partitionBy(F.shiftright("pos", _LINE)).orderBy("pos").rangeBetween(size, size)
         longer = level.withColumn("next", F.max("name").over(here)).where("next IS NOT NULL").select("pos", F.xxhash64("name", "next").alias("name"), "chars")
         size *= 2
-        level = stored(_repeated(longer), "runs")
+        level = stored(_repeated(longer), "runs", small=True)
         if level.isEmpty():
             break
     out = found[0]
@@ -67,7 +67,7 @@ def repeated_runs(sequences: DataFrame) -> DataFrame:
 def deleted(sequences: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
     """doc, gone: the numbers of the lines to delete, longest: lines of the longest repeated run found (1, 2, 4, ...)."""
     runs = repeated_runs(sequences).where((F.col("length") > 1) | (F.col("chars") >= least_chars))
-    covered = runs.select("pos", "length").withColumn("line", F.explode(F.expr("sequence(pos, pos + length - 1)")))
+    covered = runs.select("length", F.explode(F.expr("sequence(pos, pos + length - 1)")).alias("line"))
     line = F.col("line").bitwiseAND((1 << _LINE) - 1).cast("int")
     return covered.groupBy(F.shiftright("line", _LINE).alias("doc")).agg(F.collect_set(line).alias("gone"), F.max("length").alias("longest"))
 

@@ -219,21 +219,21 @@ def near_duplicates(documents: DataFrame, size: int = SHINGLE, least: float = SI
     base = documents.select(F.col("doc_id").cast("long").alias("id"), "text").where("id IS NOT NULL")
     signed = stored(sign(base, size, count, rows, multiset), "signed")
     lead = signed.groupBy("key1", "key2").agg(F.min("id").alias("rep"))
-    member = stored(signed.select("id", "key1", "key2").join(lead, ["key1", "key2"]).select("id", "rep"), "member")
+    member = stored(signed.select("id", "key1", "key2").join(lead, ["key1", "key2"]).select("id", "rep"), "member", small=True)
     chosen = signed.join(member.where("id = rep").select("id").distinct(), "id", "left_semi")
     exploded = chosen.select("id", F.explode("bands").alias("bucket"))
     hub = exploded.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("bucket", "id").alias("p"), F.col("id").alias("hub"))).alias("h"), F.count("*").alias("m")).where("m > 1").select("bucket", F.col("h.hub").alias("hub"))
-    bucketed = stored(exploded.join(hub, "bucket"), "bucketed")
+    bucketed = stored(exploded.join(hub, "bucket"), "bucketed", small=True)
     involved = bucketed.select("id").distinct()
     elements = stored(signed.select("id", "n", "elements").join(involved, "id", "left_semi").dropDuplicates(["id"]), "elements")
     dropped(signed)
     pairs = bucketed.where("id != hub").select(F.greatest("id", "hub").alias("a"), F.least("id", "hub").alias("b")).distinct()
-    links = stored(verified(pairs, elements, least), "links")
+    links = stored(verified(pairs, elements, least), "links", small=True)
     root = components(links)
     rooted = bucketed.select("bucket", "id").join(root, "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("root"))
     mixed = rooted.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
-    rest = stored(rooted.join(mixed, "bucket", "left_semi"), "rest")
-    more = stored(across(rest.join(elements, "id"), least), "links")
+    rest = stored(rooted.join(mixed, "bucket", "left_semi"), "rest", small=True)
+    more = stored(across(rest.join(elements, "id"), least), "links", small=True)
     own = member.where("id != rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     full = components(links.union(more).union(own))
     ids = base.select("id").distinct()

@@ -187,18 +187,18 @@ def near_vectors(vectors: DataFrame, least: float = LEAST) -> DataFrame:
     base = vectors.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
     keyed = base.withColumn("key1", F.xxhash64("v")).withColumn("key2", F.xxhash64(F.lit(17), "v"))
     lead = keyed.groupBy("key1", "key2").agg(F.min("id").alias("rep"), F.count("*").alias("times"))
-    member = stored(keyed.select("id", "key1", "key2").join(lead, ["key1", "key2"]).select("id", "rep", "times"), "member")
+    member = stored(keyed.select("id", "key1", "key2").join(lead, ["key1", "key2"]).select("id", "rep", "times"), "member", small=True)
     chosen = stored(hashed(base.join(member.where("id = rep").select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])), "vectors")
     filed = chosen.select("id", F.posexplode("keys").alias("pos", "bucket")).withColumn("filed", F.col("pos") % (1 + PROBES) == 0)
     filed = filed.groupBy("bucket", "id").agg(F.max("filed").alias("filed"))
     full = filed.groupBy("bucket").agg(F.count("*").alias("m"), F.max("filed").alias("any")).where("m > 1 AND any").select("bucket", F.ceil(F.col("m") / BLOCK).cast("int").alias("k"))
-    placed = stored(filed.join(full, "bucket").withColumn("block", F.pmod(F.xxhash64("id"), F.col("k")).cast("int")), "placed")
+    placed = stored(filed.join(full, "bucket").withColumn("block", F.pmod(F.xxhash64("id"), F.col("k")).cast("int")), "placed", small=True)
     spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select("bucket", "id", "filed", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
     rows = placed.agg(F.coalesce(F.sum("k"), F.lit(0))).first()[0]
     shard = F.pmod(F.xxhash64("bucket", "lo", "hi"), F.lit(int(rows) // 8000 + 1))
     once = member.where("id = rep").select("id", "times").distinct()
     dealt = spread.join(chosen, "id").join(once, "id").withColumn("shard", shard)
-    got = stored(dealt.groupBy("shard").applyInArrow(lambda t: _compare(t, least), "id long, links long, root long"), "links")
+    got = stored(dealt.groupBy("shard").applyInArrow(lambda t: _compare(t, least), "id long, links long, root long"), "links", small=True)
     linked = got.groupBy("id").agg(F.sum("links").alias("links"))
     root = components(got.select(F.col("id").alias("a"), F.col("root").alias("b")).union(member.select("id", "rep")))
     usable = chosen.select(F.col("id").alias("rep"), F.lit(True).alias("usable"))
