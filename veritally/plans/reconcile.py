@@ -92,11 +92,11 @@ def tolerance_rules(t, spark):
     return joins.first_rule(both, rules(spark, _RULES), "status").select("k", "rule_id", "tolerance", (F.abs(F.col("o_totalprice") - F.col("value")) <= F.col("tolerance")).alias("within"))
 
 
-@query("""SELECT l_orderkey AS k, sum(l_quantity) = sum(l_quantity) FILTER (l_returnflag = 'R') + sum(l_quantity) FILTER (l_returnflag <> 'R') AS parts_add_up,
+@query("""SELECT l_orderkey AS k, sum(l_quantity) = coalesce(sum(l_quantity) FILTER (l_returnflag = 'R'), 0) + coalesce(sum(l_quantity) FILTER (l_returnflag <> 'R'), 0) AS parts_add_up,
   max(l_discount) <= 0.1 AND 0 <= min(l_discount) AS discount_in_range, NOT (count(*) < 1) AS has_lines FROM lineitem GROUP BY l_orderkey""")
 def cross_check_rules(t, spark):
     returned = F.col("l_returnflag") == "R"
-    g = t("lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.sum("l_quantity").alias("total"), F.sum(F.when(returned, F.col("l_quantity"))).alias("returned"), F.sum(F.when(~returned, F.col("l_quantity"))).alias("kept"), F.min("l_discount").alias("low"), F.max("l_discount").alias("high"), F.count("*").alias("n"))
+    g = t("lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.sum("l_quantity").alias("total"), F.sum(F.when(returned, F.col("l_quantity")).otherwise(0.0)).alias("returned"), F.sum(F.when(~returned, F.col("l_quantity")).otherwise(0.0)).alias("kept"), F.min("l_discount").alias("low"), F.max("l_discount").alias("high"), F.count("*").alias("n"))
     names = {c: F.col(c) for c in g.columns}
     return g.select("k", compiled("total == returned + kept", names).alias("parts_add_up"), compiled("0 <= low <= high <= 0.1", names).alias("discount_in_range"), compiled("n >= 1", names).alias("has_lines"))
 
