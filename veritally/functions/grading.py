@@ -106,3 +106,21 @@ def explanation(label: Column, a: Column, h: Column) -> Column:
     """Presentation struct of a difference."""
     money = lambda v: F.format_number(v, 2)
     return F.struct(F.concat(label, F.lit(": "), money(a), F.lit(" vs "), money(h)).alias("headline"), F.abs(a - h).alias("delta"), F.round(relative_delta(a, h) * 100, 2).alias("percent"))
+
+
+def alignment_confidence(score: Column, same_section: Column, same_signature: Column, has_facts: Column, glossary_jaccard: Column) -> Column:
+    """A tenth of the score, .95 at most; .75 for a section, .85 for a signature; .15 less if signatures differ; .7 by glossary."""
+    base = F.least(score / 10, F.lit(0.95))
+    return F.when(same_signature, F.greatest(base, F.lit(0.85))).when(~has_facts & (glossary_jaccard >= 0.6), F.greatest(base, F.lit(0.7))).when(same_section, F.greatest(base, F.lit(0.75))).otherwise(base - 0.15)
+
+
+def mismatch_labels(tests: dict[str, Column]) -> Column:
+    """Names of the fact families whose test is true, as array."""
+    return F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in tests.items()]))
+
+
+def unmatched_paragraph(text: Column) -> Column:
+    """Severity of a paragraph without a partner: info if material, else null."""
+    from .predicates import material
+
+    return F.when(material(text), "info")

@@ -81,3 +81,51 @@ def recall_precision(expected: DataFrame, found: DataFrame, keys: list[str]) ->
 def summary(diffs: DataFrame) -> DataFrame:
     """One row of counts by severity and triage."""
     return diffs.agg(F.count("*").alias("total"), *[F.count_if(F.col("severity") == s).alias(s) for s in ("critical", "high", "medium", "low", "info")], *[F.count_if(F.col("triage") == t).alias(t) for t in ("real", "expected", "unresolved")])
+
+
+def page_ranges(segments: DataFrame, keys: list[str], group: Column) -> DataFrame:
+    """First and last page of each section, and of each group of sections (section null)."""
+    own = segments.where("section IS NOT NULL").withColumn("group", group)
+    out = own.rollup(*keys, "group", "section").agg(F.min("page").alias("first_page"), F.max("page").alias("last_page"), F.grouping("group").alias("__g"))
+    return out.where("__g = 0").drop("__g")
+
+
+def table_coverage(tables: DataFrame, keys: list[str], required: list[str]) -> DataFrame:
+    """Required sections that no table covers, and the covered share."""
+    need = F.array(*[F.lit(r) for r in required])
+    return tables.groupBy(*keys).agg(F.collect_set("section").alias("covered")).select(*keys, F.array_sort(F.array_except(need, "covered")).alias("missing"), (F.size(F.array_intersect(need, "covered")) / len(required)).alias("coverage"))
+
+
+def first_wins(rows: DataFrame, keys: list[Column], seq: str) -> DataFrame:
+    """The first row of each combination of key expressions, which may be null."""
+    named = {f"__k{i}": k for i, k in enumerate(keys)}
+    return pick(rows.withColumns(named), list(named), [F.col(seq)]).drop(*named)
+
+
+def merged_diffs(model: DataFrame, regex: DataFrame, signature: list[str]) -> DataFrame:
+    """Model rows first; rows by regular expression only if high or worse and their signature is new."""
+    every = model.withColumn("__o", F.lit(0)).unionByName(regex.where("severity IN ('high', 'critical')").withColumn("__o", F.lit(1)))
+    return pick(every, signature, [F.col("__o"), F.col("diff_id")]).drop("__o")
+
+
+def demand_selection(rows: DataFrame, keys: list[str], order: list[Column], most: int) -> DataFrame:
+    """The first `most` rows of each group by priority (the cap is the feature: later steps cost by row)."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return rows.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= most).drop("__r")
+
+
+def report_kpis(jobs: DataFrame) -> DataFrame:
+    """jobs(status, real, started, ended): done, failed, real differences, mean seconds."""
+    seconds = F.unix_seconds(F.col("ended").cast("timestamp")) - F.unix_seconds(F.col("started").cast("timestamp"))
+    return jobs.agg(F.count_if(F.col("status") == "done").alias("done"), F.count_if(F.col("status") == "failed").alias("failed"), F.sum(F.when(F.col("status") == "done", F.col("real"))).alias("real"), F.avg(F.when(F.col("status") == "done", seconds)).alias("mean_seconds"))
+
+
+def profile_summary(items: DataFrame, keys: list[str]) -> DataFrame:
+    """Snapshot of a profile for export: items as structs in order, and counts."""
+    return items.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("seq", "canonical_key", "value", "page"))).alias("items"), F.count("*").alias("n"), F.count_distinct("canonical_key").alias("n_keys"))
+
+
+def warnings(flags: DataFrame, table: DataFrame) -> DataFrame:
+    """flags(pair_id, flag) with category, severity and blocking of a fixed table; unknown flags are low and don't block."""
+    out = flags.join(table, "flag", "left")
+    return out.withColumn("category", F.coalesce("category", F.lit("other"))).withColumn("severity", F.coalesce("severity", F.lit("low"))).withColumn("blocking", F.coalesce("blocking", F.lit(False)))

@@ -17,6 +17,7 @@ def top_cosine(queries: DataFrame, base: DataFrame, k: int = 4, least: float = -
     A block of at most QUERIES queries is broadcast at a time; every task keeps the k best of its rows for each
     query, so at most k rows a query and task are shuffled.  A query's own id is not left out.  Zero vectors match nothing.
     """
+    schema = f"query_id {dict(queries.dtypes)['query_id']}, item_id long, cosine double"
     blocks = max(1, -(-queries.count() // QUERIES))
     out = None
     for b in range(blocks):
@@ -47,9 +48,9 @@ def top_cosine(queries: DataFrame, base: DataFrame, k: int = 4, least: float = -
             rows = np.repeat(np.arange(len(ids)), use.sum(1))
             yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(item[use]), pa.array(best[use])], ["query_id", "item_id", "cosine"])
 
-        found = base.select(F.col("item_id").cast("long").alias("item_id"), "vector").where("vector IS NOT NULL").mapInArrow(run, "query_id long, item_id long, cosine double")
+        found = base.select(F.col("item_id").cast("long").alias("item_id"), "vector").where("vector IS NOT NULL").mapInArrow(run, schema)
         out = found if out is None else out.union(found)
     if out is None:
-        return base.sparkSession.createDataFrame([], "query_id long, item_id long, cosine double, rank int")
+        return base.sparkSession.createDataFrame([], schema + ", rank int")
     w = Window.partitionBy("query_id").orderBy(F.col("cosine").desc(), "item_id")
     return out.where(F.col("cosine") >= least).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

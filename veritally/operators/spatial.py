@@ -107,3 +107,12 @@ def line_context(words: DataFrame, size: float = 40.0) -> DataFrame:
     own = near.dropDuplicates(["doc_id", "page", "word_seq", "w"]).groupBy("doc_id", "page", "word_seq").agg(F.array_sort(F.collect_list(F.struct("x0", "w", "text"))).alias("ws"))
     line = own.withColumn("ts", F.transform("ws", lambda s: s["text"])).withColumn("at", F.array_position(F.transform("ts", lambda t: t.rlike(r"\d")), True).cast("int"))
     return line.select("doc_id", "page", "word_seq", F.array_join("ts", " ").alias("line"), F.array_join(F.when(F.col("at") > 1, F.slice("ts", F.lit(1), F.col("at") - 1)).otherwise(F.col("ts")), " ").alias("label"))
+
+
+def stream_order(words: DataFrame, spans: DataFrame) -> DataFrame:
+    """words with the order of the last span (doc_id, page, x0, y0, x1, y1, span_order) that covers their centre."""
+    s = spans.select("doc_id", "page", F.col("x0").alias("s0"), F.col("y0").alias("t0"), F.col("x1").alias("s1"), F.col("y1").alias("t1"), "span_order")
+    x, y = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
+    covered = words.join(s, ["doc_id", "page"]).where(x.between(F.col("s0"), F.col("s1")) & y.between(F.col("t0"), F.col("t1")))
+    last = covered.groupBy("doc_id", "page", "word_seq").agg(F.max("span_order").alias("stream_order"))
+    return words.drop("stream_order").join(last, ["doc_id", "page", "word_seq"], "left")

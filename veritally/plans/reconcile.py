@@ -263,3 +263,42 @@ def three_way_check(t, spark):
 UNION ALL SELECT s_nationkey, 'H' FROM (SELECT DISTINCT s_nationkey FROM supplier WHERE s_suppkey % 4 = 0) WHERE s_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_custkey % 40 = 0)""")
 def one_sided_keys(t, spark):
     return joins.one_sided(t("customer").where("c_custkey % 40 = 0").select(F.col("c_nationkey").alias("k")), t("supplier").where("s_suppkey % 4 = 0").select(F.col("s_nationkey").alias("k")), "k")
+
+
+def metric_items(t):
+    """Items of both sides: each part is a key, each nation of suppliers a pair of reports; H values differ for some."""
+    base = t("lineitem").join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    common = [F.col("s_nationkey").alias("pair_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), F.concat(F.lit("key_"), (F.col("l_partkey") % 40).cast("string")).alias("canonical_key")]
+    rest = [F.lit(None).cast("string").alias("unit"), F.lit("CNY").alias("currency"), F.date_format("l_shipdate", "yyyy").alias("period"), (F.col("l_suppkey") % 20).cast("int").alias("page"), F.lit("main").alias("context"), (1 - F.col("l_discount")).alias("confidence"), F.lit("table").alias("source")]
+    a = base.where("l_linenumber = 1").select(*common, F.lit("A").alias("side"), F.col("l_extendedprice").alias("value"), *rest)
+    h = base.where("l_linenumber = 2").select(*common, F.lit("H").alias("side"), F.col("l_extendedprice").alias("value"), *rest)
+    return a.unionByName(h)
+
+
+@query()
+def numeric_check(t, spark):
+    from ..sources.readers import rules
+    from .checks import numeric
+
+    return numeric(metric_items(t), rules(spark, [{"rule_id": "R1", "targets": ["key_1", "key_2"], "tolerance": 100.0}])).drop("evidence")
+
+
+@query()
+def disclosure_check(t, spark):
+    from .checks import disclosure
+
+    return disclosure(metric_items(t)).drop("evidence")
+
+
+@query("""WITH p AS (SELECT s_nationkey AS pair_id, 'key' || CAST(p_size % 9 AS VARCHAR) AS topic, CASE WHEN p_size % 2 = 0 THEN 'A' ELSE 'H' END AS side, p_size AS words FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey),
+a AS (SELECT pair_id, topic, CAST(sum(words) AS DOUBLE) AS w FROM p WHERE side = 'A' GROUP BY ALL), h AS (SELECT pair_id, topic, CAST(sum(words) AS DOUBLE) AS w FROM p WHERE side = 'H' GROUP BY ALL),
+j AS (SELECT coalesce(a.pair_id, h.pair_id) AS pair_id, coalesce(a.topic, h.topic) AS canonical_key, a.w AS a_value, h.w AS h_value, greatest(a.w, h.w) / least(a.w, h.w) AS ratio, a.w IS NOT NULL AND h.w IS NOT NULL AS m FROM a FULL JOIN h ON a.pair_id = h.pair_id AND a.topic = h.topic),
+d AS (SELECT *, CASE WHEN a_value IS NULL THEN 'A' WHEN h_value IS NULL THEN 'H' WHEN a_value < h_value THEN 'A' ELSE 'H' END AS less FROM j WHERE NOT m OR ratio > 1.8)
+SELECT pair_id, canonical_key, a_value, h_value, CASE WHEN canonical_key = 'key3' AND less = 'A' THEN 'expected' WHEN m AND ratio <= 3 THEN 'unresolved' ELSE 'real' END AS triage, CASE WHEN canonical_key = 'key3' AND less = 'A' THEN 'info' ELSE 'low' END AS severity FROM d""")
+def coverage_check(t, spark):
+    from .checks import coverage
+
+    rows = t("lineitem").join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(t("part"), F.col("l_partkey") == F.col("p_partkey"))
+    topics = rows.select(F.col("s_nationkey").alias("pair_id"), F.when(F.col("p_size") % 2 == 0, "A").otherwise("H").alias("side"), F.concat(F.lit("key"), (F.col("p_size") % 9).cast("string")).alias("topic"), F.col("p_size").alias("words"), F.lit(1).alias("page"))
+    known = spark.createDataFrame([("key3", "A", "local")], "topic string, missing_side string, rationale string")
+    return coverage(topics, known).select("pair_id", "canonical_key", "a_value", "h_value", "triage", "severity")

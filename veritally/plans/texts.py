@@ -261,3 +261,19 @@ SELECT doc, CAST(page AS INTEGER) AS page FROM n UNION ALL SELECT doc, page FROM
 def candidate_pages(t, spark):
     p = t("pages").select((F.col("page_id") % 10).alias("doc"), (F.floor(F.col("page_id") / 10) + 1).cast("int").alias("page"), (F.col("page_id") % 90 < 5).alias("core"))
     return readers.candidate_pages(p.withColumn("total", F.max("page").over(Window.partitionBy("doc"))), "doc", "page", "core", "total")
+
+
+@query("""WITH f AS (SELECT doc_id, unnest(regexp_extract_all(text, '(\\d+(?:\\.\\d+)?)\\s?%', 1)) AS v FROM documents) SELECT doc_id, count(*) AS n, round(sum(CAST(v AS DOUBLE)), 6) AS total FROM f GROUP BY doc_id""")
+def rate_facts(t, spark):
+    from ..operators.extract import fact_udf
+
+    f = t("documents").select("doc_id", F.explode(fact_udf()("text")).alias("f")).where("f.kind = 'rate'")
+    return f.groupBy("doc_id").agg(F.count("*").alias("n"), F.round(F.sum("f.value"), 6).alias("total"))
+
+
+@query()
+def event_fragments(t, spark):
+    from ..operators.extract import events
+
+    segments = t("documents").select("doc_id", F.lit(1).alias("page"), F.lit(0).alias("seq"), "text")
+    return events(segments, ["doc_id"], [("bond", "bond"), ("issue", "issue")]).select("doc_id", "topic", F.size("facts").alias("n_facts"), F.array_join("signature", "|").alias("signature"))

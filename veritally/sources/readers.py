@@ -93,3 +93,16 @@ def uncached(files: DataFrame, cache: DataFrame, version: str) -> DataFrame:
     """Files whose content and parser version are not in the cache(key)."""
     keyed = files.withColumn("key", F.concat(F.sha2("content", 256), F.lit("-" + version)))
     return keyed.join(cache.select("key"), "key", "left_anti")
+
+
+def merged_pages(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """Page texts of two engines: one if the other holds it without regard to white space, else both, a first."""
+    bare = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", "")
+    j = a.select(*keys, F.col("text").alias("ta")).join(b.select(*keys, F.col("text").alias("tb")), keys, "full_outer")
+    x, y = bare(F.col("ta")), bare(F.col("tb"))
+    return j.select(*keys, F.when(x.contains(y), F.coalesce("ta", F.lit(""))).when(y.contains(x), F.col("tb")).otherwise(F.concat_ws("\n", "ta", "tb")).alias("text"))
+
+
+def lines_of(pages: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """One row a line (as of OCR), for extraction by label."""
+    return pages.select(*keys, F.posexplode(F.split(text, r"\r?\n")).alias("seq", "text")).where("trim(text) <> ''")
