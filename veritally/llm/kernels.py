@@ -7,6 +7,7 @@ bytes.  Texts are handled in slices of a bounded number of bytes (a single longe
 
 from __future__ import annotations
 
+import ctypes
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -22,9 +23,19 @@ _M64 = (1 << 64) - 1
 SPACES = bytes([0x20, *range(0x09, 0x0E)])
 
 
+def trim() -> None:
+    """Gives freed memory back to the system (where the C library can)."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 def lean() -> None:
-    """In a Python worker: Arrow gives freed memory back instead of keeping it in a pool of its own."""
+    """At the start of a task in a Python worker: Arrow keeps no pool of its own, and what the last task freed goes back."""
     pa.set_memory_pool(pa.system_memory_pool())
+    trim()
 
 
 @lru_cache(maxsize=None)

@@ -127,7 +127,7 @@ def fit(texts: pa.Array, lang: list[str], batch: int = 400) -> Hierarchy:
     for i in range(0, len(lang), batch):
         column = texts.take(pa.array(part := order[i : i + batch]))
         f, where, _ = features(column, BITS, SIZES)
-        rows.append((f, text_of(where, column), len(part)))
+        rows.append((f, text_of(where, column).astype(np.int16), len(part)))
         y.append(number[part])
     pairs = [p for own in families for p in combinations(own, 2)]
     weight = [svm(rows, [np.where(family[t] == i, 1, -1) for t in y]) for i in range(len(families))] if len(families) > 1 else []
@@ -139,7 +139,10 @@ def train(documents: DataFrame, rows: int = TRAIN_ROWS, most_bytes: int = 4000)
     """Fits on about `rows` documents at most outside the held-out fold, `most_bytes` characters of each (training only)."""
     pool = documents.where(~held_out("doc_id") & F.col("lang").isNotNull() & F.col("text").isNotNull())
     got = sample(pool.select("doc_id", "text", "lang"), rows, "doc_id").select(F.substring("text", 1, most_bytes).alias("text"), "lang").toArrow()
-    return fit(got["text"].combine_chunks(), got["lang"].to_pylist())
+    model = fit(got["text"].combine_chunks(), got["lang"].to_pylist())
+    del got
+    K.trim()
+    return model
 
 
 def identify(documents: DataFrame, model: Hierarchy) -> DataFrame:

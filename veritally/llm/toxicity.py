@@ -69,20 +69,20 @@ def fit(texts: pa.Array, y: np.ndarray, steps: int = 1500, batch: int = 256, rat
         return NoisyOr(np.zeros(1 << BITS), -30.0 if base == 0 else 30.0, base)
     order = rng.permutation(len(y))
     seen = np.zeros((2, 1 << BITS))
-    for i in range(0, len(y), batch):
-        rows = order[i : i + batch]
+    for rows in (order[i : i + batch] for i in range(0, len(y), batch)):
         f, own, text, _, _ = sentences(texts.take(pa.array(rows)))
-        pairs = np.unique(own.astype(np.int64) << BITS | f)
         by_text = np.unique(text[own].astype(np.int64) << BITS | f)
         for label in (0, 1):
             of = by_text[y[rows][by_text >> BITS] == label]
             seen[label] += np.bincount(of & ((1 << BITS) - 1), minlength=1 << BITS)
-        bags.append((pairs, text, y[rows]))
     # Only features that documents of label 1 hold clearly oftener carry evidence; the rest stay at 0.
     n1, n0, both = y.sum(), (1 - y).sum(), seen.sum(0)
     z = (seen[1] / n1 - seen[0] / n0) / np.sqrt((both + 1) / len(y) * (1 / n1 + 1 / n0))
     keep = (z >= SCREEN) & (seen[1] >= 3) & (seen[1] / n1 >= RATIO * (seen[0] + 1) / n0)
-    bags = [(f[k], own[k], text, t) for pairs, text, t in bags for f, own in [((pairs & ((1 << BITS) - 1)).astype(np.int64), (pairs >> BITS).astype(np.int64))] for k in [keep[f]]]
+    for rows in (order[i : i + batch] for i in range(0, len(y), batch)):
+        f, own, text, _, _ = sentences(texts.take(pa.array(rows)))
+        pairs = np.unique(own[keep[f]].astype(np.int64) << BITS | f[keep[f]])
+        bags.append(((pairs & ((1 << BITS) - 1)), pairs >> BITS, text.astype(np.int32), y[rows]))
     w, b = np.zeros(1 << BITS), -4.0
     gw, gb = np.full(1 << BITS, 1e-2), 1e-2
     for _ in range(-(-steps // len(bags))):
@@ -106,7 +106,10 @@ def train(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> No
     known = labels.where(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("__toxic"))
     pool = documents.select("doc_id", "text").where(~held_out("doc_id")).join(known, "doc_id")
     got = sample(pool, rows, "doc_id").select("text", "__toxic").toArrow()
-    return fit(got["text"].combine_chunks(), got["__toxic"].to_numpy())
+    model = fit(got["text"].combine_chunks(), got["__toxic"].to_numpy())
+    del got
+    K.trim()
+    return model
 
 
 def score(documents: DataFrame, model: NoisyOr, threshold: float = 0.3) -> DataFrame:
