@@ -5,8 +5,9 @@ from __future__ import annotations
 from .contamination import op10_decontamination
 from .ctw import op6_lm
 from .language import op5_language
-from .lines import OP9_SQL, op9_lines
+from .lines import op9_lines
 from .minhash import op1_minhash
+from .oracles import ORACLE_SQL
 from .packing import op4_packing
 from .pii import op2_pii
 from .substrings import op7_substring
@@ -14,7 +15,6 @@ from .toxicity import op3_toxicity
 from .vectors import op8_embeddings
 
 QUERIES = (op1_minhash, op2_pii, op3_toxicity, op4_packing, op5_language, op6_lm, op7_substring, op8_embeddings, op9_lines, op10_decontamination)
-ORACLE_SQL: dict[str, str] = {"op9_lines": OP9_SQL}
 
 
 def queries():
