@@ -109,3 +109,14 @@ def test_sessions_as_a_stream(spark, tmp_path):
 def test_entry_without_the_corpus_operators():
     code = "import sys; sys.modules['veritally.llm'] = None; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; q = e.queries(); assert q and not any(k.startswith('op1_') for k in q) and 'pipeline' not in q and e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
+def test_heartbeats_as_a_stream(spark, tmp_path):
+    src = str(tmp_path / "in")
+    for rows in ([("j", 10**9), ("k", 10**9)], [("k", 10**9 + 7200)], [("k", 10**9 + 7300)]):
+        spark.createDataFrame(rows, "job string, s int").select("job", F.timestamp_seconds("s").alias("ts")).coalesce(1).write.mode("append").parquet(src)
+    stream = jobs.heartbeats(spark.readStream.schema("job string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(src), "job", "ts", 600)
+    q = stream.writeStream.format("memory").queryName("beats").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    rows = spark.table("beats").collect()
+    assert {r["job"] for r in rows if r["timed_out"]} >= {"j"} and sum(not r["timed_out"] for r in rows) == 4
