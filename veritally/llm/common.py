@@ -55,3 +55,9 @@ def sample(df: DataFrame, rows: int, key: str, seed: int = 11) -> DataFrame:
     if n <= rows:
         return df
     return df.where(F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(seed)), F.lit(1 << 30)) < int(rows / n * (1 << 30)))
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all tables of stored() in the shared folder: once the results that read them are written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/veritally")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
