@@ -275,19 +275,40 @@ def metric_items(t):
     return a.unionByName(h)
 
 
-@query()
+_ITEM_SQL = """b AS (SELECT s_nationkey AS pair_id, l_orderkey * 10 + l_linenumber AS seq, 'key_' || CAST(l_partkey % 40 AS VARCHAR) AS k, CASE l_linenumber WHEN 1 THEN 'A' ELSE 'H' END AS side,
+  l_extendedprice AS value, strftime(l_shipdate, '%Y') AS period, l_suppkey % 20 AS page, 1 - l_discount AS confidence FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_linenumber IN (1, 2))"""
+
+
+@query(f"""WITH {_ITEM_SQL}, u AS (SELECT * FROM b WHERE NOT (value BETWEEN 1990 AND 2035 OR (abs(value) > 0 AND abs(value) < 50))),
+j AS (SELECT a.pair_id, a.k, a.seq AS i, h.seq AS j, a.value AS av, h.value AS hv, abs(a.value - h.value) / greatest(abs(a.value), abs(h.value), 1e-9) AS ratio, (a.confidence + h.confidence) / 2 AS conf, CASE WHEN a.period = h.period THEN 1.0 ELSE 0.0 END AS per
+  FROM u a JOIN u h ON a.pair_id = h.pair_id AND a.k = h.k WHERE a.side = 'A' AND h.side = 'H'),
+s AS (SELECT *, 0.28 + 0.24 * 0.92 + 0.20 * conf + 0.12 * per + 0.08 + 0.08 * greatest(0, 1 - least(ratio, 1)) AS score FROM j),
+best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY pair_id, k ORDER BY score DESC, i, j) = 1),
+r AS (SELECT pair_id, CASE WHEN av / hv BETWEEN 4 AND 10 THEN av / hv WHEN av / hv BETWEEN 0.10 AND 0.25 THEN hv / av END AS r FROM best WHERE av >= 1000 AND hv >= 1000),
+l AS (SELECT pair_id, list_sort(list(r)) AS rs FROM r WHERE r IS NOT NULL GROUP BY pair_id HAVING count(*) >= 2), m AS (SELECT *, rs[CAST(floor(len(rs) / 2.0) AS INTEGER) + 1] AS median FROM l),
+n AS (SELECT pair_id, list_filter(rs, lambda x: abs(x - median) / median <= 0.10) AS near FROM m), f AS (SELECT pair_id, list_avg(near) AS factor FROM n WHERE len(near) >= 3 OR (len(near) = 2 AND list_max(near) / list_min(near) <= 1.04)),
+x(x) AS (VALUES (1e0), (1e3), (1e4), (1e6), (1e8)), q AS (SELECT list(DISTINCT a.x / b.x) AS qs FROM x a CROSS JOIN x b),
+ok AS (SELECT DISTINCT s.pair_id, s.k FROM s CROSS JOIN q LEFT JOIN f ON f.pair_id = s.pair_id WHERE abs(av - hv) <= CASE WHEN s.k IN ('key_1', 'key_2') THEN 100 ELSE 0 END OR ratio <= 0.01
+  OR list_min(list_transform(qs, lambda y: abs(av * y - hv) / greatest(abs(av * y), abs(hv), 1e-9))) <= 0.02 OR coalesce(abs(av - hv * factor) / greatest(abs(av), abs(hv * factor), 1e-9) <= 0.05, false)),
+o AS (SELECT *, conf >= 0.88 AND per >= 0.5 AND score >= 0.72 AS sure FROM best WHERE NOT EXISTS (SELECT 1 FROM ok WHERE ok.pair_id = best.pair_id AND ok.k = best.k))
+SELECT pair_id, 'numeric' AS diff_type, k AS canonical_key, av AS a_value, hv AS h_value, CASE WHEN sure THEN 'real' ELSE 'unresolved' END AS triage,
+  CASE WHEN NOT sure AND ratio >= 0.05 THEN 'medium' ELSE {_GRADE} END AS severity FROM o""")
 def numeric_check(t, spark):
     from ..sources.readers import rules
     from .checks import numeric
 
-    return numeric(metric_items(t), rules(spark, [{"rule_id": "R1", "targets": ["key_1", "key_2"], "tolerance": 100.0}])).drop("evidence")
+    return numeric(metric_items(t), rules(spark, [{"rule_id": "R1", "targets": ["key_1", "key_2"], "tolerance": 100.0}])).drop("evidence", "diff_id")
 
 
-@query()
+@query(f"""WITH {_ITEM_SQL}, p AS (SELECT a.pair_id, a.side, a.k, a.period, a.seq AS i, c.seq AS j, a.value AS lv, c.value AS rv, a.page = c.page AS same_page, abs(a.value - c.value) / greatest(abs(a.value), abs(c.value), 1e-9) AS ratio
+  FROM b a JOIN b c ON a.pair_id = c.pair_id AND a.side = c.side AND a.k = c.k AND a.period = c.period AND a.seq < c.seq),
+r AS (SELECT * FROM p WHERE round(lv, 2) <> round(rv, 2) AND (same_page OR ratio >= 0.05) QUALIFY row_number() OVER (PARTITION BY pair_id, side, k, period ORDER BY i, j) <= 3)
+SELECT pair_id, 'internal' AS diff_type, k AS canonical_key, lv AS a_value, rv AS h_value, CASE side WHEN 'H' THEN 'unresolved' ELSE 'real' END AS triage,
+  CASE WHEN ratio < 0.01 THEN 'info' WHEN ratio < 0.05 THEN 'low' WHEN ratio < 0.2 OR side = 'H' THEN 'medium' ELSE 'high' END AS severity FROM r""")
 def disclosure_check(t, spark):
     from .checks import disclosure
 
-    return disclosure(metric_items(t)).drop("evidence")
+    return disclosure(metric_items(t)).drop("evidence", "diff_id")
 
 
 @query("""WITH p AS (SELECT s_nationkey AS pair_id, 'key' || CAST(p_size % 9 AS VARCHAR) AS topic, CASE WHEN p_size % 2 = 0 THEN 'A' ELSE 'H' END AS side, p_size AS words FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey),

@@ -277,3 +277,68 @@ def event_fragments(t, spark):
 
     segments = t("documents").select("doc_id", F.lit(1).alias("page"), F.lit(0).alias("seq"), "text")
     return events(segments, ["doc_id"], [("bond", "bond"), ("issue", "issue")]).select("doc_id", "topic", F.size("facts").alias("n_facts"), F.array_join("signature", "|").alias("signature"))
+
+
+_CONTEXT_SQL = "CASE WHEN contains(s, 'quarter') THEN 'quarterly' WHEN contains(s, 'parent company') THEN 'parent' WHEN contains(s, 'segment') THEN 'segment' WHEN contains(s, 'subsidiar') THEN 'subsidiary' WHEN contains(s, 'highlights') THEN 'highlights' WHEN contains(s, 'balance sheet') THEN 'main' WHEN contains(s, 'income statement') THEN 'main' WHEN contains(s, 'cash flow') THEN 'main' WHEN contains(s, 'note') THEN 'notes' ELSE 'unknown' END"
+_ROLE_SQL = "CASE WHEN contains(s, 'note') THEN 'note_ref' WHEN contains(s, 'prior') OR contains(s, 'previous') OR contains(s, 'last year') THEN 'prior_period' WHEN contains(s, 'increase') OR contains(s, 'decrease') OR contains(s, 'growth') THEN 'change' WHEN contains(s, 'ratio') OR contains(s, 'per cent') THEN 'ratio' WHEN contains(s, 'matur') THEN 'maturity' ELSE 'main' END"
+
+
+@query(f"WITH d AS (SELECT doc_id, lower(source || ' ' || text) AS s FROM documents) SELECT doc_id, {_CONTEXT_SQL} AS context, {_ROLE_SQL} AS role FROM d")
+def context_and_role(t, spark):
+    from ..functions import predicates
+
+    both = F.concat_ws(" ", "source", "text")
+    return t("documents").select("doc_id", predicates.context_bucket(F.col("source"), F.col("text")).alias("context"), predicates.value_role(both).alias("role"))
+
+
+@query("SELECT user_id, event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) = 1")
+def first_wins(t, spark):
+    return aggregates.first_wins(t("events"), [F.col("user_id"), F.col("event_type")], "event_id").select("user_id", "event_type", "event_id", "value")
+
+
+@query("""WITH s AS (SELECT CAST(conv_id % 20 AS BIGINT) AS doc, CASE WHEN turn % 4 <> 3 THEN role END AS section, turn AS page FROM conversations), u AS (SELECT *, upper(section) AS grp FROM s WHERE section IS NOT NULL)
+SELECT doc, grp AS "group", section, min(page) AS first_page, max(page) AS last_page FROM u GROUP BY doc, grp, section UNION ALL SELECT doc, grp, NULL, min(page), max(page) FROM u GROUP BY doc, grp""")
+def section_page_ranges(t, spark):
+    s = t("conversations").select((F.col("conv_id") % 20).alias("doc"), F.when(F.col("turn") % 4 != 3, F.col("role")).alias("section"), F.col("turn").alias("page"))
+    return aggregates.page_ranges(s, ["doc"], F.upper("section"))
+
+
+@query("""SELECT CAST(count(*) FILTER (o_orderstatus = 'F') AS BIGINT) AS done, CAST(count(*) FILTER (o_orderstatus = 'O') AS BIGINT) AS failed, CAST(sum(CASE WHEN o_orderstatus = 'F' THEN o_custkey % 7 END) AS BIGINT) AS "real", avg(CASE WHEN o_orderstatus = 'F' THEN 60.0 END) AS mean_seconds FROM orders""")
+def report_kpis(t, spark):
+    status = F.when(F.col("o_orderstatus") == "F", "done").when(F.col("o_orderstatus") == "O", "failed")
+    return aggregates.report_kpis(t("orders").select(status.alias("status"), (F.col("o_custkey") % 7).alias("real"), F.col("o_orderdate").alias("started"), (F.col("o_orderdate") + F.expr("INTERVAL 60 SECONDS")).alias("ended")))
+
+
+@query("""SELECT l_orderkey, l_linenumber FROM lineitem WHERE 1 - l_discount - 0.3 >= 0.65 - 1e-12 AND l_returnflag <> 'N' AND NOT (length(l_returnflag || l_linestatus || CAST(l_partkey AS VARCHAR)) < 2)""")
+def candidate_filter(t, spark):
+    from ..functions import predicates
+
+    key = F.concat("l_returnflag", "l_linestatus", F.col("l_partkey").cast("string"))
+    context = F.when(F.col("l_returnflag") == "N", "segment").otherwise("main")
+    return t("lineitem").where(predicates.candidate(F.col("l_extendedprice"), 1 - F.col("l_discount") - 0.3 + 1e-12, key, context)).select("l_orderkey", "l_linenumber")
+
+
+@query("""WITH d AS (SELECT doc_id, text, CAST(contains(lower(text), 'license') AS INTEGER) + CAST(contains(lower(text), 'token') AS INTEGER) + CAST(contains(lower(text), 'password') AS INTEGER) AS hits, length(text) AS n, length(regexp_replace(text, '[0-9]', '', 'g')) AS rest FROM documents)
+SELECT doc_id, hits >= 1 AND CASE WHEN n > 0 THEN (n - rest) / n ELSE 0 END <= 0.4 AS signal FROM d""")
+def event_signals(t, spark):
+    from ..functions import predicates
+
+    return t("documents").select("doc_id", predicates.event_signal(F.col("text"), ("license", "token", "password")).alias("signal"))
+
+
+_PERIODS = [(1, "2024-12-31", 2024, None), (2, "2025-Q3", 2025, 3), (3, "2025", 2025, None), (4, "third quarter of 2023", 2023, 3), (5, "none", None, None)]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, {s!r}, CAST({'NULL' if y is None else y} AS INTEGER), CAST({'NULL' if q is None else q} AS INTEGER))" for i, s, y, q in _PERIODS) + ") AS x(id, raw, year, quarter)")
+def period_parse(t, spark):
+    rows = spark.createDataFrame([(i, s) for i, s, _, _ in _PERIODS], "id int, raw string")
+    return rows.withColumn("p", dates.period(F.col("raw"))).select("id", "raw", "p.year", "p.quarter")
+
+
+@query("""WITH a AS (SELECT CAST(doc_id % 50 AS BIGINT) AS k, list(DISTINCT source) AS x FROM documents WHERE lang = 'en' GROUP BY 1), h AS (SELECT CAST(doc_id % 50 AS BIGINT) AS k, list(DISTINCT source) AS y FROM documents WHERE lang <> 'en' GROUP BY 1)
+SELECT k, CAST(len(list_intersect(x, y)) AS INTEGER) AS shared, CAST(len(x) + len(y) - len(list_intersect(x, y)) AS INTEGER) AS merged, round(len(list_intersect(x, y)) / (len(x) + len(y) - len(list_intersect(x, y))), 6) AS similarity FROM a JOIN h USING (k)""")
+def set_algebra(t, spark):
+    d = t("documents").withColumn("k", F.col("doc_id") % 50)
+    a = d.where("lang = 'en'").groupBy("k").agg(F.collect_set("source").alias("x"))
+    h = d.where("lang <> 'en'").groupBy("k").agg(F.collect_set("source").alias("y"))
+    return a.join(h, "k").select("k", F.size(F.array_intersect("x", "y")).alias("shared"), F.size(F.array_union("x", "y")).alias("merged"), F.round(text.jaccard(F.col("x"), F.col("y")), 6).alias("similarity"))
