@@ -25,9 +25,12 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates, that with the smallest id."""
+    """Keeps one document of each group of near-duplicates, that with the smallest id.
+
+    The join is a merge join at every size: few ids would be broadcast, many shuffle all texts, and the cost would jump.
+    """
     gone = minhash.near_duplicates(docs).where(~F.col("kept")).select("doc_id")
-    return docs.join(stored(gone, "gone"), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(stored(gone, "gone", small=True).hint("merge"), "doc_id", "left_anti").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
