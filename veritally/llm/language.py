@@ -19,7 +19,7 @@ from . import kernels as K
 from .common import held_out, read, sample
 from .features import features, text_of
 
-#: Documented bounds: rows that the model is fitted on, words used of each of those, bits of the feature table.
+#: Documented bounds: rows that the model is fitted on (their whole texts), bits of the feature table; length of byte n-grams.
 TRAIN_ROWS, BITS, SIZES = 6000, 17, (3,)
 #: Families of closely related languages by ISO 639-1 code; others are families of their own.
 FAMILIES = {
@@ -135,10 +135,10 @@ def fit(texts: pa.Array, lang: list[str], batch: int = 400) -> Hierarchy:
     return Hierarchy(langs, families, np.array(weight, np.float32).reshape(-1, (1 << BITS) + 1), pairs)
 
 
-def train(documents: DataFrame, rows: int = TRAIN_ROWS, most_bytes: int = 4000) -> Hierarchy:
-    """Fits on about `rows` documents at most outside the held-out fold, `most_bytes` characters of each (training only)."""
+def train(documents: DataFrame, rows: int = TRAIN_ROWS) -> Hierarchy:
+    """Fits on the whole texts of about `rows` documents at most outside the held-out fold."""
     pool = documents.where(~held_out("doc_id") & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    got = sample(pool.select("doc_id", "text", "lang"), rows, "doc_id").select(F.substring("text", 1, most_bytes).alias("text"), "lang").toArrow()
+    got = sample(pool.select("doc_id", "text", "lang"), rows, "doc_id").select("text", "lang").toArrow()
     model = fit(got["text"].combine_chunks(), got["lang"].to_pylist())
     del got
     K.trim()
