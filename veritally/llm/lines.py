@@ -30,7 +30,7 @@ def positions(documents: DataFrame) -> DataFrame:
     number = F.monotonically_increasing_id()
     doc = F.shiftleft(F.shiftright(number, 33), _DOC) + number.bitwiseAND((1 << 33) - 1)
     ordered = kept.dropDuplicates(["doc_id", "twin"]).repartitionByRange("doc_id", "twin").sortWithinPartitions("doc_id", "twin")
-    out = stored(ordered.withColumn("doc", doc), "sequences")
+    out = stored(ordered.withColumn("doc", doc), "sequences", small=True)
     dropped(kept)
     return out
 

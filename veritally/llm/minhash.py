@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
 from . import kernels as K
@@ -225,8 +226,8 @@ def near_duplicates(documents: DataFrame, size: int = SHINGLE, least: float = SI
     hub = exploded.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("bucket", "id").alias("p"), F.col("id").alias("hub"))).alias("h"), F.count("*").alias("m")).where("m > 1").select("bucket", F.col("h.hub").alias("hub"))
     bucketed = stored(exploded.join(hub, "bucket"), "bucketed", small=True)
     involved = bucketed.select("id").distinct()
-    elements = stored(signed.select("id", "n", "elements").join(involved, "id", "left_semi").dropDuplicates(["id"]), "elements")
-    dropped(signed)
+    # Kept on the executors' disks; a part that is lost is made again from the signed table, which stays until the end.
+    elements = signed.select("id", "n", "elements").join(involved, "id", "left_semi").persist(StorageLevel.DISK_ONLY)
     pairs = bucketed.where("id != hub").select(F.greatest("id", "hub").alias("a"), F.least("id", "hub").alias("b")).distinct()
     links = stored(verified(pairs, elements, least), "links", small=True)
     root = components(links)
@@ -234,6 +235,8 @@ def near_duplicates(documents: DataFrame, size: int = SHINGLE, least: float = SI
     mixed = rooted.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
     rest = stored(rooted.join(mixed, "bucket", "left_semi"), "rest", small=True)
     more = stored(across(rest.join(elements, "id"), least), "links", small=True)
+    elements.unpersist()
+    dropped(signed)
     own = member.where("id != rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     full = components(links.union(more).union(own))
     ids = base.select("id").distinct()
