@@ -24,11 +24,11 @@ def shared_dir(spark: SparkSession) -> str:
 def stored(df: DataFrame, name: str = "step", small: bool = False) -> DataFrame:
     """Writes df as Parquet in the shared folder and returns the written table: its lineage ends there.
 
-    small: a table of ids or links, for which one file a core is enough however many partitions there are.
+    small: a table of ids or links, for which one file a core, or for every eight shuffle partitions, is enough.
     """
     spark = df.sparkSession
     if small:
-        df = df.coalesce(max(1, spark.sparkContext.defaultParallelism))
+        df = df.coalesce(max(1, spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
     path = f"{shared_dir(spark)}/veritally/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
