@@ -96,7 +96,7 @@ def has_letter(column: pa.Array, w: K.Words) -> np.ndarray:
     return out
 
 
-def svm(rows: list[tuple[np.ndarray, np.ndarray, int]], y: list[np.ndarray], rate: float = 2.0, steps: int = 600) -> np.ndarray:
+def svm(rows: list[tuple[np.ndarray, np.ndarray, int]], y: list[np.ndarray], rate: float = 2.0, steps: int = 240) -> np.ndarray:
     """Linear support vector machine: AdaGrad on the hinge loss with an L2 term.  rows: (features, text of each, texts) by batch; y: 1, -1, or 0 (left out)."""
     w, g2, decay = np.zeros((1 << BITS) + 1), np.full((1 << BITS) + 1, 1e-3), 1e-5
     use = [k for k, t in enumerate(y) if (t != 0).any()]
