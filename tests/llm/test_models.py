@@ -95,6 +95,25 @@ def test_decontamination(spark, table, edges, empty):
     assert contamination.contaminated(edges, benchmark.where("false")).count() == 0 and contamination.clean(edges, benchmark.where("false")).count() == len(EDGES)
 
 
+def test_decontamination_of_widespread_items(spark, table):
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("bcdfgklmnprst") + r.choice("aeiou") for _ in range(4))
+    text = lambda n: " ".join(word() for _ in range(n))
+    items = [(i, text(30)) for i in range(6)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    # A third of all documents hold item 0, in places with a word changed.
+    changed = items[0][1].split()
+    changed[15] = "other"
+    rows = [(d, f"{text(r.randint(20, 90))} {items[0][1] if d % 2 else ' '.join(changed)} {text(r.randint(20, 90))}" if d % 3 == 0 else text(150)) for d in range(120)]
+    hits = contamination.contaminated(table(rows), benchmark).collect()
+    assert {(h["doc_id"], h["item_id"]) for h in hits} == {(d, 0) for d in range(0, 120, 3)}
+    # Three short documents: few passages, so every word is in many of them.
+    rows = [(1, items[1][1]), (2, f"{text(5)} {items[1][1]}"), (3, items[2][1])]
+    hits = contamination.contaminated(table(rows), benchmark).collect()
+    assert {(h["doc_id"], h["item_id"]) for h in hits} == {(1, 1), (2, 1), (3, 2)}
+    assert contamination.clean(table(rows), benchmark).count() == 0
+
+
 def test_longest_common_subsequence():
     a, b = np.array([1, 2, 3, 9, 4, 5]), np.array([1, 3, 2, 4, 7, 5])
     assert contamination.lcs(a, b)[0] == 4 and contamination.lcs(a, b[:1])[0] == 1

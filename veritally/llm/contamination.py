@@ -1,12 +1,13 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 1. The words of the benchmark are the vocabulary.  One pass over all documents counts in how many passages (blocks of
-   consecutive words) each occurs, for inverse document frequencies; words of little weight are left out.
+   consecutive words) each occurs, for inverse document frequencies; no word has less than a least weight.
 2. A randomised SVD (subspace iteration on A'A, A the TF-IDF rows of a bounded sample of passages and of all items;
    tasks return partial products of vocabulary size x rank) gives the latent space.
 3. One more pass projects every passage of every document, takes as candidates the items whose latent
-   cosine is large enough, and verifies them: the longest common subsequence of words must hold most of the item, or
-   less (a paraphrase) if it holds the item's answer, its last words.
+   cosine is large enough or that share a run of words (a seed) with it, and verifies them: the longest common
+   subsequence of words must hold most of the item, or less (a paraphrase) if it holds the item's answer, its last
+   words.  Seeds are exact, so a copy is found however common its words are.
 
 The benchmark is a query set: it is handled in blocks of a bounded number of items, so nothing that is broadcast grows
 with the corpus.
@@ -28,8 +29,10 @@ from .common import read, sample, stored
 LCS, PARAPHRASE, ANSWER = 0.7, 0.5, 8
 #: Documented bounds: passages that the SVD is fitted on, its rank, and items handled at a time.
 SAMPLE_DOCS, RANK, ITEMS = 4000, 192, 400
-#: A passage is a candidate for items of this cosine, over the norm of all its words; words of less weight are left out.
-COSINE, LEAST_IDF = 0.27, 3.0
+#: A passage is a candidate for items of this cosine, over the norm of all its words; least weight of a word.
+COSINE, LEAST_IDF = 0.27, 0.1
+#: A passage is a candidate too if it holds a run of so many words of an item (all words of a shorter item).
+SEED = 5
 #: An item counts as so many passages in the SVD: its space must hold the benchmark first.
 ITEM_WEIGHT = 400.0
 
@@ -44,6 +47,7 @@ class Space:
     items: np.ndarray  # unit rows, items x rank
     ids: np.ndarray
     words: list[np.ndarray]
+    seeds: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]  # run length, sorted hashes, first owner of each, owners
 
 
 def normal(column: pa.Array) -> K.Words:
@@ -78,7 +82,8 @@ _TABLES: dict[tuple[int, int, int], np.ndarray] = {}
 def _first(vocabulary: np.ndarray, bits: int) -> np.ndarray:
     key = (len(vocabulary), int(vocabulary[0]), bits)
     if key not in _TABLES:
-        _TABLES.clear()
+        if len(_TABLES) >= 8:
+            _TABLES.clear()
         top = (vocabulary >> np.uint64(64 - bits)).astype(np.int64)
         table = np.full(1 << bits, -1)
         table[top[::-1]] = np.arange(len(top))[::-1]
@@ -116,6 +121,35 @@ def document_frequency(documents: DataFrame, vocabulary: np.ndarray, size: int)
     return np.array([got.get(i, 0) for i in range(len(vocabulary))], np.int64), int(got.get(-1, 0))
 
 
+def seeds_of(column: pa.Array) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Runs of SEED words of each item, or of all its words if it has fewer, by length of run."""
+    w = normal(column)
+    out = []
+    for n in np.unique(np.minimum(w.counts[w.counts > 0], SEED)).tolist():
+        h, _, item = K.windows(w, n)
+        use = np.minimum(w.counts[item], SEED) == n
+        order = np.lexsort((item[use], h[use]))
+        h, item = h[use][order], item[use][order]
+        fresh = np.append(True, (h[1:] != h[:-1]) | (item[1:] != item[:-1]))
+        hashes, first = np.unique(h[fresh], return_index=True)
+        out.append((n, hashes, np.append(first, fresh.sum()), item[fresh]))
+    return out
+
+
+def seeded(w: K.Words, block: np.ndarray, seeds: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]], items: int) -> tuple[np.ndarray, np.ndarray]:
+    """(block, item) of each block in which a seed of the item begins."""
+    keys = [np.zeros(0, np.int64)]
+    for n, hashes, first, owner in seeds:
+        h, at, _ = K.windows(w, n)
+        number = look_up(hashes, h)
+        hit = np.flatnonzero(number >= 0)
+        many = first[number[hit] + 1] - first[number[hit]]
+        item = owner[np.repeat(first[number[hit]], many) + K.ranges(many)]
+        keys.append(np.unique(np.repeat(block[at[hit]], many) * items + item))
+    key = np.unique(np.concatenate(keys))
+    return key // items, key % items
+
+
 def tfidf(number: np.ndarray, row: np.ndarray, n: int, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, word, weight) of unit rows; number -1 and words of weight 0 are left out."""
     use = (number >= 0) & (idf[number] > 0)
@@ -203,25 +237,26 @@ def space_of(documents: DataFrame, items: DataFrame, rank: int) -> Space | None:
     if not keep:
         return None
     ids, every = got["item_id"].to_numpy()[keep], [every[i] for i in keep]
+    seeds = seeds_of(got["text"].combine_chunks().take(pa.array(keep)))
     size = max(8, -(-max(map(len, every)) // 2))
     vocabulary = np.unique(np.concatenate(every))
     n, total = document_frequency(documents, vocabulary, size)
-    idf = np.log((total + 1) / (n + 1)) if total else np.full(len(vocabulary), LEAST_IDF)
-    idf[idf < min(LEAST_IDF, idf.max())] = 0
+    idf = np.maximum(np.log((total + 1) / (n + 1)), LEAST_IDF)
     number = look_up(vocabulary, np.concatenate(every))
     rows = tfidf(number, np.repeat(np.arange(len(every)), [len(x) for x in every]), len(every), idf)
     pool = sample(documents.select("doc_id", "text"), SAMPLE_DOCS, "doc_id", seed=29).select("text")
     basis = latent(stored(pool, "passages").coalesce(8), (*rows, len(every)), idf, vocabulary, size, rank)
     y = project(*rows, len(every), basis)
     K.trim()
-    return Space(vocabulary, idf.astype(np.float32), float(np.median(idf)), basis, size, y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-9), ids, every)
+    return Space(vocabulary, idf.astype(np.float32), float(np.median(idf)), basis, size, y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-9), ids, every, seeds)
 
 
 def search(column: pa.Array, s: Space, least: float) -> list[tuple[int, int, float, float, bool]]:
     """(text, item number, cosine, share of the longest common subsequence, answer found) of verified passages.
 
     A passage is three consecutive blocks, so that it holds every run of words as long as the longest item; runs of
-    one and two blocks are tried too, since short items stand out more in them.
+    one and two blocks are tried too, since short items stand out more in them.  A seed makes a candidate of the
+    passage about it, whatever its cosine.
     """
     w = normal(column)
     if not len(w.hash):
@@ -247,6 +282,16 @@ def search(column: pa.Array, s: Space, least: float) -> list[tuple[int, int, flo
             key = (int(at[i]), int(j))
             if key not in found or found[key][0] < cosine[i, j]:
                 found[key] = (float(cosine[i, j]), span)
+    for b, j in zip(*(x.tolist() for x in seeded(w, block, s.seeds, len(s.ids)))):
+        b -= b > 0 and text[b - 1] == text[b]  # an item begins at most two blocks before one of its seeds
+        if (b, j) not in found:
+            z, q, best = 0.0, 0.0, 0.0
+            for k in range(b, min(b + 3, len(text))):
+                if text[k] != text[b]:
+                    break
+                z, q = z + float(y[k] @ s.items[j]), q + square[k]
+                best = max(best, z / float(np.sqrt(q))) if q > 0 else best
+            found[b, j] = (best, 0)
     out = {}
     for (b, j), (cosine, _) in found.items():
         lo, hi = max(b - 1, 0), min(b + 4, len(text))
