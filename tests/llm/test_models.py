@@ -114,6 +114,22 @@ def test_decontamination_of_widespread_items(spark, table):
     assert contamination.clean(table(rows), benchmark).count() == 0
 
 
+def test_latent_space_holds_every_item(spark, table):
+    r = random.Random(12)
+    words = ["".join(r.choice("bcdfgklmnprst") + r.choice("aeiou") for _ in range(4)) for _ in range(3000)]
+    text = lambda n: " ".join(r.choice(words) for _ in range(n))
+    benchmark = spark.createDataFrame([(i, text(r.randint(15, 60))) for i in range(300)], "item_id long, text string")
+    docs = table([(d, text(200)) for d in range(400)])
+    (s,) = contamination.spaces(docs, benchmark, contamination.RANK)
+    unit = s.items @ s.items.T
+    full = contamination.tfidf(contamination.look_up(s.vocabulary, np.concatenate(s.words)), np.repeat(np.arange(len(s.words)), [len(x) for x in s.words]), len(s.words), s.idf)
+    energy = (contamination.project(*full, len(s.words), s.basis) ** 2).sum(axis=1)
+    assert np.allclose(np.diag(unit), 1, atol=1e-4) and energy.min() > 0.95
+    at = np.array([0, 1, 2, 0, 1])
+    m = r.random() + np.arange(9, dtype=np.float32).reshape(3, 3)
+    assert np.allclose(contamination.segment_sums(m, np.tile(at, 20), np.ones(100, np.float32), np.array([0, 70])), [m[np.tile(at, 14)].sum(0), m[np.tile(at, 6)].sum(0)], rtol=1e-5)
+
+
 def test_longest_common_subsequence():
     a, b = np.array([1, 2, 3, 9, 4, 5]), np.array([1, 3, 2, 4, 7, 5])
     assert contamination.lcs(a, b)[0] == 4 and contamination.lcs(a, b[:1])[0] == 1

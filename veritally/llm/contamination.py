@@ -2,8 +2,9 @@
 
 1. The words of the benchmark are the vocabulary.  One pass over all documents counts in how many passages (blocks of
    consecutive words) each occurs, for inverse document frequencies; no word has less than a least weight.
-2. A randomised SVD (subspace iteration on A'A, A the TF-IDF rows of a bounded sample of passages and of all items;
-   tasks return partial products of vocabulary size x rank) gives the latent space.
+2. A randomised SVD (subspace iteration on A'A, A the TF-IDF rows of all passages and of all items, begun in the span
+   of the items; a bounded number of tasks return partial products of vocabulary size x rank) gives the latent space.
+   Its rank exceeds the number of items, so that it can hold each of them.
 3. One more pass projects every passage of every document, takes as candidates the items whose latent
    cosine is large enough or that share a run of words (a seed) with it, and verifies them: the longest common
    subsequence of words must hold most of the item, or less (a paraphrase) if it holds the item's answer, its last
@@ -23,18 +24,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import kernels as K
-from .common import read, sample, stored
+from .common import read
 
 #: Share of an item's words in common order; the same with its answer in it; words of the answer.
 LCS, PARAPHRASE, ANSWER = 0.7, 0.5, 8
-#: Documented bounds: passages that the SVD is fitted on, its rank, and items handled at a time.
-SAMPLE_DOCS, RANK, ITEMS = 4000, 192, 400
+#: Least rank of the SVD, its rank above the number of items, and items handled at a time (about).
+RANK, SPARE, ITEMS = 192, 40, 400
 #: A passage is a candidate for items of this cosine, over the norm of all its words; least weight of a word.
 COSINE, LEAST_IDF = 0.27, 0.1
 #: A passage is a candidate too if it holds a run of so many words of an item (all words of a shorter item).
 SEED = 5
-#: An item counts as so many passages in the SVD: its space must hold the benchmark first.
-ITEM_WEIGHT = 400.0
+#: Rows of a matrix that are summed at a time.
+PIECE = 32
+#: An item counts as such a share of all passages in the SVD: its space must hold the benchmark first.
+ITEM_WEIGHT = 0.01
 
 
 @dataclass
@@ -160,12 +163,31 @@ def tfidf(number: np.ndarray, row: np.ndarray, n: int, idf: np.ndarray) -> tuple
     return row, word, weight / norm[row]
 
 
+def segment_sums(matrix: np.ndarray, at: np.ndarray, weight: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Sums of matrix[at] * weight over the segments that begin at `start` (none is empty)."""
+    count = np.diff(np.append(start, len(at)))
+    pieces = -(-count // PIECE)
+    place = K.ranges(pieces) * PIECE
+    first = np.repeat(start, pieces) + place
+    length = np.minimum(np.repeat(count, pieces) - place, PIECE)
+    order = np.argsort(-length, kind="stable")
+    out = np.empty((len(first), matrix.shape[1]), matrix.dtype)
+    for i in range(0, len(order), 1024):  # few enough for the cache; term by term, as reduceat is slow by rows
+        own = order[i : i + 1024]
+        sums = np.zeros((len(own), matrix.shape[1]), matrix.dtype)
+        for k in range(int(length[own[0]])):
+            j = first[own[: np.searchsorted(-length[own], -k)]] + k
+            sums[: len(j)] += matrix[at[j]] * weight[j, None]
+        out[own] = sums
+    return out if len(out) == len(start) else np.add.reduceat(out, np.cumsum(pieces) - pieces, axis=0)
+
+
 def project(row: np.ndarray, word: np.ndarray, weight: np.ndarray, n: int, matrix: np.ndarray) -> np.ndarray:
     """Sparse rows (sorted) times the matrix."""
     out = np.zeros((n, matrix.shape[1]), matrix.dtype)
     if len(row):
         at = np.flatnonzero(np.diff(row, prepend=-1))
-        out[row[at]] = np.add.reduceat(matrix[word] * weight[:, None].astype(matrix.dtype), at, axis=0)
+        out[row[at]] = segment_sums(matrix, word, weight.astype(matrix.dtype), at)
     return out
 
 
@@ -176,18 +198,23 @@ def _gram(row, word, weight, n, matrix) -> np.ndarray:
     out = np.zeros_like(matrix)
     if len(order):
         at = np.flatnonzero(np.diff(word[order], prepend=-1))
-        out[word[order][at]] = np.add.reduceat(y[row[order]] * weight[order][:, None].astype(matrix.dtype), at, axis=0)
+        out[word[order][at]] = segment_sums(y, row[order], weight[order].astype(matrix.dtype), at)
     return out
 
 
-def latent(passages: DataFrame, items: tuple, idf: np.ndarray, vocabulary: np.ndarray, size: int, rank: int, rounds: int = 2) -> np.ndarray:
-    """Basis (vocabulary x rank) of the randomised SVD of passages (text) and items (sparse rows)."""
-    rank = min(rank, len(vocabulary))
+def latent(passages: DataFrame, items: tuple, idf: np.ndarray, vocabulary: np.ndarray, size: int, rank: int, total: int, rounds: int = 1) -> np.ndarray:
+    """Basis (vocabulary x rank) of the randomised SVD of all `total` passages of passages (text) and of items (sparse rows)."""
+    row, word, weight, n = items
+    rank = min(max(rank, n + SPARE), len(vocabulary))
     q = np.random.default_rng(3).standard_normal((len(vocabulary), rank)).astype(np.float32)
+    known = np.zeros((len(vocabulary), n), np.float32)
+    known[word, row] = weight
+    q[:, : min(n, rank)] = known[:, :rank]
     q = np.linalg.qr(q)[0]
+    spark = passages.sparkSession
 
     def partial(matrix: np.ndarray) -> list:
-        shared = passages.sparkSession.sparkContext.broadcast((vocabulary, idf, matrix))
+        shared = spark.sparkContext.broadcast((vocabulary, idf, matrix))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             K.lean()
@@ -198,12 +225,13 @@ def latent(passages: DataFrame, items: tuple, idf: np.ndarray, vocabulary: np.nd
                     w = normal(b["text"].slice(i, j - i))
                     block, text = blocks(w, size)
                     total += _gram(*tfidf(look_up(known, w.hash), block, len(text), weight), len(text), m)
-            yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.float32).tobytes()], pa.binary())], ["y"])
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["y"])
 
-        return passages.mapInArrow(run, "y binary").collect()
+        # One task a core: what returns to the driver does not grow with the corpus.
+        return passages.select("text").coalesce(max(2, spark.sparkContext.defaultParallelism)).mapInArrow(run, "y binary").collect()
 
     for _ in range(rounds):
-        y = _gram(*items, q) * np.float32(ITEM_WEIGHT)
+        y = _gram(*items, q) * np.float32(max(1.0, ITEM_WEIGHT * total))
         for r in partial(q):
             y += np.frombuffer(r["y"], np.float32).reshape(y.shape)
         q = np.linalg.qr(y)[0].astype(np.float32)
@@ -244,8 +272,7 @@ def space_of(documents: DataFrame, items: DataFrame, rank: int) -> Space | None:
     idf = np.maximum(np.log((total + 1) / (n + 1)), LEAST_IDF)
     number = look_up(vocabulary, np.concatenate(every))
     rows = tfidf(number, np.repeat(np.arange(len(every)), [len(x) for x in every]), len(every), idf)
-    pool = sample(documents.select("doc_id", "text"), SAMPLE_DOCS, "doc_id", seed=29).select("text")
-    basis = latent(stored(pool, "passages").coalesce(8), (*rows, len(every)), idf, vocabulary, size, rank)
+    basis = latent(documents, (*rows, len(every)), idf, vocabulary, size, rank, total)
     y = project(*rows, len(every), basis)
     K.trim()
     return Space(vocabulary, idf.astype(np.float32), float(np.median(idf)), basis, size, y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-9), ids, every, seeds)
@@ -292,14 +319,18 @@ def search(column: pa.Array, s: Space, least: float) -> list[tuple[int, int, flo
                 z, q = z + float(y[k] @ s.items[j]), q + square[k]
                 best = max(best, z / float(np.sqrt(q))) if q > 0 else best
             found[b, j] = (best, 0)
-    out = {}
-    for (b, j), (cosine, _) in found.items():
+    out, lists, seen = {}, [x.tolist() for x in s.words], (None, frozenset())
+    for (b, j), (cosine, _) in sorted(found.items()):
         lo, hi = max(b - 1, 0), min(b + 4, len(text))
         while text[lo] != text[b]:
             lo += 1
         while text[hi - 1] != text[b]:
             hi -= 1
         item = s.words[j]
+        if seen[0] != (lo, hi):
+            seen = (lo, hi), frozenset(w.hash[start[lo] : end[hi - 1]].tolist())
+        if sum(x in seen[1] for x in lists[j]) < PARAPHRASE * len(item):  # no subsequence can hold more
+            continue
         common, answer = lcs(w.hash[start[lo] : end[hi - 1]], item)
         share, last = common / len(item), answer >= min(ANSWER, len(item))
         if share >= LCS or share >= PARAPHRASE and last:
