@@ -114,6 +114,34 @@ def test_decontamination_of_widespread_items(spark, table):
     assert contamination.clean(table(rows), benchmark).count() == 0
 
 
+def test_decontamination_of_short_items_beside_a_long_one(spark, table):
+    r = random.Random(21)
+    word = lambda: "".join(r.choice("bcdfgklmnprst") + r.choice("aeiou") for _ in range(r.randint(2, 4)))
+    text = lambda n: [word() for _ in range(n)]
+    lengths = [1000, 20, 16, 3]
+    items = [(i, " ".join(text(n))) for i, n in enumerate(lengths)] + [(8, "?!"), (9, None)]
+    rows, want = [], set()
+    for d in range(80):
+        w = text(1200)
+        if d < 24:
+            i, x = d % 4, items[d % 4][1].split()
+            if d >= 12 and len(x) > 12:  # every fourth word replaced, the end kept: no run of five words but that end
+                for k in range(3, len(x) - contamination.ANSWER, 4):
+                    x[k] = word()
+                if i in (1, 2):
+                    x[-5] += "é"
+            at = r.randrange(len(w))
+            w[at:at] = x
+            want.add((d, i))
+        rows.append((d, " ".join(w)))
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    assert contamination.by_length(benchmark)[1] == {0: 1, 2: 2, 4: 1}
+    assert [(s.block, s.ids.tolist()) for s in contamination.spaces(table(rows), benchmark, 8)] == [(500, [0]), (10, [1, 2]), (8, [3])]
+    hits = contamination.contaminated(table(rows), benchmark).collect()
+    assert {(h["doc_id"], h["item_id"]) for h in hits} == want
+    assert contamination.clean(table(rows), benchmark).count() == 56
+
+
 def test_latent_space_holds_every_item(spark, table):
     r = random.Random(12)
     words = ["".join(r.choice("bcdfgklmnprst") + r.choice("aeiou") for _ in range(4)) for _ in range(3000)]

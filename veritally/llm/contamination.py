@@ -11,7 +11,8 @@
    words.  Seeds are exact, so a copy is found however common its words are.
 
 The benchmark is a query set: it is handled in blocks of a bounded number of items, so nothing that is broadcast grows
-with the corpus.
+with the corpus.  Items of a block are of like length (within a factor of LENGTHS), as passages are cut to it: a short
+item would not stand out in passages as long as a long one needs.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ from .common import read
 LCS, PARAPHRASE, ANSWER = 0.7, 0.5, 8
 #: Least rank of the SVD, its rank above the number of items, and items handled at a time (about).
 RANK, SPARE, ITEMS = 192, 40, 400
+#: The longest item of a block has fewer than so many times the words of the shortest.
+LENGTHS = 4
 #: A passage is a candidate for items of this cosine, over the norm of all its words; least weight of a word.
 COSINE, LEAST_IDF = 0.27, 0.1
 #: A passage is a candidate too if it holds a run of so many words of an item (all words of a shorter item).
@@ -343,13 +346,27 @@ def search(column: pa.Array, s: Space, least: float) -> list[tuple[int, int, flo
 HITS = "doc_id long, item_id long, cosine double, lcs double, answer boolean"
 
 
+def by_length(benchmark: DataFrame) -> tuple[DataFrame, dict[int, int]]:
+    """(item_id, text, length class) of items with words, and the number of items of each class; class 0 has the longest."""
+    n = F.size(F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9[^\x00-\x7F]]+"), F.lit(0)))
+    items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text", n.alias("__n")).where("__n > 0")
+    longest = items.agg(F.max("__n")).first()[0] or 0
+    steps = []
+    while longest >= LENGTHS ** (len(steps) + 1):
+        steps.append(F.when(F.col("__n") * LENGTHS ** (len(steps) + 1) <= longest, 1).otherwise(0))
+    items = items.select("item_id", "text", sum(steps, F.lit(0)).alias("__class"))
+    return items, {r["__class"]: r["count"] for r in items.groupBy("__class").count().collect()}
+
+
 def spaces(documents: DataFrame, benchmark: DataFrame, rank: int) -> Iterator[Space]:
-    """The latent space of each block of at most about ITEMS items."""
-    parts = max(1, -(-benchmark.count() // ITEMS))
-    for k in range(parts):
-        block = benchmark.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k) if parts > 1 else benchmark
-        if (s := space_of(documents, block, rank)) is not None:
-            yield s
+    """The latent space of each block of at most about ITEMS items of like length."""
+    items, counts = by_length(benchmark)
+    for c, n in sorted(counts.items()):
+        own, parts = items.where(F.col("__class") == c), max(1, -(-n // ITEMS))
+        for k in range(parts):
+            block = own.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k) if parts > 1 else own
+            if (s := space_of(documents, block, rank)) is not None:
+                yield s
 
 
 def contaminated(documents: DataFrame, benchmark: DataFrame, rank: int = RANK, least: float = COSINE) -> DataFrame:
