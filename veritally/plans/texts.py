@@ -176,14 +176,14 @@ def knn_top4(t, spark):
 
 @query()
 def greedy_pairs(t, spark):
-    a = t("customer").where("c_custkey % 5 = 0").select(F.col("c_nationkey").alias("pair_id"), F.col("c_custkey").alias("a"), F.col("c_acctbal").alias("x"))
+    a = t("customer").select(F.col("c_nationkey").alias("pair_id"), F.col("c_custkey").alias("a"), F.col("c_acctbal").alias("x"))
     b = t("supplier").select(F.col("s_nationkey").alias("pair_id"), F.col("s_suppkey").alias("b"), F.col("s_acctbal").alias("y"))
     return matching.greedy(a.join(b, "pair_id").withColumn("score", -F.abs(F.col("x") - F.col("y"))), "pair_id", "a", "b", "score", least=-1e18)
 
 
 @query()
 def sequential_pairs(t, spark):
-    a = t("customer").where("c_custkey % 5 = 0").select(F.col("c_nationkey").alias("pair_id"), F.col("c_custkey").alias("a"), F.col("c_acctbal").alias("x"))
+    a = t("customer").select(F.col("c_nationkey").alias("pair_id"), F.col("c_custkey").alias("a"), F.col("c_acctbal").alias("x"))
     b = t("supplier").select(F.col("s_nationkey").alias("pair_id"), F.col("s_suppkey").alias("b"), F.col("s_acctbal").alias("y"))
     score = 1 / (1 + F.abs(F.col("x") - F.col("y")) / 1000)
     return matching.sequential(a.join(b, "pair_id").withColumn("score", score), "pair_id", "a", "b", "score", 0.42, 0.12)
@@ -191,7 +191,7 @@ def sequential_pairs(t, spark):
 
 @query()
 def label_similarity(t, spark):
-    p = t("part").where("p_size = 3")
+    p = t("part")
     one, two = p.select("p_brand", F.col("p_partkey").alias("i"), F.col("p_name").alias("x")), p.select("p_brand", F.col("p_partkey").alias("j"), F.col("p_name").alias("y"))
     return one.join(two, "p_brand").where("i < j").select("i", "j", F.round(matching.label_similarity("x", "y"), 6).alias("similarity"))
 
