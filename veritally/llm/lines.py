@@ -1,14 +1,17 @@
-"""Line deduplication: repeated runs of lines by prefix doubling.  DataFrame functions only.
+"""Line deduplication: a suffix array of the corpus over line ids, by prefix doubling.  DataFrame functions only.
 
-Documents are sequences of line ids, one after the other.  Round k gives every suffix of the corpus that starts
-with a repeated run of 2**k lines the name of that run, from the names of its two halves (the second half is the
-name 2**k lines on), and the first position at which the run begins.  Suffixes of one name are an interval of the
-suffix array whose longest common prefix is 2**k lines or more; suffixes alone in theirs drop out, so the rounds
-shrink fast, and they end when no run repeats.  Names are 64-bit hashes: only equality of suffixes matters
-here, never the order of two intervals, so no global sort is needed.
+Documents are sequences of line ids, one after the other.  Round k ranks the suffixes of the corpus by their first 2**k
+lines: the pair of ranks of the two halves is the key, distinct keys are sorted over range partitions, and their
+places are the new ranks.  Suffixes of one rank are an interval of the suffix array whose longest common prefix (LCP) is
+2**k lines or more; suffixes alone in theirs drop out, so the rounds shrink fast, and they end when no run repeats.
 
-A run counts if it has two lines or more, or one line of at least `least_chars` characters.  Overlapping runs join
-to maximal ones.  All copies but the first (by doc_id, then line) are deleted.
+Then the intervals get their exact LCP, from the highest level down: an interval of m lines is split by the ranks of
+the next 2**j lines; suffixes that meet an earlier one there go on in the narrower interval, the first of
+each stays in the wider one in the name of all.  What a suffix is left with is the longest run of lines from it on that
+also begins at an earlier position: a maximal repeat.
+
+A run counts if it has two lines or more, or one line of at least `least_chars` characters.  Lines of runs that count are
+deleted, so of every repeated run the first copy (by doc_id, then line) stays.
 """
 
 from __future__ import annotations
@@ -18,58 +21,92 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .common import dropped, read, stored
 
 LEAST_CHARS = 30
-#: Bits of a position: 17 for the partition, 22 for a document of it, 24 for a line.
-_LINE, _DOC = 24, 22
+#: Bits of a line number in a position; the bits above hold the number of the document.
+_LINE = 25
 
 
 def positions(documents: DataFrame) -> DataFrame:
-    """doc_id, twin, doc (number in order of doc_id), lines: array of (line id, characters); blank lines have no id."""
+    """doc_id, twin, doc (number in order of doc_id), lines: array of (line id, characters); blank lines have no id.
+
+    Numbers are dense: the sizes of the range partitions (a row for each) give each its first one.  Documents of
+    2**25 lines or more, and more than 2**38 documents, are refused by an error.
+    """
     line = lambda x: F.struct(F.when(F.length(F.trim(x)) > 0, F.xxhash64(x)).alias("id"), F.length(x).alias("chars"))
     split = documents.select(F.col("doc_id").cast("long").alias("doc_id"), _twin(F.col("text")).alias("twin"), F.transform(F.split("text", "\n"), line).alias("lines"))
     kept = stored(split.where(F.col("lines").isNotNull()), "split")
     number = F.monotonically_increasing_id()
-    doc = F.shiftleft(F.shiftright(number, 33), _DOC) + number.bitwiseAND((1 << 33) - 1)
     ordered = kept.dropDuplicates(["doc_id", "twin"]).repartitionByRange("doc_id", "twin").sortWithinPartitions("doc_id", "twin")
-    out = stored(ordered.withColumn("doc", doc), "sequences", small=True)
+    out = stored(ordered.withColumn("part", F.shiftright(number, 33)).withColumn("row", number.bitwiseAND((1 << 33) - 1)), "sequences", small=True)
     dropped(kept)
-    return out
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    first = out.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    fits = F.when((F.size("lines") < 1 << _LINE) & (F.col("first") + F.col("row") < 1 << (63 - _LINE)), F.col("first") + F.col("row")).otherwise(F.raise_error(F.lit("too many lines in a document or too many documents")).cast("long"))
+    return out.join(first.hint("broadcast"), "part").select("doc_id", "twin", fits.alias("doc"), "lines")
 
 
 def _twin(text: Column) -> Column:
     return F.xxhash64(text)
 
 
-def _repeated(named: DataFrame) -> DataFrame:
-    """Rows of `named` (pos, name, chars) whose name occurs more than once, and the first position of that name."""
-    shared = named.groupBy("name").agg(F.min("pos").alias("first"), F.count("*").alias("n")).where("n > 1").select("name", "first")
-    return named.join(shared, "name").select("pos", "name", "chars", "first")
+def _ranked(rows: DataFrame, by: list[str]) -> DataFrame:
+    """by, first (position), rank of every key that more than one of the rows (pos, by) has: places in the range sort of the keys."""
+    shared = rows.groupBy(*by).agg(F.min("pos").alias("first"), F.count("*").alias("n")).where("n > 1").select(*by, "first")
+    return stored(shared.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__rank", F.monotonically_increasing_id()), "ranks", small=True)
 
 
-def repeated_runs(sequences: DataFrame) -> DataFrame:
-    """pos, length (and chars of the first line) of the longest run of 1, 2, 4, ... lines that also begins at an earlier position."""
+def suffix_array(sequences: DataFrame) -> list[DataFrame]:
+    """For 1, 2, 4, ... lines: pos, rank and first (least position of the rank) of all suffixes that share so many lines with another."""
     lines = sequences.select("doc", F.posexplode("lines").alias("line", "s")).where("s.id IS NOT NULL")
     named = lines.select((F.shiftleft(F.col("doc"), _LINE) + F.col("line")).alias("pos"), F.col("s.id").alias("name"), F.col("s.chars").alias("chars"))
-    level, found, size = stored(_repeated(named), "runs", small=True), [], 1
+    keys, levels, size = _ranked(named, ["name"]), [], 1
+    levels.append(stored(named.join(keys, "name").select("pos", F.col("__rank").alias("rank"), "first", "chars"), "level", small=True))
     while True:
-        found.append(level.where("first < pos").select("pos", F.lit(size).alias("length"), "chars"))
         here = Window.partitionBy(F.shiftright("pos", _LINE)).orderBy("pos").rangeBetween(size, size)
-        longer = level.withColumn("next", F.max("name").over(here)).where("next IS NOT NULL").select("pos", F.xxhash64("name", "next").alias("name"), "chars")
+        longer = levels[-1].withColumn("next", F.max("rank").over(here)).where("next IS NOT NULL").select("pos", "rank", "next")
+        keys = _ranked(longer, ["rank", "next"])
+        if keys.isEmpty():
+            return levels
+        levels.append(stored(longer.join(keys, ["rank", "next"]).select("pos", F.col("__rank").alias("rank"), "first"), "level", small=True))
         size *= 2
-        level = stored(_repeated(longer), "runs", small=True)
-        if level.isEmpty():
-            break
-    out = found[0]
-    for f in found[1:]:
-        out = out.union(f)
-    return out.groupBy("pos").agg(F.max("length").alias("length"), F.max("chars").alias("chars"))
+
+
+def repeated_runs(sequences: DataFrame) -> DataFrame:
+    """pos, chars of its line, and length of the longest run of lines from pos on that also begins at an earlier position."""
+    levels = suffix_array(sequences)
+    later = [x.where("first < pos").select("pos") for x in levels]
+    # Intervals: (lines, first) names one, as different intervals of one length have no suffix in common.
+    inside = None
+    for j in range(len(levels) - 2, -1, -1):
+        own = levels[j + 1].select("pos", F.lit(2 << j).alias("lines"), "first")
+        if j + 2 < len(levels):
+            own = own.join(later[j + 2], "pos", "left_anti")
+        inside = own if inside is None else inside.unionByName(own)
+        next_ = levels[j].select((F.col("pos")).alias("at"), F.col("rank").alias("next"))
+        split = stored(inside.withColumn("at", F.col("pos") + F.col("lines")).join(next_, "at", "left").select("pos", "lines", "first", "next"), "split", small=True)
+        parts = split.where("next IS NOT NULL").groupBy("lines", "first", "next").agg(F.min("pos").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
+        met = split.join(parts, ["lines", "first", "next"], "left")
+        # The head of a part stands in both, the rest of it in the narrower one, what is alone in the wider one.
+        wide = F.struct(F.col("lines"), F.col("first"))
+        deep = F.struct((F.col("lines") + (1 << j)).alias("lines"), F.col("head").alias("first"))
+        where = F.when(F.col("head").isNull(), F.array(wide)).when(F.col("head") == F.col("pos"), F.array(wide, deep)).otherwise(F.array(deep))
+        before, inside = split, stored(met.select("pos", F.explode(where).alias("i")).select("pos", "i.lines", "i.first"), "intervals", small=True)
+        dropped(before)
+    single = levels[0].where("first < pos").select("pos", F.lit(1).alias("lines"), "chars")
+    every = single if inside is None else single.unionByName(inside.where("first < pos").select("pos", "lines"), allowMissingColumns=True)
+    return every.groupBy("pos").agg(F.max("lines").alias("length"), F.max("chars").alias("chars"))
 
 
 def deleted(sequences: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """doc, gone: the numbers of the lines to delete, longest: lines of the longest repeated run found (1, 2, 4, ...)."""
-    runs = repeated_runs(sequences).where((F.col("length") > 1) | (F.col("chars") >= least_chars))
-    covered = runs.select("length", F.explode(F.expr("sequence(pos, pos + length - 1)")).alias("line"))
-    line = F.col("line").bitwiseAND((1 << _LINE) - 1).cast("int")
-    return covered.groupBy(F.shiftright("line", _LINE).alias("doc")).agg(F.collect_set(line).alias("gone"), F.max("length").alias("longest"))
+    """doc, gone: the numbers of the lines to delete, longest: lines of the longest run found at an earlier place too.
+
+    Every line of a repeated run is itself repeated, so the runs that cover a line begin at rows before it.
+    """
+    counts = (F.col("length") > 1) | (F.col("chars") >= least_chars)
+    so_far = Window.partitionBy("doc").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    runs = repeated_runs(sequences).withColumn("doc", F.shiftright("pos", _LINE)).withColumn("end", F.when(counts, F.col("pos") + F.col("length")))
+    covered = runs.withColumn("reach", F.max("end").over(so_far)).where("reach > pos")
+    line = F.col("pos").bitwiseAND((1 << _LINE) - 1).cast("int")
+    return covered.groupBy("doc").agg(F.collect_list(line).alias("gone"), F.max(F.when(counts, F.col("length"))).alias("longest"))
 
 
 def dedup_lines(documents: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
