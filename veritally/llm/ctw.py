@@ -6,36 +6,39 @@ Krichevsky-Trofimov estimate is mixed with those of all deeper contexts, the wei
 probability that the context ends there, from the block probabilities of the whole training stream:
 P_w = P_e / 2 + prod(P_w of the longer contexts) / 2.  Contexts that never occurred end the mixture.
 
-Training: chunks of text send counts of distinct (DEPTH+1)-grams, dealt by the two nearest context bytes, so that a
-task holds whole subtrees and works out their weights exactly; the two upper levels are put together from sums
-(at most 65,536 rows a task).  Nodes seen twice or more go to a hash table of 2**GROUP_BITS groups of four places, built by
-slot range; where five meet, the most frequent stay.  So what is gathered grows with the corpus; what is
-broadcast does not: 6 bytes for each of 2**(GROUP_BITS+2) places.
-
-Word counts for the base come back by request: chunks ask with the hashes of their words (56 bits), dealt by hash, and
-each part of the documents gets the total counts of its own words only.
+No node is dropped and nothing is broadcast that grows with the corpus: each part of the documents (as they are read)
+asks for the values of its own distinct words and (DEPTH+1)-grams and tells how often they occur in training.
+
+* Asks are dealt by hash: words by themselves, grams by their TOP nearest context bytes, so that a task holds whole subtrees.
+* Counts are added up by task and stored: the distinct grams of all training texts.  Sums for the contexts of TOP-1
+  bytes go to the driver, which finishes the upper levels (at most 2**24 nodes, whatever the corpus).
+* Each task works out the weights of its subtrees and the probability of every gram that was asked for, and answers
+  part by part.  Where there are many parts, several tasks share a subtree's asks and each has its counts.
+* Each part meets the answers and adds up its texts' scores.
 """
 
 from __future__ import annotations
 
 import math
+from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from . import kernels as K
 from .common import held_out, read, stored
-from .substrings import _planes, _unplanes, part_column
-
-DEPTH, GROUP_BITS, BUCKETS = 5, 21, 256
-#: Documents to a bucket of words and to a first merge of grams; distinct grams held at once.
-WORD_DOCS, MERGE_DOCS, HELD = 4000, 500_000, 1_500_000
+from .substrings import _planes, _unplanes
+
+#: Context bytes of the deepest nodes; context bytes by which subtrees are dealt.
+DEPTH, TOP = 5, 3
+#: Tasks that share the subtrees, documents to a task of words, parts whose asks one task answers, bytes of a part.
+SUBTREES, WORD_DOCS, SHARE, PART_BYTES = 256, 4000, 256, 16 << 20
+#: Distinct grams held at once while counts are added up.
+HELD = 1_500_000
 FOLDS = 7
-CHUNK_BYTES = 6 << 20
 END = 10  # a byte that no word holds
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -85,10 +88,6 @@ def log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return lgamma_half(a) + lgamma_half(b) - math.log(math.pi) - np.array([math.lgamma(x + 1.0) for x in u.tolist()])[back]
 
 
-def node_key(context: np.ndarray, prefix: np.ndarray, depth: int) -> np.ndarray:
-    return K.mix((context << np.uint64(8) | prefix) * np.uint64(8) + np.uint64(depth))
-
-
 def decisions(context: np.ndarray, byte: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(context, prefix, zeros, ones) of all nodes of one depth."""
     node, bit = [], []
@@ -103,99 +102,82 @@ def decisions(context: np.ndarray, byte: np.ndarray, count: np.ndarray) -> tuple
     return u >> np.uint64(8), u & np.uint64(255), zeros, ones
 
 
-def subtrees(gram: np.ndarray, count: np.ndarray, top: int = 2) -> tuple[list[tuple], tuple]:
-    """Nodes of the depths top..DEPTH of whole subtrees: [(depth, key, n, log odds of a 1, weight)], and (context, prefix, sum of log P_w) for depth top-1."""
-    byte, context = gram >> np.uint64(8 * DEPTH), gram & np.uint64((1 << (8 * DEPTH)) - 1)
-    out, below = [], None
-    for depth in range(DEPTH, top - 1, -1):
-        own = context >> np.uint64(8 * (DEPTH - depth))
-        at, prefix, zeros, ones = decisions(own, byte, count)
-        pe = log_kt(zeros, ones)
-        if below is None:
-            pw, weight = pe, np.ones(len(pe))
-        else:
-            split = _sums(at << np.uint64(8) | prefix, *below)
-            pw = np.logaddexp(pe, split) - math.log(2)
-            weight = np.exp(pe - pw - math.log(2))
-        out.append((depth, node_key(at, prefix, depth), zeros + ones, np.log((ones + 0.5) / (zeros + 0.5)), weight))
-        below = (at >> np.uint64(8), prefix, pw)  # the farthest byte, the lowest, goes
-    return out, below
-
-
-def _sums(node: np.ndarray, context: np.ndarray, prefix: np.ndarray, pw: np.ndarray) -> np.ndarray:
-    """Sum of pw of the children of each of the sorted nodes."""
-    return np.bincount(np.searchsorted(node, context << np.uint64(8) | prefix), pw, minlength=len(node))
-
-
 @dataclass
-class Model:
-    """Estimates and weights: exact arrays for contexts of 0 and 1 bytes, the hash table for longer ones."""
+class Level:
+    """Nodes of one depth: sorted numbers (context, then the bits of the byte so far), log odds of a 1, weights."""
 
-    zero: np.ndarray  # 256 x 2
-    one: np.ndarray  # 65536 x 2
-    tag: np.ndarray
+    node: np.ndarray
     odds: np.ndarray
     weight: np.ndarray
-    keys: np.ndarray = field(default_factory=lambda: np.zeros(1 << 21, np.uint64))
-    values: np.ndarray = field(default_factory=lambda: np.zeros(1 << 21, np.float32))
-
-    def find(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(found, log odds, weight) of the nodes with these keys."""
-        base, tag = place_of(key)
-        found, odds, weight = np.zeros(len(key), bool), np.zeros(len(key), np.float32), np.ones(len(key), np.float32)
-        for k in range(4):
-            hit = np.flatnonzero((self.tag[base + k] == tag) & ~found)
-            found[hit], odds[hit], weight[hit] = True, self.odds[base[hit] + k], self.weight[base[hit] + k]
-        return found, odds, weight
-
-    def log10(self, gram: np.ndarray) -> np.ndarray:
-        """Log10 of the probability of each gram's last byte after its context."""
-        byte, context = gram >> np.uint64(8 * DEPTH), gram & np.uint64((1 << (8 * DEPTH)) - 1)
-        total = np.zeros(len(gram))
-        for j in range(8):
-            prefix = np.uint64(1 << j) | byte >> np.uint64(8 - j)
-            near = (context >> np.uint64(8 * (DEPTH - 1))).astype(np.int64)
-            path = [(self.zero[prefix.astype(np.int64)], None), (self.one[near << 8 | prefix.astype(np.int64)], None)]
-            odds, weight = [x[:, 0] for x, _ in path], [x[:, 1] for x, _ in path]
-            alive = weight[1] >= 0  # a weight below 0 marks a context that never occurred
-            live = [np.ones(len(gram), bool), alive]
-            for depth in range(2, DEPTH + 1):
-                ok, o, w = np.zeros(len(gram), bool), np.zeros(len(gram)), np.ones(len(gram))
-                at = np.flatnonzero(live[-1])
-                ok[at], o[at], w[at] = self.find(node_key(context[at] >> np.uint64(8 * (DEPTH - depth)), prefix[at], depth))
-                odds.append(o)
-                weight.append(w)
-                live.append(ok)
-            p = np.zeros(len(gram))
-            for depth in range(DEPTH, -1, -1):
-                kt = 1 / (1 + np.exp(-odds[depth]))
-                deeper = live[depth + 1] if depth < DEPTH else np.zeros(len(gram), bool)
-                mixed = np.where(deeper, weight[depth] * kt + (1 - weight[depth]) * p, kt)
-                p = np.where(live[depth], mixed, p)
-            bit = (byte >> np.uint64(7 - j)) & np.uint64(1)
-            total += np.log10(np.maximum(np.where(bit == 1, p, 1 - p), 1e-12))
-        return total
-
-    def known(self, gram: np.ndarray) -> np.ndarray:
-        """log10 through a cache (one place for each hash; it only saves work)."""
-        slot = (K.mix(gram + np.uint64(1)) >> np.uint64(64 - 21)).astype(np.int64)
-        out = self.values[slot].astype(np.float64)
-        if len(miss := np.flatnonzero(self.keys[slot] != gram + np.uint64(1))):
-            u, back = np.unique(gram[miss], return_inverse=True)
-            value = self.log10(u)
-            out[miss] = value[back]
-            place = (K.mix(u + np.uint64(1)) >> np.uint64(64 - 21)).astype(np.int64)
-            last = np.unique(place, return_index=True)[1]  # one gram for each place
-            self.keys[place[last]], self.values[place[last]] = u[last] + np.uint64(1), value[last]
-        return out
-
-
-def place_of(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(first of four places, tag 1..65535) of keys."""
-    return (key >> np.uint64(64 - GROUP_BITS)).astype(np.int64) * 4, ((key & np.uint64(0xFFFF)) | np.uint64(1)).astype(np.uint16)
-
-
-ROWS = "kind int, to int, part int, n int, keys binary, counts binary, parts binary"
+
+    def find(self, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(whether it exists, log odds, weight) of each node."""
+        if not len(self.node):
+            return np.zeros(len(node), bool), np.zeros(len(node)), np.ones(len(node))
+        at = np.minimum(np.searchsorted(self.node, node), len(self.node) - 1)
+        return self.node[at] == node, self.odds[at], self.weight[at]
+
+
+def level_of(node: np.ndarray, zeros: np.ndarray, ones: np.ndarray, split: np.ndarray | None) -> tuple[Level, np.ndarray]:
+    """A level from its counts and the sums of log P_w of the children (None: leaves), and its log P_w."""
+    pe = log_kt(zeros, ones)
+    pw = pe if split is None else np.logaddexp(pe, split) - math.log(2)
+    weight = np.ones(len(pe)) if split is None else np.exp(pe - pw - math.log(2))
+    return Level(node, np.log((ones + 0.5) / (zeros + 0.5)), weight), pw
+
+
+def subtrees(gram: np.ndarray, count: np.ndarray) -> tuple[dict[int, Level], tuple[np.ndarray, ...]]:
+    """The levels TOP..DEPTH of whole subtrees, and (node, zeros, ones, sum of log P_w of the children) for depth TOP-1."""
+    byte, context = gram >> np.uint64(8 * DEPTH), gram & np.uint64((1 << (8 * DEPTH)) - 1)
+    out, split = {}, None
+    for depth in range(DEPTH, TOP - 2, -1):
+        at, prefix, zeros, ones = decisions(context >> np.uint64(8 * (DEPTH - depth)), byte, count)
+        node = at << np.uint64(8) | prefix
+        if depth < DEPTH:
+            split = np.bincount(np.searchsorted(node, parent), pw, minlength=len(node))
+        if depth < TOP:
+            return out, (node, zeros, ones, split)
+        out[depth], pw = level_of(node, zeros, ones, split)
+        parent = at >> np.uint64(8) << np.uint64(8) | prefix  # the farthest byte, the lowest, goes
+
+
+def upper(node: np.ndarray, zeros: np.ndarray, ones: np.ndarray, split: np.ndarray) -> dict[int, Level]:
+    """The levels TOP-1..0 from the nodes of depth TOP-1; depth 0 always has all 255 nodes."""
+    order = np.argsort(node)
+    node, zeros, ones, split = node[order].astype(np.uint64), zeros[order], ones[order], split[order]
+    out = {}
+    for depth in range(TOP - 1, -1, -1):
+        out[depth], pw = level_of(node, zeros, ones, split)
+        up = node >> np.uint64(16) << np.uint64(8) | node & np.uint64(255) if depth > 1 else node & np.uint64(255)
+        node, back = np.unique(up, return_inverse=True)
+        zeros, ones, split = (np.bincount(back, x, minlength=len(node)) for x in (zeros, ones, pw))
+        zeros, ones = zeros.astype(np.int64), ones.astype(np.int64)
+    every = np.arange(1, 256).astype(np.uint64)
+    known, odds, weight = out[0].find(every)
+    out[0] = Level(every, np.where(known, odds, 0.0), np.where(known, weight, 1.0))
+    return out
+
+
+def log10_of(gram: np.ndarray, levels: dict[int, Level]) -> np.ndarray:
+    """Log10 of the probability of each gram's last byte after its context."""
+    byte, context = gram >> np.uint64(8 * DEPTH), gram & np.uint64((1 << (8 * DEPTH)) - 1)
+    total = np.zeros(len(gram))
+    for j in range(8):
+        prefix = np.uint64(1 << j) | byte >> np.uint64(8 - j)
+        p, deeper = np.zeros(len(gram)), np.zeros(len(gram), bool)
+        for depth in range(DEPTH, -1, -1):
+            own = context >> np.uint64(8 * (DEPTH - depth)) if depth else np.zeros(len(gram), np.uint64)
+            live, odds, weight = levels[depth].find(own << np.uint64(8) | prefix)
+            kt = 1 / (1 + np.exp(-odds))
+            p = np.where(live, np.where(deeper, weight * kt + (1 - weight) * p, kt), p)
+            deeper |= live
+        bit = (byte >> np.uint64(7 - j)) & np.uint64(1)
+        total += np.log10(np.where(bit == 1, p, 1 - p))
+    return total
+
+
+ROWS = "kind int, to int, part long, n long, total long, keys binary, counts binary"
+WORD, GRAM, ENDS, MODEL = 0, 1, 2, 3
 
 
 def _values(x: np.ndarray) -> bytes:
@@ -210,14 +192,15 @@ def _unvalues(raw: bytes, n: int) -> np.ndarray:
     return out.view("<u8").ravel().astype(np.int64)
 
 
-def _pack(keys: np.ndarray, counts: np.ndarray, parts: np.ndarray | None = None) -> tuple:
+def _row(kind: int, to: int, part: int, keys: np.ndarray, counts: np.ndarray) -> tuple:
+    """Sorted keys and their counts as a row."""
     wide = int(np.diff(keys, prepend=np.uint64(0)).max(initial=0)).bit_length()
-    return len(keys), _planes(keys, max(1, -(-wide // 8))), _values(counts), _values(parts) if parts is not None else b""
+    return kind, to, part, len(keys), int(counts.sum()), _planes(keys, max(1, -(-wide // 8))), _values(counts)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 7, kinds)], ["kind", "to", "part", "n", "keys", "counts", "parts"])
+    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 7, kinds)], ["kind", "to", "part", "n", "total", "keys", "counts"])
 
 
 def _runs(key: np.ndarray):
@@ -234,191 +217,157 @@ def _added(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return keys[new], np.add.reduceat(counts, new) if len(new) else counts
 
 
-def gather(documents: DataFrame, buckets: int, merges: int) -> DataFrame:
-    """What the corpus is asked and tells, from documents (id, held_out, part, text).
+def part_of(spark) -> Column:
+    """The part of a row: its partition as read, by a hash of the id where partitions have many times PART_BYTES."""
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes").strip().lower()
+    digits = size.rstrip("kmgtpib")
+    shares = max(1, int(digits) * {"": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30}[size[len(digits) :].rstrip("ib")[:1]] // PART_BYTES)
+    return (F.spark_partition_id().cast("long") * shares + F.pmod(F.xxhash64("id"), F.lit(shares))).alias("part")
 
-    kind 0: words of the chunk by part, with their counts in training documents.  kind 1: grams of training texts.
-    kind 2: training documents (n).
+
+def bucket_of(gram: np.ndarray) -> np.ndarray:
+    """Task of a gram: by its TOP nearest context bytes."""
+    return (K.mix((gram >> np.uint64(8 * (DEPTH - TOP))) & np.uint64((1 << 8 * TOP) - 1)) % np.uint64(SUBTREES)).astype(np.int64)
+
+
+def gather(documents: DataFrame, words: int) -> DataFrame:
+    """What parts ask and tell, from documents (id, held_out, part, text).
+
+    WORD, GRAM: distinct keys of a part by task `to`, with their counts in training documents.  ENDS: training documents (n).
     """
 
-    def words(found: list) -> list[tuple]:
-        h, part, train = (np.concatenate(c) for c in zip(*found))
-        h, part, train = h[o := np.lexsort((part, h))], part[o], train[o]
-        new = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (part[1:] != part[:-1])))
-        count = np.add.reduceat(train.astype(np.int64), new)
-        h, part = h[new], part[new]
-        to = (h % np.uint64(buckets)).astype(np.int64)
-        order = np.lexsort((h, to))
-        h, part, count, to = h[order], part[order], count[order], to[order]
-        return [(0, int(to[a]), -1, *_pack(h[a:b], count[a:b], part[a:b])) for a, b in _runs(to)]
-
-    def contexts(u: np.ndarray, c: np.ndarray, merge: int) -> list[tuple]:
-        to = bucket_of(u)
-        order = np.lexsort((u, to))
+    def dealt(kind: int, part: int, found: list) -> list[tuple]:
+        u, c = _added(found)
+        to = bucket_of(u) if kind == GRAM else (u % np.uint64(words)).astype(np.int64)
+        order = np.argsort(to, kind="stable")
         u, c, to = u[order], c[order], to[order]
-        return [(1, int(to[a]), merge, *_pack(u[a:b], c[a:b])) for a, b in _runs(to)]
+        return [_row(kind, int(to[a]), part, u[a:b], c[a:b]) for a, b in _runs(to)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         K.lean()
-        merge = (TaskContext.get().partitionId() if TaskContext.get() else 0) % merges
-        asked, told, held, docs = [], [], 0, 0
+        told, held, docs = defaultdict(list), 0, 0
         for b in batches:
             parts, train = b["part"].to_numpy(), ~b["held_out"].to_numpy(zero_copy_only=False)
             docs += int(train.sum())
             for i, j in K.slices(b["text"]):
                 data, first, w = stream(b["text"].slice(i, j - i))
-                text = i + w.text_of
-                if len(w.hash):
-                    asked.append((w.hash >> np.uint64(8), parts[text], train[text]))
-                g = grams(data, first)[np.repeat(train[i:j], np.diff(first))]
-                told.append(np.unique(g, return_counts=True))
-                held += len(data)
-                if held >= CHUNK_BYTES:
-                    if asked:
-                        yield _batch(words(asked))
-                    told = [_added(told)]
-                    if len(told[0][0]) > HELD:
-                        yield _batch(contexts(*told[0], merge))
-                        told = []
-                    asked, held = [], 0
-        last = words(asked) if asked else []
-        yield _batch(last + (contexts(*_added(told), merge) if told else []) + [(2, 0, -1, docs, b"", b"", b"")])
+                g, text = grams(data, first), np.repeat(np.arange(j - i), np.diff(first))
+                of_text, group = np.unique(parts[i:j] * 2 + train[i:j], return_inverse=True)
+                for k, x in enumerate(of_text.tolist()):
+                    for kind, keys, own in ((WORD, w.hash, w.text_of), (GRAM, g, text)):
+                        u, c = np.unique(keys[group[own] == k] if len(of_text) > 1 else keys, return_counts=True)
+                        if len(u):
+                            had = told[kind, x // 2]
+                            had.append((u, c.astype(np.int64) * (x % 2)))
+                            held += len(u)
+                            if len(had) > 16:  # what is held stays near the distinct keys
+                                had[:], held = [new := _added(had)], held - sum(len(y) for y, _ in had)
+                                held += len(new[0])
+                if held > HELD:
+                    for (kind, part), found in told.items():
+                        yield _batch(dealt(kind, part, found))
+                    told, held = defaultdict(list), 0
+        for (kind, part), found in told.items():
+            yield _batch(dealt(kind, part, found))
+        yield _batch([(ENDS, 0, -1, docs, 0, b"", b"")])
 
     return documents.mapInArrow(run, ROWS)
 
 
-def bucket_of(gram: np.ndarray) -> np.ndarray:
-    """Task of a gram: by its two nearest context bytes."""
-    return (K.mix((gram >> np.uint64(8 * (DEPTH - 2))) & np.uint64(0xFFFF)) % np.uint64(BUCKETS)).astype(np.int64)
-
-
-def _merged(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    rows = t.to_pylist()
-    keys = np.concatenate([_unplanes(r["keys"], r["n"]) for r in rows])
-    counts = np.concatenate([_unvalues(r["counts"], r["n"]) for r in rows])
-    parts = np.concatenate([_unvalues(r["parts"], r["n"]) if r["parts"] else np.full(r["n"], -1) for r in rows])
-    return keys, counts, parts
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, np.ndarray, np.ndarray]]:
+    """(row, keys, counts) one by one."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            r = batch.slice(i, 1).to_pylist()[0]
+            yield r, _unplanes(r["keys"], r["n"]), _unvalues(r["counts"], r["n"])
 
 
-def _grams(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct grams of rows of kind 1 and their counts, merged as they are read."""
+def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Training counts of the distinct grams of one task, added up as they are read, as one row."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
-    for batch in t.to_batches():
-        for i in range(batch.num_rows):
-            r = batch.slice(i, 1).to_pylist()[0]
-            held.append((_unplanes(r["keys"], r["n"]), _unvalues(r["counts"], r["n"])))
-            if len(held) > 1 and sum(len(k) for k, _ in held[1:]) > HELD:
-                held = [_added(held)]
-    return _added(held)
-
-
-def merged(t: pa.Table) -> pa.Table:
-    """Rows of kind 1 of one bucket as one row."""
-    return pa.Table.from_batches([_batch([(1, t["to"][0].as_py(), -1, *_pack(*_grams(t)))])])
-
-
-def answer(t: pa.Table) -> pa.Table:
-    """Total training counts of the words of one bucket: a row for each part that asked, and one (part -1) with the number of known words."""
-    h, count, part = _merged(t)
-    order = np.lexsort((h, part))
-    u, back = np.unique(h, return_inverse=True)
-    total = np.bincount(back, count, minlength=len(u)).astype(np.int64)[back][order]
-    h, part = h[order], part[order]
-    new = np.append(True, (h[1:] != h[:-1]) | (part[1:] != part[:-1]))
-    h, part, total = h[new], part[new], total[new]
-    rows = [(0, 0, int(part[a]), *_pack(h[a:b], total[a:b])) for a, b in _runs(part)]
-    used, at = np.unique(h, return_index=True)
-    return pa.Table.from_batches([_batch([*rows, (3, 0, -1, int((total[at] > 0).sum()), b"", _values(np.array([total[at].sum()])), b"")])])
-
-
-NODES = "range int, slot binary, tag binary, n binary, odds binary, weight binary"
-
-
-def grow(t: pa.Table) -> pa.Table:
-    """Nodes of the subtrees of one task, by slot range (0..63), and (range -1) what the upper levels need of them."""
-    u, count = _grams(t)
-    levels, (context, prefix, pw) = subtrees(u, count)
-    key, n, odds, weight = (np.concatenate([x[k] for x in levels]) for k in range(1, 5))
-    keep = n >= 2
-    key, n, odds, weight = key[keep], n[keep], odds[keep].astype(np.float16), weight[keep].astype(np.float16)
-    slot, tag = place_of(key)
-    zone = slot >> (GROUP_BITS + 2 - 6)
-    order = np.argsort(zone, kind="stable")
-    rows = []
-    for a, b in _runs(zone[order]):
-        o = order[a:b]
-        rows.append((int(zone[o[0]]), slot[o].astype("<i4").tobytes(), tag[o].tobytes(), np.minimum(n[o], 2**31 - 1).astype("<i4").tobytes(), odds[o].tobytes(), weight[o].tobytes()))
-    # Depth 1: counts, and the log P_w of the children.
-    byte, near = u >> np.uint64(8 * DEPTH), (u >> np.uint64(8 * (DEPTH - 1))) & np.uint64(255)
-    at, p, zeros, ones = decisions(near, byte, count)
-    node = at << np.uint64(8) | p
-    split = _sums(node, context, prefix, pw)
-    rows.append((-1, node.astype("<i4").tobytes(), zeros.astype("<i8").tobytes(), ones.astype("<i8").tobytes(), split.astype("<f8").tobytes(), b""))
-    return pa.table({c: pa.array(x, pa.int32() if c == "range" else pa.binary()) for c, x in zip(("range", "slot", "tag", "n", "odds", "weight"), zip(*rows))})
-
-
-def settle(t: pa.Table) -> pa.Table:
-    """One range of the hash table; rows of range -1 are added up."""
-    rows = t.to_pylist()
-    if rows[0]["range"] < 0:
-        node = np.concatenate([np.frombuffer(r["slot"], "<i4") for r in rows])
-        u, back = np.unique(node, return_inverse=True)
-        add = lambda c, kind: np.bincount(back, np.concatenate([np.frombuffer(r[c], kind) for r in rows]), minlength=len(u))
-        out = (-1, u.astype("<i4").tobytes(), add("tag", "<i8").astype("<i8").tobytes(), add("n", "<i8").astype("<i8").tobytes(), add("odds", "<f8").tobytes(), b"")
-    else:
-        slot, tag, n, odds, weight = (np.concatenate([np.frombuffer(r[c], k) for r in rows]) for c, k in (("slot", "<i4"), ("tag", "<u2"), ("n", "<i4"), ("odds", "<f2"), ("weight", "<f2")))
-        order = np.lexsort((tag, -n.astype(np.int64), slot))
-        slot, tag, odds, weight = slot[order].astype(np.int64), tag[order], odds[order], weight[order]
-        first = np.flatnonzero(np.diff(slot, prepend=-1))
-        rank = np.arange(len(slot)) - np.repeat(first, np.diff(np.append(first, len(slot))))
-        keep = rank < 4
-        size = 1 << (GROUP_BITS + 2 - 6)
-        at = slot[keep] - rows[0]["range"] * size + rank[keep]
-        dense = [np.zeros(size, k) for k in ("<u2", "<f2", "<f2")]
-        for d, x in zip(dense, (tag, odds, weight)):
-            d[at] = x[keep]
-        out = (rows[0]["range"], b"", dense[0].tobytes(), b"", dense[1].tobytes(), dense[2].tobytes())
-    return pa.table({c: pa.array([x], pa.int32() if c == "range" else pa.binary()) for c, x in zip(("range", "slot", "tag", "n", "odds", "weight"), out)})
-
-
-def model_of(rows: list) -> Model:
-    """Puts the ranges together and finishes the depths 1 and 0."""
-    places = 1 << (GROUP_BITS + 2)
-    tag, odds, weight = np.zeros(places, np.uint16), np.zeros(places, np.float16), np.ones(places, np.float16)
-    one, zero = np.tile(np.array([0.0, -1.0]), (65536, 1)), np.tile(np.array([0.0, 1.0]), (256, 1))
-    for r in rows:
-        if r["range"] >= 0:
-            at = slice(r["range"] * (places >> 6), (r["range"] + 1) * (places >> 6))
-            tag[at], odds[at], weight[at] = (np.frombuffer(r[c], k) for c, k in (("tag", "<u2"), ("odds", "<f2"), ("weight", "<f2")))
-            continue
-        node, zeros, ones, split = (np.frombuffer(r[c], k) for c, k in (("slot", "<i4"), ("tag", "<i8"), ("n", "<i8"), ("odds", "<f8")))
-        pe = log_kt(zeros, ones)
-        pw = np.logaddexp(pe, split) - math.log(2)
-        one[node] = np.stack([np.log((ones + 0.5) / (zeros + 0.5)), np.exp(pe - pw - math.log(2))], 1)
-        prefix = node & 255
-        z, o, s = (np.bincount(prefix, x, minlength=256) for x in (zeros, ones, pw))
-        pe = log_kt(z.astype(np.int64), o.astype(np.int64))
-        zero = np.stack([np.log((o + 0.5) / (z + 0.5)), np.exp(pe - np.logaddexp(pe, s))], 1)
-    return Model(zero, one, tag, odds, weight)
+    to, more = 0, 0
+    for r, keys, counts in _unpacked(batches):
+        use, to = counts > 0, r["to"]
+        held.append((keys[use], counts[use]))
+        more += int(use.sum())
+        if more > max(HELD, len(held[0][0])):
+            held, more = [_added(held)], 0
+    yield _batch([_row(MODEL, to, -1, *_added(held))])
+
+
+def answered_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Total training counts of the words of one task: a row for each that came, and one (part -1) with the number of known words and their sum."""
+    asked = [(r["part"], keys, counts) for r, keys, counts in _unpacked(batches)]
+    u, total = _added([(k, c) for _, k, c in asked])
+    for part, keys, _ in asked:
+        yield _batch([_row(WORD, 0, part, keys, total[np.searchsorted(u, keys)])])
+    yield _batch([(MODEL, 0, -1, int((total > 0).sum()), int(total.sum()), b"", b"")])
+
+
+SUMS = "node long, zeros long, ones long, split double"
+
+
+def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What the upper levels need of each task's subtrees."""
+    K.lean()
+    for _, keys, counts in _unpacked(batches):
+        if len(keys):
+            node, zeros, ones, split = subtrees(keys, counts)[1]
+            yield pa.RecordBatch.from_arrays([pa.array(node.astype(np.int64)), pa.array(zeros), pa.array(ones), pa.array(split)], ["node", "zeros", "ones", "split"])
+
+
+def answered_grams(batches: Iterator[pa.RecordBatch], above: dict[int, Level]) -> Iterator[pa.RecordBatch]:
+    """log10 of the probability of every gram that the parts ask, as 32-bit floats; one row of kind MODEL has the counts."""
+    K.lean()
+    asked, levels = [], {d: Level(*(np.zeros(0, t) for t in (np.uint64, float, float))) for d in range(TOP, DEPTH + 1)}
+    for r, keys, counts in _unpacked(batches):
+        if r["kind"] == MODEL and len(keys):
+            levels = subtrees(keys, counts)[0]
+        elif r["kind"] == GRAM:
+            asked.append((r["part"], keys))
+    if not asked:
+        return
+    u = np.unique(np.concatenate([k for _, k in asked]))
+    value = np.concatenate([log10_of(u[i : i + 200_000], levels | above) for i in range(0, len(u), 200_000)]).astype("<f4")
+    for part, keys in asked:
+        own = np.ascontiguousarray(value[np.searchsorted(u, keys)])
+        kind, to, part, n, _, packed, _ = _row(GRAM, 0, part, keys, np.zeros(0, np.int64))
+        yield _batch([(kind, to, part, n, 0, packed, own.view(np.uint8).reshape(-1, 4).T.tobytes())])
 
 
 OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _score(docs: pa.Table, told: pa.Table, model: Model, n: int, v: int, ends: int) -> pa.Table:
-    rows = told.to_pylist()
-    known = np.concatenate([_unplanes(r["keys"], r["n"]) for r in rows]) if rows else np.zeros(0, np.uint64)
-    count = np.concatenate([_unvalues(r["counts"], r["n"]) for r in rows]) if rows else np.zeros(0, np.int64)
-    order = np.argsort(known)
-    known, count = known[order], count[order]
+def _known(told: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys of the answers of one kind and their values."""
+    keys, values = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64 if kind == WORD else np.float32)]
+    for batch in told.to_batches():
+        for r in batch.to_pylist():
+            if r["kind"] == kind:
+                keys.append(_unplanes(r["keys"], r["n"]))
+                values.append(_unvalues(r["counts"], r["n"]) if kind == WORD else np.ascontiguousarray(np.frombuffer(r["counts"], np.uint8).reshape(4, -1).T).view("<f4").ravel())
+    keys, values = np.concatenate(keys), np.concatenate(values)
+    order = np.argsort(keys)
+    return keys[order], values[order]
+
+
+def _looked_up(known: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> np.ndarray:
+    u, back = np.unique(keys, return_inverse=True)
+    at = np.searchsorted(known[0], u)
+    if len(u) and (at[-1] >= len(known[0]) or (known[0][at] != u).any()):
+        raise RuntimeError("the partitions of the documents changed between two readings: store the documents first")
+    return known[1][at][back]
+
+
+def _score(docs: pa.Table, told: pa.Table, n: int, v: int, ends: int) -> pa.Table:
+    words, contexts = _known(told, WORD), _known(told, GRAM)
     out, size = [], n + v + 1
     for b in docs.select(["id", "held_out", "text"]).combine_chunks().to_batches():
         for i, j in K.slices(b["text"]):
             data, first, w = stream(b["text"].slice(i, j - i))
-            c = count[np.searchsorted(known, w.hash >> np.uint64(8))] if len(w.hash) else np.zeros(0, np.int64)
-            text = w.text_of
+            c, text = _looked_up(words, w.hash), w.text_of
             base = np.bincount(text, np.log10((c + 1) / size), minlength=j - i) + math.log10((ends + 1) / size)
-            score = np.add.reduceat(model.known(grams(data, first)), first[:-1])
+            score = np.add.reduceat(_looked_up(contexts, grams(data, first)).astype(np.float64), first[:-1])
             out.append(pa.table({"doc_id": b["id"].slice(i, j - i), "held_out": b["held_out"].slice(i, j - i), "n_tokens": w.counts + 1, "n_known": np.bincount(text, c > 0, minlength=j - i).astype(np.int64) + (ends > 0), "train_tokens": np.full(j - i, n), "base_score": base, "score": score}))
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
     return pa.concat_tables([t.cast(schema) for t in out]) if out else schema.empty_table()
@@ -428,42 +377,38 @@ def log_probability(documents: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10) for every row.
 
     Documents whose crc32(doc_id as text) mod 7 is 2 are held out of training.  Null texts count as empty: their
-    only token is the end.  Rows are handled one by one, repeated ids too; other columns are not read.
+    only token is the end.  Rows are handled one by one, repeated ids too; other columns are not read.  A very long text is
+    handled as a whole, in its part.  The documents are read twice, in the same partitions: a table, or a stored one.
     """
-    total = documents.count()
-    parts = total // 1000 + 1
+    spark = documents.sparkSession
     base = documents.select(F.col("doc_id").cast("long").alias("id"), held_out("doc_id", FOLDS).alias("held_out"), "text")
-
-    docs = base.select("id", "held_out", part_column(parts), "text")
-    seen = stored(gather(docs, max(64, total // WORD_DOCS), merges := total // MERGE_DOCS + 1), "gathered")
-    ends = seen.where("kind = 2").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    told = stored(seen.where("kind = 0").groupBy("to").applyInArrow(answer, ROWS), "answers")
-    sums = [(r["n"], int(_unvalues(bytes(r["counts"]), 1)[0])) for r in told.where("kind = 3").groupBy("kind").agg(F.sum("n").alias("n"), F.collect_list("counts").alias("all")).selectExpr("n", "explode(all) AS counts").collect()]
-    v = (sums[0][0] if sums else 0) + (ends > 0)
-    n = sum(x for _, x in sums) + ends
-    told_grams = seen.where("kind = 1")
-    if merges > 1:
-        told_grams = told_grams.groupBy("to", "part").applyInArrow(merged, ROWS)
-    nodes = told_grams.groupBy("to").applyInArrow(grow, NODES)
-    model = model_of(nodes.groupBy("range").applyInArrow(settle, NODES).collect())
-    shared = documents.sparkSession.sparkContext.broadcast((model.zero, model.one, model.tag, model.odds, model.weight))
+    docs = base.select("id", "held_out", part_of(spark), "text")
+    seen = stored(gather(docs, max(64, documents.count() // WORD_DOCS)), "gathered")
+    ends, parts = seen.agg(F.coalesce(F.sum(F.when(F.col("kind") == ENDS, F.col("n"))), F.lit(0)), F.coalesce(F.max("part"), F.lit(0)) + 1).first()
+    told = stored(seen.where(F.col("kind") == WORD).groupBy("to").applyInArrow(answered_words, ROWS), "answers")
+    n, v = told.where(F.col("kind") == MODEL).agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    n, v = n + ends, v + (ends > 0)
+    asked = seen.where(F.col("kind") == GRAM)
+    counts = asked
+    if parts > SHARE:  # first by shares of the parts, so that no task reads all of a large corpus
+        counts = counts.withColumn("__share", F.floor(F.col("part") / SHARE)).groupBy("to", "__share").applyInArrow(merged, ROWS)
+    model = stored(counts.groupBy("to").applyInArrow(merged, ROWS), "model")
+    top = model.mapInArrow(sums, SUMS).groupBy("node").agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "split"))).toArrow()
+    above = spark.sparkContext.broadcast(upper(*(top[c].to_numpy() for c in ("node", "zeros", "ones", "split"))))
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from answered_grams(batches, above.value)
+
+    shares = parts // SHARE + 1
+    dealt = asked.withColumn("__share", F.pmod(F.xxhash64("part"), F.lit(shares))).unionByName(model.withColumn("__share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1)).cast("array<long>"))))
+    values = dealt.groupBy("to", "__share").applyInArrow(answer, ROWS)
 
     def score(a: pa.Table, b: pa.Table) -> pa.Table:
         K.lean()
-        return _score(a, b, cached(shared), int(n), int(v), int(ends))
-
-    return docs.groupBy("part").cogroup(told.where("kind = 0").groupBy("part")).applyInArrow(score, OUT)
-
-
-_MODELS: list[tuple[object, Model]] = []
-
+        return _score(a, b, int(n), int(v), int(ends))
 
-def cached(shared) -> Model:
-    """One model, with its cache of grams, for each Python worker."""
-    value = shared.value
-    if not _MODELS or _MODELS[0][0] is not value[2]:
-        _MODELS[:] = [(value[2], Model(*value))]
-    return _MODELS[0][1]
+    every = told.where(F.col("kind") == WORD).unionByName(values)
+    return docs.groupBy("part").cogroup(every.groupBy("part")).applyInArrow(score, OUT)
 
 
 def op6_lm(spark, sf_dir: str) -> DataFrame:
