@@ -48,6 +48,18 @@ def test_large_buckets_are_cut_in_blocks(spark, monkeypatch):
     assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in rows} == want
 
 
+def test_repeated_and_null_ids(spark):
+    """Every row counts, in whatever order: different vectors of one id have links of their own and share a component."""
+    one, two = [1.0] + [0.0] * 15, [0.0, 1.0] + [0.0] * 14
+    near = lambda v: [c + 0.01 for c in v]
+    rows = [(1, one), (1, two), (2, near(one)), (3, near(two)), (3, near(two)), (4, None), (4, one), (9, None), (None, one), (None, None)]
+    for order in (rows, rows[::-1]):
+        got = vectors.near_vectors(spark.createDataFrame(order, "vec_id long, embedding array<double>")).collect()
+        want = [(1, 2, 1), (1, 2, 1), (2, 2, 1), (3, 2, 1), (3, 2, 1), (4, 0, 1), (4, 2, 1), (9, 0, 9), (None, 0, None), (None, 0, None)]
+        assert sorted(((r["vec_id"], r["n_links"], r["component_id"]) for r in got), key=str) == sorted(want, key=str)
+        assert all(r["kept"] == (r["vec_id"] is not None and r["vec_id"] == r["component_id"]) for r in got)
+
+
 def test_empty(spark):
     assert vectors.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 

@@ -182,13 +182,15 @@ def near_vectors(vectors: DataFrame, least: float = LEAST) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of vectors (vec_id, embedding).
 
     Unusable vectors (null, zero, null or non-finite components) get 0 links and their own id.  Rows that repeat an
-    id share one component; the copies count as vectors of their own.  Other columns are not read.
+    id share one component; every row has the links of its own vector, and equal vectors link each other.  A row with a null
+    id links with nothing: 0 links, no component, not kept.  Other columns are not read.
     """
     base = vectors.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
-    keyed = base.withColumn("key1", F.xxhash64("v")).withColumn("key2", F.xxhash64(F.lit(17), "v"))
-    lead = keyed.groupBy("key1", "key2").agg(F.min("id").alias("rep"), F.count("*").alias("times"))
-    member = stored(keyed.select("id", "key1", "key2").join(lead, ["key1", "key2"]).select("id", "rep", "times"), "member", small=True)
-    chosen = stored(hashed(base.join(member.where("id = rep").select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])), "vectors")
+    keyed = base.where("id IS NOT NULL").withColumn("key1", F.xxhash64("v")).withColumn("key2", F.xxhash64(F.lit(17), "v"))
+    # Different vectors have numbers of their own, whatever ids they share; the table is written, so that they stay.
+    lead = stored(keyed.groupBy("key1", "key2").agg(F.min("id").alias("rep"), F.count("*").alias("times"), F.first("v").alias("v")).withColumn("number", F.monotonically_increasing_id()), "lead", small=True)
+    member = stored(keyed.select("id", "key1", "key2").join(lead.select("key1", "key2", "number", "rep", "times"), ["key1", "key2"]).select("id", "number", "rep", "times"), "member", small=True)
+    chosen = stored(hashed(lead.select(F.col("number").alias("id"), "v")), "vectors")
     filed = chosen.select("id", F.posexplode("keys").alias("pos", "bucket")).withColumn("filed", F.col("pos") % (1 + PROBES) == 0)
     filed = filed.groupBy("bucket", "id").agg(F.max("filed").alias("filed"))
     full = filed.groupBy("bucket").agg(F.count("*").alias("m"), F.max("filed").alias("any")).where("m > 1 AND any").select("bucket", F.ceil(F.col("m") / BLOCK).cast("int").alias("k"))
@@ -196,17 +198,19 @@ def near_vectors(vectors: DataFrame, least: float = LEAST) -> DataFrame:
     spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select("bucket", "id", "filed", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
     rows = placed.agg(F.coalesce(F.sum("k"), F.lit(0))).first()[0]
     shard = F.pmod(F.xxhash64("bucket", "lo", "hi"), F.lit(int(rows) // 8000 + 1))
-    once = member.where("id = rep").select("id", "times").distinct()
+    once = lead.select(F.col("number").alias("id"), "times")
     dealt = spread.join(chosen, "id").join(once, "id").withColumn("shard", shard)
     got = stored(dealt.groupBy("shard").applyInArrow(lambda t: _compare(t, least), "id long, links long, root long"), "links", small=True)
-    linked = got.groupBy("id").agg(F.sum("links").alias("links"))
-    root = components(got.select(F.col("id").alias("a"), F.col("root").alias("b")).union(member.select("id", "rep")))
-    usable = chosen.select(F.col("id").alias("rep"), F.lit(True).alias("usable"))
-    out = base.select("id").join(member.dropDuplicates(["id"]), "id", "left").join(usable, "rep", "left").join(linked.withColumnRenamed("id", "rep"), "rep", "left").join(root, "id", "left")
-    alone = F.col("usable").isNull()
-    component = F.when(alone, F.col("id")).otherwise(F.coalesce("root", "id"))
-    n = F.when(alone, F.lit(0)).otherwise(F.coalesce("links", F.lit(0)) + F.col("times") - 1)
-    return out.select(F.col("id").alias("vec_id"), n.cast("long").alias("n_links"), component.alias("component_id")).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    linked = got.groupBy(F.col("id").alias("number")).agg(F.sum("links").alias("links"))
+    named = lambda c: lead.select(F.col("number").alias(c), F.col("rep").alias(c + "_rep"))
+    edges = got.where("id <> root").select("id", "root").distinct().join(named("id"), "id").join(named("root"), "root").select(F.col("id_rep").alias("a"), F.col("root_rep").alias("b"))
+    usable = chosen.select(F.col("id").alias("number"), F.lit(True).alias("usable"))
+    root = components(edges.union(member.join(usable, "number").select("id", "rep")))
+    out = member.join(usable, "number", "left").join(linked, "number", "left").join(root, "id", "left")
+    n = F.when(F.col("usable").isNull(), F.lit(0)).otherwise(F.coalesce("links", F.lit(0)) + F.col("times") - 1)
+    unnamed = base.where("id IS NULL").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    every = out.select("id", n.cast("long").alias("n_links"), F.coalesce("root", "id").alias("component_id")).union(unnamed)
+    return every.select(F.col("id").alias("vec_id"), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
 def op8_embeddings(spark, sf_dir: str) -> DataFrame:
