@@ -88,7 +88,36 @@ def test_lines(table, rows):
 def test_longest_runs(table):
     run = "\n".join(f"line number {i}" for i in range(9))
     got = lines.dedup_lines(table([(1, run), (2, "own\n" + run)])).orderBy("doc_id").collect()
-    assert [(r["n_removed"], r["longest_run"]) for r in got] == [(0, 0), (9, 8)]
+    assert [(r["n_removed"], r["longest_run"]) for r in got] == [(0, 0), (9, 9)]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_longest_earlier_runs_of_every_line(table, seed):
+    """Maximal repeats against all pairs of positions, of lines that repeat in runs of all lengths, across and within documents."""
+    r = random.Random(seed)
+    source = [r.choice("abcdef") for _ in range(60)]
+    docs = []
+    for i in range(12):
+        ls = []
+        while len(ls) < 40:
+            a = r.randrange(55)
+            ls += source[a : a + r.randint(1, 25)] if r.random() < 0.7 else [r.choice(["", f"own {i} {len(ls)}"])]
+        docs.append((i, "\n".join(ls)))
+    sequences = lines.positions(table(docs))
+    number = {r["doc"]: r["doc_id"] for r in sequences.collect()}
+    got = {(number[r["pos"] >> lines._LINE], r["pos"] & ((1 << lines._LINE) - 1)): r["length"] for r in lines.repeated_runs(sequences).collect()}
+    flat = [(i, k, docs[i][1].split("\n")) for i in range(12) for k in range(len(docs[i][1].split("\n")))]
+    want = {}
+    for n, (i, k, ls) in enumerate(flat):
+        best = 0
+        for _, m, other in flat[:n]:
+            x = 0
+            while k + x < len(ls) and m + x < len(other) and ls[k + x] == other[m + x] != "":
+                x += 1
+            best = max(best, x)
+        if best:
+            want[i, k] = best
+    assert got == want
 
 
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
@@ -156,50 +185,63 @@ def test_language_model_of_nothing(empty):
     assert ctw.log_probability(empty).collect() == []
 
 
-def test_context_tree_weighting_is_exact():
-    docs = ["the cat sat on the mat", "the dog sat on the cat", "a mat a cat a dog", ""]
-    data, first, _ = ctw.stream(pa.array(docs))
-    gram, count = np.unique(ctw.grams(data, first), return_counts=True)
-    depth, mask = ctw.DEPTH, (1 << 8 * ctw.DEPTH) - 1
+def ctw_by_force(rows):
+    """log10 score of every text, from dictionaries of nodes."""
+    depth, held = ctw.DEPTH, lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    low = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+    stream = lambda t: b" ".join(WORD.findall((t or "").encode().translate(low))) + b"\n"
     seen, kids = collections.defaultdict(lambda: [0, 0]), collections.defaultdict(set)
-    for g, c in zip(gram.tolist(), count.tolist()):
-        b, ctx = g >> 8 * depth, g & mask
-        for j in range(8):
-            p = 1 << j | b >> (8 - j)
-            for d in range(depth + 1):
-                k = (d, ctx >> 8 * (depth - d), p)
-                seen[k][b >> (7 - j) & 1] += c
-                if d < depth:
-                    kids[k].add((d + 1, ctx >> 8 * (depth - d - 1), p))
-    kt = lambda a, b: math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.log(math.pi) - math.lgamma(a + b + 1)
 
-    def pw(k):
+    def paths(t):
+        s = b"\n" * depth + stream(t)
+        for x in range(depth, len(s)):
+            for j in range(8):
+                yield s[x] >> (7 - j) & 1, [(s[x - d : x], 1 << j | s[x] >> (8 - j)) for d in range(depth + 1)]
+
+    for i, t in rows:
+        for bit, path in () if held(i) else paths(t):
+            for d, k in enumerate(path):
+                seen[k][bit] += 1
+                if d:
+                    kids[path[d - 1]].add(k)
+    kt = lambda a, b: math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.log(math.pi) - math.lgamma(a + b + 1)
+    pw = {}
+    for k in sorted(seen, key=lambda k: -len(k[0])):
         e = kt(*seen[k])
-        return e if k[0] == depth else np.logaddexp(e, sum(map(pw, kids[k]))) - math.log(2)
-
-    def predicted(g):
-        b, ctx, total = g >> 8 * depth, g & mask, 0.0
-        for j in range(8):
-            p, q = 1 << j | b >> (8 - j), None
-            for d in range(depth, -1, -1):
-                k = (d, ctx >> 8 * (depth - d), p)
-                a, o = seen.get(k, (0, 0))
-                if a + o < (2 if d >= 2 else 1):
-                    q = None if d else 0.5
-                    continue
-                own, w = (o + 0.5) / (a + o + 1), 1.0 if d == depth else math.exp(kt(a, o) - pw(k) - math.log(2))
-                q = own if q is None else w * own + (1 - w) * q
-            total += math.log10(q if b >> (7 - j) & 1 else 1 - q)
-        return total
-
-    t = ctw.grow(pa.Table.from_batches([ctw._batch([(1, 0, -1, *ctw._pack(gram, count))])]))
-    by = collections.defaultdict(list)
-    for r in t.to_pylist():
-        by[r["range"]].append(r)
-    model = ctw.model_of([ctw.settle(pa.Table.from_pylist(v, schema=t.schema)).to_pylist()[0] for v in by.values()])
-    assert np.abs(np.array([predicted(g) for g in gram.tolist()]) - model.known(gram)).max() < 5e-3
-    every = (gram[3] & np.uint64(mask)) | np.arange(256).astype(np.uint64) << np.uint64(8 * depth)
-    assert abs((10 ** model.log10(every)).sum() - 1) < 1e-6
+        pw[k] = e if len(k[0]) == depth else np.logaddexp(e, sum(pw[c] for c in kids[k])) - math.log(2)
+    out = []
+    for i, t in rows:
+        total = 0.0
+        for bit, path in paths(t):
+            q = None
+            for k in reversed(path):
+                if k in seen:
+                    own = (seen[k][1] + 0.5) / (sum(seen[k]) + 1)
+                    w = math.exp(kt(*seen[k]) - pw[k] - math.log(2))
+                    q = own if q is None else w * own + (1 - w) * q
+            total += math.log10((0.5 if q is None else q if bit else 1 - q))
+        out.append((i, round(total, 2)))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("shares", [False, True])
+def test_context_tree_weighting_is_exact(table, monkeypatch, shares):
+    """No node is lost, however little is held at once and however many tasks share the parts."""
+    if shares:
+        monkeypatch.setattr(ctw, "SHARE", 2)
+        monkeypatch.setattr(ctw, "HELD", 300)
+    r = random.Random(3)
+    rows = [(i, " ".join("".join(r.choice("abcdeXYé") for _ in range(r.randint(1, 6))) for _ in range(r.randint(0, 60)))) for i in range(50)] + [e for e in EDGES if e[0] != 5]
+    got = ctw.log_probability(table(rows)).collect()
+    want = ctw_by_force(rows)
+    assert len(got) == len(want)
+    for (i, w), g in zip(want, sorted(((x["doc_id"], round(x["score"], 2)) for x in got), key=str)):
+        assert i == g[0] and abs(w - g[1]) < 0.05
+    data, first, _ = ctw.stream(pa.array(["abcabc abd", "abx"]))
+    gram, count = np.unique(ctw.grams(data, first), return_counts=True)
+    levels, above = ctw.subtrees(gram, count)
+    every = (gram[3] & np.uint64((1 << 8 * ctw.DEPTH) - 1)) | np.arange(256).astype(np.uint64) << np.uint64(8 * ctw.DEPTH)
+    assert abs((10 ** ctw.log10_of(every, levels | ctw.upper(*above))).sum() - 1) < 1e-6
 
 
 def test_kernels_hash_as_spark(spark):
