@@ -7,8 +7,8 @@ earliest of each coordinate is the signature (where a coordinate stays empty, th
 agree on a coordinate with the probability of their weighted Jaccard similarity, at a cost of O(elements + k log k).
 
 Bands of the signature give buckets.  Copies with equal shingle sets are merged first.  Then every document of a
-bucket is compared with one hub of it, chosen at random for each band; pairs are verified on the exact shingle
-sets and joined to components.  A bucket whose documents aren't of one component yet goes to a second pass that
+bucket is compared with one hub of it, chosen at random for each band (a hub of many partners in shares of FAN); pairs are
+verified on the exact shingle sets and joined to components.  A bucket whose documents aren't of one component yet goes to a second pass that
 compares all its pairs across components, in blocks.  So no bucket emits all its pairs, and no link between
 components is lost.
 """
@@ -19,7 +19,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
 from . import kernels as K
@@ -158,10 +157,19 @@ def alike(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray) -> np.nd
     return common / np.maximum(na + nb - common, 1)
 
 
+#: Rows of one hub that a task gets at a time: its elements are copied once for each so many partners.
+FAN = 256
+
+
 def verified(pairs: DataFrame, elements: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose sets have a similarity of `least` or more."""
-    one = elements.select(F.col("id").alias("a"), F.col("elements").alias("x"))
-    two = elements.select(F.col("id").alias("b"), F.col("elements").alias("y"))
+    """The pairs (a, b) whose sets have a similarity of `least` or more, from pairs (a, b, hub, salt, salts).
+
+    A hub meets its partners under keys (hub, salt), so that one with very many of them spreads over tasks.
+    """
+    copies = pairs.groupBy("hub").agg(F.max("salts").alias("__k"))
+    one = elements.select(F.col("id").alias("hub"), F.col("elements").alias("x")).join(copies.hint("merge"), "hub").select("hub", "x", F.explode(F.sequence(F.lit(0), F.col("__k") - 1)).alias("salt"))
+    two = elements.select(F.col("id").alias("other"), F.col("elements").alias("y"))
+    met = pairs.withColumn("other", F.when(F.col("hub") == F.col("a"), F.col("b")).otherwise(F.col("a"))).hint("merge")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,7 +178,7 @@ def verified(pairs: DataFrame, elements: DataFrame, least: float) -> DataFrame:
                 (x, nx), (y, ny) = K.rows(c["x"], np.uint32), K.rows(c["y"], np.uint32)
                 yield c.select(["a", "b"]).filter(pa.array(alike(x, nx, y, ny) >= least - 1e-12))
 
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return met.join(two, "other").join(one.hint("merge"), ["hub", "salt"]).select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 BLOCK = 256
@@ -221,22 +229,23 @@ def near_duplicates(documents: DataFrame, size: int = SHINGLE, least: float = SI
     signed = stored(sign(base, size, count, rows, multiset), "signed")
     lead = signed.groupBy("key1", "key2").agg(F.min("id").alias("rep"))
     member = stored(signed.select("id", "key1", "key2").join(lead, ["key1", "key2"]).select("id", "rep"), "member", small=True)
-    chosen = signed.join(member.where("id = rep").select("id").distinct(), "id", "left_semi")
+    # The joins with bands and elements are merge joins at every size, so that the cost keeps in proportion to the input.
+    chosen = signed.select("id", "bands").join(member.where("id = rep").select("id").distinct().hint("merge"), "id", "left_semi")
     exploded = chosen.select("id", F.explode("bands").alias("bucket"))
-    hub = exploded.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("bucket", "id").alias("p"), F.col("id").alias("hub"))).alias("h"), F.count("*").alias("m")).where("m > 1").select("bucket", F.col("h.hub").alias("hub"))
+    hub = exploded.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("bucket", "id").alias("p"), F.col("id").alias("hub"))).alias("h"), F.count("*").alias("m")).where("m > 1").select("bucket", F.col("h.hub").alias("hub"), F.ceil(F.col("m") / FAN).cast("int").alias("salts"))
     bucketed = stored(exploded.join(hub, "bucket"), "bucketed", small=True)
     involved = bucketed.select("id").distinct()
-    # Kept on the executors' disks; a part that is lost is made again from the signed table, which stays until the end.
-    elements = signed.select("id", "n", "elements").join(involved, "id", "left_semi").persist(StorageLevel.DISK_ONLY)
-    pairs = bucketed.where("id != hub").select(F.greatest("id", "hub").alias("a"), F.least("id", "hub").alias("b")).distinct()
+    elements = stored(signed.select("id", "n", "elements").join(involved.hint("merge"), "id", "left_semi"), "elements")
+    dropped(signed)
+    met = bucketed.where("id != hub").select(F.greatest("id", "hub").alias("a"), F.least("id", "hub").alias("b"), F.struct("salts", "hub", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt")).alias("s"))
+    pairs = met.groupBy("a", "b").agg(F.min("s").alias("s")).select("a", "b", "s.hub", "s.salt", "s.salts")
     links = stored(verified(pairs, elements, least), "links", small=True)
     root = components(links)
     rooted = bucketed.select("bucket", "id").join(root, "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("root"))
     mixed = rooted.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
     rest = stored(rooted.join(mixed, "bucket", "left_semi"), "rest", small=True)
     more = stored(across(rest.join(elements, "id"), least), "links", small=True)
-    elements.unpersist()
-    dropped(signed)
+    dropped(elements, bucketed)
     own = member.where("id != rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     full = components(links.union(more).union(own))
     ids = base.select("id").distinct()
