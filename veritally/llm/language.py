@@ -136,9 +136,12 @@ def fit(texts: pa.Array, lang: list[str], batch: int = 400) -> Hierarchy:
 
 
 def train(documents: DataFrame, rows: int = TRAIN_ROWS) -> Hierarchy:
-    """Fits on the whole texts of about `rows` documents at most outside the held-out fold."""
+    """Fits on the whole texts of about `rows` documents at most outside the held-out fold, the same number of each language.
+
+    A language with fewer documents than its share gives all that it has, so a rare one is learned too.
+    """
     pool = documents.where(~held_out("doc_id") & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    got = sample(pool.select("doc_id", "text", "lang"), rows, "doc_id").select("text", "lang").toArrow()
+    got = sample(pool.select("doc_id", "text", "lang"), rows, "doc_id", strata="lang").select("text", "lang").toArrow()
     model = fit(got["text"].combine_chunks(), got["lang"].to_pylist())
     del got
     K.trim()
