@@ -10,13 +10,14 @@
    subsequence of words must hold most of the item, or less (a paraphrase) if it holds the item's answer, its last
    words.  Seeds are exact, so a copy is found however common its words are.
 
-The benchmark is a query set: it is handled in blocks of a bounded number of items, so nothing that is broadcast grows
-with the corpus.  Items of a block are of like length (within a factor of LENGTHS), as passages are cut to it: a short
+The benchmark is a query set: it is handled in blocks of a bounded number of items, some blocks in each pass, so nothing
+that is broadcast grows with the corpus.  Items of a block are of like length (within a factor of LENGTHS), as passages are cut to it: a short
 item would not stand out in passages as long as a long one needs.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,14 +32,16 @@ from .common import read
 LCS, PARAPHRASE, ANSWER = 0.7, 0.5, 8
 #: Least rank of the SVD, its rank above the number of items, and items handled at a time (about).
 RANK, SPARE, ITEMS = 192, 40, 400
+#: Blocks of items that share a pass over the documents.
+TOGETHER = 8
 #: The longest item of a block has fewer than so many times the words of the shortest.
 LENGTHS = 4
 #: A passage is a candidate for items of this cosine, over the norm of all its words; least weight of a word.
 COSINE, LEAST_IDF = 0.27, 0.1
 #: A passage is a candidate too if it holds a run of so many words of an item (all words of a shorter item).
 SEED = 5
-#: Rows of a matrix that are summed at a time.
-PIECE = 32
+#: Rows of a matrix that are summed at a time; rows of a partial product that are added up by one task.
+PIECE, ROWS = 32, 512
 #: An item counts as such a share of all passages in the SVD: its space must hold the benchmark first.
 ITEM_WEIGHT = 0.01
 
@@ -82,13 +85,14 @@ def look_up(vocabulary: np.ndarray, h: np.ndarray) -> np.ndarray:
     return out
 
 
-_TABLES: dict[tuple[int, int, int], np.ndarray] = {}
+_TABLES: dict[tuple[int, bytes], np.ndarray] = {}
 
 
 def _first(vocabulary: np.ndarray, bits: int) -> np.ndarray:
-    key = (len(vocabulary), int(vocabulary[0]), bits)
+    """First number in the vocabulary for each value of the first bits of a hash (-1: none); kept by the vocabulary's content."""
+    key = (bits, hashlib.blake2b(np.ascontiguousarray(vocabulary).view(np.uint8), digest_size=16).digest())
     if key not in _TABLES:
-        if len(_TABLES) >= 8:
+        if len(_TABLES) >= 8 * TOGETHER:
             _TABLES.clear()
         top = (vocabulary >> np.uint64(64 - bits)).astype(np.int64)
         table = np.full(1 << bits, -1)
@@ -104,27 +108,30 @@ def blocks(w: K.Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     return base[w.text_of] + K.ranges(w.counts) // size, np.repeat(np.arange(len(count)), count)
 
 
-def document_frequency(documents: DataFrame, vocabulary: np.ndarray, size: int) -> tuple[np.ndarray, int]:
-    """(blocks that hold each word, blocks) of all documents."""
-    shared = documents.sparkSession.sparkContext.broadcast(vocabulary)
+def document_frequency(documents: DataFrame, each: list[tuple[np.ndarray, int]]) -> list[tuple[np.ndarray, int]]:
+    """(passages that hold each word, passages) of all documents, for each vocabulary and size of passages; in one pass."""
+    shared = documents.sparkSession.sparkContext.broadcast(each)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         K.lean()
-        known = shared.value
-        n, total = np.zeros(len(known), np.int64), 0
+        sums = [np.zeros(len(known) + 1, np.int64) for known, _ in shared.value]
         for b in batches:
             for i, j in K.slices(b["text"]):
                 w = normal(b["text"].slice(i, j - i))
-                block, text = blocks(w, size)
-                number = look_up(known, w.hash)
-                hit = number >= 0
-                n += np.bincount(np.unique(block[hit] * len(known) + number[hit]) % max(1, len(known)), minlength=len(known))
-                total += len(text)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(known))), pa.array(np.concatenate([[total], n]))], ["word", "n"])
+                for (known, size), n in zip(shared.value, sums):
+                    block, text = blocks(w, size)
+                    number = look_up(known, w.hash)
+                    hit = number >= 0
+                    n[1:] += np.bincount(np.unique(block[hit] * len(known) + number[hit]) % max(1, len(known)), minlength=len(known))
+                    n[0] += len(text)
+        for k, n in enumerate(sums):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), k, np.int32)), pa.array(np.arange(-1, len(n) - 1)), pa.array(n)], ["space", "word", "n"])
 
-    rows = documents.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
-    got = {r["word"]: r["n"] for r in rows}
-    return np.array([got.get(i, 0) for i in range(len(vocabulary))], np.int64), int(got.get(-1, 0))
+    rows = documents.select("text").mapInArrow(run, "space int, word long, n long").groupBy("space", "word").agg(F.sum("n").alias("n")).collect()
+    out = [np.zeros(len(known) + 1, np.int64) for known, _ in each]
+    for r in rows:
+        out[r["space"]][r["word"] + 1] = r["n"]
+    return [(n[1:], int(n[0])) for n in out]
 
 
 def seeds_of(column: pa.Array) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -205,40 +212,88 @@ def _gram(row, word, weight, n, matrix) -> np.ndarray:
     return out
 
 
-def latent(passages: DataFrame, items: tuple, idf: np.ndarray, vocabulary: np.ndarray, size: int, rank: int, total: int, rounds: int = 1) -> np.ndarray:
-    """Basis (vocabulary x rank) of the randomised SVD of all `total` passages of passages (text) and of items (sparse rows)."""
-    row, word, weight, n = items
-    rank = min(max(rank, n + SPARE), len(vocabulary))
-    q = np.random.default_rng(3).standard_normal((len(vocabulary), rank)).astype(np.float32)
-    known = np.zeros((len(vocabulary), n), np.float32)
-    known[word, row] = weight
-    q[:, : min(n, rank)] = known[:, :rank]
-    q = np.linalg.qr(q)[0]
-    spark = passages.sparkSession
+@dataclass
+class Query:
+    """A block of items: what is looked for, and (once counted) the weights of its words."""
+
+    ids: np.ndarray
+    words: list[np.ndarray]
+    seeds: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]
+    size: int
+    vocabulary: np.ndarray
+    idf: np.ndarray | None = None
+    total: int = 0
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        number = look_up(self.vocabulary, np.concatenate(self.words))
+        return *tfidf(number, np.repeat(np.arange(len(self.words)), [len(x) for x in self.words]), len(self.words), self.idf), len(self.words)
+
+
+def query_of(items: DataFrame) -> Query | None:
+    got = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id IS NOT NULL").toArrow()
+    w = normal(got["text"].combine_chunks())
+    every = [w.hash[a:b] for a, b in zip(w.first[:-1], w.first[1:])]
+    keep = [i for i, x in enumerate(every) if len(x)]
+    if not keep:
+        return None
+    words = [every[i] for i in keep]
+    seeds = seeds_of(got["text"].combine_chunks().take(pa.array(keep)))
+    return Query(got["item_id"].to_numpy()[keep], words, seeds, max(8, -(-max(map(len, words)) // 2)), np.unique(np.concatenate(words)))
+
+
+def latent(passages: DataFrame, queries: list[Query], rank: int, rounds: int = 1) -> list[np.ndarray]:
+    """Bases (vocabulary x rank) of the randomised SVD of all passages of passages (text) and of the items, one for each block of items.
 
-    def partial(matrix: np.ndarray) -> list:
-        shared = spark.sparkContext.broadcast((vocabulary, idf, matrix))
+    Each task has partial products of its passages; they are added up by rows of the matrix in Spark, so what
+    reaches the driver is one matrix for each block of items.
+    """
+    spark, start = passages.sparkSession, []
+    for q in queries:
+        row, word, weight, n = q.rows()
+        wide = min(max(rank, n + SPARE), len(q.vocabulary))
+        m = np.random.default_rng(3).standard_normal((len(q.vocabulary), wide)).astype(np.float32)
+        known = np.zeros((len(q.vocabulary), n), np.float32)
+        known[word, row] = weight
+        m[:, : min(n, wide)] = known[:, :wide]
+        start.append(np.linalg.qr(m)[0])
+
+    def products(bases: list[np.ndarray]) -> list[np.ndarray]:
+        shared = spark.sparkContext.broadcast([(q.vocabulary, q.idf, q.size, m) for q, m in zip(queries, bases)])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             K.lean()
-            known, weight, m = shared.value
-            total = np.zeros_like(m)
+            sums = [np.zeros_like(m) for *_, m in shared.value]
             for b in batches:
                 for i, j in K.slices(b["text"]):
                     w = normal(b["text"].slice(i, j - i))
-                    block, text = blocks(w, size)
-                    total += _gram(*tfidf(look_up(known, w.hash), block, len(text), weight), len(text), m)
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["y"])
-
-        # One task a core: what returns to the driver does not grow with the corpus.
-        return passages.select("text").coalesce(max(2, spark.sparkContext.defaultParallelism)).mapInArrow(run, "y binary").collect()
+                    for (known, idf, size, m), y in zip(shared.value, sums):
+                        block, text = blocks(w, size)
+                        y += _gram(*tfidf(look_up(known, w.hash), block, len(text), idf), len(text), m)
+            for k, y in enumerate(sums):
+                cut = range(0, len(y), ROWS)
+                yield pa.RecordBatch.from_arrays([pa.array([k] * len(cut), pa.int32()), pa.array(list(cut), pa.int32()), pa.array([y[a : a + ROWS].tobytes() for a in cut], pa.binary())], ["space", "row", "y"])
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = None
+            for b in batches:
+                for r in range(b.num_rows):
+                    y = np.frombuffer(b["y"][r].as_buffer(), np.float32)
+                    total = y.astype(np.float64) if total is None else total + y
+                    first = b.select(["space", "row"]).slice(r, 1)
+            yield pa.RecordBatch.from_arrays([*first.columns, pa.array([total.astype(np.float32).tobytes()], pa.binary())], ["space", "row", "y"])
+
+        # One task a core: there is one partial product for each.
+        each = passages.select("text").coalesce(max(2, spark.sparkContext.defaultParallelism)).mapInArrow(run, "space int, row int, y binary")
+        out = [np.zeros_like(m) for m in bases]
+        for r in each.groupBy("space", "row").applyInArrow(add, "space int, row int, y binary").collect():
+            m = out[r["space"]]
+            m[r["row"] : r["row"] + ROWS] = np.frombuffer(r["y"], np.float32).reshape(-1, m.shape[1])
+        return out
 
     for _ in range(rounds):
-        y = _gram(*items, q) * np.float32(max(1.0, ITEM_WEIGHT * total))
-        for r in partial(q):
-            y += np.frombuffer(r["y"], np.float32).reshape(y.shape)
-        q = np.linalg.qr(y)[0].astype(np.float32)
-    return q
+        found = products(start)
+        start = [np.linalg.qr(_gram(*q.rows(), m) * np.float32(max(1.0, ITEM_WEIGHT * q.total)) + y)[0].astype(np.float32) for q, m, y in zip(queries, start, found)]
+    return start
 
 
 def lcs(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
@@ -260,25 +315,17 @@ def lcs(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     return length(x, y), length(x, y[-ANSWER:])
 
 
-def space_of(documents: DataFrame, items: DataFrame, rank: int) -> Space | None:
-    got = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id IS NOT NULL").toArrow()
-    w = normal(got["text"].combine_chunks())
-    every = [w.hash[a:b] for a, b in zip(w.first[:-1], w.first[1:])]
-    keep = [i for i, x in enumerate(every) if len(x)]
-    if not keep:
-        return None
-    ids, every = got["item_id"].to_numpy()[keep], [every[i] for i in keep]
-    seeds = seeds_of(got["text"].combine_chunks().take(pa.array(keep)))
-    size = max(8, -(-max(map(len, every)) // 2))
-    vocabulary = np.unique(np.concatenate(every))
-    n, total = document_frequency(documents, vocabulary, size)
-    idf = np.maximum(np.log((total + 1) / (n + 1)), LEAST_IDF)
-    number = look_up(vocabulary, np.concatenate(every))
-    rows = tfidf(number, np.repeat(np.arange(len(every)), [len(x) for x in every]), len(every), idf)
-    basis = latent(documents, (*rows, len(every)), idf, vocabulary, size, rank, total)
-    y = project(*rows, len(every), basis)
+def spaces_of(documents: DataFrame, queries: list[Query], rank: int) -> list[Space]:
+    """The latent spaces of some blocks of items, by two passes over the documents."""
+    for q, (n, total) in zip(queries, document_frequency(documents, [(q.vocabulary, q.size) for q in queries])):
+        q.idf, q.total = np.maximum(np.log((total + 1) / (n + 1)), LEAST_IDF), total
+    out = []
+    for q, basis in zip(queries, latent(documents, queries, rank)):
+        y = project(*q.rows(), basis)
+        unit = y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-9)
+        out.append(Space(q.vocabulary, q.idf.astype(np.float32), float(np.median(q.idf)), basis, q.size, unit, q.ids, q.words, q.seeds))
     K.trim()
-    return Space(vocabulary, idf.astype(np.float32), float(np.median(idf)), basis, size, y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-9), ids, every, seeds)
+    return out
 
 
 def search(column: pa.Array, s: Space, least: float) -> list[tuple[int, int, float, float, bool]]:
@@ -358,22 +405,29 @@ def by_length(benchmark: DataFrame) -> tuple[DataFrame, dict[int, int]]:
     return items, {r["__class"]: r["count"] for r in items.groupBy("__class").count().collect()}
 
 
-def spaces(documents: DataFrame, benchmark: DataFrame, rank: int) -> Iterator[Space]:
-    """The latent space of each block of at most about ITEMS items of like length."""
+def spaces(documents: DataFrame, benchmark: DataFrame, rank: int) -> Iterator[list[Space]]:
+    """The latent spaces of the blocks of at most about ITEMS items of like length, TOGETHER blocks at a time."""
     items, counts = by_length(benchmark)
+    held: list[Query] = []
     for c, n in sorted(counts.items()):
         own, parts = items.where(F.col("__class") == c), max(1, -(-n // ITEMS))
         for k in range(parts):
             block = own.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k) if parts > 1 else own
-            if (s := space_of(documents, block, rank)) is not None:
-                yield s
+            if (q := query_of(block)) is not None:
+                held.append(q)
+            if len(held) == TOGETHER:
+                yield spaces_of(documents, held, rank)
+                held = []
+    if held:
+        yield spaces_of(documents, held, rank)
 
 
 def contaminated(documents: DataFrame, benchmark: DataFrame, rank: int = RANK, least: float = COSINE) -> DataFrame:
     """doc_id, item_id, cosine, lcs (share of the item's words), answer for each pair of a document and an item it holds.
 
     Null and wordless texts and items match nothing; null ids are left out; rows that repeat an id count once, with
-    their best passage.  Other columns are not read.
+    their best passage; a share of exactly LCS (or PARAPHRASE) counts.  A very long text is searched passage by passage, to
+    its end.  Other columns of documents and benchmark are not read.
     """
     out = documents.sparkSession.createDataFrame([], HITS)
     for s in spaces(documents, benchmark, rank):
@@ -381,12 +435,12 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, rank: int = RANK, l
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             K.lean()
-            own = shared.value
             for b in batches:
                 for i, j in K.slices(b["text"]):
-                    hits = search(b["text"].slice(i, j - i), own, least)
-                    t, item, cosine, share, answer = zip(*hits) if hits else [()] * 5
-                    yield pa.RecordBatch.from_arrays([b["doc_id"].slice(i, j - i).take(pa.array(t, pa.int64())), pa.array(own.ids[list(item)] if hits else [], pa.int64()), pa.array(cosine, pa.float64()), pa.array(share, pa.float64()), pa.array(answer, pa.bool_())], ["doc_id", "item_id", "cosine", "lcs", "answer"])
+                    for own in shared.value:
+                        hits = search(b["text"].slice(i, j - i), own, least)
+                        t, item, cosine, share, answer = zip(*hits) if hits else [()] * 5
+                        yield pa.RecordBatch.from_arrays([b["doc_id"].slice(i, j - i).take(pa.array(t, pa.int64())), pa.array(own.ids[list(item)] if hits else [], pa.int64()), pa.array(cosine, pa.float64()), pa.array(share, pa.float64()), pa.array(answer, pa.bool_())], ["doc_id", "item_id", "cosine", "lcs", "answer"])
 
         out = out.union(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL").mapInArrow(run, HITS))
     return out.groupBy("doc_id", "item_id").agg(F.max("cosine").alias("cosine"), F.max("lcs").alias("lcs"), F.max("answer").alias("answer"))
@@ -400,11 +454,11 @@ def clean(documents: DataFrame, benchmark: DataFrame, rank: int = RANK, least: f
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             K.lean()
-            own = shared.value
             for b in batches:
                 for i, j in K.slices(b["text"]):
                     keep = np.ones(j - i, bool)
-                    keep[[h[0] for h in search(b["text"].slice(i, j - i), own, least)]] = False
+                    for own in shared.value:
+                        keep[[h[0] for h in search(b["text"].slice(i, j - i), own, least)]] = False
                     yield b.slice(i, j - i).filter(pa.array(keep))
 
         out = out.mapInArrow(run, documents.schema)
