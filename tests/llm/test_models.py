@@ -68,6 +68,15 @@ def test_language(table, made, edges, empty):
     assert {r["lang_pred"] for r in language.identify(edges, language.train(empty)).collect()} == {"und"}
 
 
+def test_a_rare_language_is_learned(table, made):
+    rows, _ = made
+    rare = [(5000 + i, " ".join(random.Random(i).choice(["zxqu", "qoxz", "vuuk", "xaqq"]) for _ in range(8)), "rare") for i in range(40)]
+    model = language.train(table(rows + rare), rows=200)
+    assert "rare" in model.langs
+    got = {r["doc_id"]: r["lang_pred"] for r in language.identify(table(rare), model).collect()}
+    assert set(got.values()) == {"rare"}
+
+
 def test_decontamination(spark, table, edges, empty):
     r = random.Random(8)
     word = lambda: "".join(r.choice("bcdfgklmnprst") + r.choice("aeiou") for _ in range(r.randint(1, 4)))
@@ -136,7 +145,7 @@ def test_decontamination_of_short_items_beside_a_long_one(spark, table):
         rows.append((d, " ".join(w)))
     benchmark = spark.createDataFrame(items, "item_id long, text string")
     assert contamination.by_length(benchmark)[1] == {0: 1, 2: 2, 4: 1}
-    assert [(s.block, s.ids.tolist()) for s in contamination.spaces(table(rows), benchmark, 8)] == [(500, [0]), (10, [1, 2]), (8, [3])]
+    assert [(s.block, s.ids.tolist()) for g in contamination.spaces(table(rows), benchmark, 8) for s in g] == [(500, [0]), (10, [1, 2]), (8, [3])]
     hits = contamination.contaminated(table(rows), benchmark).collect()
     assert {(h["doc_id"], h["item_id"]) for h in hits} == want
     assert contamination.clean(table(rows), benchmark).count() == 56
@@ -148,7 +157,7 @@ def test_latent_space_holds_every_item(spark, table):
     text = lambda n: " ".join(r.choice(words) for _ in range(n))
     benchmark = spark.createDataFrame([(i, text(r.randint(15, 60))) for i in range(300)], "item_id long, text string")
     docs = table([(d, text(200)) for d in range(400)])
-    (s,) = contamination.spaces(docs, benchmark, contamination.RANK)
+    s = next(contamination.spaces(docs, benchmark, contamination.RANK))[0]  # the others are short
     unit = s.items @ s.items.T
     full = contamination.tfidf(contamination.look_up(s.vocabulary, np.concatenate(s.words)), np.repeat(np.arange(len(s.words)), [len(x) for x in s.words]), len(s.words), s.idf)
     energy = (contamination.project(*full, len(s.words), s.basis) ** 2).sum(axis=1)
@@ -158,6 +167,48 @@ def test_latent_space_holds_every_item(spark, table):
     assert np.allclose(contamination.segment_sums(m, np.tile(at, 20), np.ones(100, np.float32), np.array([0, 70])), [m[np.tile(at, 14)].sum(0), m[np.tile(at, 6)].sum(0)], rtol=1e-5)
 
 
+def test_paraphrases_against_brute_force(spark, table, monkeypatch):
+    """Recall of all pairs whose best window has a long enough common subsequence, found by comparing every pair; in several blocks of items."""
+    monkeypatch.setattr(contamination, "ITEMS", 30)
+    monkeypatch.setattr(contamination, "TOGETHER", 2)
+    r = random.Random(17)
+    words = ["".join(r.choice("bcdfgklmnprst") + r.choice("aeiou") for _ in range(r.randint(1, 4))) for _ in range(1500)]
+    text = lambda n: [r.choice(words) for _ in range(n)]
+    items = [text(r.randint(20, 60)) for _ in range(100)]
+    rows = []
+    for d in range(300):
+        w = text(r.randint(40, 250))
+        if d % 2 == 0:  # every fourth or fifth word replaced or dropped: hardly a run of five words is left
+            x, step = items[d // 2 % 100][:], r.choice([4, 5])
+            for k in range(r.randrange(step), len(x), step):
+                x[k] = r.choice(words) if r.random() < 0.7 else ""
+            at = r.randrange(len(w))
+            w[at:at] = [v for v in x if v]
+        rows.append((d, " ".join(w)))
+    number = {v: k for k, v in enumerate(words)}
+    coded = [np.array([number[v] for v in t.split()]) for _, t in rows]
+    want = set()
+    for i, item in enumerate(items):
+        own, n = np.array([number[v] for v in item]), len(item)
+        for d, x in enumerate(coded):
+            if np.isin(own, x).sum() >= contamination.PARAPHRASE * n:
+                best = max(contamination.lcs(x[k : k + n], own)[0] for k in range(max(1, len(x) - n + 1)))
+                if best >= contamination.LCS * n:
+                    want.add((d, i))
+    benchmark = spark.createDataFrame([(i, " ".join(x), "t", 1) for i, x in enumerate(items)], "item_id long, text string, doc_id string, lcs int")
+    got = {(h["doc_id"], h["item_id"]) for h in contamination.contaminated(table(rows), benchmark).collect()}
+    assert len(want) > 100 and len(got & want) >= 0.9 * len(want)
+    assert all(d % 2 == 0 and i == d // 2 % 100 for d, i in got)
+
+
+def test_look_up_of_vocabularies_that_begin_alike():
+    rng = np.random.default_rng(2)
+    one = np.sort(rng.integers(1 << 40, 1 << 63, 1000, dtype=np.uint64))
+    two = np.sort(np.append(one[:1], rng.integers(int(one[0]) + 1, 1 << 63, 999, dtype=np.uint64)))
+    for v in (one, two, one):
+        assert (contamination.look_up(v, v) == np.arange(1000)).all()
+
+
 def test_longest_common_subsequence():
     a, b = np.array([1, 2, 3, 9, 4, 5]), np.array([1, 3, 2, 4, 7, 5])
     assert contamination.lcs(a, b)[0] == 4 and contamination.lcs(a, b[:1])[0] == 1
