@@ -53,9 +53,11 @@ def test_coverage_and_branches(spark):
 
 
 def test_events_overlay_charts(spark):
-    found = spark.createDataFrame([("p", "A", 1, "loan", ["2024-03-01"], ["Acme Bank"], 1.0e6), ("p", "H", 7, "loan", ["2024-03-01"], ["Acme Bank"], 1.2e6), ("p", "H", 8, "bond", ["2020-01-01"], ["Other Co"], 5.0)], "pair_id string, side string, seq int, topic string, dates array<string>, signature array<string>, amount double")
-    got = checks.events(found).collect()
-    assert [(r["canonical_key"], r["severity"], r["triage"]) for r in got] == [("loan", "high", "real")]
+    dividend = "The Board approved a cash dividend of RMB 2.50 per 10 shares, total dividends amounting to RMB {} million for 2024 annual profit distribution, payable on 2024-05-17."
+    claim = "The litigation with 海华贸易有限公司 is pending, the claim amount is RMB {} million and the hearing is on 2024-08-09."
+    rows = [("p", "A", 3, 1, "significant_events", dividend.format(120)), ("p", "H", 4, 1, "significant_events", dividend.format(150)), ("p", "A", 8, 2, "significant_events", claim.format(30)), ("p", "H", 9, 2, "significant_events", claim.format(30)), ("p", "H", 12, 3, "significant_events", claim.format(45)), ("p", "A", 5, 3, "bs", "Nothing of note happened in this period."), ("p", "H", 5, 4, None, None)]
+    got = checks.events(spark.createDataFrame(rows, "pair_id string, side string, page int, seq int, section string, text string")).collect()
+    assert {(r["diff_type"], r["canonical_key"], r["a_value"], r["h_value"], r["severity"], r["triage"]) for r in got} == {("event", "dividend_distribution", 1.2e8, 1.5e8, "critical", "real"), ("internal_event", "litigation", 3e7, 4.5e7, "critical", "real")}
     words = spark.createDataFrame([("p:A", 1, 0, "126,311", 0.0, 0.0, 40.0, 10.0, 0), ("p:A", 1, 1, "126,411", 0.0, 0.0, 40.0, 10.0, 1)], "doc_id string, page int, word_seq int, text string, x0 double, y0 double, x1 double, y1 double, stream_order int")
     over = checks.overlay(words).collect()
     assert [(r["a_value"], r["h_value"], r["pair_id"]) for r in over] == [(126411.0, 126311.0, "p")]
@@ -75,6 +77,52 @@ def test_bilingual(spark):
     assert stats.first()["coverage"] == 1.0
 
 
+def test_bilingual_pages_scales_and_rows(spark):
+    """Neighbours across any page border meet; facts pair by least cost; rows pair within paired tables."""
+    schema = "pair_id string, lang string, unit int, page int, section string, seq int, signals array<string>, topics array<string>, actions array<string>, glossary array<string>"
+    units_ = spark.createDataFrame([("p", "zh", 1, 3, None, 1, [], ["t"], ["x"], []), ("p", "en", 7, 4, None, 1, [], ["t"], ["x"], []), ("p", "zh", 2, 40, None, 2, [], ["u"], [], []), ("p", "en", 8, 60, None, 2, [], ["u"], [], [])], schema)
+    facts = spark.createDataFrame([("p", "zh", 1, "amount", "loan", 100.0), ("p", "zh", 1, "amount", "loan", 7.0), ("p", "en", 7, "amount", "loan", 7.0), ("p", "en", 7, "amount", "loan", 120.0)], "pair_id string, lang string, unit int, kind string, role string, value double")
+    aligned, diffs, _ = checks.bilingual(units_, facts)
+    assert {(r["i"], r["j"]) for r in aligned.collect()} == {(1, 7)}  # pages 40 and 60 are too far apart
+    assert [(r["a_value"], r["h_value"]) for r in diffs.collect()] == [(100.0, 120.0)]
+    row = "pair_id string, lang string, table string, row int, page int, title_keys array<string>, keys array<string>, unit string, values array<double>"
+    rows = [("p", "zh", "t1", 1, 5, ["bs"], ["assets"], "百万元", [10.0, 9.0]), ("p", "zh", "t1", 2, 5, ["bs"], ["debt"], "百万元", [4.0]), ("p", "en", "e9", 3, 6, ["bs"], ["debt"], "million", [4.5]), ("p", "en", "e9", 4, 6, ["bs"], ["assets"], "million", [10.0, 9.0]), ("p", "en", "e8", 1, 90, ["cf"], ["cash"], None, [1.0])]
+    paired, pairs, wrong = checks.table_rows(spark.createDataFrame(rows, row))
+    assert [(r["zh_table"], r["en_table"]) for r in paired.collect()] == [("t1", "e9")]
+    assert {(r["zh_row"], r["en_row"]) for r in pairs.collect()} == {(1, 4), (2, 3)}
+    assert [(r["canonical_key"], r["a_value"], r["h_value"]) for r in wrong.collect()] == [("debt", 4e6, 4.5e6)]
+
+
+def test_ids_keep_differences_apart(spark):
+    """Two contradictions of one key on one page, of different years, stay two."""
+    rows = [("p", "A", i, "x", v, None, "CNY", y, 1, "main", 0.9, "table") for i, (v, y) in enumerate([(100.0, "2023"), (130.0, "2023"), (100.0, "2024"), (130.0, "2024")])]
+    found = checks.disclosure(spark.createDataFrame(rows, ITEM))
+    assert found.count() == 2 and checks.all_checks([found]).count() == 2
+    from veritally.functions.text import stable_id
+    ids = spark.createDataFrame([("a", None, "b"), ("a", "b", None), ("a|b", None, None)], "x string, y string, z string").select(stable_id("", F.col("x"), F.col("y"), F.col("z")).alias("id"))
+    assert ids.distinct().count() == 3
+
+
+def test_sheets(spark, tmp_path):
+    from veritally.sources import sinks
+
+    found = checks.disclosure(items(spark, [("p", "A", "x", 100.0, None, "main"), ("p", "A", "x", 130.0, None, "main")]))
+    flags = spark.createDataFrame([("p", "blank")], "pair_id string, flag string")
+    tables = sinks.sheets(found, spark.createDataFrame([("p", 1.0)], "pair_id string, coverage double"), flags)
+    assert tables["evidence"].count() == 2 and tables["evidence"].columns == ["pair_id", "diff_id", "seq", "evidence"]
+    sinks.export({k: v for k, v in tables.items() if k in ("diffs", "evidence", "by_type")}, str(tmp_path))
+    assert spark.read.parquet(f"{tmp_path}/diffs").count() == 1
+
+
+def test_maps_and_rules(spark):
+    sections = spark.createDataFrame([("p", "A", "board", 3), ("p", "H", "directors", 4), ("p", "A", "risk", 9)], "pair_id string, side string, section string, page int")
+    mapping = spark.createDataFrame([("board", "directors"), ("risk", "risks"), ("audit", "auditors")], "a_section string, h_section string")
+    assert [(r["canonical_key"], r["evidence"][0]) for r in checks.framework(sections, mapping).collect()] == [("risk", "a_only")]
+    texts = spark.createDataFrame([("p", "A", "we use hedges"), ("p", "H", "no such thing")], "pair_id string, side string, text string")
+    rules = spark.createDataFrame([("r1", "Check that \"hedges\" are named"), ("r2", "Check \"thing\""), ("r3", "Check \"absent\"")], "rule_id string, check_logic string")
+    assert {(r["canonical_key"], r["evidence"][0]) for r in checks.depth_rules(texts, rules).collect()} == {("r1", "a_only"), ("r2", "h_only")}
+
+
 def test_standard(spark):
     diffs = spark.createDataFrame([("d1", "real"), ("d2", "expected")], "diff_id string, triage string")
     vectors = spark.createDataFrame([("d1", [1.0, 0.0]), ("d2", [0.0, 1.0])], "query_id string, vector array<double>")

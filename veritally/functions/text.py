@@ -69,8 +69,9 @@ def detail_level(n: Column) -> Column:
 
 
 def stable_id(prefix: str, *parts: Column) -> Column:
-    """prefix and 12 hexadecimal digits of the SHA-1 of the parts joined by a bar."""
-    return F.concat(F.lit(prefix), F.substring(F.sha1(F.concat_ws("|", *[p.cast("string") for p in parts])), 1, 12))
+    """prefix and 12 hexadecimal digits of the SHA-1 of the parts joined by a bar; a null has a mark of its own, bars within parts are escaped."""
+    safe = [F.coalesce(F.regexp_replace(p.cast("string"), r"([\\|])", r"\\$1"), F.lit("\\N")) for p in parts]
+    return F.concat(F.lit(prefix), F.substring(F.sha1(F.concat_ws("|", *safe)), 1, 12))
 
 
 def hamming(a: Column, b: Column) -> Column:
@@ -106,8 +107,15 @@ def fragments(text: Column) -> Column:
 
 def keyword_counts(text: Column) -> Column:
     """array<struct<word,n>> of words of three letters or more, most frequent first, ties by the word."""
-    every = F.regexp_extract_all(F.lower(text), F.lit("([a-z]{3,})"), F.lit(1))
-    counted = F.transform(F.array_distinct(every), lambda w: F.struct((-F.size(F.filter(every, lambda x: x == w))).alias("m"), w.alias("word")))
+    every = F.array_sort(F.regexp_extract_all(F.lower(text), F.lit("([a-z]{3,})"), F.lit(1)))
+    let = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)  # noqa: E731  (evaluated once, not for each element)
+
+    def counts(words: Column) -> Column:
+        begins = F.filter(F.sequence(F.lit(1), F.size(words)), lambda i: (i == 1) | (F.get(words, i - 1) != F.get(words, i - 2)))
+        run = lambda starts: F.transform(starts, lambda at, k: F.struct((at - F.coalesce(F.get(starts, k + 1), F.size(words) + 1)).alias("m"), F.get(words, at - 1).alias("word")))
+        return let(begins, run)
+
+    counted = F.when(F.size(every) > 0, let(every, counts)).otherwise(F.array().cast("array<struct<m:int,word:string>>"))
     return F.transform(F.slice(F.array_sort(counted), 1, 20), lambda s: F.struct(s["word"].alias("word"), (-s["m"]).alias("n")))
 
 

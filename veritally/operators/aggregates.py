@@ -13,12 +13,12 @@ def pick(items: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
 
 def best_by_key(items: DataFrame, keys: list[str], seq: str) -> DataFrame:
     """Highest confidence, tables first, then the largest absolute value."""
-    return pick(items, keys, [F.col("confidence").desc(), (F.col("source") == "table").desc(), F.abs("value").desc(), F.col(seq)])
+    return pick(items, keys, [F.col("confidence").desc(), (F.col("source") == "table").desc(), F.abs("value").desc(), F.col(seq), F.col("page"), F.col("value")])
 
 
 def primary_occurrence(items: DataFrame, keys: list[str], seq: str) -> DataFrame:
     """Largest absolute value, then confidence."""
-    return pick(items, keys, [F.abs("value").desc(), F.col("confidence").desc(), F.col(seq)])
+    return pick(items, keys, [F.abs("value").desc(), F.col("confidence").desc(), F.col(seq), F.col("page"), F.col("source"), F.col("value")])
 
 
 def modal_value(items: DataFrame, keys: list[str]) -> DataFrame:

@@ -41,14 +41,30 @@ def exact_mismatches(a: DataFrame, h: DataFrame, key: str, av: str, hv: str, ord
 
 
 def internal_pairs(items: DataFrame, key: str, seq: str, value: str, page: str, least: float = 0.05, cap: int = 3) -> DataFrame:
-    """Contradictions within one side: pairs of a key (smaller seq first) whose values differ, by `least` if pages do; `cap` for each key."""
-    left = items.select(key, F.col(seq).alias("i"), F.col(value).alias("left_value"), F.col(page).alias("left_page"))
-    right = items.select(key, F.col(seq).alias("j"), F.col(value).alias("right_value"), F.col(page).alias("right_page"))
+    """Contradictions within one side: pairs of a key (smaller seq first) whose values differ, by `least` if pages do; `cap` for each key.
+
+    The first `cap` pairs by i, j, values and pages.  The rows of least seq meet all others of their key first; only keys
+    that have less than `cap` pairs then go through all pairs, and of rows alike in value and page just the first `cap`,
+    for later ones cannot be in the first `cap` pairs.  So a key with very many rows costs in proportion to them.
+    """
+    rows = items.select(F.col(key).alias("__key"), F.col(seq).alias("__s"), F.col(value).alias("__v"), F.col(page).alias("__p"))
+    left = lambda df: df.select("__key", F.col("__s").alias("i"), F.col("__v").alias("left_value"), F.col("__p").alias("left_page"))
+    right = lambda df: df.select("__key", F.col("__s").alias("j"), F.col("__v").alias("right_value"), F.col("__p").alias("right_page"))
     ratio = units.relative_delta(F.col("left_value"), F.col("right_value"))
-    pairs = left.join(right, key).where("i < j").withColumn("ratio", ratio)
-    real = pairs.where((F.round("left_value", 2) != F.round("right_value", 2)) & ((F.col("left_page") == F.col("right_page")) | (F.col("ratio") >= least)))
-    w = Window.partitionBy(key).orderBy("i", "j")
-    return real.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= cap).withColumn("severity", grading.internal_grade(F.col("ratio")))
+    first = Window.partitionBy("__key").orderBy("i", "j", "left_value", "right_value", "left_page", "right_page")
+
+    def contradictions(a: DataFrame, b: DataFrame) -> DataFrame:
+        pairs = left(a).join(right(b), "__key").where("i < j").withColumn("ratio", ratio)
+        real = pairs.where((F.round("left_value", 2) != F.round("right_value", 2)) & ((F.col("left_page") == F.col("right_page")) | (F.col("ratio") >= least)))
+        return real.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= cap)
+
+    heads = rows.withColumn("__r", F.rank().over(Window.partitionBy("__key").orderBy("__s"))).where("__r = 1").drop("__r")
+    of_heads = contradictions(heads, rows)
+    done = of_heads.where(F.col("rank") == cap).select("__key")
+    alike = Window.partitionBy("__key", "__v", "__p").orderBy("__s")
+    rest = rows.withColumn("__r", F.rank().over(alike)).where(F.col("__r") <= cap).drop("__r").join(done, "__key", "left_anti")
+    every = of_heads.join(done, "__key", "left_semi").unionByName(contradictions(rest, rest))
+    return every.withColumnRenamed("__key", key).withColumn("severity", grading.internal_grade(F.col("ratio")))
 
 
 def first_rule(items: DataFrame, rules: DataFrame, key: str) -> DataFrame:

@@ -8,37 +8,63 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions import grading, text, units
-from ..operators import aggregates, joins, matching, retrieval, spatial
+from ..functions import grading, predicates, text, units
+from ..operators import aggregates, events as event_rules, joins, matching, retrieval, spatial
 
 DIFF = ("pair_id", "diff_id", "diff_type", "severity", "triage", "canonical_key", "a_value", "h_value", "evidence")
 
 
-def _diff(df: DataFrame, kind: str, key: Column, a: Column, h: Column, severity: Column, triage: Column, *evidence: Column) -> DataFrame:
+def _diff(df: DataFrame, kind: str, key: Column, a: Column, h: Column, severity: Column, triage: Column, *evidence: Column, apart: tuple[Column, ...] = ()) -> DataFrame:
+    """apart: what else tells two differences apart (a period, a scope) besides pair, key, values and evidence."""
     ev = F.array_compact(F.array(*evidence)) if evidence else F.array().cast("array<string>")
-    return df.select("pair_id", text.stable_id(f"{kind}-", F.col("pair_id"), key, *evidence).alias("diff_id"), F.lit(kind).alias("diff_type"), severity.alias("severity"), triage.alias("triage"), key.alias("canonical_key"), a.cast("double").alias("a_value"), h.cast("double").alias("h_value"), ev.alias("evidence"))
+    return df.select("pair_id", text.stable_id(f"{kind}-", F.col("pair_id"), key, a, h, *evidence, *apart).alias("diff_id"), F.lit(kind).alias("diff_type"), severity.alias("severity"), triage.alias("triage"), key.alias("canonical_key"), a.cast("double").alias("a_value"), h.cast("double").alias("h_value"), ev.alias("evidence"))
 
 
 def _side(items: DataFrame, side: str, p: str) -> DataFrame:
     mine = items.where(F.col("side") == side)
-    return mine.select("pair_id", "canonical_key", *[F.col(c).alias(p + c) for c in ("seq", "value", "unit", "currency", "period", "page", "context", "confidence", "source")])
+    for c in ("name", "text"):
+        if c not in items.columns:
+            mine = mine.withColumn(c, F.lit(None).cast("string"))
+    return mine.select("pair_id", "canonical_key", *[F.col(c).alias(p + c) for c in ("seq", "value", "unit", "currency", "period", "page", "context", "confidence", "source", "name", "text")])
 
 
-def numeric(items: DataFrame, rules: DataFrame) -> DataFrame:
+def labelled(both: DataFrame, glossary: DataFrame | None = None) -> DataFrame:
+    """Adds label: likeness of the items' names (of the key where they have none), .92 at least if both texts hold a term of the key, .72 if one does, .62 else.
+
+    Names repeat, so the ratio is worked out once for each two of them.  Terms are those of the glossary (form,
+    canonical_key) and the key itself.
+    """
+    low = lambda c: F.lower(F.trim(F.coalesce(F.when(F.trim(c) != "", F.col(c)), F.col("canonical_key"))))
+    named = both.withColumn("__x", low("a_name")).withColumn("__y", low("h_name"))
+    ratios = named.select("__x", "__y").distinct().withColumn("__seq", matching.sequence_ratio("__x", "__y"))
+    named = named.join(ratios, ["__x", "__y"])
+    key = F.array(F.lower("canonical_key"))
+    if glossary is not None:
+        forms = glossary.groupBy("canonical_key").agg(F.collect_set(F.lower("form")).alias("__forms"))
+        named = named.join(forms, "canonical_key", "left")
+        key = F.concat(key, F.coalesce("__forms", F.array().cast("array<string>")))
+    hit = lambda p: F.exists(F.filter(key, lambda t: F.length(t) >= 2), lambda t: F.coalesce(F.lower(F.concat_ws(" ", p + "name", p + "text")).contains(t), F.lit(False)))
+    hits = hit("a_").cast("int") + hit("h_").cast("int")
+    least = F.when(hits == 2, 0.92).when(hits == 1, 0.72).otherwise(0.62)
+    return named.withColumn("label", F.greatest("__seq", least)).drop("__x", "__y", "__seq", "__forms")
+
+
+def numeric(items: DataFrame, rules: DataFrame, glossary: DataFrame | None = None) -> DataFrame:
     """Many-to-many scores for each key; a key whose best candidates agree somehow is silent, else the best pair is graded.
 
-    A pair below the six thresholds of one scope is unresolved.  Per-share keys are never taken for counts.
+    A pair below the six thresholds of one scope is unresolved.  Per-share keys are never taken for counts.  Items may
+    have a name and a text, which the label score compares.
     """
     per_share = F.col("canonical_key").startswith("eps") | F.col("canonical_key").isin(*grading.PER_SHARE)
     usable = items.where(F.col("value").isNotNull() & (per_share | ~grading.non_monetary(F.col("value"))))
-    both = _side(usable, "A", "a_").join(_side(usable, "H", "h_"), ["pair_id", "canonical_key"])
+    both = labelled(_side(usable, "A", "a_").join(_side(usable, "H", "h_"), ["pair_id", "canonical_key"]), glossary)
     a, h = units.normalised(F.col("a_value"), F.col("a_unit")), units.normalised(F.col("h_value"), F.col("h_unit"))
     context = (F.col("a_context") == F.col("h_context")) & (F.col("a_context") != "unknown")
     ratio = units.relative_delta(a, h)
     confidence = (F.col("a_confidence") + F.col("h_confidence")) / 2
-    period = F.when(F.col("a_period").isNull() | F.col("h_period").isNull(), 0.5).when(F.col("a_period") == F.col("h_period"), 1.0).otherwise(0.0)
-    source = F.when(F.col("a_source") == F.col("h_source"), 1.0).otherwise(0.5)
-    label = F.lit(0.92)
+    period = F.when(F.col("a_period").isNull() | F.col("h_period").isNull(), 0.8).when(F.col("a_period") == F.col("h_period"), 1.0).otherwise(0.0)
+    source = F.when(F.col("a_source") == "table", 0.5).otherwise(0.25) + F.when(F.col("h_source") == "table", 0.5).otherwise(0.25)
+    label = F.col("label")
     scored = both.withColumn("score", grading.pair_score(context.cast("int"), label, confidence, period, source, ratio)).withColumn("sure", grading.same_scope(context, confidence, label, period, source, F.col("score"))).withColumn("a_norm", a).withColumn("h_norm", h).withColumn("context_ok", context)
     best = aggregates.pick(scored, ["pair_id", "canonical_key"], [F.col("score").desc(), F.col("a_seq"), F.col("h_seq")])
     factor = aggregates.currency_factor(best, ["pair_id"]).select("pair_id", "factor")
@@ -54,9 +80,9 @@ def numeric(items: DataFrame, rules: DataFrame) -> DataFrame:
 def disclosure(items: DataFrame) -> DataFrame:
     """Contradictions within one side: equal key, period, unit and context, different values."""
     keyed = items.where("value IS NOT NULL").withColumn("group", F.struct("pair_id", "side", "canonical_key", F.coalesce("period", F.lit("")).alias("period"), F.coalesce("unit", F.lit("")).alias("unit"), "context"))
-    pairs = joins.internal_pairs(keyed, "group", "seq", "value", "page").select("group.pair_id", "group.side", "group.canonical_key", "left_value", "right_value", "left_page", "right_page", "severity")
+    pairs = joins.internal_pairs(keyed, "group", "seq", "value", "page").select("group.pair_id", "group.side", "group.canonical_key", "group.period", "group.unit", "group.context", "i", "j", "left_value", "right_value", "left_page", "right_page", "severity")
     state = F.when(F.col("side") == "H", "unresolved").otherwise("real")
-    return _diff(pairs, "internal", F.col("canonical_key"), F.col("left_value"), F.col("right_value"), grading.triaged(F.col("severity"), state), state, F.concat_ws(":", "side", F.col("left_page").cast("string")), F.concat_ws(":", "side", F.col("right_page").cast("string")))
+    return _diff(pairs, "internal", F.col("canonical_key"), F.col("left_value"), F.col("right_value"), grading.triaged(F.col("severity"), state), state, F.concat_ws(":", "side", F.col("left_page").cast("string")), F.concat_ws(":", "side", F.col("right_page").cast("string")), apart=tuple(F.col(c) for c in ("period", "unit", "context", "i", "j")))
 
 
 def coverage(topics: DataFrame, whitelist: DataFrame) -> DataFrame:
@@ -71,36 +97,74 @@ def coverage(topics: DataFrame, whitelist: DataFrame) -> DataFrame:
     return _diff(known, "coverage", F.col("topic"), F.col("a_words"), F.col("h_words"), grading.triaged(F.lit("low"), state), state, F.col("status"))
 
 
-def events(found: DataFrame, least: float = 0.42, margin: float = 0.12) -> DataFrame:
-    """Events of the sides matched one to one, those with a shared date, topic or name compared; other amounts differ.
+def framework(sections: DataFrame, mapping: DataFrame) -> DataFrame:
+    """Sections that a map of expected counterparts finds on one side only: sections(pair_id, side, section, page), mapping(a_section, h_section)."""
+    side = lambda x, c: sections.where(F.col("side") == x).groupBy("pair_id", F.col("section").alias(c)).agg(F.min("page").alias(c + "_page"))
+    pairs = sections.select("pair_id").distinct()
+    a = side("A", "a_section").join(mapping, "a_section")
+    h = side("H", "h_section").join(mapping, "h_section")
+    j = a.join(h, ["pair_id", "a_section", "h_section"], "full_outer").join(pairs, "pair_id", "left_semi")
+    short = j.where(F.col("a_section_page").isNull() | F.col("h_section_page").isNull())
+    status = F.when(F.col("h_section_page").isNull(), "a_only").otherwise("h_only")
+    none = F.lit(None).cast("double")
+    return _diff(short, "framework", F.col("a_section"), none, none, F.lit("low"), F.lit("unresolved"), status, F.coalesce("a_section_page", "h_section_page").cast("string"), apart=(F.col("h_section"),))
+
+
+def depth_rules(segments: DataFrame, rules: DataFrame) -> DataFrame:
+    """Rules whose quoted terms are found on one side only: segments(pair_id, side, text), rules(rule_id, check_logic).
 
-    found(pair_id, side, seq, topic, dates, signature, amount).  Candidates meet by shared terms, never by all pairs.
+    Terms go to the texts in one pass: rules are few, and each is tested where a text is read.
     """
-    terms = F.array_distinct(F.concat(F.coalesce("dates", F.array().cast("array<string>")), F.coalesce("signature", F.array().cast("array<string>")), F.array_compact(F.array("topic"))))
-    side = lambda s, p: found.where(F.col("side") == s).select("pair_id", F.col("seq").alias(p + "seq"), F.col("topic").alias(p + "topic"), F.col("dates").alias(p + "dates"), F.col("signature").alias(p + "signature"), F.col("amount").alias(p + "amount"), F.explode(terms).alias("term"))
-    met = side("A", "a_").join(side("H", "h_"), ["pair_id", "term"]).dropDuplicates(["pair_id", "a_seq", "h_seq"])
-    score = 0.3 * F.coalesce((F.col("a_topic") == F.col("h_topic")).cast("int"), F.lit(0)) + 0.35 * text.jaccard(F.col("a_dates"), F.col("h_dates")) + 0.35 * text.jaccard(F.col("a_signature"), F.col("h_signature"))
-    scored = met.withColumn("score", score)
-    matched = matching.sequential(scored, "pair_id", "a_seq", "h_seq", "score", least, margin)
-    other = matched.join(scored.drop("score"), ["pair_id", "a_seq", "h_seq"]).where(F.coalesce(units.relative_delta(F.col("a_amount"), F.col("h_amount")) > 0.01, F.lit(False)))
-    state = grading.triage(F.lit(False), F.col("ambiguous"))
-    graded = grading.triaged(grading.grade(units.relative_delta(F.col("a_amount"), F.col("h_amount"))), state)
-    return _diff(other, "event", F.coalesce("a_topic", F.lit("event")), F.col("a_amount"), F.col("h_amount"), graded, state, F.col("a_seq").cast("string"), F.col("h_seq").cast("string"))
+    terms = rules.select("rule_id", F.explode(text.quoted_terms(F.col("check_logic"))).alias("term")).where(F.length(F.trim("term")) > 0)
+    hits = segments.join(terms, F.col("text").contains(F.col("term"))).groupBy("pair_id", "rule_id").agg(F.max((F.col("side") == "A").cast("int")).alias("a"), F.max((F.col("side") == "H").cast("int")).alias("h"))
+    one = hits.where("a <> h")
+    status = F.when(F.col("a") == 1, "a_only").otherwise("h_only")
+    none = F.lit(None).cast("double")
+    return _diff(one, "depth_rule", F.col("rule_id"), none, none, F.lit("low"), F.lit("unresolved"), status)
+
+
+def events(segments: DataFrame) -> DataFrame:
+    """Events of the sides matched one to one, and those of one side among themselves; real mismatches are differences.
+
+    segments(pair_id, side, page, seq, section, text).
+    """
+    found = event_rules.extracted(segments, ["pair_id", "side"])
+    matched = event_rules.between(found).where(F.size("real") > 0)
+    own = event_rules.within(found).withColumn("ambiguous", F.lit(False))
+    amount = lambda p: F.when(F.array_contains("real", "amount"), F.array_max(p + "amounts")).when(F.array_contains("real", "rate"), F.array_max(p + "rates"))
+    out = []
+    for df, kind, one, two in ((matched, "event", "A:", "H:"), (own, "internal_event", None, None)):
+        state = grading.triage(F.lit(False), F.col("ambiguous"))
+        a, h = amount("a_"), amount("h_")
+        graded = grading.triaged(F.coalesce(grading.grade(units.relative_delta(a, h)), F.lit("medium")), state)
+        mark = lambda p, side: F.concat(F.lit(side) if side else F.concat("side", F.lit(":")), F.col(p + "page").cast("string"))
+        out.append(_diff(df, kind, F.col("a_topic"), a, h, graded, state, mark("a_", one), mark("h_", two), apart=(F.col("a_seq"), F.col("h_seq"), F.array_join("real", ","))))
+    return out[0].unionByName(out[1])
+
+
+#: Keys that stand for each other when an image is compared with a text.
+FAMILY = (("cash_equivalents", "cash_equivalents_end"),)
 
 
 def key_metrics(items: DataFrame, visual: DataFrame) -> DataFrame:
     """Values read from page images against those of the text of the page, and near misses across the reports.
 
-    visual(pair_id, side, canonical_key, page, value).
+    visual(pair_id, side, canonical_key, page, value).  Keys of one family meet; of several values in the text the one
+    whose digits are most like those seen counts, then the surer one.
     """
-    seen = visual.select("pair_id", "side", "canonical_key", "page", F.col("value").alias("visual"))
-    j = items.join(seen, ["pair_id", "side", "canonical_key", "page"]).withColumn("ratio", units.relative_delta(F.col("value"), F.col("visual")))
-    near = aggregates.pick(j, ["pair_id", "side", "canonical_key", "page"], [F.col("ratio"), F.col("confidence").desc(), F.col("seq")]).where("ratio > 0")
+    kin = F.array(F.col("canonical_key"))
+    for x, y in FAMILY:
+        kin = F.when(F.col("canonical_key") == x, F.array(F.lit(x), F.lit(y))).when(F.col("canonical_key") == y, F.array(F.lit(y), F.lit(x))).otherwise(kin)
+    seen = visual.select("pair_id", "side", F.explode(kin).alias("canonical_key"), "page", F.col("value").alias("visual"), F.col("canonical_key").alias("seen_key"))
+    j = items.join(seen, ["pair_id", "side", "canonical_key", "page"]).withColumn("ratio", units.relative_delta(F.col("value"), F.col("visual"))).where("ratio > 0")
+    digits = lambda c: F.regexp_replace(F.format_number(F.col(c), 2), r"[,]|\.?0*$", "")
+    like = j.withColumn("alike", matching.sequence_ratio(digits("value"), digits("visual")))
+    near = aggregates.pick(like, ["pair_id", "side", "seen_key", "page", "visual"], [F.col("alike").desc(), F.col("ratio"), F.col("confidence").desc(), F.col("seq")])
     shown = _diff(near, "visual", F.col("canonical_key"), F.col("visual"), F.col("value"), grading.exact_grade(F.col("ratio")), F.lit("unresolved"), F.concat_ws(":", "side", F.col("page").cast("string")))
     key = F.struct("pair_id", "canonical_key", F.coalesce("period", F.lit("")).alias("period"))
     half = lambda s, p: items.where(F.col("side") == s).select(key.alias("k"), F.col("value").alias(p), F.col("page").alias(p + "_page"))
-    cross = joins.exact_mismatches(half("A", "a"), half("H", "h"), "k", "a", "h", ["a_page", "h_page"]).select("k.pair_id", "k.canonical_key", "a", "h", "severity", "a_page", "h_page")
-    return shown.unionByName(_diff(cross, "exact", F.col("canonical_key"), F.col("a"), F.col("h"), F.col("severity"), F.lit("unresolved"), F.col("a_page").cast("string"), F.col("h_page").cast("string")))
+    cross = joins.exact_mismatches(half("A", "a"), half("H", "h"), "k", "a", "h", ["a_page", "h_page"]).select("k.pair_id", "k.canonical_key", "k.period", "a", "h", "severity", "a_page", "h_page")
+    return shown.unionByName(_diff(cross, "exact", F.col("canonical_key"), F.col("a"), F.col("h"), F.col("severity"), F.lit("unresolved"), F.col("a_page").cast("string"), F.col("h_page").cast("string"), apart=(F.col("period"),)))
 
 
 def overlay(words: DataFrame) -> DataFrame:
@@ -125,7 +189,12 @@ def branches(rows: DataFrame) -> DataFrame:
 
 
 def standard(diffs: DataFrame, vectors: DataFrame, clauses: DataFrame, k: int = 4) -> DataFrame:
-    """The k clauses nearest to each real difference: vectors(query_id = diff_id, vector), clauses(item_id, vector)."""
+    """The k clauses nearest to each real difference: vectors(query_id = diff_id, vector), clauses(item_id, vector).
+
+    Differences whose two values are the same number (within a millionth) are none, and go unasked.
+    """
+    if {"a_value", "h_value"} <= set(diffs.columns):
+        diffs = diffs.where(F.coalesce(units.relative_delta(F.col("a_value"), F.col("h_value")) > 1e-6, F.lit(True)))
     real = vectors.join(diffs.where("triage = 'real'").select(F.col("diff_id").alias("query_id")), "query_id", "left_semi")
     return retrieval.top_cosine(real, clauses, k)
 
@@ -143,32 +212,122 @@ def charts(shown: DataFrame, tables: DataFrame, texts: DataFrame) -> DataFrame:
     return _diff(off, "chart", F.col("key"), F.col("value"), F.coalesce("vb", "vc"), grading.grade(F.col("spread")), F.lit("unresolved"), F.col("page").cast("string"))
 
 
+def page_window(zh_page: Column, zh_total: Column, en_total: Column) -> Column:
+    """Pages that a paragraph's partner may be away: 8 at least, wider in longer reports and further on, 30 at most."""
+    base = F.greatest(F.lit(8), F.floor(5 * en_total / zh_total)) + F.when(zh_page > 50, F.floor((zh_page - 50) / 15)).otherwise(0)
+    return F.when(zh_total <= 0, 12).otherwise(F.least(base, F.lit(30)))
+
+
+_UNIT_ARRAYS = ("signals", "topics", "actions", "glossary")
+
+
+def paragraph_candidates(units_: DataFrame, top: int = 20) -> DataFrame:
+    """Candidates of each zh paragraph with their score; columns zh_* and en_*.
+
+    units_(pair_id, lang, unit, page, section, seq, signals; topics, actions, glossary: arrays of codes, if known).
+    They meet by page window, section or signal; the `top` nearest are kept.
+    """
+    none = F.array().cast("array<string>")
+    for c in _UNIT_ARRAYS:
+        units_ = units_.withColumn(c, F.coalesce(F.col(c), none) if c in units_.columns else none)
+    w = Window.partitionBy("pair_id", "lang", "section")
+    placed = units_.withColumn("rank", F.row_number().over(w.orderBy("seq", "unit")) - 1).withColumn("size", F.count("*").over(w)).withColumn("total", F.max("page").over(Window.partitionBy("pair_id", "lang")))
+    side = lambda lang, p: placed.where(F.col("lang") == lang).select("pair_id", *[F.col(c).alias(p + c) for c in ("unit", "page", "section", "seq", "rank", "size", "total", *_UNIT_ARRAYS)])
+    zh, en = side("zh", "zh_"), side("en", "en_")
+    c = F.col
+    near = joins.bucketed_range(zh, en, ["pair_id"], "zh_page", "en_page", 30).where(F.abs(c("zh_page") - c("en_page")) <= page_window(c("zh_page"), c("zh_total"), c("en_total")))
+    section = zh.withColumn("__s", F.col("zh_section")).join(en.withColumn("__s", F.col("en_section")), ["pair_id", "__s"]).drop("__s")
+    signal = zh.withColumn("__s", F.explode("zh_signals")).join(en.withColumn("__s", F.explode("en_signals")), ["pair_id", "__s"]).drop("__s")
+    met = near.unionByName(section).unionByName(signal).dropDuplicates(["pair_id", "zh_unit", "en_unit"])
+    same = F.coalesce(c("zh_section") == c("en_section"), F.lit(False))
+    apart = F.abs(c("zh_page") - c("en_page"))
+    order = Window.partitionBy("pair_id", "zh_unit").orderBy(same.desc(), apart, F.abs(c("zh_seq") - c("en_seq")), "en_seq", "en_unit")
+    few = met.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= top).drop("__r")
+    shared = lambda x: F.size(F.array_intersect("zh_" + x, "en_" + x))
+    place = F.abs(c("zh_rank") / c("zh_size") - c("en_rank") / c("en_size"))
+    both_long = same & (c("zh_size") > 1) & (c("en_size") > 1)
+    position = F.when(~both_long, 0).when(place <= 0.15, 4).when(place <= 0.30, 2).when(place >= 0.70, -2).otherwise(0)
+    base = F.when(same, 2).otherwise(0) + 3 * shared("topics") + 5 * shared("actions") + 2 * shared("glossary") + F.when(apart <= 2, 2).when(apart <= 5, 1).otherwise(0) + position
+    known = text.jaccard(c("zh_glossary"), c("en_glossary"))
+    score = base + F.when((base < 5) & (known > 0.75), 3).when((base < 5) & (known > 0.60), 1).otherwise(0)
+    return few.withColumn("score", score.cast("double")).withColumn("same_section", same)
+
+
+#: Factors by which a unit may have been misread.
+_SCALES = (1e3, 1e4, 1e6, 1e8, 1e9)
+
+
+def fact_pairs(aligned: DataFrame, facts: DataFrame) -> DataFrame:
+    """Facts of aligned paragraphs (pair_id, i, j) paired one to one by kind and role, the least cost first.
+
+    Cost: 0 for equal values (currencies converted), little for a factor of a unit, else the ratio.  Adds a, h, cost, equal.
+    """
+    order = Window.partitionBy("pair_id", "lang", "unit", "kind", "role").orderBy("value", *[x for x in ("currency",) if x in facts.columns])
+    if "currency" not in facts.columns:
+        facts = facts.withColumn("currency", F.lit(None).cast("string"))
+    numbered = facts.withColumn("n", F.row_number().over(order))
+    side = lambda lang, u, p: numbered.where(F.col("lang") == lang).select("pair_id", F.col("unit").alias(u), "kind", "role", F.col("value").alias(p), F.col("currency").alias(p + "_currency"), F.col("n").alias(p + "_n"))
+    met = aligned.join(side("zh", "i", "a"), ["pair_id", "i"]).join(side("en", "j", "h"), ["pair_id", "j", "kind", "role"])
+    a, h = F.col("a"), F.col("h")
+    equal = predicates.values_match(a, h, F.coalesce("a_currency", F.lit("CNY")), F.coalesce("h_currency", "a_currency", F.lit("CNY")))
+    ratio = F.greatest(F.abs(a), F.abs(h)) / F.least(F.abs(a), F.abs(h))
+    scaled = F.lit(None).cast("double")
+    for f in reversed(_SCALES):
+        scaled = F.when(F.abs(ratio - f) / f <= 0.05, f / 1e6).otherwise(scaled)
+    cost = F.when(equal, 0.0).when((a == 0) | (h == 0), F.abs(a - h)).otherwise(F.coalesce(scaled, ratio))
+    costed = met.withColumn("cost", cost).withColumn("equal", equal).withColumn("__g", F.concat_ws("\u0001", *[F.col(x).cast("string") for x in ("pair_id", "i", "j", "kind", "role")])).withColumn("__score", -F.col("cost"))
+    chosen = matching.greedy(costed, "__g", "a_n", "h_n", "__score", least=-1e300)
+    return costed.join(chosen.select("__g", "a_n", "h_n"), ["__g", "a_n", "h_n"]).drop("__g", "__score")
+
+
 def bilingual(units_: DataFrame, facts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(alignments, diffs, stats) of the zh and en units of each pair.
+    """(alignments, diffs, stats) of the zh and en paragraphs of each pair.
 
-    units_(pair_id, lang, unit, page, section, seq, signals); facts(pair_id, lang, unit, kind, role, value).
+    units_ as for paragraph_candidates; facts(pair_id, lang, unit, kind, role, value, currency if known).
     """
-    zh = units_.where("lang = 'zh'").select("pair_id", F.col("unit").alias("i"), "page", "section", "seq", "signals")
-    en = units_.where("lang = 'en'").select(F.col("pair_id").alias("pair2"), F.col("unit").alias("j"), F.col("page").alias("page2"), F.col("section").alias("section2"), F.col("seq").alias("seq2"), F.col("signals").alias("signals2"))
-    shared = zh.withColumn("t", F.explode(F.concat("signals", F.array(F.concat(F.lit("page:"), F.floor(F.col("page") / 4).cast("string"))), F.array(F.concat(F.lit("section:"), F.col("section"))))))
-    there = en.withColumn("t", F.explode(F.concat("signals2", F.array(F.concat(F.lit("page:"), F.floor(F.col("page2") / 4).cast("string"))), F.array(F.concat(F.lit("section:"), F.col("section2"))))))
-    met = shared.join(there, (shared["pair_id"] == there["pair2"]) & (shared["t"] == there["t"])).drop("t", "pair2").dropDuplicates(["pair_id", "i", "j"])
-    score = 3 * F.least(F.size(F.array_intersect("signals", "signals2")), F.lit(2)) + 2 * F.coalesce((F.col("section") == F.col("section2")).cast("int"), F.lit(0)) + F.when(F.abs(F.col("page") - F.col("page2")) <= 2, 2).otherwise(0)
-    w = Window.partitionBy("pair_id", "i").orderBy(score.desc(), F.abs(F.col("seq") - F.col("seq2")), "j")
-    top = met.withColumn("score", score.cast("double")).withColumn("r", F.row_number().over(w)).where("r <= 20")
-    aligned = matching.greedy(top, "pair_id", "i", "j", "score", least=3.0).withColumn("confidence", F.least(F.col("score") / 10, F.lit(0.95)))
-    side = lambda lang, u, v: facts.where(F.col("lang") == lang).select("pair_id", F.col("unit").alias(u), "kind", "role", F.col("value").alias(v))
-    paired = aligned.drop("score").join(side("zh", "i", "a"), ["pair_id", "i"]).join(side("en", "j", "h"), ["pair_id", "j", "kind", "role"]).withColumn("cost", -units.relative_delta(F.col("a"), F.col("h")))
-    key = F.struct("pair_id", "i", "j", "kind", "role")
-    closest = aggregates.pick(paired, ["pair_id", "i", "j", "kind", "role"], [F.col("cost").desc(), F.col("a"), F.col("h")]).withColumn("k", key).where(-F.col("cost") > 1e-4)
-    ratio = -F.col("cost")
+    scored = paragraph_candidates(units_)
+    near = scored.select("pair_id", F.col("zh_unit").alias("i"), F.col("en_unit").alias("j"), "score", "same_section", F.coalesce(F.arrays_overlap("zh_signals", "en_signals"), F.lit(False)).alias("signed"), text.jaccard(F.col("zh_glossary"), F.col("en_glossary")).alias("known"))
+    has = facts.select("pair_id", F.col("unit").alias("i"), F.lit(True).alias("has")).where(F.col("lang") == "zh").distinct()
+    chosen = matching.greedy(near, "pair_id", "i", "j", "score", least=3.0)
+    aligned = chosen.join(near.drop("score"), ["pair_id", "i", "j"]).join(has, ["pair_id", "i"], "left")
+    aligned = aligned.withColumn("confidence", grading.alignment_confidence(F.col("score"), F.col("same_section"), F.col("signed"), F.coalesce("has", F.lit(False)), F.col("known"))).select("pair_id", "i", "j", "score", "confidence")
+    wrong = fact_pairs(aligned.drop("score"), facts).where("NOT equal")
     state = grading.triage(F.lit(False), F.col("confidence") < 0.85)
-    diffs = _diff(closest, "bilingual", F.concat_ws(":", "kind", "role"), F.col("a"), F.col("h"), grading.triaged(grading.grade(ratio), state), state, F.col("i").cast("string"), F.col("j").cast("string"))
+    graded = grading.triaged(grading.grade(units.relative_delta(F.col("a"), F.col("h"))), state)
+    diffs = _diff(wrong, "bilingual", F.concat_ws(":", "kind", "role"), F.col("a"), F.col("h"), graded, state, F.col("i").cast("string"), F.col("j").cast("string"), apart=(F.col("a_n"), F.col("h_n")))
     n = lambda df, c: df.groupBy("pair_id").agg(F.count("*").alias(c))
-    stats = n(zh, "zh_units").join(n(en.withColumnRenamed("pair2", "pair_id"), "en_units"), "pair_id", "full_outer").join(n(aligned, "aligned"), "pair_id", "left").na.fill(0).withColumn("coverage", F.try_divide("aligned", F.least("zh_units", "en_units")))
+    of = lambda lang: units_.where(F.col("lang") == lang)
+    stats = n(of("zh"), "zh_units").join(n(of("en"), "en_units"), "pair_id", "full_outer").join(n(aligned, "aligned"), "pair_id", "left").na.fill(0).withColumn("coverage", F.try_divide("aligned", F.least("zh_units", "en_units")))
     return aligned, diffs, stats
 
 
+def table_rows(rows: DataFrame, least: float = 4.0) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(paired tables, paired rows, diffs of their numbers) of zh and en tables.
+
+    rows(pair_id, lang, table, row, page, title_keys, keys, unit, values): glossary keys of the title and of the row, numbers.
+    Tables meet by a key of their titles or rows, best score first; then rows within paired tables in the same way.
+    """
+    side = lambda lang, p: rows.where(F.col("lang") == lang).select("pair_id", *[F.col(c).alias(p + c) for c in ("table", "row", "page", "title_keys", "keys", "unit", "values")])
+    zh, en = side("zh", "zh_"), side("en", "en_")
+    term = lambda df, p: df.withColumn("__k", F.explode(F.array_distinct(F.concat(p + "keys", p + "title_keys"))))
+    met = term(zh, "zh_").join(term(en, "en_"), ["pair_id", "__k"]).drop("__k").dropDuplicates(["pair_id", "zh_table", "zh_row", "en_table", "en_row"])
+    shared = F.least(F.lit(4), 2 * F.size(F.array_intersect("zh_keys", "en_keys")))
+    title = F.when(F.arrays_overlap("zh_title_keys", "en_title_keys"), 2).otherwise(0)
+    other = F.when(F.col("zh_unit").isNotNull() & F.col("en_unit").isNotNull() & (units.multiplier(F.col("zh_unit")) != units.multiplier(F.col("en_unit"))), -2).otherwise(0)
+    page = F.when(F.abs(F.col("zh_page") - F.col("en_page")) <= 2, 1).otherwise(0)
+    scored = met.withColumn("score", (shared + title + page + other).cast("double"))
+    tables = scored.groupBy("pair_id", "zh_table", "en_table").agg(F.sum(F.when(F.col("score") >= least, F.col("score")).otherwise(0.0)).alias("score")).where("score > 0")
+    paired = matching.greedy(tables, "pair_id", "zh_table", "en_table", "score", least=3.0)
+    inside = scored.join(paired.select("pair_id", "zh_table", "en_table"), ["pair_id", "zh_table", "en_table"]).withColumn("__g", F.concat_ws("\u0001", *[F.col(c).cast("string") for c in ("pair_id", "zh_table", "en_table")]))
+    chosen = matching.greedy(inside, "__g", "zh_row", "en_row", "score", least=least)
+    out = inside.join(chosen.select("__g", "zh_row", "en_row"), ["__g", "zh_row", "en_row"]).drop("__g")
+    each = out.select("*", F.posexplode(F.arrays_zip("zh_values", "en_values")).alias("n", "v")).withColumn("a", F.col("v.zh_values") * units.multiplier(F.col("zh_unit"))).withColumn("h", F.col("v.en_values") * units.multiplier(F.col("en_unit")))
+    wrong = each.where(units.relative_delta(F.col("a"), F.col("h")) > 1e-4)
+    graded = grading.grade(units.relative_delta(F.col("a"), F.col("h")))
+    mark = lambda p: F.concat_ws(":", F.col(p + "table").cast("string"), F.col(p + "row").cast("string"))
+    return paired, out, _diff(wrong, "bilingual_row", F.array_join(F.array_sort(F.array_intersect("zh_keys", "en_keys")), ","), F.col("a"), F.col("h"), graded, F.lit("real"), mark("zh_"), mark("en_"), apart=(F.col("n"),))
+
+
 def all_checks(parts: list[DataFrame]) -> DataFrame:
     """The union of the checks' diffs; equal ids once, the most severe first."""
     every = parts[0]

@@ -125,10 +125,10 @@ def token_jaccard(t, spark):
     return full.withColumn("s", text.jaccard(F.col("x"), F.col("y"))).where("s >= 0.1").select("i", "j", F.round("s", 6).alias("similarity"))
 
 
-@query("""WITH p AS (SELECT p_partkey AS k, printf('%.2f', p_retailprice) AS s FROM part WHERE p_size = 7), q AS (SELECT a.k AS i, b.k AS j, a.s AS x, b.s AS y FROM p a JOIN p b ON a.k < b.k AND length(a.s) = length(b.s))
+@query("""WITH p AS (SELECT p_partkey AS k, printf('%.2f', p_retailprice) || '|' || p_size || '|' || p_brand AS s FROM part), q AS (SELECT a.k AS i, b.k AS j, a.s AS x, b.s AS y FROM p a JOIN p b ON a.k < b.k AND length(a.s) = length(b.s))
 SELECT i, j, CAST(hamming(x, y) AS INTEGER) AS distance FROM q WHERE hamming(x, y) BETWEEN 1 AND 2""")
 def hamming_pairs(t, spark):
-    p = t("part").where("p_size = 7").select(F.col("p_partkey").alias("k"), F.format_string("%.2f", "p_retailprice").alias("s"))
+    p = t("part").select(F.col("p_partkey").alias("k"), F.concat(F.format_string("%.2f", "p_retailprice"), F.lit("|"), F.col("p_size").cast("string"), F.lit("|"), "p_brand").alias("s"))
     # Two substitutions in a text cut in three leave one third as it was: an equi-join on thirds, not on lengths alone.
     n = F.length("s")
     third = F.ceil(n / 3).cast("int")
@@ -219,10 +219,7 @@ def history_top100(t, spark):
 SELECT user_id, state, CAST(floor(epoch(now)) - floor(epoch(last_seen)) AS BIGINT) AS silent FROM l CROSS JOIN n WHERE state IN ('click', 'view', 'purchase') AND floor(epoch(now)) - floor(epoch(last_seen)) > 86400""")
 def stale_jobs(t, spark):
     e = t("events")
-    now = e.agg(F.max("ts").alias("now"))
-    last = jobs.progress(e, "user_id", "ts", "event_type").crossJoin(F.broadcast(now))  # one row
-    silent = F.unix_seconds(F.col("now").cast("timestamp")) - F.unix_seconds(F.col("last_seen").cast("timestamp"))
-    return last.where(F.col("state").isin("click", "view", "purchase")).withColumn("silent", silent).where("silent > 86400").select("user_id", "state", "silent")
+    return jobs.stale(e, "user_id", "ts", "event_type", e.agg(F.max("ts").alias("now")), 86400, ("click", "view", "purchase")).select("user_id", "state", "silent")
 
 
 @query("""WITH e AS (SELECT user_id, ts, event_id, coalesce(ts - lag(ts) OVER w > INTERVAL 30 MINUTE, true) AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), s AS (SELECT *, sum(CAST(new AS INTEGER)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g FROM e)
@@ -249,9 +246,9 @@ def json_props(t, spark):
 
 
 @query("""WITH c AS (SELECT conv_id, CAST(turn AS BIGINT) AS row, CAST(length(text) % 3 AS BIGINT) AS col, text, turn <= 1 AS is_header FROM conversations)
-SELECT conv_id, row, col, coalesce(string_agg(CASE WHEN is_header THEN substr(text, 1, 10) END, ' ') OVER (PARTITION BY conv_id, col ORDER BY row ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS header FROM c""")
+SELECT conv_id, row, col, coalesce(string_agg(CASE WHEN is_header THEN text END, ' ') OVER (PARTITION BY conv_id, col ORDER BY row ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS header FROM c""")
 def header_accumulation(t, spark):
-    c = t("conversations").select("conv_id", F.col("turn").alias("row"), (F.length("text") % 3).cast("long").alias("col"), F.substring("text", 1, 10).alias("s"), (F.col("turn") <= 1).alias("is_header"))
+    c = t("conversations").select("conv_id", F.col("turn").alias("row"), (F.length("text") % 3).cast("long").alias("col"), F.col("text").alias("s"), (F.col("turn") <= 1).alias("is_header"))
     return windows.headers(c, ["conv_id"], "row", "col", "s").select("conv_id", "row", "col", "header")
 
 

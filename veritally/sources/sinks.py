@@ -21,7 +21,7 @@ def sheets(diffs: DataFrame, coverage: DataFrame, warnings: DataFrame) -> dict[s
         "real": ordered.where("triage = 'real'"),
         "expected": ordered.where("triage = 'expected'"),
         "cards": ordered.where("severity IN ('high', 'critical')"),
-        "evidence": diffs.select("pair_id", "diff_id", F.posexplode("evidence").alias("seq", "e")).select("pair_id", "diff_id", "seq", "e.*"),
+        "evidence": diffs.select("pair_id", "diff_id", F.posexplode("evidence").alias("seq", "evidence")),
         "coverage": coverage,
         "warnings": warnings,
         "by_severity": by("severity"),

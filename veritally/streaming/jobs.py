@@ -13,8 +13,10 @@ def progress(events: DataFrame, key: str, at: str, state: str) -> DataFrame:
 
 
 def stale(events: DataFrame, key: str, at: str, state: str, now, seconds: int, running: tuple[str, ...]) -> DataFrame:
-    """Running jobs whose last event is older than the limit."""
+    """Running jobs whose last event is older than the limit; now: a column, or a table with one row and one column."""
     last = progress(events, key, at, state)
+    if isinstance(now, DataFrame):
+        last, now = last.crossJoin(F.broadcast(now)), F.col(now.columns[0])
     age = F.unix_seconds(now.cast("timestamp")) - F.unix_seconds(F.col("last_seen").cast("timestamp"))
     return last.where(F.col("state").isin(*running)).withColumn("silent", age).where(F.col("silent") > seconds)
 
