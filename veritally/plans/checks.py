@@ -128,7 +128,7 @@ def events(segments: DataFrame) -> DataFrame:
 
     segments(pair_id, side, page, seq, section, text).
     """
-    found = event_rules.extracted(segments, ["pair_id", "side"])
+    found = event_rules.extracted(segments, ["pair_id", "side"]).persist()  # read eight times below; Spark drops it when memory is short
     matched = event_rules.between(found).where(F.size("real") > 0)
     own = event_rules.within(found).withColumn("ambiguous", F.lit(False))
     amount = lambda p: F.when(F.array_contains("real", "amount"), F.array_max(p + "amounts")).when(F.array_contains("real", "rate"), F.array_max(p + "rates"))

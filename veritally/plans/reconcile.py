@@ -267,20 +267,23 @@ def metric_items(t):
     """Items of both sides: each part is a key, each nation of suppliers a pair of reports; H values differ for some."""
     base = t("lineitem").join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     common = [F.col("s_nationkey").alias("pair_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), F.concat(F.lit("key_"), (F.col("l_partkey") % 40).cast("string")).alias("canonical_key")]
-    rest = [F.lit(None).cast("string").alias("unit"), F.lit("CNY").alias("currency"), F.date_format("l_shipdate", "yyyy").alias("period"), (F.col("l_suppkey") % 20).cast("int").alias("page"), F.lit("main").alias("context"), (1 - F.col("l_discount")).alias("confidence"), F.lit("table").alias("source")]
-    a = base.where("l_linenumber % 2 = 1").select(*common, F.lit("A").alias("side"), F.col("l_extendedprice").alias("value"), *rest)
-    h = base.where("l_linenumber % 2 = 0").select(*common, F.lit("H").alias("side"), F.col("l_extendedprice").alias("value"), *rest)
+    rest = [F.lit(None).cast("string").alias("unit"), F.lit("CNY").alias("currency"), F.date_format("l_shipdate", "yyyy").alias("period"), (F.col("l_suppkey") % 20).cast("int").alias("page"), F.lit("main").alias("context"), (1 - F.col("l_discount")).alias("confidence"), F.when(F.col("l_suppkey") % 2 == 0, "table").otherwise("text").alias("source")]
+    key = F.concat(F.lit("key_"), (F.col("l_partkey") % 40).cast("string"))
+    named = lambda other: F.when(F.col("l_partkey") % 3 == 0, other).when(F.col("l_partkey") % 3 == 1, key).alias("name")
+    a = base.where("l_linenumber % 2 = 1").select(*common, F.lit("A").alias("side"), F.col("l_extendedprice").alias("value"), *rest, named("aaaa"))
+    h = base.where("l_linenumber % 2 = 0").select(*common, F.lit("H").alias("side"), F.col("l_extendedprice").alias("value"), *rest, named("bbbb"))
     return a.unionByName(h)
 
 
 _ITEM_SQL = """b AS (SELECT s_nationkey AS pair_id, l_orderkey * 10 + l_linenumber AS seq, 'key_' || CAST(l_partkey % 40 AS VARCHAR) AS k, CASE l_linenumber % 2 WHEN 1 THEN 'A' ELSE 'H' END AS side,
-  l_extendedprice AS value, strftime(l_shipdate, '%Y') AS period, l_suppkey % 20 AS page, 1 - l_discount AS confidence FROM lineitem JOIN supplier ON l_suppkey = s_suppkey)"""
+  l_extendedprice AS value, strftime(l_shipdate, '%Y') AS period, l_suppkey % 20 AS page, 1 - l_discount AS confidence, l_partkey % 3 AS m, CASE WHEN l_suppkey % 2 = 0 THEN 0.5 ELSE 0.25 END::DOUBLE AS src FROM lineitem JOIN supplier ON l_suppkey = s_suppkey)"""
 
 
 @query(f"""WITH {_ITEM_SQL}, u AS (SELECT * FROM b WHERE NOT (value BETWEEN 1990 AND 2035 OR (abs(value) > 0 AND abs(value) < 50))),
-j AS (SELECT a.pair_id, a.k, a.seq AS i, h.seq AS j, a.value AS av, h.value AS hv, abs(a.value - h.value) / greatest(abs(a.value), abs(h.value), 1e-9) AS ratio, (a.confidence + h.confidence) / 2 AS conf, CASE WHEN a.period = h.period THEN 1.0 ELSE 0.0 END AS per
+j AS (SELECT a.pair_id, a.k, a.seq AS i, h.seq AS j, a.value AS av, h.value AS hv, abs(a.value - h.value) / greatest(abs(a.value), abs(h.value), 1e-9) AS ratio, (a.confidence + h.confidence) / 2 AS conf, CASE WHEN a.period = h.period THEN 1.0 ELSE 0.0 END::DOUBLE AS per, a.src + h.src AS src,
+  greatest(CASE WHEN a.m <> 0 AND h.m <> 0 THEN 1 ELSE 0 END, CASE CAST(a.m = 1 AS INTEGER) + CAST(h.m = 1 AS INTEGER) WHEN 2 THEN 0.92 WHEN 1 THEN 0.72 ELSE 0.62 END)::DOUBLE AS label
   FROM u a JOIN u h ON a.pair_id = h.pair_id AND a.k = h.k WHERE a.side = 'A' AND h.side = 'H'),
-s AS (SELECT *, 0.28 + 0.24 * 0.92 + 0.20 * conf + 0.12 * per + 0.08 + 0.08 * greatest(0, 1 - least(ratio, 1)) AS score FROM j),
+s AS (SELECT *, 0.28::DOUBLE + 0.24::DOUBLE * label + 0.20::DOUBLE * conf + 0.12::DOUBLE * per + 0.08::DOUBLE * src + 0.08::DOUBLE * greatest(0::DOUBLE, 1 - least(ratio, 1)) AS score FROM j),
 best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY pair_id, k ORDER BY score DESC, i, j) = 1),
 r AS (SELECT pair_id, CASE WHEN av / hv BETWEEN 4 AND 10 THEN av / hv WHEN av / hv BETWEEN 0.10 AND 0.25 THEN hv / av END AS r FROM best WHERE av >= 1000 AND hv >= 1000),
 l AS (SELECT pair_id, list_sort(list(r)) AS rs FROM r WHERE r IS NOT NULL GROUP BY pair_id HAVING count(*) >= 2), m AS (SELECT *, rs[CAST(floor(len(rs) / 2.0) AS INTEGER) + 1] AS median FROM l),
@@ -288,7 +291,7 @@ n AS (SELECT pair_id, list_filter(rs, lambda x: abs(x - median) / median <= 0.10
 x(x) AS (VALUES (1e0), (1e3), (1e4), (1e6), (1e8)), q AS (SELECT list(DISTINCT a.x / b.x) AS qs FROM x a CROSS JOIN x b),
 ok AS (SELECT DISTINCT s.pair_id, s.k FROM s CROSS JOIN q LEFT JOIN f ON f.pair_id = s.pair_id WHERE abs(av - hv) <= CASE WHEN s.k IN ('key_1', 'key_2') THEN 100 ELSE 0 END OR ratio <= 0.01
   OR list_min(list_transform(qs, lambda y: abs(av * y - hv) / greatest(abs(av * y), abs(hv), 1e-9))) <= 0.02 OR coalesce(abs(av - hv * factor) / greatest(abs(av), abs(hv * factor), 1e-9) <= 0.05, false)),
-o AS (SELECT *, conf >= 0.88 AND per >= 0.5 AND score >= 0.72 AS sure FROM best WHERE NOT EXISTS (SELECT 1 FROM ok WHERE ok.pair_id = best.pair_id AND ok.k = best.k))
+o AS (SELECT *, conf >= 0.88 AND per >= 0.5 AND src >= 0.5 AND label >= 0.62 AND score >= 0.72 AS sure FROM best WHERE NOT EXISTS (SELECT 1 FROM ok WHERE ok.pair_id = best.pair_id AND ok.k = best.k))
 SELECT pair_id, 'numeric' AS diff_type, k AS canonical_key, av AS a_value, hv AS h_value, CASE WHEN sure THEN 'real' ELSE 'unresolved' END AS triage,
   CASE WHEN NOT sure AND ratio >= 0.05 THEN 'medium' ELSE {_GRADE} END AS severity FROM o""")
 def numeric_check(t, spark):
