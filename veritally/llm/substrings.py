@@ -1,16 +1,19 @@
-"""Substring deduplication by prefix-partitioned suffix trees.
-
-A suffix is the word sequence from one word of a document on, cut at `size` words, the depth that matters.  All
-suffixes are split into memory-sized groups by prefixes of variable length: by their first word where few suffixes
-share its class, by the first two or four words where more do, by all words at last.  A group is one subtree.
-Its leaves are sorted by path (the fingerprint of the words below the prefix); runs of equal paths are the internal
-nodes at depth `size`, and the smallest document below such a node owns the passage.  Nodes of consecutive suffixes
-join to maximal repeats, and later documents lose the words that they cover.
-
-Before the shuffle each chunk of text keeps one leaf of each node, its smallest document's: all others of the chunk are
-repeats already.  So a passage that a third of the corpus shares sends one leaf a chunk to its subtree.
-Paths are 56-bit fingerprints within a group: two different passages of a corpus of n suffixes in g groups meet with
-a probability of about n*n / (g * 2**57).
+"""Substring deduplication by prefix-partitioned, truncated suffix trees.
+
+A suffix is the word sequence from one word of a document on.  Only repeats of `size` words matter, so the tree is
+truncated there: suffixes that agree in `size` words share a leaf, and a leaf with suffixes of several documents is a node
+below which a repeat goes on.  The suffixes are split into memory-sized groups by prefixes of variable length: by their
+first word where few suffixes share its class, by the first two or four words where more do, by all words at last;
+the classes are bounded in number, and in a large corpus each is cut further by the words that follow.  A group is one
+subtree.  What it holds of a suffix is a fingerprint of its words: leaves are sorted and merged by it, and the smallest
+document of a leaf owns the passage.  Levels above the truncation are not built (nothing asks for them), nor are leaves
+in the order of their words.  Leaves of consecutive suffixes join to maximal repeats, and later documents lose the words that
+they cover.
+
+Before the shuffle each chunk of text keeps one suffix of each leaf, its smallest document's: all others of the chunk are
+repeats already.  So a passage that a third of the corpus shares sends one suffix a chunk to its subtree.
+Fingerprints have 64 bits within a group: two different passages of a corpus of n suffixes in g groups meet with
+a probability of about n*n / (g * 2**65), 0.2 for 1e13 suffixes.
 """
 
 from __future__ import annotations
@@ -28,7 +31,8 @@ SIZE = 13
 #: Words of the prefixes tried, classes of prefixes of each length, suffixes aimed at in a group.
 PREFIXES, CLASSES, GROUP = (1, 2, 4), 4096, 800_000
 CHUNK_BYTES = 6 << 20
-_TOP = np.uint64(8)
+#: Bytes of text and documents of a part that is cut at a time.
+PART_BYTES, PART_DOCS = 8 << 20, 1000
 
 
 def prefix_classes(w: K.Words, at: np.ndarray, words: int) -> np.ndarray:
@@ -37,33 +41,35 @@ def prefix_classes(w: K.Words, at: np.ndarray, words: int) -> np.ndarray:
     return (K.salted(h[np.searchsorted(start, at)], words) >> np.uint64(52)).astype(np.int64)
 
 
-def census(documents: DataFrame, size: int) -> np.ndarray:
-    """Suffixes by prefix length and class: len(PREFIXES) x CLASSES numbers, the only ones that the driver gets."""
+def census(documents: DataFrame, size: int) -> tuple[np.ndarray, int, int]:
+    """(suffixes by prefix length and class, bytes, documents): len(PREFIXES) x CLASSES + 2 numbers, the only ones that the driver gets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         K.lean()
-        n = np.zeros((len(PREFIXES), CLASSES), np.int64)
+        n, sizes = np.zeros((len(PREFIXES), CLASSES), np.int64), np.zeros(2, np.int64)
         for b in batches:
             for i, j in K.slices(b["text"]):
                 w = K.words(b["text"].slice(i, j - i))
+                sizes += len(w.buf), j - i
                 at = K.windows(w, size)[1]
                 for k, length in enumerate(PREFIXES):
                     if len(at):
                         n[k] += np.bincount(prefix_classes(w, at, length), minlength=CLASSES)
         level, group = np.nonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(level), pa.array(group), pa.array(n[level, group])], ["level", "class", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(level, [-1, -1])), pa.array(np.append(group, [0, 1])), pa.array(np.append(n[level, group], sizes))], ["level", "class", "n"])
 
-    out = np.zeros((len(PREFIXES), CLASSES), np.int64)
+    out, sizes = np.zeros((len(PREFIXES), CLASSES), np.int64), np.zeros(2, np.int64)
     for r in documents.select("text").mapInArrow(run, "level long, class long, n long").groupBy("level", "class").agg(F.sum("n").alias("n")).collect():
-        out[r["level"], r["class"]] = r["n"]
-    return out
+        (out[r["level"]] if r["level"] >= 0 else sizes)[r["class"]] = r["n"]
+    return out, int(sizes[0]), int(sizes[1])
 
 
-def groups(n: np.ndarray, group: int = GROUP) -> tuple[np.ndarray, int]:
-    """Number of the group of each prefix class (-1: too many suffixes, a longer prefix decides) and how many there are.
+def groups(n: np.ndarray, group: int = GROUP) -> tuple[np.ndarray, int, int]:
+    """Number of the group of each prefix class (-1: too many suffixes, a longer prefix decides), how many there are, and cuts of each.
 
-    Row len(PREFIXES) deals the classes of whole paths.
+    Row len(PREFIXES) deals the classes of whole paths.  Beyond CLASSES groups of the size aimed at, each is cut by its paths.
     """
+    cuts = max(1, -(-int(n[0].sum()) // (group * CLASSES)))
     count = int(min(CLASSES, max(32, -(-n[0].sum() // group))))
     most = max(1, n[0].sum() // count)
     out, load = np.full((len(PREFIXES) + 1, CLASSES), -1), np.zeros(count, np.int64)
@@ -73,7 +79,7 @@ def groups(n: np.ndarray, group: int = GROUP) -> tuple[np.ndarray, int]:
                 out[k, c] = i = int(load.argmin())
                 load[i] += n[k, c] if k == 0 else 0
     out[-1] = np.arange(CLASSES) % count
-    return out, count
+    return out, count, cuts
 
 
 def _planes(x: np.ndarray, width: int) -> bytes:
@@ -89,7 +95,7 @@ def _unplanes(raw: bytes, n: int) -> np.ndarray:
     return np.cumsum(d.view("<u8").ravel().astype(np.uint64), dtype=np.uint64)
 
 
-LEAVES = "to int, kind int, part int, n int, paths binary, docs binary, own binary"
+LEAVES = "to long, kind int, part int, n int, paths binary, docs binary, own binary"
 
 
 def _row(to: int, kind: int, part: int, path: np.ndarray, doc: np.ndarray) -> tuple:
@@ -117,7 +123,7 @@ def _leaves(row: dict) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _table(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 7, kinds)], ["to", "kind", "part", "n", "paths", "docs", "own"])
 
 
@@ -128,7 +134,7 @@ def _split(key: np.ndarray, *columns: np.ndarray):
         yield int(key[a]), *(c[a:b] for c in columns)
 
 
-def leaves(documents: DataFrame, size: int, group_of: np.ndarray, count: int) -> DataFrame:
+def leaves(documents: DataFrame, size: int, group_of: np.ndarray, count: int, cuts: int = 1) -> DataFrame:
     """Rows of leaves of documents (id, part, text).  kind 0: for subtree `to`.  kind 1: repeats already known, for documents of `part`."""
     shared = documents.sparkSession.sparkContext.broadcast(group_of)
 
@@ -143,7 +149,7 @@ def leaves(documents: DataFrame, size: int, group_of: np.ndarray, count: int) ->
         again = same & (doc != lead)
         path, doc, part = path[again], doc[again], part[again]
         order = np.lexsort((path, part))
-        return _table(rows + [_row(count + k % 4096, 1, k, p, d) for k, p, d in _split(part[order], path[order], doc[order])])
+        return _table(rows + [_row(count * cuts + k % 4096, 1, k, p, d) for k, p, d in _split(part[order], path[order], doc[order])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         K.lean()
@@ -159,7 +165,9 @@ def leaves(documents: DataFrame, size: int, group_of: np.ndarray, count: int) ->
                         todo = np.flatnonzero(to < 0)
                         if len(todo):
                             to[todo] = shared.value[k][prefix_classes(w, at[todo], length) if k < len(PREFIXES) else (path[todo] >> np.uint64(52)).astype(np.int64)]
-                    found.append((path >> _TOP, ids[i + text], parts[i + text], to.astype(np.int32)))
+                    if cuts > 1:
+                        to = to * cuts + ((path >> np.uint64(16)) % np.uint64(cuts)).astype(np.int64)
+                    found.append((path, ids[i + text], parts[i + text], to))
                     held += len(w.buf)
                 if held >= CHUNK_BYTES:
                     yield chunk(found)
@@ -189,12 +197,12 @@ def subtree(t: pa.Table, parts: int) -> pa.Table:
 
 
 def part_of(doc: np.ndarray, parts: int) -> np.ndarray:
-    """As part_column has it."""
+    """As part_column has it for documents with an id (those without go by their text: no repeat is sent to them)."""
     return K.spark_hash(doc) % parts
 
 
 def part_column(parts: int) -> Column:
-    return F.pmod(F.xxhash64(F.coalesce("id", F.lit(0).cast("long"))), F.lit(parts)).cast("int").alias("part")
+    return F.pmod(F.xxhash64(F.coalesce("id", F.xxhash64("text"))), F.lit(parts)).cast("int").alias("part")
 
 
 OUT = "doc_id long, n_words long, n_removed long, text string, spans array<struct<first:int,end:int>>"
@@ -212,7 +220,7 @@ def _cut(docs: pa.Table, repeats: pa.Table, size: int) -> pa.Table:
         for i, j in K.slices(batch["text"]):
             w = K.words(batch["text"].slice(i, j - i))
             path, at, text = K.windows(w, size)
-            key = K.mix((path >> _TOP) ^ K.mix(number[i + text].view(np.uint64)))
+            key = K.mix(path ^ K.mix(number[i + text].view(np.uint64)))
             place = np.searchsorted(known, key)
             hit = (known[np.minimum(place, len(known) - 1)] == key) if len(known) else np.zeros(len(key), bool)
             hit &= ~np.asarray(ids.is_null())[i + text]
@@ -247,14 +255,14 @@ def remove_repeats(documents: DataFrame, size: int = SIZE, group: int = GROUP) -
 
     A word goes if a run of `size` words that covers it also begins in a document with a smaller id.  Null texts
     have no words.  Rows that repeat an id take nothing from each other; rows with a null id take and lose
-    nothing.  Other columns are not read.
+    nothing.  A very long text is cut as a whole, by one task.  Other columns are not read.
     """
-    parts = documents.count() // 1000 + 1
     base = documents.select(F.col("doc_id").cast("long").alias("id"), "text")
-
+    n, text_bytes, rows = census(base, size)
+    parts = max(rows // PART_DOCS, text_bytes // PART_BYTES) + 1
     docs = base.select("id", part_column(parts), "text")
-    group_of, count = groups(census(base, size), group)
-    found = leaves(docs, size, group_of, count).groupBy("to").applyInArrow(lambda t: subtree(t, parts), "part int, n int, paths binary, docs binary, own binary")
+    group_of, count, cuts = groups(n, group)
+    found = leaves(docs, size, group_of, count, cuts).groupBy("to").applyInArrow(lambda t: subtree(t, parts), "part int, n int, paths binary, docs binary, own binary")
     return docs.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(lambda a, b: _cut(a, b, size), OUT)
 
 
