@@ -24,7 +24,7 @@ _EDGE, _STOP = r"(?<![A-Za-z0-9])", r"(?![A-Za-z0-9])"
 #: Candidates by kind, in order of precedence where two begin at one place.
 PATTERNS = {
     "email": r"(?<![\w.%+-])[\w.%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![\w-])",
-    "secret": _EDGE + r"AKIA[A-Z0-9]{16}" + _STOP + r"|\b(?:password|passwd|secret|token|api_key) ?[=:] ?\"?[A-Za-z0-9_\-/+]{8,128}",
+    "secret": _EDGE + r"AKIA[A-Z0-9]{16}" + _STOP + r"|\b(?:password|passwd|secret|token|api_key) ?[=:] ?\"?[A-Za-z0-9_\-/+]{8,}+",
     "iban": _EDGE + r"[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)" + _STOP,
     "phone": r"(?:\+1[ .-]?)?(?<![\d)])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?:\+1[ .-])?(?<![\d.-])\d{3}[ .-]\d{3}[ .-]\d{4}(?![\d-])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
