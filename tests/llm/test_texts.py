@@ -51,8 +51,12 @@ def test_substrings(table, rows):
         assert sum(s["end"] - s["first"] for s in r["spans"]) == r["n_removed"]
 
 
-def test_substrings_in_many_small_groups(table, monkeypatch):
+@pytest.mark.parametrize("cuts", [1, 2])
+def test_substrings_in_many_small_groups(table, monkeypatch, cuts):
     monkeypatch.setattr(substrings, "CHUNK_BYTES", 500)
+    plain = substrings.groups
+    monkeypatch.setattr(substrings, "groups", lambda n, group: (*plain(n, group)[:2], cuts))
+    monkeypatch.setattr(substrings, "PART_BYTES", 4000)
     rows = repeated_texts(5, 40)
     got = substrings.remove_repeats(table(rows), group=50).collect()
     assert sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["text"]) for r in got), key=str) == substrings_by_force(rows)
