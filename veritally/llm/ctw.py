@@ -36,6 +36,8 @@ from .substrings import _planes, _unplanes
 DEPTH, TOP = 5, 3
 #: Tasks that share the subtrees, documents to a task of words, parts whose asks one task answers, bytes of a part.
 SUBTREES, WORD_DOCS, SHARE, PART_BYTES = 256, 4000, 256, 16 << 20
+#: Answers are whole multiples of 1 / SCALE in 24 bits: down to 1e-128, exact to 4e-6 (a text's sum to about that times the root of its length).
+SCALE = 1 << 17
 #: Distinct grams held at once while counts are added up.
 HELD = 1_500_000
 FOLDS = 7
@@ -279,7 +281,7 @@ def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, np.ndar
     for batch in batches:
         for i in range(batch.num_rows):
             r = batch.slice(i, 1).to_pylist()[0]
-            yield r, _unplanes(r["keys"], r["n"]), _unvalues(r["counts"], r["n"])
+            yield r, _unplanes(r["keys"], r["n"]), _unvalues(r["counts"] or b"", r["n"])
 
 
 def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,7 +319,7 @@ def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def answered_grams(batches: Iterator[pa.RecordBatch], above: dict[int, Level]) -> Iterator[pa.RecordBatch]:
-    """log10 of the probability of every gram that the parts ask, as 32-bit floats; one row of kind MODEL has the counts."""
+    """log10 of the probability of every gram that the parts ask, in steps of 1 / SCALE; one row of kind MODEL has the counts."""
     K.lean()
     asked, levels = [], {d: Level(*(np.zeros(0, t) for t in (np.uint64, float, float))) for d in range(TOP, DEPTH + 1)}
     for r, keys, counts in _unpacked(batches):
@@ -328,11 +330,10 @@ def answered_grams(batches: Iterator[pa.RecordBatch], above: dict[int, Level]) -
     if not asked:
         return
     u = np.unique(np.concatenate([k for _, k in asked]))
-    value = np.concatenate([log10_of(u[i : i + 200_000], levels | above) for i in range(0, len(u), 200_000)]).astype("<f4")
+    value = np.concatenate([log10_of(u[i : i + 200_000], levels | above) for i in range(0, len(u), 200_000)])
+    value = np.minimum(np.round(-value * SCALE), (1 << 24) - 1).astype(np.int64)
     for part, keys in asked:
-        own = np.ascontiguousarray(value[np.searchsorted(u, keys)])
-        kind, to, part, n, _, packed, _ = _row(GRAM, 0, part, keys, np.zeros(0, np.int64))
-        yield _batch([(kind, to, part, n, 0, packed, own.view(np.uint8).reshape(-1, 4).T.tobytes())])
+        yield _batch([_row(GRAM, 0, part, keys, value[np.searchsorted(u, keys)])])
 
 
 OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -340,12 +341,12 @@ OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens
 
 def _known(told: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted keys of the answers of one kind and their values."""
-    keys, values = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64 if kind == WORD else np.float32)]
+    keys, values = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for batch in told.to_batches():
         for r in batch.to_pylist():
             if r["kind"] == kind:
                 keys.append(_unplanes(r["keys"], r["n"]))
-                values.append(_unvalues(r["counts"], r["n"]) if kind == WORD else np.ascontiguousarray(np.frombuffer(r["counts"], np.uint8).reshape(4, -1).T).view("<f4").ravel())
+                values.append(_unvalues(r["counts"], r["n"]))
     keys, values = np.concatenate(keys), np.concatenate(values)
     order = np.argsort(keys)
     return keys[order], values[order]
@@ -367,7 +368,7 @@ def _score(docs: pa.Table, told: pa.Table, n: int, v: int, ends: int) -> pa.Tabl
             data, first, w = stream(b["text"].slice(i, j - i))
             c, text = _looked_up(words, w.hash), w.text_of
             base = np.bincount(text, np.log10((c + 1) / size), minlength=j - i) + math.log10((ends + 1) / size)
-            score = np.add.reduceat(_looked_up(contexts, grams(data, first)).astype(np.float64), first[:-1])
+            score = np.add.reduceat(_looked_up(contexts, grams(data, first)), first[:-1]) / -SCALE
             out.append(pa.table({"doc_id": b["id"].slice(i, j - i), "held_out": b["held_out"].slice(i, j - i), "n_tokens": w.counts + 1, "n_known": np.bincount(text, c > 0, minlength=j - i).astype(np.int64) + (ends > 0), "train_tokens": np.full(j - i, n), "base_score": base, "score": score}))
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
     return pa.concat_tables([t.cast(schema) for t in out]) if out else schema.empty_table()
@@ -400,7 +401,7 @@ def log_probability(documents: DataFrame) -> DataFrame:
         yield from answered_grams(batches, above.value)
 
     shares = parts // SHARE + 1
-    dealt = asked.withColumn("__share", F.pmod(F.xxhash64("part"), F.lit(shares))).unionByName(model.withColumn("__share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1)).cast("array<long>"))))
+    dealt = asked.withColumn("counts", F.lit(None).cast("binary")).withColumn("__share", F.pmod(F.xxhash64("part"), F.lit(shares))).unionByName(model.withColumn("__share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1)).cast("array<long>"))))
     values = dealt.groupBy("to", "__share").applyInArrow(answer, ROWS)
 
     def score(a: pa.Table, b: pa.Table) -> pa.Table:

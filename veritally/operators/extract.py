@@ -89,7 +89,7 @@ def candidates(items: DataFrame, glossary: DataFrame, least: float = 0.65) -> Da
 def signature(fragment: Column) -> Column:
     """Sorted identity terms of an event: years, rates, quoted or capitalised names."""
     terms = F.concat(F.regexp_extract_all(fragment, F.lit(r"((?:19|20)\d{2})"), F.lit(1)), F.regexp_extract_all(fragment, F.lit(r"(\d+(?:\.\d+)?%)"), F.lit(1)), F.regexp_extract_all(fragment, F.lit(r"\b([A-Z][a-z]+ (?:[A-Z][a-z]+ ?)+(?:Limited|Ltd|Bank|Company|Group)?)"), F.lit(1)))
-    return F.array_sort(F.array_distinct(F.filter(F.transform(terms, F.trim), lambda t: ~t.isin("The Company", "The Group"))))
+    return F.array_sort(F.array_distinct(F.filter(F.transform(terms, lambda x: F.trim(x)), lambda t: ~t.isin("The Company", "The Group"))))
 
 
 def events(segments: DataFrame, keys: list[str], topics: list[tuple[str, str]]) -> DataFrame:

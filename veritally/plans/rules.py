@@ -377,3 +377,10 @@ def report_sheets(t, spark):
         one = tables[name].agg(F.count("*").alias("n")).select(F.lit(name).alias("sheet"), "n")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+@query("""SELECT o_orderkey AS doc_id, CASE o_orderkey % 3 WHEN 0 THEN 'dividend' ELSE 'claim' END AS topic, 1 AS n_facts, CASE o_orderkey % 3 WHEN 0 THEN '2024|The Board' ELSE '2024' END AS signature FROM orders WHERE o_orderkey % 3 <> 2""")
+def event_fragments(t, spark):
+    told = _told(t, "A", F.col("o_orderkey") % 500 + 100, 1).withColumnRenamed("pair_id", "doc_id")
+    found = extract.events(told, ["doc_id"], [("dividend", "dividend"), ("litigation", "claim")])
+    return found.select("doc_id", "topic", F.size("facts").alias("n_facts"), F.array_join("signature", "|").alias("signature"))

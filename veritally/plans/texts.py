@@ -118,11 +118,16 @@ def page_audit(t, spark):
 @query("""WITH w AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z]{3,}')) AS w FROM benchmark), p AS (SELECT a.item_id AS i, b.item_id AS j, a.w AS x, b.w AS y FROM w a JOIN w b ON a.item_id < b.item_id AND len(list_intersect(a.w, b.w)) > 0)
 SELECT i, j, round(len(list_intersect(x, y)) / (len(x) + len(y) - len(list_intersect(x, y))), 6) AS similarity FROM p WHERE len(list_intersect(x, y)) / (len(x) + len(y) - len(list_intersect(x, y))) >= 0.1""")
 def token_jaccard(t, spark):
+    """Pairs that reach the similarity share a word among the rarest of each: only that prefix of the words is joined."""
+    least = 0.1
     w = t("benchmark").select("item_id", text.words(F.col("text")).alias("w"))
-    one = w.select(F.col("item_id").alias("i"), F.col("w").alias("x"), F.explode("w").alias("t"))
-    pairs = one.select("i", "t").join(w.select(F.col("item_id").alias("j"), F.explode("w").alias("t")), "t").where("i < j").select("i", "j").distinct()
+    rare = w.select(F.explode("w").alias("t")).groupBy("t").agg(F.count("*").alias("n"))
+    ranked = w.select("item_id", F.size("w").alias("m"), F.explode("w").alias("t")).join(rare, "t").withColumn("r", F.row_number().over(Window.partitionBy("item_id").orderBy("n", "t")))
+    # A pair with a share of `least` or more has ceil(least * m) words of either in common, so one is among the first m - that + 1.
+    prefix = ranked.where(F.col("r") <= F.col("m") - F.ceil(least * F.col("m") - 1e-9) + 1).select("item_id", "t")
+    pairs = prefix.select(F.col("item_id").alias("i"), "t").join(prefix.select(F.col("item_id").alias("j"), "t"), "t").where("i < j").select("i", "j").distinct()
     full = pairs.join(w.select(F.col("item_id").alias("i"), F.col("w").alias("x")), "i").join(w.select(F.col("item_id").alias("j"), F.col("w").alias("y")), "j")
-    return full.withColumn("s", text.jaccard(F.col("x"), F.col("y"))).where("s >= 0.1").select("i", "j", F.round("s", 6).alias("similarity"))
+    return full.withColumn("s", text.jaccard(F.col("x"), F.col("y"))).where(F.col("s") >= least).select("i", "j", F.round("s", 6).alias("similarity"))
 
 
 @query("""WITH p AS (SELECT p_partkey AS k, printf('%.2f', p_retailprice) || '|' || p_size || '|' || p_brand AS s FROM part), q AS (SELECT a.k AS i, b.k AS j, a.s AS x, b.s AS y FROM p a JOIN p b ON a.k < b.k AND length(a.s) = length(b.s))
@@ -268,14 +273,6 @@ def rate_facts(t, spark):
     return f.groupBy("doc_id").agg(F.count("*").alias("n"), F.round(F.sum("f.value"), 6).alias("total"))
 
 
-@query()
-def event_fragments(t, spark):
-    from ..operators.extract import events
-
-    segments = t("documents").select("doc_id", F.lit(1).alias("page"), F.lit(0).alias("seq"), "text")
-    return events(segments, ["doc_id"], [("bond", "bond"), ("issue", "issue")]).select("doc_id", "topic", F.size("facts").alias("n_facts"), F.array_join("signature", "|").alias("signature"))
-
-
 _CONTEXT_SQL = "CASE WHEN contains(s, 'quarter') THEN 'quarterly' WHEN contains(s, 'parent company') THEN 'parent' WHEN contains(s, 'segment') THEN 'segment' WHEN contains(s, 'subsidiar') THEN 'subsidiary' WHEN contains(s, 'highlights') THEN 'highlights' WHEN contains(s, 'balance sheet') THEN 'main' WHEN contains(s, 'income statement') THEN 'main' WHEN contains(s, 'cash flow') THEN 'main' WHEN contains(s, 'note') THEN 'notes' ELSE 'unknown' END"
 _ROLE_SQL = "CASE WHEN contains(s, 'note') THEN 'note_ref' WHEN contains(s, 'prior') OR contains(s, 'previous') OR contains(s, 'last year') THEN 'prior_period' WHEN contains(s, 'increase') OR contains(s, 'decrease') OR contains(s, 'growth') THEN 'change' WHEN contains(s, 'ratio') OR contains(s, 'per cent') THEN 'ratio' WHEN contains(s, 'matur') THEN 'maturity' ELSE 'main' END"
 
