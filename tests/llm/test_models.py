@@ -271,6 +271,71 @@ def test_pseudonyms_of_other_kinds(table):
     assert out[11]["text"] is None and out[12]["text"] == "" and all(out[e[0] + 10]["text"] == e[1] for e in EDGES if e[0])
 
 
+def brute_force(docs, ids, sf, item, spark):
+    """Stages 2 to 5 against plain versions, each on what its predecessor kept."""
+    from tests.llm.test_minhash import brute
+    from tests.llm.test_texts import best_fit, lines_by_force
+
+    kept = lambda k: {x["doc_id"]: x["text"] for x in spark.read.parquet(f"{sf}/{k}").collect()}
+    first, second, third, fourth = (kept(k) for k in range(4))
+    want = {}
+    for i, _, gone, t in lines_by_force(list(first.items())):
+        if not gone or t.strip():
+            want[i] = t
+    assert second == want
+    root = brute(list(second.items()))
+    assert third == {i: t for i, t in second.items() if root[i] == i}
+    own = item.split()
+    number = {w: k for k, w in enumerate({w for t in third.values() for w in (t or "").lower().split()} | set(own))}
+    code = lambda words: np.array([number[w] for w in words], int)
+    holds = {i for i, t in third.items() if contamination.lcs(code((t or "").lower().split()), code(own))[0] >= contamination.LCS * len(own)}
+    assert set(fourth) == set(third) - holds
+    rows = spark.read.parquet(f"{sf}/4").collect()
+    assert sum(r["length"] for r in rows if r["doc_id"] == 2002) == 1
+    assert len({r["sequence_id"] for r in rows}) == best_fit([r["length"] for r in rows])
+
+
+def test_scores_equal_plain_versions(spark, table, made):
+    """Noisy-or and votes worked out document by document, sentence by sentence and machine by machine."""
+    import math
+
+    import pyarrow as pa
+
+    rows, labels = made
+    model = toxicity.train(table(rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    got = {r["doc_id"]: (r["score"], r["predicted"]) for r in toxicity.score(table(rows), model).collect()}
+    for i, t, _ in rows[:150]:
+        f, own, text, _, _ = toxicity.sentences(pa.array([t]))
+        clean = 1.0
+        for k in range(len(text)):
+            clean *= 1 - 1 / (1 + math.exp(-(model.bias + sum(np.float32(model.weight[x]) for x in f[own == k]))))
+        assert abs(got[i][0] - (1 - clean)) < 1e-5 and got[i][1] == (got[i][0] >= 0.3)
+    m = language.train(table(rows))
+    said = {r["doc_id"]: r["lang_pred"] for r in language.identify(table(rows), m).collect()}
+    for i, t, _ in rows[:150]:
+        f, where, w = language.features(pa.array([t]), language.BITS, language.SIZES)
+        margin = [sum(float(v[x]) for x in f) / math.sqrt(len(f)) + float(v[-1]) for v in m.weight]
+        families = len(m.families) if len(m.families) > 1 else 0
+        own = m.families[max(range(families), key=lambda k: margin[k]) if families else 0]
+        votes = {a: 0.0 for a in own}
+        for k, (a, b) in enumerate(m.pairs):
+            if a in votes:
+                x = margin[families + k]
+                votes[a] += (x > 0) + 1e-3 / (1 + math.exp(-x))
+                votes[b] += (x <= 0) + 1e-3 / (1 + math.exp(x))
+        assert said[i] == m.langs[max(votes, key=votes.get)]
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    import corpus_pipeline
+
+    sf = str(tmp_path)
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, sf).collect() == []
+
+
 def test_pipeline_stages(spark, table, tmp_path):
     import corpus_pipeline
 
@@ -293,6 +358,7 @@ def test_pipeline_stages(spark, table, tmp_path):
         if k < 4:
             assert at.columns == docs.columns
         ids.append({x["doc_id"] for x in at.select("doc_id").collect()})
+    brute_force(docs, ids, sf, item, spark)
     toxic = {i for i, _, t in labels if t}
     assert len(ids[0] & toxic) <= 0.06 * len(toxic) and len(set(range(700)) - toxic - ids[0]) <= 10
     assert set(range(1000, 1006)) <= ids[2] and not ids[2] & set(range(1100, 1106))

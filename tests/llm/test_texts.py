@@ -124,11 +124,32 @@ def test_longest_earlier_runs_of_every_line(table, seed):
     assert got == want
 
 
+def test_encoder_equals_tokenizers_on_a_corpus(spark):
+    """Every document, page and turn of the smallest tables, byte for byte."""
+    own = packing.encoder(packing.vocabulary())
+    for name, column in (("documents", "text"), ("pages", "html"), ("conversations", "text")):
+        for r in spark.read.parquet(f"{DATA}/sf0.001/{name}.parquet").select(column).collect():
+            assert own.encode(r[0] or "") == own.tokenizer.encode(r[0] or "", add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_oracles(spark, duck, name):
     same(registry.queries()[name](spark, f"{DATA}/sf0.001"), duck("sf0.001").sql(registry.oracle_sql()[name]).df())
 
 
+def best_fit(lengths):
+    """Sequences that best-fit decreasing needs, one piece after the other."""
+    gaps = []
+    for n in sorted(lengths, reverse=True):
+        fit = [g for g in gaps if g >= n]
+        if fit:
+            gaps.remove(min(fit))
+            gaps.append(min(fit) - n)
+        else:
+            gaps.append(1024 - n)
+    return len(gaps)
+
+
 @pytest.mark.parametrize("rows", [EDGES, [(i, "tok " * (i * 37 % 1500)) for i in range(80)], []])
 def test_packing(table, rows):
     from tokenizers import Tokenizer
@@ -153,16 +174,7 @@ def test_packing(table, rows):
             assert offset == end
             end += length
         assert end <= 1024
-    # As many sequences as best-fit decreasing, one piece after the other, needs.
-    gaps = []
-    for n in sorted((r["length"] for r in got), reverse=True):
-        fit = [g for g in gaps if g >= n]
-        if fit:
-            gaps.remove(min(fit))
-            gaps.append(min(fit) - n)
-        else:
-            gaps.append(1024 - n)
-    assert len(room) == len(gaps)
+    assert len(room) == best_fit([r["length"] for r in got])
 
 
 def test_encoder_equals_tokenizers():
