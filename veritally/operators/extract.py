@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.functions import pandas_udf
 
 from ..functions import dates, numbers, text, units
-from . import joins
+from . import joins, matching
 
 #: Words that give an amount its role, in order.
 ROLES = (("guarantee", "guarantee"), ("dividend", "dividend"), ("loan", "loan"), ("acqui", "consideration"), ("dispos", "consideration"), ("invest", "investment"), ("revenue", "revenue"), ("profit", "profit"))
@@ -113,3 +113,105 @@ def structure(segments: DataFrame, keys: list[str], parents: dict[str, str]) ->
     leaf = named.groupBy(*keys, F.col("section").alias("node"), "parent").agg(F.min("page").alias("first_page"), F.max("page").alias("last_page")).withColumn("level", F.lit(2))
     top = leaf.groupBy(*keys, F.col("parent").alias("node")).agg(F.min("first_page").alias("first_page"), F.max("last_page").alias("last_page")).withColumn("level", F.lit(1)).withColumn("parent", F.lit(None).cast("string"))
     return leaf.unionByName(top)
+
+
+#: Section codes that stand for others, and the domain of a report that each section belongs to.
+SECTION_ALIASES = {"governance": "corporate_governance", "segment": "segment_report", "basic_eps": "eps", "diluted_eps": "eps", "cfo": "cf", "cfi": "cf", "cff": "cf"}
+SECTION_PARENTS = {
+    **dict.fromkeys(("company_profile", "mda", "directors_report", "risk"), "company_overview"),
+    **dict.fromkeys(("corporate_governance", "share_changes", "preference_shares", "bonds", "significant_events"), "governance_and_shareholders"),
+    **dict.fromkeys(("financial_statements", "bs", "pl", "cf", "equity", "notes", "accounting_policy", "accounting_estimate", "revenue", "segment_report", "related_party", "goodwill", "tax", "eps", "leases", "financial_instruments", "commitments", "employees", "cash_equivalents"), "financial_statements_tree"),
+    "esg": "esg_and_social",
+}
+
+
+def section_code(section: Column) -> Column:
+    """The code that a section's name stands for."""
+    out = F.trim(section)
+    for name, code in SECTION_ALIASES.items():
+        out = F.when(F.trim(section) == name, code).otherwise(out)
+    return out
+
+
+def raw_table_metrics(segments: DataFrame, glossary: DataFrame, keys: list[str], reach: int = 17) -> DataFrame:
+    """Metrics of tables that came as lines, one cell each: keys, canonical_key, value, confidence .82.
+
+    A line that is a glossary form (numbering left out) is a label; numbers in the `reach` lines after it, up to the
+    next label, are its values; page marks such as 12 / 300 end the table.  Years, note numbers and single letters are none.
+    """
+    lines = segments.select(*keys, F.posexplode(F.filter(F.transform(F.split("text", r"[\r\n]+"), lambda x: F.trim(x)), lambda x: x != "")).alias("seq", "cell"), F.size(F.filter(F.split("text", r"[\r\n]+"), lambda x: F.trim(x) != "")).alias("n"))
+    w = Window.partitionBy(*keys)
+    foot = F.max(F.when(F.col("cell").rlike(r"^\d{1,4}\s*/\s*\d{1,4}$") & (F.col("seq") >= F.greatest(F.lit(4), F.floor(F.col("n") / 2))), F.col("seq"))).over(w)
+    body = lines.where("n >= 4").withColumn("foot", foot).where("foot IS NULL OR seq < foot")
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace("cell", r"\s+", " "), r"^[(（]?\d+[)）、.．]\s*", ""), "^[一二三四五六七八九十]+[、.．]\\s*", "")
+    known = glossary.select(F.lower("form").alias("__form"), "canonical_key").dropDuplicates(["__form"])
+    named = body.withColumn("__form", F.lower(F.trim(text.simplify(bare)))).join(known, "__form", "left")
+    last = F.last(F.when(F.col("canonical_key").isNotNull(), F.struct("canonical_key", "seq")), True).over(w.orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
+    cells = named.withColumn("label", last).where(F.col("canonical_key").isNull() & F.col("label").isNotNull() & (F.col("seq") - F.col("label.seq") <= reach))
+    mark = F.col("cell").rlike("^[(（]?(?:[一二三四五六七八九十0-9]+|[A-Za-z]\\d*)[)）]?$")
+    token = cells.where(~mark).select(*keys, "label.canonical_key", "seq", F.explode(numbers.tokens(F.col("cell"))).alias("raw")).withColumn("value", numbers.parse_number(F.col("raw")))
+    year = F.col("value").between(1990, 2035) & ~F.col("raw").contains(".")
+    return token.where(F.col("value").isNotNull() & ~year).select(*keys, "canonical_key", "value", F.lit(0.82).alias("confidence"), F.lit("text").alias("source"))
+
+
+def tail_numbers(s: Column, most: int = 12) -> Column:
+    """Numbers printed after the page mark (12 / 300) at the end of a page's text, as array: values laid over the page come last."""
+    tail = F.regexp_extract(s, r"(?:^|\s)\d{1,4}\s*/\s*\d{1,4}\s+((?:[(\-]?\d[\d,]*(?:\.\d+)?\)?\s*){1,12})\s*$", 1)
+    raw = F.filter(numbers.tokens(tail), lambda t: numbers.parse_number(t).isNotNull() & ~(numbers.parse_number(t).between(1990, 2035) & ~t.contains(".")))
+    return F.slice(raw, 1, most)
+
+
+def overlaid_items(items: DataFrame, pages: DataFrame, keys: list[str]) -> DataFrame:
+    """Items whose printed value another at the end of the page's text nearly repeats: keys, page, canonical_key, value (item), overlaid.
+
+    items(keys, page, canonical_key, value, confidence, section), pages(keys, page, text).  A value within 3 % (10 % outside
+    notes) but not equal is a candidate; of all pairs of a page the likest digits come first, each end once.
+    """
+    tails = pages.select(*keys, "page", F.posexplode(tail_numbers(F.col("text"))).alias("at", "raw")).withColumn("overlaid", numbers.parse_number(F.col("raw")))
+    met = items.where("confidence >= 0.7 AND value IS NOT NULL").join(tails, [*keys, "page"])
+    ratio = F.abs(F.col("overlaid") - F.col("value")) / F.greatest(F.abs("overlaid"), F.abs("value"), F.lit(1.0))
+    near = met.withColumn("ratio", ratio).where((F.abs(F.col("overlaid") - F.col("value")) > 1e-9) & ((F.col("ratio") <= 0.03) | ((F.coalesce("section", F.lit("")) != "notes") & (F.col("ratio") <= 0.10))))
+    digits = lambda c: F.regexp_replace(F.format_number(F.col(c), 2), r"[,]|\.?0*$", "")
+    group = F.concat_ws("\u0001", *[F.col(c).cast("string") for c in (*keys, "page")])
+    scored = near.withColumn("__g", group).withColumn("__s", matching.sequence_ratio(digits("value"), digits("overlaid")) - F.col("ratio") / 1000)
+    chosen = matching.greedy(scored, "__g", "canonical_key", "at", "__s", least=-1.0)
+    return scored.join(chosen.select("__g", "canonical_key", "at"), ["__g", "canonical_key", "at"]).dropDuplicates(["__g", "canonical_key", "at"]).select(*keys, "page", "canonical_key", "value", "overlaid")
+
+
+#: Page limits and keys whose later pages are looked at first when images are read.
+FRONT_PAGES, STRICT_PAGES, MOST_PAGES = 60, 120, 24
+LATE_KEYS = ("central_bank_deposits", "cash_equivalents", "cash_equivalents_end", "commission_net", "credit_impairment_loss", "customer_deposits", "customer_loans", "financial_investments", "interest_net", "inventory", "investing_cash_flow", "operating_cash_flow", "receivables", "taxes_and_surcharges")
+
+
+def visual_pages(pages: DataFrame, items: DataFrame, keys: list[str], most: int = MOST_PAGES) -> DataFrame:
+    """keys, page, score of the pages of each report whose images are worth reading: all if there are `most` at most.
+
+    pages(keys, page, risky), items(keys, page, canonical_key, source, section, text).  The first late page of each late
+    key goes before all; the rest by points for place, risk, items, tables and the words around them.
+    """
+    c, low = F.col, F.lower(F.coalesce(F.col("text"), F.lit("")))
+    bare = F.regexp_replace(low, r"\s+", "")
+    said = lambda s, *words: sum((s.contains(x).cast("int") for x in words), F.lit(0)) > 0
+    late = (c("page") > STRICT_PAGES) & c("canonical_key").isin(*LATE_KEYS)
+    points = 20 + F.when(c("source") == "table", 8).otherwise(0) + F.when(late, 74).otherwise(0) + F.when(said(low, "note", "financial statements", "statement of financial position", "income statement", "cash flow statement", "附注", "财务报表", "资产负债表", "利润表", "现金流量表"), 36).otherwise(0) + F.when(said(bare, "total", "carryingamount", "netamount", "endingbalance", "netcashflow", "cashflow", "合计", "小计", "账面价值", "净额", "年末余额", "期末余额", "现金流"), 34).otherwise(0) + F.when(c("page") <= FRONT_PAGES, 18).otherwise(0)
+    of_items = items.withColumn("__p", points).groupBy(*keys, "page").agg(F.sum("__p").alias("__p"))
+    cash = c("canonical_key").isin("investing_cash_flow", "operating_cash_flow", "cash_equivalents_end")
+    anchor = (c("section") == "notes") | (cash & (c("section").isin("cf", "cash_flow", "cash_flow_statement") | said(bare, "cashflow", "现金流"))) | (~c("section").isin("cf", "cash_flow", "cash_flow_statement") & ~said(bare, "cashflow", "现金流") & said(low, "附注", "notes"))
+    first = items.where(late & F.coalesce(anchor, F.lit(False))).groupBy(*keys, "canonical_key").agg(F.min("page").alias("page")).select(*keys, "page", F.lit(True).alias("__first")).distinct()
+    place = F.when(c("page") <= FRONT_PAGES, 34).when(c("page") <= STRICT_PAGES, 16).otherwise(4)
+    scored = pages.join(of_items, [*keys, "page"], "left").join(first, [*keys, "page"], "left").withColumn("score", (place + F.when(c("risky"), 55).otherwise(0) + F.coalesce("__p", F.lit(0))).cast("double"))
+    w = Window.partitionBy(*keys).orderBy(F.coalesce(c("__first"), F.lit(False)).desc(), F.when(c("__first"), c("page")), c("score").desc(), "page")
+    return scored.withColumn("__r", F.row_number().over(w)).where(c("__r") <= most).select(*keys, "page", "score")
+
+
+def report_units(pages: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, unit, multiplier, currency that a report says its figures are in: the phrase on most pages, then on the earliest.
+
+    pages(keys, page, text); phrases such as "Unit: RMB million", "单位：百万元" or "in thousands of RMB".
+    """
+    said = F.concat(F.regexp_extract_all("text", F.lit(r"(?i)(?:\bunit|单位|單位)\s*[:：]\s*([^\n]{1,30})"), F.lit(1)), F.regexp_extract_all("text", F.lit(r"(?i)\b(in (?:millions|thousands) of [A-Z$]{2,4})"), F.lit(1)))
+    each = pages.select(*keys, "page", F.explode(F.array_distinct(F.transform(said, lambda x: F.trim(x)))).alias("unit"))
+    counted = each.groupBy(*keys, "unit").agg(F.count("*").alias("__n"), F.min("page").alias("__page"))
+    w = Window.partitionBy(*keys).orderBy(F.col("__n").desc(), "__page", "unit")
+    top = counted.withColumn("__r", F.row_number().over(w)).where("__r = 1")
+    return top.select(*keys, "unit", units.multiplier(F.col("unit")).alias("multiplier"), units.currency(F.col("unit")).alias("currency"))

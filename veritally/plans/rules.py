@@ -384,3 +384,75 @@ def event_fragments(t, spark):
     told = _told(t, "A", F.col("o_orderkey") % 500 + 100, 1).withColumnRenamed("pair_id", "doc_id")
     found = extract.events(told, ["doc_id"], [("dividend", "dividend"), ("litigation", "claim")])
     return found.select("doc_id", "topic", F.size("facts").alias("n_facts"), F.array_join("signature", "|").alias("signature"))
+
+
+@query("""SELECT o_orderkey AS k, 'total_assets' AS canonical_key, CAST(printf('%.2f', o_totalprice + 5000) AS DOUBLE) AS value, 0.82::DOUBLE AS confidence FROM orders UNION ALL SELECT o_orderkey, 'net_profit', -CAST(printf('%.2f', o_totalprice + 5000) AS DOUBLE), 0.82::DOUBLE FROM orders""")
+def raw_tables(t, spark):
+    """Tables as lines: a numbered label, a note number, a year and a value; another label and a value in brackets; a page mark and more."""
+    price = F.format_number(F.col("o_totalprice") + 5000, 2)
+    page = F.concat(F.lit("Item\n1. Total assets\n12\n2024\n"), price, F.lit("\nNet profit\nA1\n("), price, F.lit(")\n12 / 300\n9,999.00"))
+    glossary = spark.createDataFrame([("total assets", "total_assets"), ("net profit", "net_profit")], "form string, canonical_key string")
+    return extract.raw_table_metrics(t("orders").select(F.col("o_orderkey").alias("k"), page.alias("text")), glossary, ["k"]).select("k", "canonical_key", "value", "confidence")
+
+
+@query("""SELECT o_orderkey AS k, 'revenue' AS canonical_key, CAST(printf('%.2f', o_totalprice + 5000) AS DOUBLE) AS value, CAST(printf('%.2f', (o_totalprice + 5000) * 1.02) AS DOUBLE) AS overlaid FROM orders WHERE o_orderkey % 3 = 0""")
+def overlaid_tails(t, spark):
+    """A third of the pages end in a value 2 % off an item's, a third in the value itself, a third in one far from it."""
+    k, v = F.col("o_orderkey"), F.col("o_totalprice") + 5000
+    o = t("orders").select(k.alias("k"), F.lit(12).alias("page"), F.concat(F.lit("words of the page 12 / 300\n2024\n"), F.format_number(v * _by(k, 3, [1.02, 1.0, 1.9]), 2)).alias("text"), F.lit("revenue").alias("canonical_key"), F.format_number(v, 2).alias("said"), F.lit(0.9).alias("confidence"), F.lit("mda").alias("section"))
+    items = o.select("k", "page", "canonical_key", numbers.parse_number(F.col("said")).alias("value"), "confidence", "section")
+    return extract.overlaid_items(items, o.select("k", "page", "text"), ["k"]).select("k", "canonical_key", "value", "overlaid")
+
+
+@query("""WITH p AS (SELECT DISTINCT o_custkey % 20 AS doc, o_orderkey % 200 + 1 AS page FROM orders), r AS (SELECT DISTINCT o_custkey % 20 AS doc, o_orderkey % 200 + 1 AS page FROM orders WHERE o_orderkey % 5 = 0),
+i AS (SELECT o_custkey % 20 AS doc, o_orderkey % 200 + 1 AS page, o_orderstatus, 20 + CASE WHEN o_orderstatus = 'F' THEN 8 ELSE 0 END + CASE WHEN o_orderkey % 200 + 1 > 120 AND o_orderstatus = 'P' THEN 74 ELSE 0 END + CASE WHEN o_orderkey % 2 = 0 THEN 36 ELSE 34 END + CASE WHEN o_orderkey % 200 + 1 <= 60 THEN 18 ELSE 0 END AS pts FROM orders),
+f AS (SELECT doc, min(page) AS page FROM i WHERE page > 120 AND o_orderstatus = 'P' GROUP BY doc), s AS (SELECT doc, page, sum(pts) AS pts FROM i GROUP BY doc, page),
+x AS (SELECT p.doc, p.page, CAST(CASE WHEN p.page <= 60 THEN 34 WHEN p.page <= 120 THEN 16 ELSE 4 END + CASE WHEN r.doc IS NOT NULL THEN 55 ELSE 0 END + coalesce(pts, 0) AS DOUBLE) AS score, f.doc IS NOT NULL AS first FROM p LEFT JOIN r ON r.doc = p.doc AND r.page = p.page LEFT JOIN s ON s.doc = p.doc AND s.page = p.page LEFT JOIN f ON f.doc = p.doc AND f.page = p.page)
+SELECT doc, page, score FROM x QUALIFY row_number() OVER (PARTITION BY doc ORDER BY first DESC, score DESC, page) <= 24""")
+def visual_page_choice(t, spark):
+    """The 24 pages of each report to read as images, by points of its items, after the first late page of a late key."""
+    k = F.col("o_orderkey")
+    o = t("orders").select((F.col("o_custkey") % 20).alias("doc"), (k % 200 + 1).alias("page"), (k % 5 == 0).alias("risky"), F.when(F.col("o_orderstatus") == "P", "inventory").otherwise("goodwill").alias("canonical_key"), F.when(F.col("o_orderstatus") == "F", "table").otherwise("text").alias("source"), F.lit("notes").alias("section"), F.when(k % 2 == 0, "in the income statement").otherwise("the total of all").alias("text"))
+    return extract.visual_pages(o.groupBy("doc", "page").agg(F.max("risky").alias("risky")), o, ["doc"]).select("doc", "page", "score")
+
+
+@query("""WITH s AS (SELECT CAST(conv_id % 20 AS BIGINT) AS doc, CASE turn % 5 WHEN 0 THEN 'corporate_governance' WHEN 1 THEN 'cf' WHEN 2 THEN 'mda' WHEN 3 THEN 'odd' ELSE 'cf' END AS node, turn AS page FROM conversations),
+l AS (SELECT doc, node, CASE node WHEN 'corporate_governance' THEN 'governance_and_shareholders' WHEN 'cf' THEN 'financial_statements_tree' WHEN 'mda' THEN 'company_overview' ELSE 'other' END AS parent, min(page) AS first_page, max(page) AS last_page FROM s GROUP BY ALL)
+SELECT doc, node, parent, first_page, last_page, 2 AS level FROM l UNION ALL SELECT doc, parent, NULL, min(first_page), max(last_page), 1 FROM l GROUP BY doc, parent""")
+def section_tree(t, spark):
+    name = _by(F.col("turn"), 5, ["governance", "cfo", "mda", "odd", "cff"])
+    s = t("conversations").select((F.col("conv_id") % 20).alias("doc"), extract.section_code(name).alias("section"), F.col("turn").alias("page"))
+    return extract.structure(s, ["doc"], extract.SECTION_PARENTS).select("doc", "node", "parent", "first_page", "last_page", "level")
+
+
+@query("""SELECT DISTINCT o_custkey % 50 AS doc, CASE o_custkey % 50 % 3 WHEN 0 THEN 'RMB million' WHEN 1 THEN 'HK$ thousand' ELSE 'in thousands of USD' END AS unit, CASE o_custkey % 50 % 3 WHEN 0 THEN 1e6 ELSE 1e3 END::DOUBLE AS multiplier, CASE o_custkey % 50 % 3 WHEN 0 THEN 'CNY' WHEN 1 THEN 'HKD' ELSE 'USD' END AS currency FROM orders""")
+def report_unit(t, spark):
+    """The unit that most pages of a report state; every seventh page states another, some state none."""
+    k, doc = F.col("o_orderkey"), F.col("o_custkey") % 50
+    own = _by(doc, 3, ["Unit: RMB million", "单位：HK$ thousand", "figures in thousands of USD"])
+    said = F.when(k % 7 == 0, "Unit: k").when(k % 7 == 1, "no such statement").otherwise(own)
+    pages = t("orders").select(doc.alias("doc"), k.alias("page"), F.concat(F.lit("Report\n"), said, F.lit("\nrest")).alias("text"))
+    return extract.report_units(pages, ["doc"])
+
+
+@query("SELECT o_custkey AS pair_id, o_orderkey AS ord, o_orderkey + 1000000 AS diff_id, 3.0::DOUBLE AS score FROM orders")
+def answers_found(t, spark):
+    """Planted values and differences found a page on: each meets its own first, though rules alone would match others."""
+    from ..operators import matching
+
+    k = F.col("o_orderkey")
+    o = t("orders")
+    rule = F.concat(F.lit("R-"), (k % 3).cast("string"))
+    expected = o.select(F.col("o_custkey").alias("pair_id"), k.alias("ord"), (k % 90).alias("page"), (F.col("o_totalprice") + k).alias("value"), rule.alias("rule_id"))
+    found = o.select(F.col("o_custkey").alias("pair_id"), (k + 1000000).alias("diff_id"), (k % 90 + 1).alias("page"), (F.col("o_totalprice") + k).alias("value"), rule.alias("rule"))
+    return matching.answer_matches(expected, found)
+
+
+@query("""SELECT n AS pair_id, zh_units, en_units, least(zh_units, en_units) AS aligned, 1.0::DOUBLE AS coverage FROM (SELECT c_nationkey AS n, count(*) AS zh_units, count(*) FILTER (c_custkey % 2 = 0) AS en_units FROM customer GROUP BY 1) WHERE en_units > 0""")
+def bilingual_stats(t, spark):
+    """Every paragraph has a signal of its own; half of them have a partner with the same one."""
+    k = F.col("c_custkey")
+    c = t("customer")
+    part = lambda lang, where, n: c.where(where).select(F.col("c_nationkey").alias("pair_id"), F.lit(lang).alias("lang"), (k + n).alias("unit"), (k % 40 + 1).cast("int").alias("page"), k.cast("string").alias("section"), k.alias("seq"), F.array(k.cast("string")).alias("signals"), F.array(k.cast("string")).alias("actions"))
+    stats = checks.bilingual(part("zh", F.lit(True), 0).unionByName(part("en", k % 2 == 0, 100000)), spark.createDataFrame([], "pair_id int, lang string, unit long, kind string, role string, value double"))[2]
+    return stats.where("en_units > 0").select("pair_id", "zh_units", "en_units", "aligned", "coverage")

@@ -76,8 +76,14 @@ def rules(spark: SparkSession, entries: list[dict]) -> DataFrame:
 
 
 def rule_file(spark: SparkSession, path: str) -> DataFrame:
-    """Rules of a JSON file (a list, or {"rules": list}) read by Spark."""
-    data = json.loads("\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect()))
+    """Rules of a JSON or (where a YAML parser is installed) YAML file: a list, or a map with the list under `rules`; read by Spark."""
+    raw = "\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect())
+    try:
+        data = json.loads(raw)
+    except ValueError:
+        import yaml
+
+        data = yaml.safe_load(raw)
     return rules(spark, data["rules"] if isinstance(data, dict) else data)
 
 
