@@ -384,16 +384,16 @@ def log_probability(documents: DataFrame) -> DataFrame:
     spark = documents.sparkSession
     base = documents.select(F.col("doc_id").cast("long").alias("id"), held_out("doc_id", FOLDS).alias("held_out"), "text")
     docs = base.select("id", "held_out", part_of(spark), "text")
-    seen = stored(gather(docs, max(64, documents.count() // WORD_DOCS)), "gathered")
+    seen = stored(gather(docs, max(64, documents.count() // WORD_DOCS)), "gathered", small=True)
     ends, parts = seen.agg(F.coalesce(F.sum(F.when(F.col("kind") == ENDS, F.col("n"))), F.lit(0)), F.coalesce(F.max("part"), F.lit(0)) + 1).first()
-    told = stored(seen.where(F.col("kind") == WORD).groupBy("to").applyInArrow(answered_words, ROWS), "answers")
+    told = stored(seen.where(F.col("kind") == WORD).groupBy("to").applyInArrow(answered_words, ROWS), "answers", small=True)
     n, v = told.where(F.col("kind") == MODEL).agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
     n, v = n + ends, v + (ends > 0)
     asked = seen.where(F.col("kind") == GRAM)
     counts = asked
     if parts > SHARE:  # first by shares of the parts, so that no task reads all of a large corpus
         counts = counts.withColumn("__share", F.floor(F.col("part") / SHARE)).groupBy("to", "__share").applyInArrow(merged, ROWS)
-    model = stored(counts.groupBy("to").applyInArrow(merged, ROWS), "model")
+    model = stored(counts.groupBy("to").applyInArrow(merged, ROWS), "model", small=True)
     top = model.mapInArrow(sums, SUMS).groupBy("node").agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "split"))).toArrow()
     above = spark.sparkContext.broadcast(upper(*(top[c].to_numpy() for c in ("node", "zeros", "ones", "split"))))
 
