@@ -287,9 +287,6 @@ def depth_rule_terms(t, spark):
     return checks.depth_rules(segments, rules).select("pair_id", "canonical_key", F.col("evidence")[0].alias("status"))
 
 
-_DIVIDEND = "The Board approved a cash dividend, total dividends amounting to RMB {} million, payable on 2024-05-{}."
-
-
 def _told(t, side: str, amount: Column, page: int):
     k = F.col("o_orderkey")
     day = F.lpad((k % 28 + 1).cast("string"), 2, "0")
@@ -322,7 +319,7 @@ def event_check(t, spark):
     return checks.events(both).select("pair_id", "diff_type", "canonical_key", "a_value", "h_value", "severity", "triage")
 
 
-@query("""SELECT o_orderkey AS pair_id, 1 AS i, 7 AS j, CASE WHEN o_orderkey % 3 = 0 THEN 17.0 ELSE 9.0 END::DOUBLE AS score FROM orders WHERE o_orderkey % 3 <> 2""")
+@query("""SELECT o_orderkey AS pair_id, 1 AS i, 7 AS j, CASE WHEN o_orderkey % 3 = 0 THEN 2 + 3 + 5 + 2 + 2 ELSE 3 + 2 END::DOUBLE AS score FROM orders WHERE o_orderkey % 3 <> 2""")
 def bilingual_alignment(t, spark):
     """One paragraph a side: a page apart across any border with a shared topic and, for some, a section and an action; pages too far apart for the rest."""
     k = F.col("o_orderkey")
@@ -331,9 +328,8 @@ def bilingual_alignment(t, spark):
     given = lambda c, x: F.when(c, F.array(F.lit(x))).otherwise(none)
     unit = lambda lang, n, at: t("orders").select(k.alias("pair_id"), F.lit(lang).alias("lang"), F.lit(n).alias("unit"), at.alias("page"), F.when(k % 3 == 0, "bs").alias("section"), F.lit(1).alias("seq"), none.alias("signals"), given(k % 3 != 2, "loan").alias("topics"), given(k % 3 == 0, "repay").alias("actions"), given(k % 3 == 0, "debt").alias("glossary"))
     rows = unit("zh", 1, page).unionByName(unit("en", 7, page + F.when(k % 3 == 2, 40).otherwise(1)))
-    extra = F.col("pair_id").isNotNull()  # every pair
-    aligned, _, _ = checks.bilingual(rows.where(extra), t("orders").select(k.alias("pair_id"), F.lit("zh").alias("lang"), F.lit(1).alias("unit"), F.lit("amount").alias("kind"), F.lit("loan").alias("role"), F.col("o_totalprice").alias("value")))
-    return aligned.withColumn("score", F.col("score") + F.when(F.col("pair_id") % 3 == 0, 3.0).otherwise(4.0)).select("pair_id", "i", "j", "score")
+    aligned, _, _ = checks.bilingual(rows, t("orders").select(k.alias("pair_id"), F.lit("zh").alias("lang"), F.lit(1).alias("unit"), F.lit("amount").alias("kind"), F.lit("loan").alias("role"), F.col("o_totalprice").alias("value")))
+    return aligned.select("pair_id", "i", "j", "score")
 
 
 @query("""SELECT o_orderkey AS pair_id, o_totalprice AS a_value, o_totalprice * 1.3 AS h_value, 'critical' AS severity FROM orders WHERE o_orderkey % 2 = 0""")
