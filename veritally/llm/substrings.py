@@ -29,10 +29,10 @@ from .common import read
 
 SIZE = 13
 #: Words of the prefixes tried, classes of prefixes of each length, suffixes aimed at in a group.
-PREFIXES, CLASSES, GROUP = (1, 2, 4), 4096, 800_000
+PREFIXES, CLASSES, GROUP = (1, 2, 4), 4096, 500_000
 CHUNK_BYTES = 6 << 20
 #: Bytes of text and documents of a part that is cut at a time.
-PART_BYTES, PART_DOCS = 8 << 20, 1000
+PART_BYTES, PART_DOCS = 4 << 20, 700
 
 
 def prefix_classes(w: K.Words, at: np.ndarray, words: int) -> np.ndarray:
