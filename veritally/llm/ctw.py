@@ -26,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import kernels as K
@@ -38,6 +39,8 @@ DEPTH, TOP = 5, 3
 SUBTREES, WORD_DOCS, SHARE, PART_BYTES = 256, 4000, 256, 16 << 20
 #: Answers are whole multiples of 1 / SCALE in 24 bits: down to 1e-128, exact to 4e-6 (a text's sum to about that times the root of its length).
 SCALE = 1 << 17
+#: Bytes of text that are scored at a time.
+SLICE = 256 << 10
 #: Distinct grams held at once while counts are added up.
 HELD = 1_500_000
 FOLDS = 7
@@ -340,15 +343,14 @@ OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens
 
 
 def _known(told: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted keys of the answers of one kind and their values."""
-    keys, values = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    for batch in told.to_batches():
-        for r in batch.to_pylist():
-            if r["kind"] == kind:
-                keys.append(_unplanes(r["keys"], r["n"]))
-                values.append(_unvalues(r["counts"], r["n"]))
-    keys, values = np.concatenate(keys), np.concatenate(values)
-    order = np.argsort(keys)
+    """Sorted keys of the answers of one kind and their values, read row by row so that little is held twice."""
+    use = told.filter(pa.compute.equal(told["kind"], kind))
+    total, at = int(use["n"].to_numpy().sum()), 0
+    keys, values = np.empty(total, np.uint64), np.empty(total, np.int64 if kind == WORD else np.int32)
+    for _, k, v in _unpacked(iter(use.to_batches())):
+        keys[at : at + len(k)], values[at : at + len(k)] = k, v
+        at += len(k)
+    order = np.argsort(keys, kind="stable")
     return keys[order], values[order]
 
 
@@ -363,8 +365,8 @@ def _looked_up(known: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> np.nda
 def _score(docs: pa.Table, told: pa.Table, n: int, v: int, ends: int) -> pa.Table:
     words, contexts = _known(told, WORD), _known(told, GRAM)
     out, size = [], n + v + 1
-    for b in docs.select(["id", "held_out", "text"]).combine_chunks().to_batches():
-        for i, j in K.slices(b["text"]):
+    for b in docs.select(["id", "held_out", "text"]).to_batches():
+        for i, j in K.slices(b["text"], SLICE):
             data, first, w = stream(b["text"].slice(i, j - i))
             c, text = _looked_up(words, w.hash), w.text_of
             base = np.bincount(text, np.log10((c + 1) / size), minlength=j - i) + math.log10((ends + 1) / size)
