@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .chat import OP13_SQL
 from .lines import OP9_SQL
 
 _WORDS = r"SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws FROM documents"
@@ -38,4 +39,4 @@ n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
 SELECT r.a AS vec_id, coalesce(any_value(n.n), 0) AS n_links, min(r.b) AS component_id, r.a = min(r.b) AS kept FROM r LEFT JOIN n ON n.a = r.a GROUP BY r.a
 """
 
-ORACLE_SQL = {"op1_minhash": OP1_SQL, "op7_substring": OP7_SQL, "op8_embeddings": OP8_SQL, "op9_lines": OP9_SQL}
+ORACLE_SQL = {"op1_minhash": OP1_SQL, "op7_substring": OP7_SQL, "op8_embeddings": OP8_SQL, "op9_lines": OP9_SQL, "op13_chat": OP13_SQL}

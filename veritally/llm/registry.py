@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .chat import op13_chat
 from .contamination import op10_decontamination
 from .ctw import op6_lm
 from .language import op5_language
@@ -14,7 +15,7 @@ from .substrings import op7_substring
 from .toxicity import op3_toxicity
 from .vectors import op8_embeddings
 
-QUERIES = (op1_minhash, op2_pii, op3_toxicity, op4_packing, op5_language, op6_lm, op7_substring, op8_embeddings, op9_lines, op10_decontamination)
+QUERIES = (op1_minhash, op2_pii, op3_toxicity, op4_packing, op5_language, op6_lm, op7_substring, op8_embeddings, op9_lines, op10_decontamination, op13_chat)
 
 
 def queries():
