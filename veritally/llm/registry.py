@@ -11,11 +11,12 @@ from .minhash import op1_minhash
 from .oracles import ORACLE_SQL
 from .packing import op4_packing
 from .pii import op2_pii
+from .repair import op12_repair
 from .substrings import op7_substring
 from .toxicity import op3_toxicity
 from .vectors import op8_embeddings
 
-QUERIES = (op1_minhash, op2_pii, op3_toxicity, op4_packing, op5_language, op6_lm, op7_substring, op8_embeddings, op9_lines, op10_decontamination, op13_chat)
+QUERIES = (op1_minhash, op2_pii, op3_toxicity, op4_packing, op5_language, op6_lm, op7_substring, op8_embeddings, op9_lines, op10_decontamination, op12_repair, op13_chat)
 
 
 def queries():
