@@ -12,11 +12,12 @@ from .oracles import ORACLE_SQL
 from .packing import op4_packing
 from .pii import op2_pii
 from .repair import op12_repair
+from .runs import op11_runs
 from .substrings import op7_substring
 from .toxicity import op3_toxicity
 from .vectors import op8_embeddings
 
-QUERIES = (op1_minhash, op2_pii, op3_toxicity, op4_packing, op5_language, op6_lm, op7_substring, op8_embeddings, op9_lines, op10_decontamination, op12_repair, op13_chat)
+QUERIES = (op1_minhash, op2_pii, op3_toxicity, op4_packing, op5_language, op6_lm, op7_substring, op8_embeddings, op9_lines, op10_decontamination, op11_runs, op12_repair, op13_chat)
 
 
 def queries():
