@@ -4,9 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-#: Traditional characters and their simplified forms, in the same order.
-TRADITIONAL = "資產總額負債營業收入淨利潤稅項幣億萬權票儲銀行關聯"
-SIMPLIFIED = "资产总额负债营业收入净利润税项币亿万权票储银行关联"
+#: Traditional characters, each before its simplified form.
+PAIRS = (
+    "資资產产總总額额負负債债營营業业淨净潤润稅税項项幣币億亿萬万權权儲储銀银關关聯联報报務务狀状況况損损現现動动變变東东數数賬账帳账"
+    "貸贷賃赁購购贖赎贈赠費费應应佔占歸归屬属匯汇兌兑滙汇擔担證证減减價价獲获層层論论與与討讨會会計计師师審审電电貿贸貨货質质壓压壞坏"
+    "備备準准併并綜综發发還还餘余註注冊册攤摊銷销舊旧團团國国際际號号檢检驗验單单開开環环責责優优譽誉險险舉举監监幹干後后於于實实繳缴"
+    "補补雜杂當当處处點点類类級级經经濟济專专員员職职勞劳廠厂設设庫库預预長长遞递轉转讓让無无約约終终續续維维護护範范圍围"
+)
+TRADITIONAL, SIMPLIFIED = PAIRS[::2], PAIRS[1::2]
+#: Phrases whose characters convert in another way than alone, for `operators.terms.converted`.
+PHRASES = (
+    ("答覆", "答复"), ("覆核", "复核"), ("回覆", "回复"), ("覆蓋", "覆盖"), ("著作", "著作"), ("著名", "著名"), ("顯著", "显著"), ("著", "着"),
+    ("乾隆", "乾隆"), ("乾坤", "乾坤"), ("乾", "干"), ("瞭望", "瞭望"), ("瞭", "了"), ("藉口", "借口"), ("甚麼", "什么"), ("麼", "么"),
+    ("徵收", "征收"), ("徵", "征"), ("皇后", "皇后"), ("裏", "里"), ("準備", "准备"), ("賬面", "账面"), ("註冊資本", "注册资本"),
+)
 CJK = r"[一-鿿]"
 
 

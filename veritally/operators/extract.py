@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.functions import pandas_udf
 
 from ..functions import dates, numbers, text, units
-from . import joins, matching
+from . import joins, matching, terms
 
 #: Words that give an amount its role, in order.
 ROLES = (("guarantee", "guarantee"), ("dividend", "dividend"), ("loan", "loan"), ("acqui", "consideration"), ("dispos", "consideration"), ("invest", "investment"), ("revenue", "revenue"), ("profit", "profit"))
@@ -66,9 +66,10 @@ def table_metrics(cells: DataFrame, glossary: DataFrame, keys: list[str]) -> Dat
 
 def text_metrics(segments: DataFrame, glossary: DataFrame, keys: list[str]) -> DataFrame:
     """Glossary terms with the number 60 characters after or 40 before: keys, canonical_key, value, unit, confidence .75."""
-    hits = joins.glossary_hits(segments, glossary, "text")
-    value = numbers.number_near_label(F.lower("text"), F.col("form"), 60)
-    unit = F.regexp_extract(F.lower("text"), r"(billion|million|thousand|亿元|百万元|万元|千元)", 1)
+    hits = terms.glossary_hits(segments, glossary, "text")
+    plain = F.lower(text.simplify(F.col("text")))
+    value = numbers.number_near_label(plain, F.col("form"), 60)
+    unit = F.regexp_extract(plain, r"(billion|million|thousand|亿元|百万元|万元|千元)", 1)
     got = hits.withColumn("value", value).where("value IS NOT NULL").withColumn("unit", F.nullif(unit, F.lit("")))
     return got.select(*keys, "canonical_key", "value", "unit", F.lit(0.75).alias("confidence"), F.lit("text").alias("source")).distinct()
 

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import grading, units
+from . import terms
 
 
 def align(a: DataFrame, h: DataFrame, keys: list[str]) -> DataFrame:
@@ -137,38 +136,9 @@ def without_shadows(internal: DataFrame, overlay: DataFrame, keys: list[str]) ->
     return numbered.join(pairs, condition, "left_anti").drop(n)
 
 
-#: Forms that are looked for in each text one by one; more are joined to the word runs of the texts.
-FEW_FORMS = 200
-
-
-def glossary_hits(texts: DataFrame, glossary: DataFrame, text: str, most_words: int = 4) -> DataFrame:
-    """texts with each glossary key whose form occurs in the text as whole words.
-
-    glossary(form, canonical_key); forms have `most_words` words at most.  A small glossary (FEW_FORMS at most reach the
-    driver) is tested where a text is read, so that only hits leave it; a large one is an equi-join on word runs.
-    """
-    forms = [r["form"] for r in glossary.select(F.lower("form").alias("form")).distinct().limit(FEW_FORMS + 1).collect() if r["form"]]
-    if len(forms) <= FEW_FORMS:
-        # Forms in the shape of the texts: lower-case words of letters and digits with one space about each.
-        plain = lambda c: F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " ")), F.lit(" "))
-        fits = [f for f in forms if re.fullmatch(r"[a-z0-9]+( [a-z0-9]+)*", f) and f.count(" ") < most_words]
-        held = F.array_compact(F.array(*[F.when(F.col("__p").contains(f" {f} "), F.lit(f)) for f in fits])) if fits else F.array().cast("array<string>")
-        found = texts.withColumn("__p", plain(text)).withColumn("form", F.explode(held)).drop("__p")
-        return found.join(glossary.withColumn("form", F.lower("form")), "form")
-    w = F.filter(F.split(F.lower(text), r"[^a-z0-9]+"), lambda x: x != "")
-
-    def run(k: int) -> Column:
-        starts = F.when(F.size("__w") >= k, F.sequence(F.lit(1), F.size("__w") - k + 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.array_join(F.slice("__w", i, F.lit(k)), " "))
-
-    runs = F.concat(*[run(k) for k in range(1, most_words + 1)])
-    exploded = texts.withColumn("__w", w).withColumn("form", F.explode(F.array_distinct(runs))).drop("__w")
-    return exploded.join(glossary.withColumn("form", F.lower("form")), "form")
-
-
 def longest_embedded(texts: DataFrame, glossary: DataFrame, key: str, text: str) -> DataFrame:
     """key and the canonical key of the longest glossary form in its text."""
-    return glossary_hits(texts, glossary, text).groupBy(key).agg(F.max_by("canonical_key", F.struct(F.length("form"), "form")).alias("canonical_key"))
+    return terms.glossary_hits(texts, glossary, text).groupBy(key).agg(F.max_by("canonical_key", F.struct(F.length("form"), "form")).alias("canonical_key"))
 
 
 def three_way(a: DataFrame, b: DataFrame, c: DataFrame, key: str, most: float = 0.01) -> DataFrame:

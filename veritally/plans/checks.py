@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import grading, predicates, text, units
-from ..operators import aggregates, events as event_rules, joins, matching, retrieval, spatial
+from ..operators import aggregates, events as event_rules, joins, matching, retrieval, spatial, terms
 
 DIFF = ("pair_id", "diff_id", "diff_type", "severity", "triage", "canonical_key", "a_value", "h_value", "evidence")
 
@@ -113,10 +113,10 @@ def framework(sections: DataFrame, mapping: DataFrame) -> DataFrame:
 def depth_rules(segments: DataFrame, rules: DataFrame) -> DataFrame:
     """Rules whose quoted terms are found on one side only: segments(pair_id, side, text), rules(rule_id, check_logic).
 
-    Terms go to the texts in one pass: rules are few, and each is tested where a text is read.
+    All terms are looked for at once, in one pass over the texts.
     """
-    terms = rules.select("rule_id", F.explode(text.quoted_terms(F.col("check_logic"))).alias("term")).where(F.length(F.trim("term")) > 0)
-    hits = segments.join(terms, F.col("text").contains(F.col("term"))).groupBy("pair_id", "rule_id").agg(F.max((F.col("side") == "A").cast("int")).alias("a"), F.max((F.col("side") == "H").cast("int")).alias("h"))
+    named = rules.select("rule_id", F.explode(text.quoted_terms(F.col("check_logic"))).alias("form")).where(F.length(F.trim("form")) > 0)
+    hits = terms.glossary_hits(segments, named, "text", "raw", whole_words=False).groupBy("pair_id", "rule_id").agg(F.max((F.col("side") == "A").cast("int")).alias("a"), F.max((F.col("side") == "H").cast("int")).alias("h"))
     one = hits.where("a <> h")
     status = F.when(F.col("a") == 1, "a_only").otherwise("h_only")
     none = F.lit(None).cast("double")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from ..functions import dates, numbers, text
-from ..operators import aggregates, joins, matching, retrieval, spatial, windows
+from ..operators import aggregates, joins, matching, retrieval, spatial, terms, windows
 from ..sources import readers
 from ..streaming import jobs
 from .registry import query
@@ -68,7 +68,7 @@ s AS (SELECT doc_id, topic, round(CAST(sum(least(length(form), 12) / 3.0) AS DOU
 SELECT doc_id, topic, score FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, topic) = 1""")
 def topic_score(t, spark):
     glossary = spark.createDataFrame(_TOPICS, "form string, topic string")
-    hits = joins.glossary_hits(t("documents").select("doc_id", "text"), glossary, "text", 2).select("doc_id", "form", "topic").distinct()
+    hits = terms.glossary_hits(t("documents").select("doc_id", "text"), glossary, "text", 2).select("doc_id", "form", "topic").distinct()
     scored = hits.groupBy("doc_id", "topic").agg(F.round(F.sum(F.least(F.length("form"), F.lit(12)) / 3.0), 6).alias("score"))
     return aggregates.pick(scored, ["doc_id"], [F.col("score").desc(), F.col("topic")])
 
