@@ -115,66 +115,6 @@ def train(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> No
     return model
 
 
-def score(self, column: pa.Array) -> np.ndarray:
-        f, own, text, _, _ = sentences(column)
-        z = np.logaddexp(0, self.logits(f, own, len(text)))
-        out = 1 - np.exp(-np.bincount(text, z, minlength=len(column)))
-        out[np.bincount(text, minlength=len(column)) == 0] = self.empty
-        return np.clip(out, 0.0, 1.0)
-
-
-def fit(texts: pa.Array, y: np.ndarray, steps: int = 1500, batch: int = 256, rate: float = 0.25, decay: float = 2e-5) -> NoisyOr:
-    """AdaGrad on the document loss.  Without both labels the model is the constant base rate."""
-    y = y.astype(float)
-    rng = np.random.default_rng(7)
-    bags, base = [], float(y.mean()) if len(y) else 0.0
-    if not len(y) or base in (0.0, 1.0):
-        return NoisyOr(np.zeros(1 << BITS), -30.0 if base == 0 else 30.0, base)
-    order = rng.permutation(len(y))
-    seen = np.zeros((2, 1 << BITS))
-    for rows in (order[i : i + batch] for i in range(0, len(y), batch)):
-        f, own, text, _, _ = sentences(texts.take(pa.array(rows)))
-        by_text = np.unique(text[own].astype(np.int64) << BITS | f)
-        for label in (0, 1):
-            of = by_text[y[rows][by_text >> BITS] == label]
-            seen[label] += np.bincount(of & ((1 << BITS) - 1), minlength=1 << BITS)
-    # Only features that documents of label 1 hold clearly oftener carry evidence; the rest stay at 0.
-    n1, n0, both = y.sum(), (1 - y).sum(), seen.sum(0)
-    z = (seen[1] / n1 - seen[0] / n0) / np.sqrt((both + 1) / len(y) * (1 / n1 + 1 / n0))
-    keep = (z >= SCREEN) & (seen[1] >= 3) & (seen[1] / n1 >= RATIO * (seen[0] + 1) / n0)
-    for rows in (order[i : i + batch] for i in range(0, len(y), batch)):
-        f, own, text, _, _ = sentences(texts.take(pa.array(rows)))
-        pairs = np.unique(own[keep[f]].astype(np.int64) << BITS | f[keep[f]])
-        bags.append(((pairs & ((1 << BITS) - 1)), pairs >> BITS, text.astype(np.int32), y[rows]))
-    w, b = np.zeros(1 << BITS), -4.0
-    gw, gb = np.full(1 << BITS, 1e-2), 1e-2
-    for _ in range(-(-steps // len(bags))):
-        for k in rng.permutation(len(bags)):
-            f, own, text, t = bags[k]
-            z = b + np.bincount(own, w[f], minlength=len(text))
-            s = np.bincount(text, np.logaddexp(0, z), minlength=len(t))
-            d = np.where(t > 0.5, -np.exp(-s) / np.maximum(-np.expm1(-s), 1e-6), 1.0)
-            dz = d[text] / (1 + np.exp(-np.clip(z, -40, 40)))
-            g = np.bincount(f, dz[own], minlength=1 << BITS) / len(t) + decay * w
-            gw += g * g
-            w -= rate * g / np.sqrt(gw)
-            q = dz.sum() / len(t)
-            gb += q * q
-            b -= rate * q / np.sqrt(gb)
-    return NoisyOr(w, float(b), base)
-
-
-def train(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> NoisyOr:
-    """Fits on at most about `rows` labelled documents outside the held-out fold, chosen by hash of the id."""
-    known = labels.where(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("__toxic"))
-    pool = documents.select("doc_id", "text").where(~held_out("doc_id")).join(known, "doc_id")
-    got = sample(pool, rows, "doc_id").select("text", "__toxic").toArrow()
-    model = fit(got["text"].combine_chunks(), got["__toxic"].to_numpy())
-    del got
-    K.trim()
-    return model
-
-
 def score(documents: DataFrame, model: NoisyOr, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted for every row.  Null and wordless texts get the training base rate.
 
