@@ -374,3 +374,25 @@ def test_registered_queries_run(spark, name):
     n = spark.read.parquet(f"{DATA}/sf0.001/{'embeddings' if name.startswith('op8') else 'documents'}.parquet").count()
     got = registry.queries()[name](spark, f"{DATA}/sf0.001").count()
     assert got == n if not name.startswith("op10") else got >= 0
+
+
+def test_toxicity_has_one_train_and_finds_stems_with_many_endings(spark, table):
+    import ast
+    import inspect
+    import random
+
+    names = [n.name for n in ast.parse(inspect.getsource(toxicity)).body if isinstance(n, ast.FunctionDef)]
+    assert len(names) == len(set(names))
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(4, 9)))
+    labels, rows = [], []
+    for i in range(900):
+        bad = i % 5 == 0
+        rows.append((i, ". ".join(" ".join([word() for _ in range(8)] + (["grixelo" + word()] if bad and k == 1 else [])) for k in range(4)) + ".", "xx"))
+        labels.append((i, 1, int(bad)))
+    docs = table(rows)
+    model = toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    got = {r["doc_id"]: r for r in toxicity.score(docs, model).collect()}
+    held = [i for i in range(900) if got[i]["held_out"]]
+    assert sum(got[i]["predicted"] for i in held if i % 5 == 0) >= 0.9 * sum(i % 5 == 0 for i in held)
+    assert not sum(got[i]["predicted"] for i in held if i % 5)
