@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text
+from ..sources.shared import cut
 
 
 def overlap(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
@@ -54,47 +54,123 @@ def overlays(words: DataFrame, size: float = 40.0) -> DataFrame:
     return first.select("doc_id", "page", "h.visible", "h.hidden")
 
 
-def iou_dedupe(tables: DataFrame, group: list[str], seq: str, least: float = 0.5) -> DataFrame:
-    """Rectangles kept by order: one goes if it overlaps a kept one by `least`.  Greedy, so each group is one function call."""
-    def keep(rows: pd.DataFrame) -> pd.DataFrame:
-        rows, kept = rows.sort_values(seq), []
-        for r in rows.itertuples():
-            def near(k) -> bool:
-                w, h = max(0, min(r.x1, k.x1) - max(r.x0, k.x0)), max(0, min(r.y1, k.y1) - max(r.y0, k.y0))
-                union = (r.x1 - r.x0) * (r.y1 - r.y0) + (k.x1 - k.x0) * (k.y1 - k.y0) - w * h
-                return union > 0 and w * h / union >= least
-            if not any(near(k) for k in kept):
-                kept.append(r)
-        return rows.loc[[k.Index for k in kept]]
+def _scale(low: str, high: str) -> Column:
+    """Power of two at or under a length."""
+    return F.floor(F.log2(F.col(high) - F.col(low))).cast("int")
 
-    return tables.groupBy(*group).applyInPandas(keep, tables.schema)
+
+def _probes(low: str, high: str, least: float) -> Column:
+    """array<struct<level, cell>>: where the centre of a side may lie that meets this one in a rectangle of IoU >= least.
+
+    Such sides are between `least` and 1/`least` times as long, and their common part is at least `least` times the longer.
+    """
+    size, centre, slack = F.col(high) - F.col(low), (F.col(low) + F.col(high)) / 2, 1e-9
+    levels = F.sequence(F.floor(F.log2(size * (least - slack))).cast("int"), F.floor(F.log2(size / least + slack)).cast("int"))
+
+    def cells(level: Column) -> Column:
+        unit = F.pow(F.lit(2.0), level)
+        longest = F.least(unit * 2, size / least + slack)
+        reach = F.greatest((size + longest) / 2 - least * F.greatest(size, longest), (size + unit) / 2 - least * F.greatest(size, unit), F.least(size, longest) * (1 - least)) + slack
+        return F.transform(F.sequence(F.floor((centre - reach) / unit).cast("long"), F.floor((centre + reach) / unit).cast("long")), lambda c: F.struct(level.alias("level"), c.alias("cell")))
+
+    return F.flatten(F.transform(levels, cells))
+
+
+def _filed(low: str, high: str) -> Column:
+    level = _scale(low, high)
+    return F.struct(level.alias("level"), F.floor((F.col(low) + F.col(high)) / 2 / F.pow(F.lit(2.0), level)).cast("long").alias("cell"))
+
+
+#: Pairs of rectangles in common cells, for each rectangle, from which rounds by cell go before rounds by pair.
+CROWDED = 64
+
+
+def iou_dedupe(tables: DataFrame, group: list[str], seq: str, least: float = 0.5, crowded: int = CROWDED) -> DataFrame:
+    """Rectangles x0, y0, x1, y1 kept in order of seq (unique in a group): one goes if a kept one overlaps it by IoU >= least.
+
+    Rectangles without area, or with nulls, overlap none and stay.  Equal ones go at once but for the first.  The others are
+    filed by size and place of their centre, so that those that may overlap meet by an equi-join.  In rounds, one that no
+    earlier undecided one overlaps is kept, and those that it overlaps go.  While cells are crowded (more than `crowded`
+    pairs a rectangle) a round only keeps the first of each neighbourhood, which takes no pairs; there most then go.
+    """
+    g = F.concat_ws("|", *[F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null")) for c in group]) if group else F.lit("")
+    corners = ["x0", "y0", "x1", "y1"]
+    solid = F.coalesce((F.col("x1") > F.col("x0")) & (F.col("y1") > F.col("y0")), F.lit(False)) & ~F.isnan("x0") & ~F.isnan("y0") & ~F.isnan("x1") & ~F.isnan("y1")
+    rows = tables.withColumn("__g", g).withColumn("__solid", solid)
+    nodes = rows.where("__solid").groupBy("__g", *[F.col(c).cast("double").alias(c) for c in corners]).agg(F.min(seq).alias("s"))
+    nodes = cut(nodes.select(F.col("__g").alias("g"), "s", *corners, _filed("x0", "x1").alias("fx"), _filed("y0", "y1").alias("fy")), "rectangles")
+    look = lambda df: df.withColumn("px", F.explode(_probes("x0", "x1", least))).withColumn("py", F.explode(_probes("y0", "y1", least)))
+    cell = lambda df, x, y: df.select("g", F.col(f"{x}.level").alias("a"), F.col(f"{x}.cell").alias("b"), F.col(f"{y}.level").alias("c"), F.col(f"{y}.cell").alias("d"), "s", *corners)
+    key, kept, left = ["g", "a", "b", "c", "d"], [], nodes
+
+    def near(df: DataFrame) -> DataFrame:
+        """df(s, corners) by cells that they look at, joined with the undecided filed there: g, s, t where the two overlap."""
+        other = cell(left, "fx", "fy").select(*key, F.col("s").alias("t"), *[F.col(c).alias("t" + c) for c in corners])
+        own = cell(look(df), "px", "py").select(*key, "s", *[F.col(c).alias("s" + c) for c in corners])
+        return own.join(other, key).where((F.col("s") < F.col("t")) & (iou("s", "t") >= least)).select("g", "s", "t")
+
+    while left.limit(1).count():
+        seen = cell(look(left), "px", "py").groupBy(*key).agg(F.count("*").alias("n"), F.min("s").alias("m"))
+        load = seen.join(cell(left, "fx", "fy").groupBy(*key).agg(F.count("*").alias("k")), key).agg(F.sum(F.col("n") * F.col("k")).alias("pairs")).first()["pairs"] or 0
+        if load <= crowded * left.count():
+            break
+        least_there = cell(left, "fx", "fy").groupBy(*key).agg(F.min("s").alias("m"))
+        first = cell(look(left), "px", "py").join(least_there, key).groupBy("g", "s").agg(F.min("m").alias("m")).where("m >= s").select("g", "s")
+        first = cut(left.join(first, ["g", "s"], "left_semi"), "kept")
+        kept.append(first.select("g", "s"))
+        gone = near(first).select("g", F.col("t").alias("s")).unionByName(first.select("g", "s")).distinct()
+        left = cut(left.join(gone, ["g", "s"], "left_anti"), "rectangles")
+    pairs = cut(near(left), "overlaps")
+    left = left.select("g", "s")
+    while True:
+        blocked = pairs.select("g", F.col("t").alias("s")).distinct()
+        first = cut(left.join(blocked, ["g", "s"], "left_anti"), "kept")
+        kept.append(first)
+        if not pairs.limit(1).count():
+            break
+        gone = pairs.join(first, ["g", "s"], "left_semi").select("g", F.col("t").alias("s")).distinct()
+        out = cut(gone.unionByName(first), "decided")
+        left = cut(left.join(out, ["g", "s"], "left_anti"), "undecided")
+        lost = out.select("g", F.col("s").alias("t"))
+        pairs = cut(pairs.join(out, ["g", "s"], "left_anti").join(lost, ["g", "t"], "left_anti").select("g", "s", "t"), "overlaps")
+    whole = kept[0]
+    for k in kept[1:]:
+        whole = whole.unionByName(k)
+    chosen = whole.select(F.col("g").alias("__g"), F.col("s").alias(seq))
+    return rows.where("NOT __solid").select(tables.columns).unionByName(rows.where("__solid").join(chosen, ["__g", seq], "left_semi").select(tables.columns))
 
 
 def merged_boxes(boxes: DataFrame, group: list[str], near: float = 20.0) -> DataFrame:
-    """Boxes of a group joined while they are within `near` of each other; type by aspect ratio."""
-    schema = ", ".join(f"{c} {t}" for c, t in boxes.dtypes if c in group) + ", x0 double, y0 double, x1 double, y1 double, kind string"
-
-    order = [*[c for c in boxes.columns if c in group], "x0", "y0", "x1", "y1", "kind"]
-
-    def merge(rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for r in rows.sort_values(["y0", "x0"])[["x0", "y0", "x1", "y1"]].to_numpy(float):
-            box = r.copy()
-            while True:
-                hit = next((i for i, o in enumerate(out) if box[0] <= o[2] + near and o[0] <= box[2] + near and box[1] <= o[3] + near and o[1] <= box[3] + near), None)
-                if hit is None:
-                    break
-                o = out.pop(hit)
-                box = [min(box[0], o[0]), min(box[1], o[1]), max(box[2], o[2]), max(box[3], o[3])]
-            out.append(list(box))
-        frame = pd.DataFrame(out, columns=["x0", "y0", "x1", "y1"])
-        ratio = (frame.x1 - frame.x0) / (frame.y1 - frame.y0).clip(lower=1e-9)
-        frame["kind"] = ["bar" if x > 1.6 else "pie" if 0.8 <= x <= 1.25 else "line" for x in ratio]
-        for g in group:
-            frame[g] = rows[g].iloc[0]
-        return frame[order]
-
-    return boxes.groupBy(*group).applyInPandas(merge, schema)
+    """Boxes of a group joined while they are within `near` of each other: group, x0, y0, x1, y1, kind (by aspect ratio).
+
+    What comes out does not depend on the order of joining.  Boxes are laid on a grid of cells of `near`: all that touch a
+    cell are within reach of each other, and one of them (least by a hash, new in each round) stands for the cell to its
+    neighbours, two cells around.  In a round each box joins the least box that it sees, if that is less than itself; it
+    ends when nobody sees one.  So a round takes no pairs within a cell.
+    """
+    g = F.concat_ws("|", *[F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null")) for c in group]) if group else F.lit("")
+    corners, own = ["x0", "y0", "x1", "y1"], [f"__group{k}" for k in range(len(group))]
+    left = cut(boxes.select(g.alias("g"), *[F.col(c).alias(k) for c, k in zip(group, own)], *[F.col(c).cast("double").alias(c) for c in corners]).where(" AND ".join(f"{c} IS NOT NULL" for c in corners)).distinct(), "boxes")
+    side = lambda a, b: F.sequence(F.floor(F.col(a) / near).cast("long"), F.floor(F.col(b) / near).cast("long"))
+    turn = 0
+    while True:
+        turn += 1
+        # A box is known by its corners; so equal ones are one.
+        named = left.withColumn("id", F.struct(F.xxhash64(F.lit(turn), "g", *corners).alias("h"), *corners))
+        cells = named.withColumn("cx", F.explode(side("x0", "x1"))).withColumn("cy", F.explode(side("y0", "y1")))
+        head = cells.groupBy("g", "cx", "cy").agg(F.min("id").alias("head"))
+        around = F.flatten(F.array(*[F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-2, 3)]) for j in range(-2, 3)]))
+        spread = head.withColumn("o", F.explode(around)).select("g", (F.col("cx") + F.col("o.i")).alias("cx"), (F.col("cy") + F.col("o.j")).alias("cy"), "head")
+        o = lambda c: F.col(f"head.{c}")
+        close = (F.col("x0") <= o("x1") + near) & (o("x0") <= F.col("x1") + near) & (F.col("y0") <= o("y1") + near) & (o("y0") <= F.col("y1") + near)
+        seen = cells.join(spread, ["g", "cx", "cy"]).where(close & (F.col("head") < F.col("id"))).groupBy("g", "id").agg(F.min("head").alias("to"))
+        seen = cut(seen, "seen")
+        if not seen.limit(1).count():
+            break
+        joined = named.join(seen, ["g", "id"], "left").withColumn("to", F.coalesce("to", "id"))
+        left = cut(joined.groupBy("g", "to").agg(*[F.first(c).alias(c) for c in own], F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")).select("g", *own, *corners).distinct(), "boxes")
+    ratio = (F.col("x1") - F.col("x0")) / F.greatest(F.col("y1") - F.col("y0"), F.lit(1e-9))
+    return left.select(*[F.col(k).alias(c) for c, k in zip(group, own)], *corners, F.when(ratio > 1.6, "bar").when(ratio.between(0.8, 1.25), "pie").otherwise("line").alias("kind"))
 
 
 def line_context(words: DataFrame, size: float = 40.0) -> DataFrame:
