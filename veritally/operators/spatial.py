@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import bisect
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text
@@ -145,7 +149,7 @@ def merged_boxes(boxes: DataFrame, group: list[str], near: float = 20.0) -> Data
 
     What comes out does not depend on the order of joining.  Boxes are laid on a grid of cells of `near`: all that touch a
     cell are within reach of each other, and one of them (least by a hash, new in each round) stands for the cell to its
-    neighbours, two cells around.  In a round each box joins the least box that it sees, if that is less than itself; it
+    neighbours, one cell around.  In a round each box joins the least box that it sees, if that is less than itself; it
     ends when nobody sees one.  So a round takes no pairs within a cell.
     """
     g = F.concat_ws("|", *[F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null")) for c in group]) if group else F.lit("")
@@ -159,7 +163,7 @@ def merged_boxes(boxes: DataFrame, group: list[str], near: float = 20.0) -> Data
         named = left.withColumn("id", F.struct(F.xxhash64(F.lit(turn), "g", *corners).alias("h"), *corners))
         cells = named.withColumn("cx", F.explode(side("x0", "x1"))).withColumn("cy", F.explode(side("y0", "y1")))
         head = cells.groupBy("g", "cx", "cy").agg(F.min("id").alias("head"))
-        around = F.flatten(F.array(*[F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-2, 3)]) for j in range(-2, 3)]))
+        around = F.flatten(F.array(*[F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1)]) for j in (-1, 0, 1)]))
         spread = head.withColumn("o", F.explode(around)).select("g", (F.col("cx") + F.col("o.i")).alias("cx"), (F.col("cy") + F.col("o.j")).alias("cy"), "head")
         o = lambda c: F.col(f"head.{c}")
         close = (F.col("x0") <= o("x1") + near) & (o("x0") <= F.col("x1") + near) & (F.col("y0") <= o("y1") + near) & (o("y0") <= F.col("y1") + near)
@@ -185,10 +189,40 @@ def line_context(words: DataFrame, size: float = 40.0) -> DataFrame:
     return line.select("doc_id", "page", "word_seq", F.array_join("ts", " ").alias("line"), F.array_join(F.when(F.col("at") > 1, F.slice("ts", F.lit(1), F.col("at") - 1)).otherwise(F.col("ts")), " ").alias("label"))
 
 
-def stream_order(words: DataFrame, spans: DataFrame) -> DataFrame:
-    """words with the order of the last span (doc_id, page, x0, y0, x1, y1, span_order) that covers their centre."""
-    s = spans.select("doc_id", "page", F.col("x0").alias("s0"), F.col("y0").alias("t0"), F.col("x1").alias("s1"), F.col("y1").alias("t1"), "span_order")
-    x, y = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
-    covered = words.join(s, ["doc_id", "page"]).where(x.between(F.col("s0"), F.col("s1")) & y.between(F.col("t0"), F.col("t1")))
-    last = covered.groupBy("doc_id", "page", "word_seq").agg(F.max("span_order").alias("stream_order"))
-    return words.drop("stream_order").join(last, ["doc_id", "page", "word_seq"], "left")
+def stream_order(words: DataFrame, spans: DataFrame, band: float = 40.0) -> DataFrame:
+    """words with the order of the last span (doc_id, page, x0, y0, x1, y1, span_order) that covers their centre; null without one.
+
+    A plane sweep: a page is cut into bands of y, a word belongs to the band of its centre, a span to all that it touches.
+    Bands are sorted by x; a span is active from its left to its right end, and active ones are kept in order, latest
+    first, so a word takes the first that covers it.  Only active spans of one band are held.
+    """
+    y, x = (F.col("y0") + F.col("y1")) / 2, (F.col("x0") + F.col("x1")) / 2
+    number = lambda c: F.floor(c / band).cast("long")
+    none, kinds = F.lit(None).cast("double"), dict(words.dtypes)
+    asked = words.select("doc_id", "page", number(y).alias("band"), x.cast("double").alias("at"), F.lit(1).alias("kind"), F.col("word_seq").cast("long").alias("id"), y.cast("double").alias("low"), none.alias("high"), none.alias("until"))
+    given = spans.where("x0 <= x1 AND y0 <= y1").select(*[F.col(c).cast(kinds[c]).alias(c) for c in ("doc_id", "page")], F.explode(F.sequence(number(F.col("y0")), number(F.col("y1")))).alias("band"), F.col("x0").cast("double").alias("at"), F.lit(0).alias("kind"), F.col("span_order").cast("long").alias("id"), F.col("y0").cast("double").alias("low"), F.col("y1").cast("double").alias("high"), F.col("x1").cast("double").alias("until"))
+    events = given.unionByName(asked.where("at IS NOT NULL AND low IS NOT NULL")).repartition("doc_id", "page", "band").sortWithinPartitions("doc_id", "page", "band", "at", "kind")
+    found = events.mapInArrow(_sweep, f"doc_id {kinds['doc_id']}, page {kinds['page']}, word_seq long, stream_order long")
+    return words.drop("stream_order").join(found.withColumn("word_seq", F.col("word_seq").cast(kinds["word_seq"])), ["doc_id", "page", "word_seq"], "left")
+
+
+def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    here, active, pruned = None, [], 0  # active: (-order, right end, low, high), sorted
+    for batch in batches:
+        columns = [batch.column(c).to_pylist() for c in ("doc_id", "page", "band", "at", "kind", "id", "low", "high", "until")]
+        hits = []
+        for i, (doc, page, band, at, kind, number, low, high, until) in enumerate(zip(*columns)):
+            if (doc, page, band) != here:
+                here, active, pruned = (doc, page, band), [], 0
+            if kind == 0:
+                bisect.insort(active, (-number, until, low, high))
+                pruned += 1
+                if pruned > 64 and 2 * pruned > len(active):
+                    active, pruned = [s for s in active if s[1] >= at], 0
+                continue
+            for order, right, bottom, top in active:
+                if right >= at and bottom <= low <= top:
+                    hits.append((i, -order))
+                    break
+        rows = pa.array([i for i, _ in hits], pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(rows), batch.column("page").take(rows), batch.column("id").take(rows), pa.array([o for _, o in hits], pa.int64())], ["doc_id", "page", "word_seq", "stream_order"])
