@@ -83,6 +83,39 @@ def summary(diffs: DataFrame) -> DataFrame:
     return diffs.agg(F.count("*").alias("total"), *[F.count_if(F.col("severity") == s).alias(s) for s in ("critical", "high", "medium", "low", "info")], *[F.count_if(F.col("triage") == t).alias(t) for t in ("real", "expected", "unresolved")])
 
 
+#: Counts of a comparison by rule of the difference.
+RULE_COUNTS = {
+    "unresolved_candidate_count": "low_confidence_candidate", "currency_converted_match_count": "currency_converted_match", "context_mismatch_count": "context_mismatch",
+    "llm_semantic_review_count": "llm_semantic_review", "key_metric_exact_diff_count": "key_metric_exact_mismatch", "visual_text_layer_mismatch_count": "visual_text_layer_mismatch",
+    "text_overlay_tamper_count": "text_overlay_tamper", "internal_event_diff_count": "event_internal_fact_match", "event_fact_diff_count": "event_fact_match",
+}
+SCOPES = {"cross_report_diff_count": "cross_report", "a_internal_diff_count": "a_internal", "h_internal_diff_count": "h_internal"}
+
+
+def comparison_summary(diffs: DataFrame, coverage: DataFrame, warnings: DataFrame, facts: DataFrame, narratives: DataFrame, key: str = "pair_id") -> DataFrame:
+    """One row of counts for each key that any of the tables has.
+
+    diffs(triage, rule_id, diff_type, scope), coverage(category, status), warnings(side, blocking, category),
+    facts(side, canonical_key), narratives(side).  Each table is counted where it lies; the counts then meet by key.
+    """
+    is_ = lambda c, v: F.count_if(F.col(c) == v)
+    sides = lambda name: [is_("side", s).alias(f"{s.lower()}_{name}") for s in ("A", "H")]
+    parts = [
+        diffs.groupBy(key).agg(
+            F.count("*").alias("total_diff_count"), *[is_("triage", t).alias(f"{t}_diff_count") for t in ("real", "expected", "unresolved")], *[is_("rule_id", r).alias(n) for n, r in RULE_COUNTS.items()],
+            is_("diff_type", "internal").alias("internal_inconsistency_count"), *[F.count_if((F.col("scope") == s) & F.col("triage").isin("real", "unresolved", "expected")).alias(n) for n, s in SCOPES.items()],
+        ),
+        coverage.groupBy(key).agg(F.count("*").alias("coverage_count"), F.count_if((F.col("category") == "event") & (F.col("status") == "matched")).alias("matched_event_count"), is_("status", "a_only").alias("a_only_count"), is_("status", "h_only").alias("h_only_count")),
+        warnings.groupBy(key).agg(F.count("*").alias("warning_count"), F.count_if("blocking").alias("blocking_warning_count"), F.count_if("blocking").alias("core_warning_count"), is_("category", "auxiliary_chart").alias("aux_warning_count"), *sides("warning_count")),
+        facts.groupBy(key).agg(*sides("fact_count"), *[F.count_distinct(F.when(F.col("side") == s, F.col("canonical_key"))).alias(f"{s.lower()}_metric_keys") for s in ("A", "H")]),
+        narratives.groupBy(key).agg(*sides("narrative_blocks")),
+    ]
+    whole = parts[0]
+    for p in parts[1:]:
+        whole = whole.unionByName(p, allowMissingColumns=True)
+    return whole.groupBy(key).agg(*[F.coalesce(F.max(c), F.lit(0)).alias(c) for c in whole.columns if c != key])
+
+
 def page_ranges(segments: DataFrame, keys: list[str], group: Column) -> DataFrame:
     """First and last page of each section, and of each group of sections (section null)."""
     own = segments.where("section IS NOT NULL").withColumn("group", group)

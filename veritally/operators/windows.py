@@ -45,6 +45,13 @@ def headers(cells: DataFrame, keys: list[str], row: str, col: str, text: str) ->
     return cells.withColumn("header", F.array_join(F.collect_list(F.when(F.col("is_header"), F.col(text))).over(w), " "))
 
 
+def column_texts(cells: DataFrame, keys: list[str], row: str, col: str, text: str) -> DataFrame:
+    """Adds header: the texts of all cells above in the same column, data rows too, blank ones passed over, joined by spaces."""
+    w = Window.partitionBy(*keys, col).orderBy(row).rowsBetween(Window.unboundedPreceding, -1)
+    said = F.when(F.length(F.trim(text)) > 0, F.trim(text))
+    return cells.withColumn("header", F.array_join(F.collect_list(said).over(w), " "))
+
+
 def latest(rows: DataFrame, keys: list[str], at: str, seq: str) -> DataFrame:
     """Last write wins."""
     w = Window.partitionBy(*keys).orderBy(F.col(at).desc(), F.col(seq).desc())
