@@ -148,8 +148,8 @@ def merged_boxes(boxes: DataFrame, group: list[str], near: float = 20.0) -> Data
     """Boxes of a group joined while they are within `near` of each other: group, x0, y0, x1, y1, kind (by aspect ratio).
 
     What comes out does not depend on the order of joining.  Boxes are laid on a grid of cells of `near`: all that touch a
-    cell are within reach of each other, and one of them (least by a hash, new in each round) stands for the cell to its
-    neighbours, one cell around.  In a round each box joins the least box that it sees, if that is less than itself; it
+    cell are within reach of each other, and one of them (least by a hash, new in each round) stands for the cell.  A box sees
+    those of its cells and, from its edges, of the cells around.  In a round each box joins the least box that it sees, if that is less than itself; it
     ends when nobody sees one.  So a round takes no pairs within a cell.
     """
     g = F.concat_ws("|", *[F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null")) for c in group]) if group else F.lit("")
@@ -159,16 +159,19 @@ def merged_boxes(boxes: DataFrame, group: list[str], near: float = 20.0) -> Data
     turn = 0
     while True:
         turn += 1
-        # A box is known by its corners; so equal ones are one.
-        named = left.withColumn("id", F.struct(F.xxhash64(F.lit(turn), "g", *corners).alias("h"), *corners))
+        named = left.withColumn("id", F.xxhash64(F.lit(turn), "g", *corners))
+        if named.groupBy("g", "id").count().where("count > 1").limit(1).count():
+            continue  # two boxes of one hash: the next round's is another
         cells = named.withColumn("cx", F.explode(side("x0", "x1"))).withColumn("cy", F.explode(side("y0", "y1")))
         head = cells.groupBy("g", "cx", "cy").agg(F.min("id").alias("head"))
-        around = F.flatten(F.array(*[F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1)]) for j in (-1, 0, 1)]))
-        spread = head.withColumn("o", F.explode(around)).select("g", (F.col("cx") + F.col("o.i")).alias("cx"), (F.col("cy") + F.col("o.j")).alias("cy"), "head")
-        o = lambda c: F.col(f"head.{c}")
-        close = (F.col("x0") <= o("x1") + near) & (o("x0") <= F.col("x1") + near) & (F.col("y0") <= o("y1") + near) & (o("y0") <= F.col("y1") + near)
-        seen = cells.join(spread, ["g", "cx", "cy"]).where(close & (F.col("head") < F.col("id"))).groupBy("g", "id").agg(F.min("head").alias("to"))
-        seen = cut(seen, "seen")
+        at = lambda c, low, high: (F.col(c) == F.floor(F.col(low) / near)) | (F.col(c) == F.floor(F.col(high) / near))
+        offset = lambda i, j: F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"))
+        around = F.when(at("cx", "x0", "x1") | at("cy", "y0", "y1"), F.array(*[offset(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)])).otherwise(F.array(offset(0, 0)))
+        looks = cells.select("g", "id", "cx", "cy", F.explode(around).alias("o")).select("g", "id", (F.col("cx") + F.col("o.i")).alias("cx"), (F.col("cy") + F.col("o.j")).alias("cy"))
+        met = looks.join(head, ["g", "cx", "cy"]).where("head < id").select("g", "id", "head").distinct()
+        other = named.select("g", F.col("id").alias("head"), *[F.col(c).alias("h" + c) for c in corners])
+        close = (F.col("x0") <= F.col("hx1") + near) & (F.col("hx0") <= F.col("x1") + near) & (F.col("y0") <= F.col("hy1") + near) & (F.col("hy0") <= F.col("y1") + near)
+        seen = cut(met.join(named.select("g", "id", *corners), ["g", "id"]).join(other, ["g", "head"]).where(close).groupBy("g", "id").agg(F.min("head").alias("to")), "seen")
         if not seen.limit(1).count():
             break
         joined = named.join(seen, ["g", "id"], "left").withColumn("to", F.coalesce("to", "id"))
