@@ -84,22 +84,20 @@ def garbled_keys(t, spark):
     return t("pages").select("page_id", text.garbled_key(F.col("url")).alias("garbled"), text.snake_key(F.col("url")).alias("key"))
 
 
-_NUMBERS = [(1, "1,234.5", 1234.5), (2, "(1,234)", -1234.0), (3, "（56.7）", -56.7), (4, "-", None), (5, "N/A", None), (6, "12 345", 12345.0), (7, "-7%", -7.0), (8, "abc", None), (9, "", None), (10, None, None), (11, "+0.50", 0.5), (12, "3.14 times", 3.14)]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, {'NULL' if s is None else repr(s)}, CAST({'NULL' if v is None else v} AS DOUBLE))" for i, s, v in _NUMBERS) + ") AS x(id, raw, value)")
+@query("""SELECT o_orderkey, o_custkey, sum(CASE o_orderpriority WHEN '1-URGENT' THEN -1 WHEN '2-HIGH' THEN -1 WHEN '3-MEDIUM' THEN NULL ELSE 1 END * CAST(printf('%.2f', o_totalprice) AS DOUBLE)) AS value, count(*) AS n FROM orders GROUP BY ALL""")
 def number_parse(t, spark):
-    rows = spark.createDataFrame([(i, s) for i, s, _ in _NUMBERS], "id int, raw string")
-    return rows.select("id", "raw", numbers.parse_number(F.col("raw")).alias("value"))
-
+    """Every total printed in one of five ways: in brackets, in full-width brackets, as a dash, with words behind, with spaces."""
+    n, p = F.format_number("o_totalprice", 2), F.col("o_orderpriority")
+    raw = F.when(p == "1-URGENT", F.concat(F.lit("("), n, F.lit(")"))).when(p == "2-HIGH", F.concat(F.lit("（"), n, F.lit("）"))).when(p == "3-MEDIUM", F.lit(" - ")).when(p == "4-NOT SPECIFIED", F.concat(n, F.lit(" times"))).otherwise(F.replace(n, F.lit(","), F.lit(" ")))
+    return t("orders").groupBy("o_orderkey", "o_custkey").agg(F.sum(numbers.parse_number(raw)).alias("value"), F.count("*").alias("n"))
 
-_DATES = [(1, "on 31 March 2024 and 2024-04-01", "2024-03-31,2024-04-01"), (2, "March 5, 2023", "2023-03-05"), (3, "2024年1月9日", "2024-01-09"), (4, "no date", ""), (5, "7/8/2020 2021/12/3", "2021-12-03")]
 
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, {s!r}, {d!r})" for i, s, d in _DATES) + ") AS x(id, raw, dates)")
+@query("""SELECT o_orderkey, o_custkey, CASE o_orderstatus WHEN 'O' THEN '1901-02-03,' || strftime(o_orderdate, '%Y-%m-%d') ELSE strftime(o_orderdate, '%Y-%m-%d') END AS dates, count(*) AS n FROM orders GROUP BY ALL""")
 def date_parse(t, spark):
-    rows = spark.createDataFrame([(i, s) for i, s, _ in _DATES], "id int, raw string")
-    return rows.select("id", "raw", F.array_join(dates.dates(F.col("raw")), ",").alias("dates"))
+    """The date of every order in one of three styles, one with a second date."""
+    d, s = F.col("o_orderdate"), F.col("o_orderstatus")
+    raw = F.when(s == "O", F.concat(F.lit("signed on "), F.date_format(d, "d MMMM yyyy"), F.lit(" and 1901/2/3"))).when(s == "F", F.concat(F.date_format(d, "MMMM d, yyyy"), F.lit(" it ended"))).otherwise(F.date_format(d, "yyyy年M月d日"))
+    return t("orders").groupBy("o_orderkey", "o_custkey", F.array_join(dates.dates(raw), ",").alias("dates")).agg(F.count("*").alias("n"))
 
 
 @query("""WITH d AS (SELECT doc_id, text, regexp_extract_all(text, '\\d+(?:\\.\\d+)? ?%') AS p FROM documents) SELECT doc_id, CAST(len(p) AS INTEGER) AS rates, regexp_matches(text, '\\d') AS has_number FROM d""")
@@ -320,13 +318,14 @@ def event_signals(t, spark):
     return t("documents").select("doc_id", predicates.event_signal(F.col("text"), ("license", "token", "password")).alias("signal"))
 
 
-_PERIODS = [(1, "2024-12-31", 2024, None), (2, "2025-Q3", 2025, 3), (3, "2025", 2025, None), (4, "third quarter of 2023", 2023, 3), (5, "none", None, None)]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, {s!r}, CAST({'NULL' if y is None else y} AS INTEGER), CAST({'NULL' if q is None else q} AS INTEGER))" for i, s, y, q in _PERIODS) + ") AS x(id, raw, year, quarter)")
+@query("""SELECT o_orderkey, o_custkey, CASE WHEN o_orderpriority <> '5-LOW' THEN CAST(year(o_orderdate) AS INTEGER) END AS year, CASE WHEN o_orderpriority IN ('2-HIGH', '4-NOT SPECIFIED') THEN CAST(quarter(o_orderdate) AS INTEGER) END AS quarter, count(*) AS n FROM orders GROUP BY ALL""")
 def period_parse(t, spark):
-    rows = spark.createDataFrame([(i, s) for i, s, _, _ in _PERIODS], "id int, raw string")
-    return rows.withColumn("p", dates.period(F.col("raw"))).select("id", "raw", "p.year", "p.quarter")
+    """The period of every order as a date, a quarter, a year, in words, or not at all."""
+    p, y, q = F.col("o_orderpriority"), F.year("o_orderdate").cast("string"), F.quarter("o_orderdate")
+    words = F.element_at(F.array(*map(F.lit, ("first", "second", "third", "fourth"))), q)
+    raw = F.when(p == "1-URGENT", F.date_format("o_orderdate", "yyyy-MM-dd")).when(p == "2-HIGH", F.concat(y, F.lit("-Q"), q.cast("string"))).when(p == "3-MEDIUM", y).when(p == "4-NOT SPECIFIED", F.concat(words, F.lit(" quarter of "), y)).otherwise(F.lit("none"))
+    told = t("orders").withColumn("p", dates.period(raw))
+    return told.groupBy("o_orderkey", "o_custkey", F.col("p.year").alias("year"), F.col("p.quarter").alias("quarter")).agg(F.count("*").alias("n"))
 
 
 @query("""WITH a AS (SELECT CAST(doc_id % 50 AS BIGINT) AS k, list(DISTINCT source) AS x FROM documents WHERE lang = 'en' GROUP BY 1), h AS (SELECT CAST(doc_id % 50 AS BIGINT) AS k, list(DISTINCT source) AS y FROM documents WHERE lang <> 'en' GROUP BY 1)
