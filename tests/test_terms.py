@@ -98,3 +98,18 @@ def test_statements_reach_the_pages_after_them(spark):
             before = [q for q in own if p - 5 <= q < p]
             want = own[max(before)] if p not in own and before and have in (None, "financial_statements") else have
             assert got[d, p, s] == want
+
+
+def test_gaps_by_their_conditions(spark):
+    long = "x" * 20
+    rows = [  # pair, lang, unit, page, section, text, material
+        (1, "zh", 1, 1, "notes", long, False), (1, "zh", 2, 2, "bs", long, True), (1, "zh", 3, 3, "mda", long, False), (1, "zh", 4, 4, "mda", long, True), (1, "zh", 5, 5, "cf", "short", False), (1, "zh", 6, 6, "pl", long, False),
+        (1, "zh", 7, 7, "contents", long, True), (1, "zh", 8, 8, "audit", long, False), (1, "zh", 9, 9, "risk", long, False), (1, "zh", 10, 9, "risk", long, False), (1, "zh", 11, 9, "units", "单位：人民币万元", True), (1, "zh", 12, 9, None, long, True), (1, "zh", 13, 9, "esg", "附表 释义", True),
+        (1, "en", 20, 8, "bs", long, False), (1, "en", 21, 9, "x", "the Auditor says", False),
+        (2, "zh", 1, 10, "notes", long, False), (2, "zh", 2, 2, "bs", long, False), (2, "en", 3, 50, "x", "y", False),
+    ]
+    units = spark.createDataFrame([(*r[:4], r[2], *r[4:]) for r in rows], "pair_id int, lang string, unit int, page int, seq int, section string, text string, material boolean")
+    aligned = spark.createDataFrame([(1, 9, 21)], "pair_id int, i int, j int")
+    assert {(r["pair_id"], r["section"], r["page"]) for r in sections.gaps(units, aligned).collect()} == {(1, "notes", 1), (1, "mda", 3), (1, "pl", 6), (2, "bs", 2)}
+    assert {(r["pair_id"], r["unit"]) for r in sections.unpaired(units, aligned, 20).collect()} == {(1, 2), (1, 4), (1, 7), (1, 12)}
+    assert sections.gaps(units.limit(0), aligned).collect() == []

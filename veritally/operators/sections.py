@@ -72,3 +72,49 @@ def carried(segments: DataFrame, keys: list[str], page: str, seq: str, reach: in
     joined = segments.join(last.withColumnRenamed("__to", page), [*keys, page], "left")
     takes = F.col("__section").isNotNull() & (F.col("__page") < F.col(page)) & (F.col("section").isNull() | F.col("section").isin(*generic))
     return joined.withColumn("section", F.when(takes, F.col("__section")).otherwise(F.col("section"))).select(*segments.columns)
+
+
+#: Sections that no counterpart is expected for, by key or by a word of key or text; and words of an audit report.
+UNSURE_KEYS = ("contents", "definitions", "glossary", "abbreviations", "company", "overview")
+UNSURE_KEY_WORDS = ("definition", "contents", "glossary", "abbreviation")
+UNSURE_WORDS = ("definitions", "definition", "contents", "glossary", "abbreviations", "meansthe", "means ", "释义", "目录")
+AUDITOR_WORDS = ("auditor", "audit opinion", "independent auditor", "key audit matters")
+#: Sections whose lack counts without a material paragraph: always, and where both reports are of like length.
+CORE_SECTIONS = ("bs", "pl", "cf", "balance_sheet", "income_statement", "cash_flow", "equity_statement")
+OTHER_SECTIONS = ("governance", "directors", "audit", "risk", "financial_statements", "notes")
+#: A paragraph that only states the unit.
+UNIT_ONLY = r"(?i)^(?:除(?:特别注明外|另有说明).*?(?:单位|金额)|以人民币(?:千元|万元|亿元)为单位|all amounts in (?:rmb|hk\$|us\$).*?(?:thousands|millions|billions)|expressed in (?:thousands|millions) of renminbi|stated in (?:rmb\s+)?(?:thousands|millions|billions)|单位[：:]\s*人民币(?:千元|万元|亿元))"
+
+
+def gaps(units: DataFrame, aligned: DataFrame) -> DataFrame:
+    """Chinese sections that the English report lacks: pair_id, section, page, severity (low), triage (unresolved).
+
+    units(pair_id, lang zh or en, unit, page, seq, section, text, material), aligned(pair_id, i: zh unit).  A section that the
+    other side has, or of which a paragraph found a partner, is none.  Unsure sections and an audit report whose words
+    the English side holds are passed over.  What is left counts if it has a material paragraph (and is not just
+    statements of the unit), or is a core section with a text, or one of the others while pages are in a ratio of .6 to 1.8.
+    All conditions are aggregates by section, so no task holds a report.
+    """
+    shaped = F.lower(texts_.simplify(F.regexp_replace(F.trim("text"), r"\s+", " ")))
+    marked = units.withColumn("__t", shaped).withColumn("section", F.nullif(F.lower(F.trim("section")), F.lit("")))
+    has = lambda c, words: F.coalesce(F.col(c).rlike("|".join(w.replace(".", r"\.") for w in words)), F.lit(False))
+    zh = marked.where("lang = 'zh'").join(aligned.select("pair_id", F.col("i").alias("unit"), F.lit(True).alias("__met")).distinct(), ["pair_id", "unit"], "left")
+    own = zh.where("section IS NOT NULL").groupBy("pair_id", "section").agg(
+        F.min("page").alias("page"), F.min_by("__t", F.struct("page", "seq", "unit")).alias("first"), F.max(F.coalesce("__met", F.lit(False))).alias("met"),
+        F.max("material").alias("material"), F.min(F.coalesce(F.col("__t").rlike(UNIT_ONLY), F.lit(False))).alias("unit_only"),
+    )
+    en = marked.where("lang = 'en'")
+    report = marked.groupBy("pair_id").agg(F.max(F.when(F.col("lang") == "zh", F.col("page"))).alias("zh_pages"), F.max(F.when(F.col("lang") == "en", F.col("page"))).alias("en_pages"), F.max((F.col("lang") == "en") & has("__t", AUDITOR_WORDS)).alias("audited"))
+    ratio = F.try_divide("en_pages", "zh_pages")
+    lacking = own.where("NOT met").join(en.select("pair_id", "section").distinct(), ["pair_id", "section"], "left_anti").join(report, "pair_id")
+    unsure = F.col("section").isin(*UNSURE_KEYS) | has("section", UNSURE_KEY_WORDS) | has("first", UNSURE_WORDS) | ((F.col("section") == "audit") & F.coalesce("audited", F.lit(False)))
+    told = F.length("first") >= 8
+    extreme = F.coalesce((ratio > 1.8) | (ratio < 0.6), F.lit(False))
+    counts = F.when(F.coalesce("material", F.lit(False)), ~F.col("unit_only")).when(F.col("section").isin(*CORE_SECTIONS), told).otherwise(~extreme & F.col("section").isin(*OTHER_SECTIONS) & told)
+    return lacking.where(~unsure & counts).select("pair_id", "section", "page", F.lit("low").alias("severity"), F.lit("unresolved").alias("triage"))
+
+
+def unpaired(units: DataFrame, aligned: DataFrame, least_chars: int = 100) -> DataFrame:
+    """Material Chinese paragraphs of `least_chars` characters or more without a partner: pair_id, unit, page, severity (info), triage."""
+    alone = units.where((F.col("lang") == "zh") & F.col("material") & (F.length(F.trim(F.regexp_replace("text", r"\s+", " "))) >= least_chars)).join(aligned.select("pair_id", F.col("i").alias("unit")), ["pair_id", "unit"], "left_anti")
+    return alone.select("pair_id", "unit", "page", F.lit("info").alias("severity"), F.lit("unresolved").alias("triage"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import facts
+from ..operators import facts, sections
 from .registry import query
 
 _SAID = {"1-URGENT": ("单位：人民币万元", "(RMB million)", 1e4, 1e6), "2-HIGH": ("單位：千元", "Unit: thousand", 1e3, 1e3)}
@@ -41,3 +41,35 @@ def bilingual_fact_status(t, spark):
     """Facts of both languages by block: equal, explained by units, or different."""
     side = lambda zh: facts.facts(_blocks(t, zh))
     return facts.compared(side(True), side(False), ["report", "seq"]).select("report", "seq", "kind", "status")
+
+
+_KEYS = {"th": "bs", "an": "notes", "de": "audit", "er": "contents", "in": "risk", "re": "cf"}
+_UNITS = """WITH u AS (SELECT source AS pair_id, CASE WHEN lang IN ('en', 'de') THEN 'zh' ELSE 'en' END AS lang, doc_id AS unit, CAST(doc_id % 97 AS BIGINT) AS page, doc_id AS seq, trim(lower(left(trim(regexp_replace(text, '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g')), 2))) AS k, text, length(text) % 3 = 0 AS material FROM documents WHERE text IS NOT NULL),
+s AS (SELECT * REPLACE (CASE k WHEN 'th' THEN 'bs' WHEN 'an' THEN 'notes' WHEN 'de' THEN 'audit' WHEN 'er' THEN 'contents' WHEN 're' THEN 'cf' WHEN 'in' THEN 'risk' ELSE k END AS k), lower(trim(regexp_replace(text, '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g'))) AS t FROM u),
+a AS (SELECT x.pair_id, x.unit FROM s x JOIN s y ON x.pair_id = y.pair_id AND x.unit + 1 = y.unit AND x.lang = 'zh' AND y.lang = 'en')"""
+
+
+def _units(t):
+    text = F.lower(F.substring(F.trim(F.regexp_replace("text", r"\s+", " ")), 1, 2))
+    key = text
+    for k, v in _KEYS.items():
+        key = F.when(text == k, v).otherwise(key)
+    units = t("documents").where("text IS NOT NULL").select(F.col("source").alias("pair_id"), F.when(F.col("lang").isin("en", "de"), "zh").otherwise("en").alias("lang"), F.col("doc_id").alias("unit"), (F.col("doc_id") % 97).alias("page"), F.col("doc_id").alias("seq"), key.alias("section"), "text", (F.length("text") % 3 == 0).alias("material"))
+    en = units.where("lang = 'en'").select("pair_id", (F.col("unit") - 1).alias("unit"))
+    return units, units.where("lang = 'zh'").join(en, ["pair_id", "unit"], "left_semi").select("pair_id", F.col("unit").alias("i"))
+
+
+@query(_UNITS + """, z AS (SELECT pair_id, k, min(page) AS page, arg_min(t, (page, seq)) AS first, bool_or(unit IN (SELECT unit FROM a)) AS met, bool_or(material) AS material FROM s WHERE lang = 'zh' AND k <> '' GROUP BY ALL),
+e AS (SELECT DISTINCT pair_id, k FROM s WHERE lang = 'en'), r AS (SELECT pair_id, max(page) FILTER (lang = 'en') / max(page) FILTER (lang = 'zh') AS ratio, bool_or(lang = 'en' AND contains(t, 'auditor')) AS audited FROM s GROUP BY 1)
+SELECT pair_id, k AS section, page FROM z JOIN r USING (pair_id) WHERE NOT met AND NOT EXISTS (SELECT 1 FROM e WHERE e.pair_id = z.pair_id AND e.k = z.k) AND k <> 'contents' AND NOT contains(first, 'definition') AND NOT contains(first, 'contents') AND NOT contains(first, 'glossary') AND NOT contains(first, 'abbreviations') AND NOT contains(first, 'meansthe') AND NOT contains(first, 'means ')
+  AND NOT (k = 'audit' AND audited) AND CASE WHEN material THEN true WHEN k IN ('bs', 'cf') THEN length(first) >= 8 ELSE NOT coalesce(ratio > 1.8 OR ratio < 0.6, false) AND k IN ('audit', 'risk', 'notes') AND length(first) >= 8 END""")
+def section_gaps(t, spark):
+    """Sections by how a text begins; paragraphs have a partner where the next id is on the other side."""
+    units, aligned = _units(t)
+    return sections.gaps(units, aligned).select("pair_id", "section", "page")
+
+
+@query(_UNITS + " SELECT pair_id, unit, page FROM s WHERE lang = 'zh' AND material AND length(t) >= 100 AND unit NOT IN (SELECT unit FROM a)")
+def unpaired_paragraphs(t, spark):
+    units, aligned = _units(t)
+    return sections.unpaired(units, aligned).select("pair_id", "unit", "page")
