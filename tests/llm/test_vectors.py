@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from veritally.llm import vectors
 
@@ -68,3 +69,27 @@ def test_hadamard():
     x = np.random.default_rng(0).normal(size=(5, 16))
     y = vectors.hadamard(x)
     assert np.allclose(np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)) and np.allclose(vectors.hadamard(y), x)
+
+
+@pytest.mark.parametrize("width", [1, 2, 3, 8, 64, 768])
+def test_recall_by_width(width):
+    """Pairs at a cosine of exactly .95 that share a bucket, of 800 (one component: all are equal or opposite)."""
+    rng = np.random.default_rng(width)
+    a, b = rng.normal(size=(2, 800, width))
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    a = unit(a)
+    b = a if width == 1 else 0.95 * a + np.sqrt(1 - 0.95**2) * unit(b - (a * b).sum(1, keepdims=True) * a)
+    x, y = vectors.keys(a), vectors.keys(b)
+    met = [np.isin(x[i, :, 0], y[i]).any() or np.isin(y[i, :, 0], x[i]).any() for i in range(len(a))]
+    assert np.mean(met) >= 0.99
+
+
+def test_links_of_mixed_widths(spark):
+    rng = np.random.default_rng(4)
+    rows, base = [], {w: rng.normal(size=(12, w)) for w in (2, 5, 300)}
+    for w, m in base.items():
+        for k, v in enumerate(np.concatenate([m, m * 2, m + rng.normal(size=m.shape) * 0.1 * np.abs(m).mean()])):
+            rows.append((1000 * w + k, [float(c) for c in v]))
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    links = {i: {j for j, y in rows if i != j and len(x) == len(y) and np.dot(x, y) / np.linalg.norm(x) / np.linalg.norm(y) >= 0.95} for i, x in rows}
+    assert {i: n for i, (n, _) in got.items()} == {i: len(v) for i, v in links.items()}

@@ -2,7 +2,7 @@
 
 A vector is turned by three rounds of random signs and fast Hadamard transforms; its hash is the signed axis that it
 then lies nearest to.  A table's bucket joins HASHES such axes.  Each vector is filed in one bucket of each of
-TABLES tables and probes PROBES more: those reached by the second- or third-best axes that lose least.  A pair is a
+TABLES tables (WIDE_TABLES if it is wide) and probes PROBES more: those reached by the second- or third-best axes that lose least.  A pair is a
 candidate where one is filed and the other is filed or probes; every candidate is verified by its cosine in double
 precision.  At a cosine of 0.95 in 64 dimensions this finds 0.9998 of the pairs, and more above.
 
@@ -24,6 +24,12 @@ from .components import components
 
 LEAST, TABLES, HASHES, PROBES = 0.95, 10, 3, 3
 BLOCK = 1024
+#: Vectors are padded to this width at least, so that rotations differ; from WIDE components on they have more tables.
+LEAST_WIDTH, WIDE, WIDE_TABLES = 16, 257, 18
+
+
+def tables_of(width: int) -> int:
+    return WIDE_TABLES if width >= WIDE else TABLES
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -38,7 +44,7 @@ def hadamard(x: np.ndarray) -> np.ndarray:
 
 
 def rotate(x: np.ndarray, table: int, number: int) -> np.ndarray:
-    width = 1 << max(1, int(x.shape[1] - 1).bit_length())
+    width = max(LEAST_WIDTH, 1 << int(x.shape[1] - 1).bit_length())
     x = np.pad(x, ((0, 0), (0, width - x.shape[1])))
     for k in range(3):
         signs = np.random.default_rng([31, table, number, k, width]).choice([-1.0, 1.0], width)
@@ -46,9 +52,9 @@ def rotate(x: np.ndarray, table: int, number: int) -> np.ndarray:
     return x
 
 
-def keys(x: np.ndarray, tables: int = TABLES, hashes: int = HASHES, probes: int = PROBES) -> np.ndarray:
+def keys(x: np.ndarray, tables: int | None = None, hashes: int = HASHES, probes: int = PROBES) -> np.ndarray:
     """n x tables x (1 + probes) bucket hashes of unit vectors: the own bucket, then the probes by loss."""
-    n = len(x)
+    n, tables = len(x), tables or tables_of(x.shape[1])
     out = np.zeros((n, tables, 1 + probes), np.uint64)
     rows = np.arange(n)
     for t in range(tables):
@@ -141,7 +147,13 @@ def _compare(t: pa.Table, least: float) -> pa.Table:
     edges = np.append(np.flatnonzero(~change), len(order))
     flat, n = K.rows(t["unit"], np.float64)
     at = np.cumsum(n) - n
-    own = t["keys"].combine_chunks().flatten().to_numpy().reshape(len(ids), TABLES, 1 + PROBES)
+    listed = t["keys"].combine_chunks()
+    every, begins = listed.flatten().to_numpy(), np.concatenate([[0], np.cumsum(listed.value_lengths().to_numpy(zero_copy_only=False))])
+
+    def own(rows: np.ndarray, width: int) -> np.ndarray:
+        size = tables_of(width) * (1 + PROBES)
+        return every[begins[rows][:, None] + np.arange(size)].reshape(len(rows), -1, 1 + PROBES)
+
     links, parent = np.zeros(len(ids), np.int64), np.arange(len(ids))
 
     def root(i: int) -> int:
@@ -162,7 +174,7 @@ def _compare(t: pa.Table, least: float) -> pa.Table:
         p, q = p[use], q[use]
         for k in range(0, len(p), 100_000):
             u, v = p[k : k + 100_000], q[k : k + 100_000]
-            count = _first(own[u], own[v]) == bucket[rows[0]]
+            count = _first(own(u, width), own(v, width)) == bucket[rows[0]]
             links += np.bincount(u[count], times[v[count]], minlength=len(ids)).astype(np.int64)
             links += np.bincount(v[count], times[u[count]], minlength=len(ids)).astype(np.int64)
         # A spanning forest of the links: one sweep joins each vector to one partner, the next only what is still apart.
