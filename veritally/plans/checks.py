@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import grading, predicates, text, units
 from ..operators import aggregates, events as event_rules, joins, matching, retrieval, spatial, terms
+from ..sources.shared import cut
 
 DIFF = ("pair_id", "diff_id", "diff_type", "severity", "triage", "canonical_key", "a_value", "h_value", "evidence")
 
@@ -128,7 +129,7 @@ def events(segments: DataFrame) -> DataFrame:
 
     segments(pair_id, side, page, seq, section, text).
     """
-    found = event_rules.extracted(segments, ["pair_id", "side"]).persist()  # read eight times below; Spark drops it when memory is short
+    found = cut(event_rules.extracted(segments, ["pair_id", "side"]), "events")  # read eight times below
     matched = event_rules.between(found).where(F.size("real") > 0)
     own = event_rules.within(found).withColumn("ambiguous", F.lit(False))
     amount = lambda p: F.when(F.array_contains("real", "amount"), F.array_max(p + "amounts")).when(F.array_contains("real", "rate"), F.array_max(p + "rates"))

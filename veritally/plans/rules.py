@@ -118,7 +118,7 @@ def grade_rules(t, spark):
 
 @query("""SELECT conv_id, CAST(sum(turn + 1) AS BIGINT) AS word_count, string_agg(CAST(turn AS VARCHAR), ',' ORDER BY turn) AS pages, list_aggregate(list_sort(list_distinct(list(role))), 'string_agg', ',') AS keywords, arg_min(role, turn) AS evidence FROM conversations GROUP BY conv_id""")
 def narrative_blocks(t, spark):
-    b = t("conversations").dropDuplicates(["conv_id", "turn"]).select("conv_id", (F.col("turn") + 1).alias("word_count"), F.col("turn").alias("page"), F.array("role").alias("keywords"), F.col("role").alias("evidence"), F.col("turn").alias("seq"))
+    b = t("conversations").select("conv_id", (F.col("turn") + 1).alias("word_count"), F.col("turn").alias("page"), F.array("role").alias("keywords"), F.col("role").alias("evidence"), F.col("turn").alias("seq"))
     return aggregates.narratives(b, ["conv_id"]).select("conv_id", "word_count", F.array_join(F.transform("pages", lambda x: x.cast("string")), ",").alias("pages"), F.array_join("keywords", ",").alias("keywords"), "evidence")
 
 
