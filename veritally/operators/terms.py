@@ -50,16 +50,20 @@ def _latin(c: str) -> bool:
     return c.isascii() and c.isalnum()
 
 
-def found(a, text: str, whole_words: bool) -> list[tuple[int, int, int]]:
-    """(start, end, number) of every form at every place.  whole_words: a form that begins or ends with a Latin letter or digit has no other beside it."""
+def found(a, text: str, whole_words: bool, once: bool = False) -> list[tuple[int, int, int]]:
+    """(start, end, number) of every form at every place, or (once) at its first.  whole_words: a form that begins or ends with a Latin letter or digit has no other beside it."""
     if not len(a):
         return []
-    out = []
+    out, seen = [], set()
     for last, (number, n) in a.iter(text):
+        if number in seen:
+            continue
         start, end = last - n + 1, last + 1
         if whole_words and ((start and _latin(text[start - 1]) and _latin(text[start])) or (end < len(text) and _latin(text[end]) and _latin(text[last]))):
             continue
         out.append((start, end, number))
+        if once:
+            seen.add(number)
     return out
 
 
@@ -108,12 +112,7 @@ def _matcher(shared, key: str, kind: T.DataType, whole_words: bool, positions: b
         a = automaton(key, forms)
 
         def one(text: str) -> list[dict]:
-            hits = sorted(found(a, text, whole_words), key=lambda h: (h[0], -h[1]))
-            if not positions:
-                first: dict[int, tuple] = {}
-                for h in hits:
-                    first.setdefault(h[2], h)
-                hits = list(first.values())
+            hits = sorted(found(a, text, whole_words, once=not positions), key=lambda h: (h[0], -h[1]))
             return [{"form": forms[i], "start": s, "end": e, "terms": terms[i]} for s, e, i in hits]
 
         return pd.Series([one(x) for x in column])
