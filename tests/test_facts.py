@@ -29,3 +29,8 @@ def test_comparison_pairs_the_closest_and_knows_units(spark):
     en = side("profit 2,000.0 and 1,500.0", "issued 5 million shares", "approved by the board on 5 March 2024", "approved by the board on 6 March 2024", "profit 3,000.0", "assets rose")
     got = {(r["seq"], r["kind"], r["status"]) for r in facts.compared(zh, en, ["r", "seq"]).collect()}
     assert got == {(0, "amount", "same"), (0, "amount", "differs"), (1, "share_count", "same"), (2, "date", "zh_only"), (2, "date", "en_only"), (3, "date", "differs"), (4, "amount", "unit_scale"), (5, "amount", "zh_only")}
+
+
+def test_dividends_for_ten_shares_are_neither_amounts_nor_counts(spark):
+    got = found(spark, "每10股派息1.50元，以总股本2,000股为基数，共计3,000.0元", "每 10 股派發現金股利港幣 2 元及每10股1.5元", "RMB1.00 (tax inclusive) per 10 shares", "hkd 0.255 per 10 shares, 7,000.5 thousand", "issued 10 shares")
+    assert got == {0: [("amount", 3000.0, "元"), ("per_ten", 1.5, None), ("share_count", 2000.0, None)], 1: [("per_ten", 1.5, None), ("per_ten", 2.0, None)], 2: [("per_ten", 1.0, None)], 3: [("amount", 7000500.0, "thousand"), ("per_ten", 0.255, None)], 4: [("share_count", 10.0, None)]}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import branches, facts, profile, reconcile, rules, storage, terms, texts  # noqa: F401  (they register their queries)
+from .plans import branches, events, facts, profile, reconcile, rules, storage, terms, texts  # noqa: F401  (they register their queries)
 from .plans.registry import ORACLES, QUERIES
 
 

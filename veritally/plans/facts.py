@@ -73,3 +73,19 @@ def section_gaps(t, spark):
 def unpaired_paragraphs(t, spark):
     units, aligned = _units(t)
     return sections.unpaired(units, aligned).select("pair_id", "unit", "page")
+
+
+@query("""WITH l AS (SELECT l_orderkey AS report, l_linenumber AS seq, min(l_quantity) AS q, min(l_returnflag) AS f FROM lineitem GROUP BY ALL),
+v AS (SELECT *, floor(q * 7) / 100 AS z, CASE WHEN f = 'R' THEN (floor(q * 7) + 1) / 100 ELSE floor(q * 7) / 100 END AS e FROM l)
+SELECT report, seq, 'per_ten' AS kind, z AS zh_value, e AS en_value, CASE WHEN abs(z - e) / greatest(abs(z), abs(e), 1e-9) <= 1e-3 THEN 'same' ELSE 'differs' END AS status FROM v
+UNION ALL SELECT report, seq, 'share_count', CAST(1000 + seq AS DOUBLE), CAST(1000 + seq AS DOUBLE), 'same' FROM v""")
+def per_ten_share_facts(t, spark):
+    """Dividends for each ten shares of every order line in both languages, beside share counts that are facts of their own."""
+    l = t("lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_quantity").alias("q"), F.min("l_returnflag").alias("f"))
+    cents = F.floor(F.col("q") * 7)
+    said = lambda c: F.format_string("%d.%02d", F.floor(c / 100), (c % 100).cast("long"))
+    n = F.format_number(1000 + F.col("l_linenumber"), 0)
+    zh = F.concat(F.lit("以總股份"), n, F.lit("股為基數，向全體股東每 10 股派發現金紅利人民幣"), said(cents), F.lit("元（含稅）"))
+    en = F.concat(F.lit("on the basis of "), n, F.lit(" shares, a cash dividend of RMB"), said(F.when(F.col("f") == "R", cents + 1).otherwise(cents)), F.lit(" (tax inclusive) per 10 shares"))
+    side = lambda text: facts.facts(facts.with_context(l.select(F.col("l_orderkey").alias("report"), F.col("l_linenumber").alias("seq"), text.alias("text")), ["report"], "seq"))
+    return facts.compared(side(zh), side(en), ["report", "seq"])
