@@ -44,14 +44,16 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(f"({TOKEN})"), F.lit(1))
 
 
-def _is_year(v: Column) -> Column:
-    return (v >= 1990) & (v <= 2035) & (v == F.floor(v))
+def _is_year(t: Column) -> Column:
+    """A printed number of 1990 to 2035 without decimals: 2,012.00 is an amount."""
+    v = F.abs(parse_number(t))
+    return (v >= 1990) & (v <= 2035) & (v == F.floor(v)) & ~t.contains(".")
 
 
 def first_financial_number(text: Column, least: float = 1000.0) -> Column:
     """First number with a separator or |x| >= least that is no rate, year or small count; else the first number of all."""
     all_ = tokens(text)
-    good = F.filter(all_, lambda t: ~t.endswith("%") & ~_is_year(F.abs(parse_number(t))) & ~((F.abs(parse_number(t)) <= 50) & ~t.contains(".")) & (t.contains(",") | (F.abs(parse_number(t)) >= least)))
+    good = F.filter(all_, lambda t: ~t.endswith("%") & ~_is_year(t) & ~((F.abs(parse_number(t)) <= 50) & ~t.contains(".")) & (t.contains(",") | (F.abs(parse_number(t)) >= least)))
     return parse_number(F.coalesce(F.get(good, F.lit(0)), F.get(all_, F.lit(0))))
 
 
@@ -66,7 +68,7 @@ def number_near_label(text: Column, label: Column, width: int = 40) -> Column:
     at = F.instr(text, label)
     after = F.substring(text, at + F.length(label), F.lit(width))
     before = F.when(at > 1, F.substring(text, F.greatest(at - width, F.lit(1)), F.least(at - 1, F.lit(width))))
-    pick = lambda s: F.filter(tokens(s), lambda t: ~t.endswith("%") & ~_is_year(F.abs(parse_number(t))) & ~((F.abs(parse_number(t)) < 50) & ~t.contains(",") & ~t.contains(".")))
+    pick = lambda s: F.filter(tokens(s), lambda t: ~t.endswith("%") & ~_is_year(t) & ~((F.abs(parse_number(t)) < 50) & ~t.contains(",") & ~t.contains(".")))
     return F.when(at > 0, F.coalesce(parse_number(F.get(pick(after), F.lit(0))), parse_number(F.element_at(F.when(F.size(pick(before)) > 0, pick(before)), -1))))
 
 
