@@ -168,8 +168,9 @@ def page_sources(t, spark):
     a = p.select("page_id", F.col("url").alias("text"))
     b = p.select("page_id", _by(k, 3, [F.concat("url", F.lit(" x")), F.concat(F.lit(" "), F.col("url")), "other"]).alias("text"))
     both = readers.merged_pages(a, b, ["page_id"]).select("page_id", F.trim("text").alias("merged"))
-    cache = p.where(k % 4 == 0).select(F.concat(F.sha2(F.col("url").cast("binary"), 256), F.lit("-v1")).alias("key"))
-    new = readers.uncached(p.select("page_id", F.col("url").cast("binary").alias("content")), cache, "v1").select("page_id", F.lit(True).alias("fresh"))
+    content = F.concat_ws("\n", F.col("page_id").cast("string"), "url").cast("binary")  # pages may share a URL, but no file
+    cache = p.where(k % 4 == 0).select(F.concat(F.sha2(content, 256), F.lit("-v1")).alias("key"))
+    new = readers.uncached(p.select("page_id", content.alias("content")), cache, "v1").select("page_id", F.lit(True).alias("fresh"))
     parser = readers.route(F.concat("url", _by(k, 3, [".HTML", ".pdf", ".doc"])), F.when(k % 2 == 0, "A").otherwise("H"))
     return p.select("page_id", parser.alias("parser")).join(both, "page_id").join(new, "page_id", "left").withColumn("fresh", F.coalesce("fresh", F.lit(False)))
 
