@@ -52,3 +52,8 @@ def test_rectangles_of_any_size_meet_once(spark):
                 if m and m / s >= 0.3:
                     want.append((a[1], b[1]))
     assert got == sorted(want) and want
+
+
+def test_texts_at_a_small_distance(agree):
+    """Texts of several lengths, with copies and with many that share their end."""
+    agree("hamming_pairs", part="SELECT i::BIGINT AS p_partkey, (5.0 + i % 97 * 1.1)::DOUBLE AS p_retailprice, (i * 7 % 13)::INTEGER AS p_size, 'B' || i % 3 AS p_brand FROM range(400) r(i)")
