@@ -8,6 +8,8 @@ from .units import multiplier, relative_delta, unit_fix_ratio
 
 RANKS = ("info", "low", "medium", "high", "critical")
 PER_SHARE = ("eps_basic", "eps_diluted", "basic_eps", "diluted_eps")
+#: What the mean confidence and the likeness of the values can add to the score of a pair.
+CONFIDENCE, VALUE = 0.20, 0.08
 
 
 def grade(ratio: Column, bands: tuple[float, float, float] = (0.01, 0.05, 0.20), names: tuple[str, ...] = RANKS[1:]) -> Column:
@@ -80,7 +82,11 @@ def pair_check(a: Column, h: Column, a_unit: Column, h_unit: Column, tolerance:
 
 def match_kind(a: Column, h: Column, a_unit: Column, h_unit: Column, tolerance: Column, factor: Column) -> Column:
     """How two values agree: direct, unit_conversion, unit_fix, rounding, currency_conversion, or null."""
-    am, hm = multiplier(a_unit), multiplier(h_unit)
+    return agreement(a, h, multiplier(a_unit), multiplier(h_unit), tolerance, factor)
+
+
+def agreement(a: Column, h: Column, am: Column, hm: Column, tolerance: Column, factor: Column) -> Column:
+    """match_kind by the multipliers of the units."""
     ratio = relative_delta(a * am, h * hm)
     return (
         F.when(F.abs(a * am - h * hm) <= tolerance * am, "direct")
@@ -94,7 +100,7 @@ def match_kind(a: Column, h: Column, a_unit: Column, h_unit: Column, tolerance:
 
 def pair_score(context: Column, label: Column, confidence: Column, period: Column, source: Column, ratio: Column) -> Column:
     value = F.greatest(F.lit(0.0), 1 - F.least(ratio, F.lit(1.0)))
-    return 0.28 * context + 0.24 * label + 0.20 * confidence + 0.12 * period + 0.08 * source + 0.08 * value
+    return 0.28 * context + 0.24 * label + CONFIDENCE * confidence + 0.12 * period + 0.08 * source + VALUE * value
 
 
 def same_scope(context: Column, confidence: Column, label: Column, period: Column, source: Column, score: Column) -> Column:
