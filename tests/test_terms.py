@@ -113,3 +113,13 @@ def test_gaps_by_their_conditions(spark):
     assert {(r["pair_id"], r["section"], r["page"]) for r in sections.gaps(units, aligned).collect()} == {(1, "notes", 1), (1, "mda", 3), (1, "pl", 6), (2, "bs", 2)}
     assert {(r["pair_id"], r["unit"]) for r in sections.unpaired(units, aligned, 20).collect()} == {(1, 2), (1, 4), (1, 7), (1, 12)}
     assert sections.gaps(units.limit(0), aligned).collect() == []
+
+
+def test_what_a_text_reads_as_leaves_the_workers_once(spark):
+    """Hits that overlap stay in the Python worker: one pass of texts in, one number a term out (two passes of all hits before)."""
+    texts = spark.createDataFrame([(1, "资产净资产净利润"), (2, None)], "id int, text string")
+    glossary = spark.createDataFrame([("资产", "a"), ("净资产", "b"), ("净", "c"), ("净利润", "d"), ("净利润", "e")], "form string, key string")
+    read = terms.segmented(texts, glossary, "text")
+    got = [(r["form"], r["start"], r["end"], [t["key"] for t in r["terms"]]) for r in read.orderBy("start").collect()]
+    assert got == [("资产", 0, 2, ["a"]), ("净资产", 2, 5, ["b"]), ("净利润", 5, 8, ["d", "e"])]
+    assert read._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1

@@ -85,6 +85,13 @@ def _shards(forms: DataFrame, most: int) -> Iterable[list]:
         yield forms.where(F.pmod(F.xxhash64("form"), F.lit(n)) == k).collect()
 
 
+def _forms(glossary: DataFrame, shape: str) -> DataFrame:
+    """form, terms: the other columns of the glossary's rows of each shaped form, as array<struct>."""
+    others = [c for c in glossary.columns if c != "form"]
+    rows = glossary.select(shaped(F.col("form"), shape).alias("form"), F.struct(*others).alias("term") if others else F.struct(F.lit(True).alias("known")).alias("term")).where(F.length("form") > 0)
+    return rows.groupBy("form").agg(F.array_sort(F.collect_set("term")).alias("terms"))
+
+
 def term_hits(texts: DataFrame, glossary: DataFrame, text: str, shape: str = "words", whole_words: bool = True, positions: bool = False, shard_chars: int = SHARD_CHARS) -> DataFrame:
     """texts with an array `hits` of struct(form, start, end, terms), by start, then the longest first.
 
@@ -92,9 +99,7 @@ def term_hits(texts: DataFrame, glossary: DataFrame, text: str, shape: str = "wo
     texts and are `form` in the result; empty ones match nothing.  start and end count characters of the shaped text; without
     `positions` each form is listed once, at its first place.
     """
-    others = [c for c in glossary.columns if c != "form"]
-    rows = glossary.select(shaped(F.col("form"), shape).alias("form"), F.struct(*others).alias("term") if others else F.struct(F.lit(True).alias("known")).alias("term")).where(F.length("form") > 0)
-    forms = rows.groupBy("form").agg(F.array_sort(F.collect_set("term")).alias("terms"))
+    forms = _forms(glossary, shape)
     kind = T.ArrayType(T.StructType([T.StructField("form", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("terms", forms.schema["terms"].dataType)]))
     spark = texts.sparkSession
     parts = []
@@ -128,14 +133,40 @@ def glossary_hits(texts: DataFrame, glossary: DataFrame, text: str, shape: str =
 
 
 def segmented(texts: DataFrame, glossary: DataFrame, text: str, shape: str = "words") -> DataFrame:
-    """texts with the terms that it reads as, left to right without overlaps, the longest first: form, start, end, terms in rows."""
-    @F.udf(T.ArrayType(T.IntegerType()), useArrow=True)
-    def chosen(starts, ends):
-        return [h[2] for h in leftmost_longest([(s, e, i) for i, (s, e) in enumerate(zip(starts, ends))])]
-
-    hits = term_hits(texts, glossary, text, shape, positions=True)
-    kept = hits.withColumn("__at", chosen("hits.start", "hits.end")).withColumn("hits", F.transform("__at", lambda i: F.col("hits")[i])).drop("__at")
-    return kept.select(*texts.columns, F.inline("hits"))
+    """texts with the terms that it reads as, left to right without overlaps, the longest first: form, start, end, terms in rows.
+
+    Only what is read leaves the Python workers, as a start and the number of a form; forms and terms are joined then.
+    """
+    spark = texts.sparkSession
+    forms = _forms(glossary, shape)
+    kind, rows, shared = forms.schema["terms"].dataType, [], []
+    for shard in _shards(forms, SHARD_CHARS):
+        shared.append((spark.sparkContext.broadcast([r["form"] for r in shard]), uuid.uuid4().hex, len(rows)))
+        rows += [(len(rows) + i, r["form"], r["terms"]) for i, r in enumerate(shard)]
+    named = spark.createDataFrame(rows, T.StructType([T.StructField("__n", T.LongType()), T.StructField("form", T.StringType()), T.StructField("terms", kind)]))
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def read(column: pd.Series) -> pd.Series:
+        tables = [(automaton(key, b.value), base) for b, key, base in shared]
+
+        def one(value: str) -> list[int]:
+            longest: dict[int, tuple[int, int]] = {}
+            for a, base in tables:
+                for start, end, i in found(a, value, True):
+                    if start not in longest or longest[start][0] < end:
+                        longest[start] = (end, base + i)
+            out, at = [], 0
+            for start in sorted(longest):
+                if start >= at:
+                    at, number = longest[start]
+                    out.append(start << 31 | number)
+            return out
+
+        return pd.Series([one(x) for x in column])
+
+    hits = texts.withColumn("__at", F.explode(read(F.coalesce(shaped(F.col(text), shape), F.lit("")))))
+    placed = hits.withColumn("__n", F.col("__at").bitwiseAND((1 << 31) - 1)).withColumn("start", F.shiftright("__at", 31).cast("int")).join(F.broadcast(named), "__n")
+    return placed.select(*texts.columns, "form", "start", (F.col("start") + F.length("form")).alias("end"), "terms")
 
 
 #: Terms that count embedded in a longer text although they are short.
