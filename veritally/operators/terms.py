@@ -164,7 +164,8 @@ def segmented(texts: DataFrame, glossary: DataFrame, text: str, shape: str = "wo
 
         return pd.Series([one(x) for x in column])
 
-    hits = texts.withColumn("__at", F.explode(read(F.coalesce(shaped(F.col(text), shape), F.lit("")))))
+    spread = texts.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))  # a file may be one row group
+    hits = spread.withColumn("__at", F.explode(read(F.coalesce(shaped(F.col(text), shape), F.lit("")))))
     placed = hits.withColumn("__n", F.col("__at").bitwiseAND((1 << 31) - 1)).withColumn("start", F.shiftright("__at", 31).cast("int")).join(F.broadcast(named), "__n")
     return placed.select(*texts.columns, "form", "start", (F.col("start") + F.length("form")).alias("end"), "terms")
 
