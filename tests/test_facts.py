@@ -34,3 +34,14 @@ def test_comparison_pairs_the_closest_and_knows_units(spark):
 def test_dividends_for_ten_shares_are_neither_amounts_nor_counts(spark):
     got = found(spark, "每10股派息1.50元，以总股本2,000股为基数，共计3,000.0元", "每 10 股派發現金股利港幣 2 元及每10股1.5元", "RMB1.00 (tax inclusive) per 10 shares", "hkd 0.255 per 10 shares, 7,000.5 thousand", "issued 10 shares")
     assert got == {0: [("amount", 3000.0, "元"), ("per_ten", 1.5, None), ("share_count", 2000.0, None)], 1: [("per_ten", 1.5, None), ("per_ten", 2.0, None)], 2: [("per_ten", 1.0, None)], 3: [("amount", 7000500.0, "thousand"), ("per_ten", 0.255, None)], 4: [("share_count", 10.0, None)]}
+
+
+def test_events_of_one_row_group_are_read_on_all_cores(spark):
+    """Segments in one partition are dealt out before any text is read, and not joined to few tasks after."""
+    from veritally.operators import events
+
+    said = "25 March 2025: the litigation of 海华贸易有限公司 is pending, the claim amount is RMB 100 million, number {}."
+    rows = [(i, i % 7, i, "significant_events", said.format(i)) for i in range(64)]
+    one = spark.createDataFrame(rows, "pair_id int, page int, seq int, section string, text string").coalesce(1)
+    found = events.extracted(one, ["pair_id"])
+    assert found.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism and found.count() == 64
