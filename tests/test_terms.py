@@ -123,3 +123,13 @@ def test_what_a_text_reads_as_leaves_the_workers_once(spark):
     got = [(r["form"], r["start"], r["end"], [t["key"] for t in r["terms"]]) for r in read.orderBy("start").collect()]
     assert got == [("资产", 0, 2, ["a"]), ("净资产", 2, 5, ["b"]), ("净利润", 5, 8, ["d", "e"])]
     assert read._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+
+
+def test_texts_of_one_row_group_are_searched_on_all_cores(spark):
+    from veritally.operators import terms
+
+    one = spark.createDataFrame([(i, f"答覆{i}") for i in range(64)], "k int, text string").coalesce(1)
+    table = spark.createDataFrame([("答覆", "答复")], "form string, into string")
+    done = terms.converted(one, table, "text", "simple")
+    assert done.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert {(r["k"], r["simple"]) for r in done.collect()} == {(i, f"答复{i}") for i in range(64)}

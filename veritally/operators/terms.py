@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import text as texts_
+from ..sources.shared import spread
 
 #: Characters of forms in one automaton, and so in one broadcast: under 100 MB built.
 SHARD_CHARS = 1 << 20
@@ -107,7 +108,7 @@ def term_hits(texts: DataFrame, glossary: DataFrame, text: str, shape: str = "wo
         shared = spark.sparkContext.broadcast(([r["form"] for r in shard], [[t.asDict(True) for t in r["terms"]] for r in shard]))
         parts.append(_matcher(shared, uuid.uuid4().hex, kind, whole_words, positions)("__shaped"))
     hits = F.array_sort(F.concat(*parts), lambda x, y: F.when(x["start"] != y["start"], x["start"] - y["start"]).otherwise(y["end"] - x["end"])) if len(parts) > 1 else parts[0]
-    return texts.withColumn("__shaped", F.coalesce(shaped(F.col(text), shape), F.lit(""))).withColumn("hits", hits).drop("__shaped")
+    return spread(texts).withColumn("__shaped", F.coalesce(shaped(F.col(text), shape), F.lit(""))).withColumn("hits", hits).drop("__shaped")
 
 
 def _matcher(shared, key: str, kind: T.DataType, whole_words: bool, positions: bool):
@@ -164,8 +165,7 @@ def segmented(texts: DataFrame, glossary: DataFrame, text: str, shape: str = "wo
 
         return pd.Series([one(x) for x in column])
 
-    spread = texts.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))  # a file may be one row group
-    hits = spread.withColumn("__at", F.explode(read(F.coalesce(shaped(F.col(text), shape), F.lit("")))))
+    hits = spread(texts).withColumn("__at", F.explode(read(F.coalesce(shaped(F.col(text), shape), F.lit("")))))
     placed = hits.withColumn("__n", F.col("__at").bitwiseAND((1 << 31) - 1)).withColumn("start", F.shiftright("__at", 31).cast("int")).join(F.broadcast(named), "__n")
     return placed.select(*texts.columns, "form", "start", (F.col("start") + F.length("form")).alias("end"), "terms")
 
@@ -216,7 +216,7 @@ def converted(texts: DataFrame, table: DataFrame, text: str, out: str) -> DataFr
 
         return pd.Series([one(x) for x in column])
 
-    return texts.withColumn(out, convert(text))
+    return spread(texts).withColumn(out, convert(text))
 
 
 def first_in_table(texts: DataFrame, table: list[tuple[str, str]], text: str, out: str, head: int) -> DataFrame:
@@ -233,4 +233,4 @@ def first_in_table(texts: DataFrame, table: list[tuple[str, str]], text: str, ou
         a = automaton(key, keywords)
         return pd.Series([min((codes[i] for _, _, i in found(a, x, False)), default=(0, None))[1] if x else None for x in column])
 
-    return texts.withColumn(out, detect(F.lower(F.substring(text, 1, head))))
+    return spread(texts).withColumn(out, detect(F.lower(F.substring(text, 1, head))))
