@@ -1,6 +1,13 @@
 """Pairs of events that are no real differences, and those that are."""
 
+import difflib
+import random
+import re
+
+from veritally.functions import blocks
+from veritally.operators import events, matching
 from veritally.plans import checks
+from veritally.sources.shared import cut
 
 ROW = "pair_id int, side string, page int, seq int, section string, text string"
 DEAL = "2025年3月1日，本行与阳光科技有限公司签订战略合作协议，金额为{}万元"
@@ -41,3 +48,43 @@ def test_other_events_and_reports_that_contradict_themselves(spark):
         (["25 March 2025: the litigation of 海华贸易有限公司 is pending, the claim amount is RMB 100 million."], ["25 March 2025: the litigation of 海华贸易有限公司 is pending, the claim amount is RMB 110 million."], "significant_events", ["event"]),
     ]
     assert real(spark, [c[:3] for c in cases]) == [c[3] for c in cases]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def _events(spark):
+    rows = [(n, side, 30 + i, i, "significant_events", DEAL.format(100 + n + i)) for n in range(4) for side in "AH" for i in range(3)]
+    return cut(events.extracted(spark.createDataFrame(rows, ROW), ["pair_id", "side"]), "events")
+
+
+def test_texts_of_a_pair_are_compared_once(spark):
+    """A filter on the score took the ratio of texts with it, and so worked it out twice."""
+    found = _events(spark)
+    a, h = (events._side(found.where(f"side = '{s}'"), "pair_id", p) for s, p in (("A", "a_"), ("H", "h_")))
+    scored = events.compared(events.blocked(a, h, "pair_id")).where("score >= 0.42")
+    assert len(re.findall(r"ArrowEvalPython \[_ratios", _plan(scored))) == 1
+    assert scored.count() == 36
+
+
+def test_events_are_not_sent_whole_to_every_task(spark):
+    """Stored events are small on disk, for their texts are alike, and were broadcast through the driver."""
+    found = _events(spark)
+    for df in (events.between(found), events.within(found)):
+        assert "SortMergeJoin" in _plan(df) and "Broadcast" not in _plan(df)
+
+
+def test_ratios_are_those_of_difflib(spark):
+    r = random.Random(3)
+    word = lambda letters, n: "".join(r.choice(letters) for _ in range(n))
+    a, b = [], []
+    for i in range(400):
+        letters = r.choice(["ab", "海华星河0123456789", "abcdefghijklmnopqrstuvwxyz ,.😀"])
+        x = word(letters, r.choice([1, 7, 60, 199, 200, 333]))
+        y = "".join(c for c in x if r.random() < 0.9) + word(letters, r.choice([1, 9, 80])) if i % 3 else word(letters, r.choice([1, 30, 250]))
+        a.append(x), b.append(y)
+    want = [difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)]
+    assert blocks.ratios(a, b).tolist() == want
+    got = spark.createDataFrame([("ab", "ab"), (None, "a"), ("", "")], "a string, b string").select(matching.sequence_ratio("a", "b").alias("r"), matching.pair_ratio("a", "b").alias("p")).collect()
+    assert [tuple(x) for x in got] == [(1.0, 1.0), (0.0, 0.0), (0.0, 0.0)]
