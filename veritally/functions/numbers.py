@@ -8,14 +8,15 @@ _FULL_OPEN, _FULL_CLOSE = "（", "）"
 _NUMBER = r"[-+]?\d+(?:\.\d+)?"
 #: Amounts as printed: thousands separators, decimals, a sign or brackets, and a percent sign to recognise rates.
 TOKEN = r"[(（-]?\d[\d,]*(?:\.\d+)?[)）]?%?"
+_SPACE = " \t\n\x0b\f\r"
 _EMPTY = ("", "-", "--", "—", "–", "n/a", "na", "nil", "none", "/")
 
 
 def _signed(text: Column) -> tuple[Column, Column]:
     """(digits as text, whether in brackets)."""
-    bare = F.regexp_replace(F.trim(text), r"[,\s']|　|，", "")
+    bare = F.translate(F.trim(text), _SPACE + ",'　，", "")
     bracket = bare.rlike(rf"^[(（].*[)）]%?$")
-    return F.regexp_replace(bare, r"[()（）]", ""), bracket
+    return F.translate(bare, "()（）", ""), bracket
 
 
 def parse_number(text: Column) -> Column:
@@ -36,7 +37,7 @@ def parse_number_anywhere(text: Column) -> Column:
 
 def parse_chart_number(text: Column) -> Column:
     """First number anywhere, percent signs dropped, without guards."""
-    return F.regexp_extract(F.regexp_replace(text, r"[,\s%]", ""), rf"({_NUMBER})", 1).try_cast("double")
+    return F.regexp_extract(F.translate(text, _SPACE + ",%", ""), rf"({_NUMBER})", 1).try_cast("double")
 
 
 def tokens(text: Column) -> Column:
@@ -44,17 +45,22 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(f"({TOKEN})"), F.lit(1))
 
 
+def _read(text: Column) -> Column:
+    """All printed numbers of a text as array<struct<raw, value, size: its amount>>, each parsed once however many tests read it."""
+    parsed = F.transform(tokens(text), lambda t: F.struct(t.alias("raw"), parse_number(t).alias("value")))
+    return F.transform(parsed, lambda t: F.struct(t["raw"].alias("raw"), t["value"].alias("value"), F.abs(t["value"]).alias("size")))
+
+
 def _is_year(t: Column) -> Column:
     """A printed number of 1990 to 2035 without decimals: 2,012.00 is an amount."""
-    v = F.abs(parse_number(t))
-    return (v >= 1990) & (v <= 2035) & (v == F.floor(v)) & ~t.contains(".")
+    return (t["size"] >= 1990) & (t["size"] <= 2035) & (t["size"] == F.floor(t["size"])) & ~t["raw"].contains(".")
 
 
 def first_financial_number(text: Column, least: float = 1000.0) -> Column:
     """First number with a separator or |x| >= least that is no rate, year or small count; else the first number of all."""
-    all_ = tokens(text)
-    good = F.filter(all_, lambda t: ~t.endswith("%") & ~_is_year(t) & ~((F.abs(parse_number(t)) <= 50) & ~t.contains(".")) & (t.contains(",") | (F.abs(parse_number(t)) >= least)))
-    return parse_number(F.coalesce(F.get(good, F.lit(0)), F.get(all_, F.lit(0))))
+    all_ = _read(text)
+    good = F.filter(all_, lambda t: ~t["raw"].endswith("%") & ~_is_year(t) & ~((t["size"] <= 50) & ~t["raw"].contains(".")) & (t["raw"].contains(",") | (t["size"] >= least)))
+    return F.coalesce(F.get(good, F.lit(0)), F.get(all_, F.lit(0)))["value"]
 
 
 def first_number_of_row(cells: Column) -> Column:
@@ -68,8 +74,8 @@ def number_near_label(text: Column, label: Column, width: int = 40) -> Column:
     at = F.instr(text, label)
     after = F.substring(text, at + F.length(label), F.lit(width))
     before = F.when(at > 1, F.substring(text, F.greatest(at - width, F.lit(1)), F.least(at - 1, F.lit(width))))
-    pick = lambda s: F.filter(tokens(s), lambda t: ~t.endswith("%") & ~_is_year(t) & ~((F.abs(parse_number(t)) < 50) & ~t.contains(",") & ~t.contains(".")))
-    return F.when(at > 0, F.coalesce(parse_number(F.get(pick(after), F.lit(0))), parse_number(F.element_at(F.when(F.size(pick(before)) > 0, pick(before)), -1))))
+    pick = lambda s: F.filter(_read(s), lambda t: ~t["raw"].endswith("%") & ~_is_year(t) & ~((t["size"] < 50) & ~t["raw"].contains(",") & ~t["raw"].contains(".")))
+    return F.when(at > 0, F.coalesce(F.get(pick(after), F.lit(0))["value"], F.get(F.reverse(pick(before)), F.lit(0))["value"]))
 
 
 def closest_number_near_label(text: Column, label: Column, target: Column, width: int = 30) -> Column:
