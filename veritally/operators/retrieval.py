@@ -6,9 +6,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 QUERIES = 2000
+#: Cosines that a task works out at once.
+CELLS = 1 << 20
+
+
+def _rows(vectors: pa.Array, width: int) -> np.ndarray:
+    """Vectors of one width as a matrix; a null component is not a number."""
+    if pc.any(pc.not_equal(pc.list_value_length(vectors), width)).as_py():
+        raise ValueError(f"vectors of another length than the queries' {width}")
+    return vectors.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(vectors), width)
 
 
 def top_cosine(queries: DataFrame, base: DataFrame, k: int = 4, least: float = -1.0) -> DataFrame:
@@ -35,9 +45,10 @@ def top_cosine(queries: DataFrame, base: DataFrame, k: int = 4, least: float = -
             ids, q = shared.value
             best = np.full((len(ids), k), -np.inf)
             item = np.zeros((len(ids), k), np.int64)
-            for batch in batches:
+            step = max(1, CELLS // max(1, len(ids)))
+            for batch in (whole.slice(at, step) for whole in batches for at in range(0, whole.num_rows, step)):
                 own = batch["item_id"].to_numpy()
-                x = np.array(batch["vector"].to_pylist(), float)
+                x = _rows(batch["vector"], q.shape[1])
                 norm = np.linalg.norm(x, axis=1)
                 own, x = own[norm > 0], x[norm > 0] / norm[norm > 0, None]
                 cosine = np.concatenate([best, q @ x.T], 1)
