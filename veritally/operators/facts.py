@@ -53,8 +53,10 @@ def facts(blocks: DataFrame) -> DataFrame:
     unit or the one inherited, in base units; percentages, share counts and dates are none.  date: days since 1970, and
     what it is about by the words around it.
     """
-    whole = F.lower(texts_.simplify(F.col("text")))
-    plain = F.regexp_replace(whole, PER_TEN, " ")
+    # The forms of the text are columns of their own, or each would be made again for every group of every pattern.
+    forms = blocks.withColumn("__whole", F.lower(texts_.simplify(F.col("text"))))
+    whole, plain, rest = F.col("__whole"), F.col("__plain"), F.col("__rest")
+    forms = forms.withColumn("__plain", F.regexp_replace(whole, PER_TEN, " "))
     shares = rf"(?i){_NUMBER}\s*(亿股|万股|千股|股|(?:thousand |million |billion )?shares?\b)"
     scale = lambda u: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in SHARE_UNITS.items() for x in kv]), F.trim(F.regexp_replace(u, "shares?$", ""))), F.lit(1.0))
     fact = lambda kind, value, raw, unit, about: F.struct(F.lit(kind).alias("kind"), value.alias("value"), raw.alias("raw"), unit.alias("own_unit"), about.alias("about"))
@@ -62,13 +64,13 @@ def facts(blocks: DataFrame) -> DataFrame:
     rated = F.transform(_found(whole, PER_TEN, 2), lambda m: fact("per_ten", F.round(F.concat(m["g1"], m["g2"]).cast("double"), 4), F.trim(m["g0"]), none, none))
     counted = F.transform(_found(plain, shares, 2), lambda m: fact("share_count", _number(m["g1"]) * scale(m["g2"]), m["g0"], F.nullif(F.regexp_replace(m["g2"], r"^股$|\s*shares?\s*$", ""), F.lit("")), none))
     # What is a share count, a date or a rate is taken out before amounts are looked for.
-    rest = F.regexp_replace(F.regexp_replace(plain, shares, " "), r"(?:19|20)\d{2}[-/.年]\d{1,2}[-/.月]\d{1,2}日?|\d{1,2} [a-z]+,? (?:19|20)\d{2}|[a-z]+ \d{1,2}, (?:19|20)\d{2}|\d+(?:\.\d+)?\s?%", " ")
+    forms = forms.withColumn("__rest", F.regexp_replace(F.regexp_replace(plain, shares, " "), r"(?:19|20)\d{2}[-/.年]\d{1,2}[-/.月]\d{1,2}日?|\d{1,2} [a-z]+,? (?:19|20)\d{2}|[a-z]+ \d{1,2}, (?:19|20)\d{2}|\d+(?:\.\d+)?\s?%", " "))
     amounts = rf"{_NUMBER}\s*({_UNIT})?"
     real = F.filter(_found(rest, amounts, 2), lambda m: (m["g2"] != "") | m["g1"].contains(",") | m["g1"].contains("."))
     own = lambda m: F.nullif(m["g2"], F.lit(""))
     money = F.transform(real, lambda m: fact("amount", _number(m["g1"]) * units.multiplier(F.coalesce(own(m), F.col("unit"))), m["g0"], F.coalesce(own(m), F.col("unit")), none))
     told = F.transform(dates.dates(F.col("text")), lambda d: fact("date", F.datediff(F.try_to_timestamp(d, F.lit("yyyy-MM-dd")), F.lit("1970-01-01")).cast("double"), d, none, _about(whole)))
-    return blocks.select("*", F.inline(F.concat(rated, counted, money, told)))
+    return forms.select(*[F.col(c) for c in blocks.columns], F.inline(F.concat(rated, counted, money, told)))
 
 
 def _about(plain: Column) -> Column:
