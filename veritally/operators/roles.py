@@ -95,10 +95,12 @@ def first_rule(rows: DataFrame, rules: tuple[Rule, ...], fields: dict[str, Colum
         markers, meets, codes = shared.value
         a = terms.automaton(key, markers)
 
+        held = [{v: {i for _, _, i in terms.found(a, v, False)} for v in column.unique()} for column in columns]  # headers, sections and flags recur
+
         def one(values: tuple[str, ...]) -> str:
             met: dict[int, set[int]] = {}
             for k, value in enumerate(values):
-                for number in {i for _, _, i in terms.found(a, value, False)}:
+                for number in held[k][value]:
                     for field, r, p in meets[number]:
                         if field == k:
                             met.setdefault(r, set()).add(p)
