@@ -45,3 +45,14 @@ def test_events_of_one_row_group_are_read_on_all_cores(spark):
     one = spark.createDataFrame(rows, "pair_id int, page int, seq int, section string, text string").coalesce(1)
     found = events.extracted(one, ["pair_id"])
     assert found.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism and found.count() == 64
+
+
+def test_forms_of_a_text_are_made_once(spark):
+    """Each group of each pattern took the rates per ten shares out of the text again."""
+    from veritally.operators import facts as op
+
+    blocks = spark.createDataFrame([("每10股派1.5元，共1,000股，收入2,000.5", None)], "text string, unit string")
+    found = op.facts(blocks)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("translate(") <= 2
+    assert sorted((r["kind"], r["value"]) for r in found.collect()) == [("amount", 2000.5), ("per_ten", 1.5), ("share_count", 1000.0)]
+    assert found.columns[:2] == ["text", "unit"] and not any(c.startswith("__") for c in found.columns)
