@@ -23,3 +23,18 @@ def test_nearest_in_slices(spark, monkeypatch):
         want |= {(q, n + 1): (i, round(float(unit[q] @ unit[i]), 9)) for n, i in enumerate(near)}
     assert got == want
     assert "to_pylist" not in inspect.getsource(retrieval.top_cosine)
+
+
+def test_every_vector_is_a_query(spark, tmp_path):
+    """Only every hundredth vector was a query; equal vectors go by id, whatever block they are in."""
+    from veritally import catalog
+
+    r = np.random.default_rng(5)
+    x = r.normal(size=(130, 7)).astype(np.float32)
+    x[100:] = x[:30]
+    spark.createDataFrame([(i, [float(v) for v in x[i]], 0) for i in range(130)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {(v["query_id"], v["rank"]): v["item_id"] for v in catalog.queries()["knn_top4"](spark, str(tmp_path)).collect()}
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    cosine = np.round(unit @ unit.T, 12)
+    want = {(i, n + 1): j for i in range(130) for n, j in enumerate(sorted((j for j in range(130) if j != i), key=lambda j: (-cosine[i, j], j))[:4])}
+    assert got == want

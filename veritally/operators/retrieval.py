@@ -1,67 +1,78 @@
-"""Nearest neighbours by cosine, exact, with the queries in blocks."""
+"""Nearest neighbours by cosine, exact: blocks of queries meet blocks of rows."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
-QUERIES = 2000
-#: Cosines that a task works out at once.
-CELLS = 1 << 20
+#: Rows of a block of either side that a task holds at a time.
+ROWS = 1 << 15
+#: Cosines that a task works out at once, and pairs that it looks at again.
+CELLS, PAIRS = 1 << 20, 1 << 16
+#: Above the error of a product of matrices, whose last digits depend on their shapes.
+SLACK = 1e-12
+
+
+def _rows(vectors: pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one width as a matrix of unit vectors; null components are no numbers, and zero vectors give none either."""
+    vectors = vectors.combine_chunks()
+    length = pc.list_value_length(vectors)
+    width = length[0].as_py() if len(vectors) else 0
+    if pc.any(pc.not_equal(length, width)).as_py():
+        raise ValueError(f"vectors of another length than {width}")
+    x = vectors.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(vectors), width)
+    norm = np.linalg.norm(x, axis=1)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return x / np.where(norm > 0, norm, np.nan)[:, None]
 
 
-def _rows(vectors: pa.Array, width: int) -> np.ndarray:
-    """Vectors of one width as a matrix; a null component is not a number."""
-    if pc.any(pc.not_equal(pc.list_value_length(vectors), width)).as_py():
-        raise ValueError(f"vectors of another length than the queries' {width}")
-    return vectors.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(vectors), width)
+def _best(q: np.ndarray, x: np.ndarray, item: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of q, item, cosine) of the k rows of x nearest to each row of q; ties go by item."""
+    out = []
+    step = max(1, CELLS // max(1, len(x)))
+    for at in range(0, len(q), step):
+        near = q[at : at + step] @ x.T
+        least = np.partition(near, -k, axis=1)[:, -k, None] - SLACK if near.shape[1] > k else -np.inf
+        row, col = np.nonzero(near >= least)
+        # Worked out again in one order of the components, so that equal vectors have equal cosines.
+        cosine = np.concatenate([np.empty(0), *[(q[at + row[i : i + PAIRS]] * x[col[i : i + PAIRS]]).sum(1) for i in range(0, len(row), PAIRS)]])
+        order = np.lexsort((item[col], -cosine, row))
+        row, col, cosine = row[order], col[order], cosine[order]
+        keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+        out.append((at + row[keep], item[col[keep]], cosine[keep]))
+    return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, int), item[:0], np.zeros(0))
 
 
 def top_cosine(queries: DataFrame, base: DataFrame, k: int = 4, least: float = -1.0) -> DataFrame:
     """query_id, item_id, cosine, rank of the k nearest rows of base(item_id, vector) for each row of queries(query_id, vector).
 
-    A block of at most QUERIES queries is broadcast at a time; every task keeps the k best of its rows for each
-    query, so at most k rows a query and task are shuffled.  A query's own id is not left out.  Zero vectors match nothing.
+    Both sides are dealt into blocks of about ROWS rows, and a task compares one of each, so nothing is held whole and
+    nothing passes through the driver; k rows a query and block are shuffled.  A query's own id is not left out.  Rows
+    without an id or a vector, and zero vectors, match nothing.
     """
     schema = f"query_id {dict(queries.dtypes)['query_id']}, item_id long, cosine double"
-    blocks = max(1, -(-queries.count() // QUERIES))
-    out = None
-    for b in range(blocks):
-        part = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) if blocks > 1 else queries
-        got = part.select("query_id", "vector").collect()  # bounded by QUERIES or nearly so
-        ids = np.array([r["query_id"] for r in got])
-        q = np.array([r["vector"] for r in got], float)
-        if not len(ids):
-            continue
-        norm = np.linalg.norm(q, axis=1)
-        ids, q = ids[norm > 0], q[norm > 0] / norm[norm > 0, None]
-        shared = base.sparkSession.sparkContext.broadcast((ids, q))
+    q = queries.where("query_id IS NOT NULL AND vector IS NOT NULL").select("query_id", "vector")
+    x = base.where("item_id IS NOT NULL AND vector IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "vector")
+    a = max(1, -(-queries.count() // ROWS))
+    b = max(1, -(-base.count() // ROWS), -(-3 * base.sparkSession.sparkContext.defaultParallelism // a))
+    place = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
+    number = lambda own, other: (own * b + other).alias("task")
+    one = q.select("query_id", "vector", place("query_id", a).alias("__a")).select("query_id", "vector", F.explode(F.sequence(F.lit(0), F.lit(b - 1))).alias("__b"), "__a").select("query_id", "vector", number(F.col("__a"), F.col("__b")))
+    two = x.select("item_id", "vector", place("item_id", b).alias("__b")).select("item_id", "vector", F.explode(F.sequence(F.lit(0), F.lit(a - 1))).alias("__a"), "__b").select("item_id", "vector", number(F.col("__a"), F.col("__b")))
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, q = shared.value
-            best = np.full((len(ids), k), -np.inf)
-            item = np.zeros((len(ids), k), np.int64)
-            step = max(1, CELLS // max(1, len(ids)))
-            for batch in (whole.slice(at, step) for whole in batches for at in range(0, whole.num_rows, step)):
-                own = batch["item_id"].to_numpy()
-                x = _rows(batch["vector"], q.shape[1])
-                norm = np.linalg.norm(x, axis=1)
-                own, x = own[norm > 0], x[norm > 0] / norm[norm > 0, None]
-                cosine = np.concatenate([best, q @ x.T], 1)
-                every = np.concatenate([item, np.broadcast_to(own, (len(ids), len(own)))], 1)
-                top = np.lexsort((every, -cosine), axis=1)[:, :k]
-                best, item = np.take_along_axis(cosine, top, 1), np.take_along_axis(every, top, 1)
-            use = best > -np.inf
-            rows = np.repeat(np.arange(len(ids)), use.sum(1))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(item[use]), pa.array(best[use])], ["query_id", "item_id", "cosine"])
+    def run(some: pa.Table, others: pa.Table) -> pa.Table:
+        names = ["query_id", "item_id", "cosine"]
+        mine, theirs = _rows(some["vector"]), _rows(others["vector"])
+        if len(mine) and len(theirs) and mine.shape[1] != theirs.shape[1]:
+            raise ValueError(f"vectors of {theirs.shape[1]} components for queries of {mine.shape[1]}")
+        own, item = ~np.isnan(mine).any(1), ~np.isnan(theirs).any(1)
+        if not (own.any() and item.any()):
+            return pa.table([some["query_id"].slice(0, 0), others["item_id"].slice(0, 0), pa.array([], pa.float64())], names)
+        row, found, cosine = _best(mine[own], theirs[item], others["item_id"].to_numpy()[item], k)
+        return pa.table([some["query_id"].take(pa.array(np.flatnonzero(own)[row])), pa.array(found), pa.array(cosine)], names)
 
-        found = base.select(F.col("item_id").cast("long").alias("item_id"), "vector").where("vector IS NOT NULL").mapInArrow(run, schema)
-        out = found if out is None else out.union(found)
-    if out is None:
-        return base.sparkSession.createDataFrame([], schema + ", rank int")
+    found = one.repartition(a * b, "task").groupBy("task").cogroup(two.repartition(a * b, "task").groupBy("task")).applyInArrow(run, schema)
     w = Window.partitionBy("query_id").orderBy(F.col("cosine").desc(), "item_id")
-    return out.where(F.col("cosine") >= least).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return found.where(F.col("cosine") >= least).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
