@@ -270,3 +270,14 @@ def test_kernel_words():
     w = K.words(pa.array([" a bb\tc ", None, "", "bb"]))
     assert w.counts.tolist() == [3, 0, 0, 1] and w.hash[1] == w.hash[3] and len(set(w.hash.tolist())) == 3
     assert hashlib.sha256(b"").hexdigest()[:4] == "e3b0"
+
+
+def test_subtrees_of_frequent_words_are_dealt_evenly():
+    """All prefixes of two and four words went to one subtree, whatever their number: it grew with the corpus."""
+    n = np.full((3, substrings.CLASSES), 1000, np.int64)
+    n[0] = 0
+    n[0, :400] = 4_096_000 // 400  # every first word is frequent
+    of, count, _ = substrings.groups(n, 2000)
+    assert (of[0, :400] < 0).all() and (of[1] >= 0).all()
+    load = np.bincount(of[1], n[1], minlength=count)
+    assert load.max() <= 2 * n[1].sum() / count

@@ -68,16 +68,18 @@ def groups(n: np.ndarray, group: int = GROUP) -> tuple[np.ndarray, int, int]:
     """Number of the group of each prefix class (-1: too many suffixes, a longer prefix decides), how many there are, and cuts of each.
 
     Row len(PREFIXES) deals the classes of whole paths.  Beyond CLASSES groups of the size aimed at, each is cut by its paths.
+    A class of a longer prefix loads its group with the share of its suffixes that shorter prefixes leave open.
     """
     cuts = max(1, -(-int(n[0].sum()) // (group * CLASSES)))
     count = int(min(CLASSES, max(32, -(-n[0].sum() // group))))
     most = max(1, n[0].sum() // count)
-    out, load = np.full((len(PREFIXES) + 1, CLASSES), -1), np.zeros(count, np.int64)
+    out, load, share = np.full((len(PREFIXES) + 1, CLASSES), -1), np.zeros(count), 1.0
     for k in range(len(PREFIXES)):
         for c in np.argsort(-n[k], kind="stable"):
             if n[k, c] <= most:
                 out[k, c] = i = int(load.argmin())
-                load[i] += n[k, c] if k == 0 else 0
+                load[i] += n[k, c] * share
+        share *= n[k, out[k] < 0].sum() / max(1, n[k].sum())
     out[-1] = np.arange(CLASSES) % count
     return out, count, cuts
 
