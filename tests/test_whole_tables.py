@@ -81,3 +81,8 @@ def test_label_similarity_values(spark):
         x, y = names[r["i"]], names[r["j"]]
         ratio = difflib.SequenceMatcher(None, x, y).ratio()
         assert abs(r["similarity"] - round(max(ratio, 0.92) if x in y or y in x else ratio, 6)) < 1e-6
+
+
+def test_hamming_pairs_are_not_sent_to_every_task(spark):
+    """Ten rows a text with all its keys went through the driver to every task, for the file is small."""
+    assert "Broadcast" not in catalog.queries()["hamming_pairs"](spark, AT)._jdf.queryExecution().executedPlan().toString()
