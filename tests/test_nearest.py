@@ -36,3 +36,22 @@ def test_no_pairs_are_made(spark, name):
     from veritally import catalog
 
     assert "Join" not in catalog.queries()[name](spark, f"{DATA}/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_nearest_pages(spark, seed):
+    """All paragraphs of a page window were joined, and ranked only then."""
+    r = np.random.default_rng(seed)
+    some = lambda n: None if r.random() < 0.05 else int(r.integers(n))
+    a = [(k % 2, k, some(70), some(12), int(r.integers(1, 35))) for k in range(60)]
+    b = [(k % 2, k * 7 % 101, some(70), some(12)) for k in range(101)]
+    one, two = spark.createDataFrame(a, "pair_id int, i long, page int, seq int, reach int"), spark.createDataFrame(b, "pair_id int, j long, page int, seq int")
+
+    def order(x, y):
+        off = None if x[3] is None or y[3] is None else abs(x[3] - y[3])
+        return abs(x[2] - y[2]), off is not None, off or 0, y[3] is not None, y[3] or 0, y[1]
+
+    near = {x[1]: sorted((y for y in b if y[0] == x[0] and None not in (x[2], y[2]) and abs(x[2] - y[2]) <= min(x[4], 30)), key=lambda y, x=x: order(x, y)) for x in a}
+    got = lambda crowded: sorted((p["i"], p["j"]) for p in nearest.pages(one, two, 30, 6, crowded).collect())
+    assert got(1000) == sorted((i, y[1]) for i, ys in near.items() for y in ys)
+    assert got(0) == sorted((i, y[1]) for i, ys in near.items() for y in ys[:6])

@@ -2,6 +2,7 @@
 
 No pairs are made.  Rows of one value are a class, and classes lie in order; the closest two that are left are neighbours.
 A group passes through one task with its rows, in n log n steps.  Rows without a group, an id or a finite value match nothing.
+`pages` finds the nearest rows by page and place in the same way.
 """
 
 from __future__ import annotations
@@ -13,8 +14,11 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
+from ..sources.shared import cut
+
 
 class _Side:
     """Ids of one side by class, ascending; those taken are passed over."""
@@ -183,3 +187,76 @@ def greedy(a: DataFrame, b: DataFrame, group: str, left: str, right: str, x: str
 def sequential(a: DataFrame, b: DataFrame, group: str, left: str, right: str, x: str, y: str, score: str, points: Callable[[float], float], least: float, margin: float = 0.0) -> DataFrame:
     """As matching.sequential of all pairs of a group with the score points(|x - y|), which never rises with the distance."""
     return _matched(a, b, [group, left, right, score], x, y, lambda *rows: _sequential(*rows, points, least, margin), ", ambiguous boolean")
+
+
+def _outward(seqs: list, start: int, end: int, at, most: int) -> list[int]:
+    """The rows of one page nearest to a place: those without one first, then by distance, place and order."""
+    first = start
+    while first < end and first < start + most and seqs[first] is None:
+        first += 1
+    out = list(range(start, first))
+    if at is None:
+        return list(range(start, min(end, start + most)))
+    if len(out) == most:
+        return out
+    up = bisect.bisect_left(seqs, at, first, end)
+    down = up - 1
+    while len(out) < most and (down >= first or up < end):
+        if up >= end or down >= first and at - seqs[down] <= seqs[up] - at:
+            low = bisect.bisect_left(seqs, seqs[down], first, down + 1)
+            out += range(low, min(down + 1, low + most - len(out)))
+            down = low - 1
+        else:
+            high = bisect.bisect_right(seqs, seqs[up], up, end)
+            out += range(up, min(high, up + most - len(out)))
+            up = high
+    return out
+
+
+def _pages(one: pa.Table, two: pa.Table, top: int) -> pa.Table:
+    """pair_id, i, j: of one(i, page, seq, reach) the `top` rows of two(j, page, seq) by pages apart, places apart, place and j."""
+    two = two.take(pc.sort_indices(two, sort_keys=[(c, "ascending") for c in ("page", "seq", "j")], null_placement="at_start")) if len(two) else two
+    pages, edges = np.unique(two["page"].to_numpy(), return_index=True)
+    pages, edges, seqs = pages.tolist(), [*edges.tolist(), len(two)], two["seq"].to_pylist()
+    rank = np.empty(len(two), int)
+    rank[pc.sort_indices(two["j"]).to_numpy()] = np.arange(len(two))
+    rows, found = [], []
+    for n, (page, at, reach) in enumerate(zip(*(one[c].to_pylist() for c in ("page", "seq", "reach")))):
+        up = bisect.bisect_left(pages, page)
+        down, got = up - 1, 0
+        while got < top:
+            far = min(page - pages[down] if down >= 0 else np.inf, pages[up] - page if up < len(pages) else np.inf)
+            if not far <= reach:
+                break
+            near = []
+            if down >= 0 and page - pages[down] == far:
+                near += _outward(seqs, edges[down], edges[down + 1], at, top - got)
+                down -= 1
+            if up < len(pages) and pages[up] - page == far:
+                near += _outward(seqs, edges[up], edges[up + 1], at, top - got)
+                up += 1
+            if len(near) > top - got:
+                off = lambda k: (False, 0) if at is None or seqs[k] is None else (True, abs(seqs[k] - at))
+                near = sorted(near, key=lambda k: (off(k), seqs[k] is not None, seqs[k] or 0, rank[k]))[: top - got]
+            rows += [n] * len(near)
+            found += near
+            got += len(near)
+    return pa.table([one["pair_id"].take(pa.array(rows, pa.int64())), one["i"].take(pa.array(rows, pa.int64())), two["j"].take(pa.array(found, pa.int64()))], ["pair_id", "i", "j"])
+
+
+def pages(a: DataFrame, b: DataFrame, width: int, top: int, crowded: int = 200) -> DataFrame:
+    """pair_id, i, j: rows of a(pair_id, i, page, seq, reach) with rows of b(pair_id, j, page, seq) at most `reach` (and width) pages away.
+
+    All of them where a band of pages holds `crowded` rows of b at most; elsewhere the `top` nearest by pages apart,
+    places (seq) apart, place and j, found without making the others.
+    """
+    a, b = (df.where(f"{c} IS NOT NULL").toDF(*df.columns) for df, c in ((a, "reach"), (b, "page")))  # columns of their own, where both come from one table
+    left = a.where("page IS NOT NULL").withColumn("band", F.floor(F.col("page") / width))
+    right = b.withColumn("band", F.explode(F.array(*[F.floor(F.col("page") / width) + d for d in (-1, 0, 1)])))
+    full = cut(right.groupBy("pair_id", "band").count().where(F.col("count") > crowded).select("pair_id", "band"), "crowded")
+    few = right.join(full, ["pair_id", "band"], "left_anti").select("pair_id", "band", "j", F.col("page").alias("there"))
+    met = left.join(few, ["pair_id", "band"]).where(F.abs(F.col("page") - F.col("there")) <= F.least("reach", F.lit(width))).select("pair_id", "i", "j")
+    own = left.withColumn("reach", F.least("reach", F.lit(width))).join(full, ["pair_id", "band"], "left_semi")
+    kinds = dict(a.dtypes) | dict(b.dtypes)
+    many = own.groupBy("pair_id", "band").cogroup(right.join(full, ["pair_id", "band"], "left_semi").groupBy("pair_id", "band")).applyInArrow(lambda one, two: _pages(one, two, top), f"pair_id {kinds['pair_id']}, i {kinds['i']}, j {kinds['j']}")
+    return met.unionByName(many)

@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import grading, predicates, text, units
-from ..operators import aggregates, events as event_rules, joins, matching, retrieval, spatial, terms
-from ..sources.shared import cut
+from ..operators import aggregates, events as event_rules, joins, matching, nearest, retrieval, spatial, terms
+from ..sources.shared import cut, wide
 
 DIFF = ("pair_id", "diff_id", "diff_type", "severity", "triage", "canonical_key", "a_value", "h_value", "evidence")
 
@@ -341,12 +341,19 @@ def paragraph_candidates(units_: DataFrame, top: int = 20) -> DataFrame:
     w = Window.partitionBy("pair_id", "lang", "section")
     placed = units_.withColumn("rank", F.row_number().over(w.orderBy("seq", "unit")) - 1).withColumn("size", F.count("*").over(w)).withColumn("total", F.max("page").over(Window.partitionBy("pair_id", "lang")))
     side = lambda lang, p: placed.where(F.col("lang") == lang).select("pair_id", *[F.col(c).alias(p + c) for c in ("unit", "page", "section", "seq", "rank", "size", "total", *_UNIT_ARRAYS)])
-    zh, en = side("zh", "zh_"), side("en", "en_")
+    one = lambda lang, p: side(lang, p).dropDuplicates(["pair_id", p + "unit"])
+    zh, en = one("zh", "zh_"), one("en", "en_")
     c = F.col
-    near = joins.bucketed_range(zh, en, ["pair_id"], "zh_page", "en_page", 30).where(F.abs(c("zh_page") - c("en_page")) <= page_window(c("zh_page"), c("zh_total"), c("en_total")))
-    section = zh.withColumn("__s", F.col("zh_section")).join(en.withColumn("__s", F.col("en_section")), ["pair_id", "__s"]).drop("__s")
-    signal = zh.withColumn("__s", F.explode("zh_signals")).join(en.withColumn("__s", F.explode("en_signals")), ["pair_id", "__s"]).drop("__s")
-    met = near.unionByName(section).unionByName(signal).dropDuplicates(["pair_id", "zh_unit", "en_unit"])
+    # They meet by ids alone; of the paragraphs near by page, only those that can be among the `top` where a band of pages is crowded.
+    place_of = lambda df, p, u: df.select("pair_id", c(p + "unit").alias(u), c(p + "page").alias("page"), c(p + "seq").alias("seq"), c(p + "total").alias("total"))
+    totals = en.where("en_total IS NOT NULL").select("pair_id", "en_total").distinct()
+    here = place_of(zh, "zh_", "i").join(totals, "pair_id").withColumn("reach", page_window(c("page"), c("total"), c("en_total"))).drop("total", "en_total")
+    near = nearest.pages(here, place_of(en, "en_", "j").drop("total"), 30, top)
+    ids = lambda df, p, u, s: df.select("pair_id", c(p + "unit").alias(u), s.alias("__s"))
+    section = ids(zh, "zh_", "i", c("zh_section")).join(ids(en, "en_", "j", c("en_section")), ["pair_id", "__s"]).drop("__s")
+    signal = ids(zh, "zh_", "i", F.explode("zh_signals")).join(ids(en, "en_", "j", F.explode("en_signals")), ["pair_id", "__s"]).drop("__s")
+    met = near.unionByName(section).unionByName(signal).distinct().select("pair_id", c("i").alias("zh_unit"), c("j").alias("en_unit"))
+    met = met.join(wide(en), ["pair_id", "en_unit"]).join(wide(zh), ["pair_id", "zh_unit"])
     same = F.coalesce(c("zh_section") == c("en_section"), F.lit(False))
     apart = F.abs(c("zh_page") - c("en_page"))
     order = Window.partitionBy("pair_id", "zh_unit").orderBy(same.desc(), apart, F.abs(c("zh_seq") - c("en_seq")), "en_seq", "en_unit")
@@ -394,6 +401,7 @@ def bilingual(units_: DataFrame, facts: DataFrame) -> tuple[DataFrame, DataFrame
     units_ as for paragraph_candidates; facts(pair_id, lang, unit, kind, role, value, currency if known).
     """
     scored = paragraph_candidates(units_)
+    scored = cut(scored.where("score >= 3.0"), "paragraphs")  # read twice below
     near = scored.select("pair_id", F.col("zh_unit").alias("i"), F.col("en_unit").alias("j"), "score", "same_section", F.coalesce(F.arrays_overlap("zh_signals", "en_signals"), F.lit(False)).alias("signed"), text.jaccard(F.col("zh_glossary"), F.col("en_glossary")).alias("known"))
     has = facts.select("pair_id", F.col("unit").alias("i"), F.lit(True).alias("has")).where(F.col("lang") == "zh").distinct()
     chosen = matching.greedy(near, "pair_id", "i", "j", "score", least=3.0)
