@@ -56,3 +56,13 @@ def test_forms_of_a_text_are_made_once(spark):
     assert found._jdf.queryExecution().optimizedPlan().toString().count("translate(") <= 2
     assert sorted((r["kind"], r["value"]) for r in found.collect()) == [("amount", 2000.5), ("per_ten", 1.5), ("share_count", 1000.0)]
     assert found.columns[:2] == ["text", "unit"] and not any(c.startswith("__") for c in found.columns)
+
+
+def test_a_pattern_reads_a_text_once(spark):
+    """Each group of each pattern searched the whole text again; sides with one fact went through a ranking all the same."""
+    from veritally.operators import facts as op
+
+    blocks = spark.createDataFrame([("2024年3月5日董事会批准，每10股派1.5元，共1,000股，收入2,000.5", None)], "text string, unit string")
+    found = op.facts(blocks)
+    assert found._jdf.queryExecution().analyzed().toString().count("regexp_extract_all(") <= 6
+    assert sorted((r["kind"], r["value"]) for r in found.collect()) == [("amount", 2000.5), ("date", 19787.0), ("per_ten", 1.5), ("share_count", 1000.0)]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import dates, text as texts_, units
+from ..sources.shared import cut
 from . import matching
 
 _NUMBER = r"(\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+(?:\.\d+)?)"
@@ -27,8 +28,9 @@ SAME, SCALE = 1e-3, 0.05
 def with_context(blocks: DataFrame, keys: list[str], seq: str) -> DataFrame:
     """blocks with unit, currency and year as last declared in the report up to and in the block (null before any)."""
     plain = texts_.simplify(F.col("text"))
-    said = F.regexp_extract(plain, DECLARED, 2)
-    money = F.regexp_extract(plain, DECLARED, 1)
+    told = F.regexp_extract(plain, DECLARED, 0)  # few blocks declare anything; the parts are read in what matched
+    said = F.regexp_extract(told, DECLARED, 2)
+    money = F.regexp_extract(told, DECLARED, 1)
     w = Window.partitionBy(*keys).orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
     last = lambda c: F.last(c, True).over(w)
     year = F.regexp_extract(plain, r"(?i)(?:for the year ended .{0,12}|year )((?:19|20)\d{2})|((?:19|20)\d{2})\s*年度", 0)
@@ -37,8 +39,8 @@ def with_context(blocks: DataFrame, keys: list[str], seq: str) -> DataFrame:
 
 
 def _found(text: Column, pattern: str, groups: int) -> Column:
-    """array<struct<g0 (the whole), g1, ...>> of all matches."""
-    return F.arrays_zip(*[F.regexp_extract_all(text, F.lit(pattern), F.lit(k)).alias(f"g{k}") for k in range(groups + 1)])
+    """array<struct<g0 (the whole), g1, ...>> of all matches; the text is read once, the groups are read in the matches."""
+    return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.struct(m.alias("g0"), *[F.regexp_extract(m, pattern, k).alias(f"g{k}") for k in range(1, groups + 1)]))
 
 
 def _number(c: Column) -> Column:
@@ -56,12 +58,13 @@ def facts(blocks: DataFrame) -> DataFrame:
     # The forms of the text are columns of their own, or each would be made again for every group of every pattern.
     forms = blocks.withColumn("__whole", F.lower(texts_.simplify(F.col("text"))))
     whole, plain, rest = F.col("__whole"), F.col("__plain"), F.col("__rest")
-    forms = forms.withColumn("__plain", F.regexp_replace(whole, PER_TEN, " "))
+    forms = forms.withColumn("__rated", _found(whole, PER_TEN, 2))
+    forms = forms.withColumn("__plain", F.when(F.size("__rated") > 0, F.regexp_replace(whole, PER_TEN, " ")).otherwise(whole))
     shares = rf"(?i){_NUMBER}\s*(亿股|万股|千股|股|(?:thousand |million |billion )?shares?\b)"
     scale = lambda u: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in SHARE_UNITS.items() for x in kv]), F.trim(F.regexp_replace(u, "shares?$", ""))), F.lit(1.0))
     fact = lambda kind, value, raw, unit, about: F.struct(F.lit(kind).alias("kind"), value.alias("value"), raw.alias("raw"), unit.alias("own_unit"), about.alias("about"))
     none = F.lit(None).cast("string")
-    rated = F.transform(_found(whole, PER_TEN, 2), lambda m: fact("per_ten", F.round(F.concat(m["g1"], m["g2"]).cast("double"), 4), F.trim(m["g0"]), none, none))
+    rated = F.transform("__rated", lambda m: fact("per_ten", F.round(F.concat(m["g1"], m["g2"]).cast("double"), 4), F.trim(m["g0"]), none, none))
     counted = F.transform(_found(plain, shares, 2), lambda m: fact("share_count", _number(m["g1"]) * scale(m["g2"]), m["g0"], F.nullif(F.regexp_replace(m["g2"], r"^股$|\s*shares?\s*$", ""), F.lit("")), none))
     # What is a share count, a date or a rate is taken out before amounts are looked for.
     forms = forms.withColumn("__rest", F.regexp_replace(F.regexp_replace(plain, shares, " "), r"(?:19|20)\d{2}[-/.年]\d{1,2}[-/.月]\d{1,2}日?|\d{1,2} [a-z]+,? (?:19|20)\d{2}|[a-z]+ \d{1,2}, (?:19|20)\d{2}|\d+(?:\.\d+)?\s?%", " "))
@@ -78,16 +81,24 @@ def _about(plain: Column) -> Column:
     return F.concat_ws("|", *[F.when(plain.rlike("|".join(words)), F.lit(kind)) for kind, words in DATE_CONTEXTS.items()])
 
 
-def compared(zh: DataFrame, en: DataFrame, keys: list[str]) -> DataFrame:
-    """Facts of aligned blocks (equal keys) paired one to one within a kind, the closest first: keys, kind, zh_value, en_value, status.
+def _held(zh: DataFrame, en: DataFrame, keys: list[str]) -> DataFrame:
+    """Facts of both languages by keys and kind: arrays zh and en, in order of their values."""
+    fact = F.struct("value", "own_unit", "about")
+    side = lambda df, p: df.select(*keys, "kind", F.lit(p).alias("__p"), fact.alias("__f"))
+    of = lambda p: F.array_sort(F.collect_list(F.when(F.col("__p") == p, F.col("__f")))).alias(p)
+    return side(zh, "zh").unionByName(side(en, "en")).groupBy(*keys, "kind").agg(of("zh"), of("en"))
 
-    status: same; unit_scale where the ratio is that of the units that the sides name; differs; zh_only and en_only.  Dates
-    only pair if both are about one kind of event.
-    """
-    side = lambda df, p: df.select(*keys, "kind", *[F.col(c).alias(p + c) for c in ("value", "own_unit", "about")]).withColumn(p + "n", F.row_number().over(Window.partitionBy(*keys, "kind").orderBy(p + "value", p + "own_unit")))
-    a, b = side(zh, "zh_"), side(en, "en_")
+
+def _linked(kind: Column, one: Column, two: Column) -> Column:
+    return (kind != "date") | F.arrays_overlap(F.split(one, r"\|"), F.split(two, r"\|")) & (one != "")
+
+
+def _ranked(held: DataFrame, keys: list[str]) -> DataFrame:
+    """Groups with several facts of a side: the closest pairs first, and what is left of either side."""
+    side = lambda p: held.select(*keys, "kind", F.posexplode(p).alias(p + "n", "f")).select(*keys, "kind", (F.col(p + "n") + 1).alias(p + "_n"), *[F.col("f." + c).alias(f"{p}_{c}") for c in ("value", "own_unit", "about")])
+    a, b = side("zh"), side("en")
     both = a.join(b, [*keys, "kind"])
-    linked = (F.col("kind") != "date") | F.arrays_overlap(F.split("zh_about", r"\|"), F.split("en_about", r"\|")) & (F.col("zh_about") != "")
+    linked = _linked(F.col("kind"), F.col("zh_about"), F.col("en_about"))
     group = F.concat_ws("\1", *[F.coalesce(F.col(k).cast("string"), F.lit("\2")) for k in keys], "kind")
     scored = both.where(linked).withColumn("__g", group).withColumn("__s", -units.relative_delta(F.col("zh_value"), F.col("en_value")))
     pairs = matching.greedy(scored, "__g", "zh_n", "en_n", "__s", least=-1e300)
@@ -97,6 +108,29 @@ def compared(zh: DataFrame, en: DataFrame, keys: list[str]) -> DataFrame:
     whole = whole.join(lost, ["__g", "en_n"], "left")
     for k in (*keys, "kind"):
         whole = whole.withColumn(k, F.coalesce(k, "__" + k))
+    return whole
+
+
+def compared(zh: DataFrame, en: DataFrame, keys: list[str]) -> DataFrame:
+    """Facts of aligned blocks (equal keys) paired one to one within a kind, the closest first: keys, kind, zh_value, en_value, status.
+
+    status: same; unit_scale where the ratio is that of the units that the sides name; differs; zh_only and en_only.  Dates
+    only pair if both are about one kind of event.
+    """
+    held = cut(_held(zh, en, keys), "facts")
+    mine, theirs = F.size("zh"), F.size("en")
+    both = (mine > 0) & (theirs > 0)
+    for k in (*keys, "kind"):
+        both &= F.col(k).isNotNull()
+    many = both & (mine + theirs > 2)
+    z, e = F.col("zh")[0], F.col("en")[0]
+    # One fact a side needs no ranking: it is paired, or each stays alone.
+    linked = F.coalesce(_linked(F.col("kind"), z["about"], e["about"]) & units.relative_delta(z["value"], e["value"]).isNotNull(), F.lit(False))
+    none = F.lit(None).cast(held.schema["zh"].dataType.elementType)
+    alone = F.concat(F.transform("zh", lambda f: F.struct(f.alias("zh"), none.alias("en"))), F.transform("en", lambda f: F.struct(none.alias("zh"), f.alias("en"))))
+    few = held.where(~many).select(*keys, "kind", F.inline(F.when(both & linked, F.array(F.struct(z.alias("zh"), e.alias("en")))).otherwise(alone)))
+    each = few.select(*keys, "kind", *[F.col(f"{p}.{c}").alias(f"{p}_{c}") for p in ("zh", "en") for c in ("value", "own_unit", "about")])
+    whole = each.unionByName(_ranked(held.where(many), keys).select(each.columns))
     delta = units.relative_delta(F.col("zh_value"), F.col("en_value"))
     ratio = F.greatest(F.abs("zh_value"), F.abs("en_value")) / F.greatest(F.least(F.abs("zh_value"), F.abs("en_value")), F.lit(1e-9))
     z, e = _scale(F.col("zh_own_unit")), _scale(F.col("en_own_unit"))

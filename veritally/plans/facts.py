@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import facts, sections
+from ..sources.shared import spread
 from .registry import query
 
 _SAID = {"1-URGENT": ("单位：人民币万元", "(RMB million)", 1e4, 1e6), "2-HIGH": ("單位：千元", "Unit: thousand", 1e3, 1e3)}
 
 
 def _blocks(t, chinese: bool):
-    o = t("orders").groupBy("o_custkey", "o_orderkey").agg(F.min("o_orderpriority").alias("p"), F.min("o_orderdate").alias("d"), F.min("o_totalprice").alias("v"), F.min("o_orderstatus").alias("s"))
+    rows = t("orders").select("o_custkey", "o_orderkey", "o_orderpriority", "o_orderdate", "o_totalprice", "o_orderstatus")
+    o = spread(rows, "o_custkey").groupBy("o_custkey", "o_orderkey").agg(F.min("o_orderpriority").alias("p"), F.min("o_orderdate").alias("d"), F.min("o_totalprice").alias("v"), F.min("o_orderstatus").alias("s"))
     n = F.format_number(1000 + F.col("o_orderkey") * 7, 0)
     if chinese:
         text = F.concat(F.lit("董事會於"), F.date_format("d", "yyyy年M月d日"), F.lit("批准，發行"), n, F.lit("股，占5.5%，營業收入"), F.format_number("v", 2))
@@ -81,7 +83,7 @@ SELECT report, seq, 'per_ten' AS kind, z AS zh_value, e AS en_value, CASE WHEN a
 UNION ALL SELECT report, seq, 'share_count', CAST(1000 + seq AS DOUBLE), CAST(1000 + seq AS DOUBLE), 'same' FROM v""")
 def per_ten_share_facts(t, spark):
     """Dividends for each ten shares of every order line in both languages, beside share counts that are facts of their own."""
-    l = t("lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_quantity").alias("q"), F.min("l_returnflag").alias("f"))
+    l = spread(t("lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag"), "l_orderkey").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_quantity").alias("q"), F.min("l_returnflag").alias("f"))
     cents = F.floor(F.col("q") * 7)
     said = lambda c: F.format_string("%d.%02d", F.floor(c / 100), (c % 100).cast("long"))
     n = F.format_number(1000 + F.col("l_linenumber"), 0)
